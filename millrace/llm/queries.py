@@ -1,11 +1,19 @@
-"""The registered queries of the operators, over whole tables, and their SQL."""
+"""The registered queries of the operators, over whole tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, mixing, simhash, substring_dedup, toxicity
+from millrace.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, substring_dedup, topk, toxicity, url_filter
+from millrace.llm.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
+
+#: The contract's rules (fixed values): the path of each is below the first slash.
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+#: Host words whose URLs are labelled 1 for training; tables hold no URL labels (fixed values).
+SEED_WORDS = ["spam", "pills", "casino", "bets", "ads", "porn", "viagra", "track", "cheap", "win"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +25,61 @@ def fold(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
+def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    words = F.split(url_filter.parts(F.col("url"))["host"], "[^a-z0-9]+")
+    labelled = pages.where(F.col("url").isNotNull()).select("url", F.arrays_overlap(words, F.array(*[F.lit(w) for w in SEED_WORDS])).cast("int").alias("label"))
+    judged = url_filter.judge(pages, URL_RULES, url_filter.fit(labelled))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), learn=fold("doc_id", 3) != 1)
+    return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(rows, F.col("vec_id") % 50 == 0)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs, keep_text=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs, fold("doc_id", 5) != 0)
+    judged = language_id.identify(docs.drop("lang"), model)
+    return judged.select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.range(1).select(F.lit(-7).cast(rows.schema["conv_id"].dataType).alias("conv_id"), F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(said).alias("text")) for i, role in enumerate(("user", "assistant"))])).alias("r")).select("conv_id", "r.*")
+    records = chat_format.records_of(rows.unionByName(own))
+    done = chat_format.format_records(records, ["system", "prompt", "response", "messages"])
+    read = done.select("conv_id", "formatted", chat_format.read_turns(F.col("formatted")).alias("back"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    said_by = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id",
+        F.size("back").cast("long").alias("n_turns"),
+        F.sha2(said_by.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.simhash_groups(docs).select("doc_id", "fingerprint", "component_id")
@@ -44,5 +96,15 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-QUERIES = {"op4_mixing": op4_mixing, "op6_decontamination": op6_decontamination, "op8_simhash": op8_simhash, "op9_toxicity": op9_toxicity, "op10_substrings": op10_substrings}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_urls": op1_urls,
+    "op2_quality": op2_quality,
+    "op3_topk": op3_topk,
+    "op4_mixing": op4_mixing,
+    "op5_language": op5_language,
+    "op6_decontamination": op6_decontamination,
+    "op7_chat": op7_chat,
+    "op8_simhash": op8_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_substrings": op10_substrings,
+}
