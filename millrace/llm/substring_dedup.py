@@ -23,7 +23,7 @@ are replaced.
 from __future__ import annotations
 
 import hashlib
-from itertools import compress
+from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm._store import keep_columns, shuffle_parts
-from millrace.llm._text import WORD_BASE_2, Words, blocks, buffers, runs, space_table, with_columns
+from millrace.llm._text import WORD_BASE_2, Words, blocks, buffers, mix, runs, space_table, with_columns
 
 #: Perfect difference sets by period (fixed values): every non-zero remainder is one difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
 FLUSH = 1 << 20  # hashes that a task gathers before it deals them out
 DEALT = "part int, hashes binary, checks binary, docs binary, places binary, known binary, keys binary"
+ROUTED = "part int, keys binary, places binary"
 MARKS = "`__key` long, `__marks` binary"
 NEW = ["n_words", "n_removed", "kept_sha256"]
 
@@ -88,45 +89,66 @@ def _deal(parts: int, h, check, doc, place, keys):
     return pa.RecordBatch.from_arrays([pa.array(out["part"], pa.int32()), *(pa.array(out[k], pa.binary()) for k in list(out)[1:])], names=list(out))
 
 
-def _marks(key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    """A row for each key with its places, packed."""
-    order = np.lexsort((place, key))
-    key, place = key[order], place[order].astype(np.uint32)
-    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.zeros(0, np.int64)
-    offsets = np.append(cuts, len(key)).astype(np.int32) * 4
-    packed = pa.Array.from_buffers(pa.binary(), len(cuts), [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(place.tobytes())])
-    return pa.RecordBatch.from_arrays([pa.array(key[cuts], pa.int64()), packed], names=["__key", "__marks"])
+def _route(parts: int, key: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Places of many documents, packed in a row for each part that documents are gathered in."""
+    part = (mix(key.view(np.uint64)) % np.uint64(parts)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(part[order])) + 1)) if len(key) else np.zeros(0, np.int64)
+    out: tuple[list, ...] = ([], [], [])
+    for a, b in pairwise([*cuts, len(key)]):
+        at = order[a:b]
+        out[0].append(int(part[at[0]]))
+        out[1].append(key[at].tobytes())
+        out[2].append(place[at].astype(np.uint32).tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["part", "keys", "places"])
 
 
-def _find_repeats(batches):
-    """In a part: the places whose hash came from several tasks or places."""
-    got = {k: [] for k in ("h", "check", "key", "place", "known")}
-    for batch in batches:
-        for x in batch.to_pylist():
-            keys, doc = np.frombuffer(x["keys"], np.int64), np.frombuffer(x["docs"], np.uint32)
-            place = np.frombuffer(x["places"], np.uint32)
-            if not x["hashes"]:
-                yield _marks(keys[doc], place)
-                continue
-            got["h"].append(np.frombuffer(x["hashes"], np.uint64))
-            got["check"].append(np.frombuffer(x["checks"], np.uint32))
-            got["known"].append(np.frombuffer(x["known"], np.uint8))
-            got["key"].append(keys[doc])
-            got["place"].append(place)
-    if got["h"]:
+def _find_repeats(parts: int):
+    """In a part: the places whose hash came from several tasks or places, and those known already."""
+
+    def run(batches):
+        got = {k: [np.zeros(0, t)] for k, t in (("h", np.uint64), ("check", np.uint32), ("key", np.int64), ("place", np.uint32), ("known", np.uint8))}
+        keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for batch in batches:
+            for x in batch.to_pylist():
+                key, place = np.frombuffer(x["keys"], np.int64)[np.frombuffer(x["docs"], np.uint32)], np.frombuffer(x["places"], np.uint32)
+                if not x["hashes"]:
+                    keys.append(key)
+                    places.append(place)
+                    continue
+                for k, v in (("h", np.frombuffer(x["hashes"], np.uint64)), ("check", np.frombuffer(x["checks"], np.uint32)), ("known", np.frombuffer(x["known"], np.uint8)), ("key", key), ("place", place)):
+                    got[k].append(v)
         h, check, key, place, known = (np.concatenate(got.pop(k)) for k in ("h", "check", "key", "place", "known"))
         order, _, repeats = _repeated(h, check, known)
         new = order[repeats]
         new = new[known[new] == 0]
-        if len(new):
-            yield _marks(key[new], place[new])
+        yield _route(parts, np.concatenate([*keys, key[new]]), np.concatenate([*places, place[new]]))
+
+    return run
+
+
+def _gather(batches):
+    """A row for each document of a part with its places, packed."""
+    keys, places = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+    for batch in batches:
+        for x in batch.to_pylist():
+            keys.append(np.frombuffer(x["keys"], np.int64))
+            places.append(np.frombuffer(x["places"], np.uint32))
+    key, place = np.concatenate(keys), np.concatenate(places)
+    order = np.lexsort((place, key))
+    key, place = key[order], place[order]
+    cuts = np.concatenate(([0], np.flatnonzero(np.diff(key)) + 1)) if len(key) else np.zeros(0, np.int64)
+    offsets = np.append(cuts, len(key)).astype(np.int64) * 4
+    for a in range(0, len(cuts), 1024):  # in parts, as a batch holds at most 2**31 bytes
+        at = offsets[a : a + 1025]
+        packed = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at - at[0]).astype(np.int32).tobytes()), pa.py_buffer(place[at[0] // 4 : at[-1] // 4].tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(key[cuts[a : a + 1024]], pa.int64()), packed], names=["__key", "__marks"])
 
 
 def _listed(col: pa.Array, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of documents and places of the marks of rows i to j; null lists are empty."""
-    lists = [x.as_py() or [] for x in col.slice(i, j - i)]
-    sizes = [sum(map(len, x)) // 4 for x in lists]
-    return np.repeat(np.arange(j - i), sizes), np.frombuffer(b"".join(b for x in lists for b in x), np.uint32).astype(np.int64)
+    """Numbers of documents and places of the marks of rows i to j; null marks are none."""
+    data, off = buffers(col.slice(i, j - i))
+    return np.repeat(np.arange(j - i), np.diff(off) // 4), np.frombuffer(data[off[0] : off[-1]].tobytes(), np.uint32).astype(np.int64)
 
 
 def _hasher(parts: int, window: int, period: int, extend: bool):
@@ -237,8 +259,8 @@ def dedup_substrings(docs: DataFrame, window: int = 35, period: int = 21, text_c
     keyed = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("binary").alias("__text"), seed.alias("__key")).repartition(parts, "__key")
 
     def repeats(dealt: DataFrame) -> DataFrame:
-        found = dealt.repartition(parts, "part").mapInArrow(_find_repeats, MARKS)
-        return found.groupBy("__key").agg(F.collect_list("__marks").alias("__marks"))
+        found = dealt.repartition(parts, "part").mapInArrow(_find_repeats(parts), ROUTED)
+        return found.repartition(parts, "part").mapInArrow(_gather, MARKS)
 
     anchors = repeats(keyed.mapInArrow(_hasher(parts, window, period, False), DEALT))
     windows = repeats(keyed.join(anchors, "__key").mapInArrow(_hasher(parts, window, period, True), DEALT))
