@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm._store import shuffle_parts, stash
+from millrace.llm._store import stash
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 4096, 256
 FOUND = "query_id long, vec_id long, score long"
@@ -97,13 +97,13 @@ def _search(k: int):
         out: list[tuple[int, int, int]] = []
         n, m = queries.num_rows, vectors.num_rows
         if n and m:
-            q, v = _matrix(queries.column("vec"), n), _matrix(vectors.column("vec"), m)
+            q, v = _matrix(queries.column("q_vec"), n), _matrix(vectors.column("vec"), m)
             wide = float(np.abs(q.astype(np.float64)).max(initial=0)) * float(np.abs(v.astype(np.float64)).max(initial=0)) * max(1, q.shape[1])
             tree = BallTree(v.astype(np.float64))
             ids = vectors.column("id").to_numpy()[tree.order]
             rows = v[tree.order].astype(np.float64 if wide < 2**52 else np.int64)
             real = q.astype(np.float64)
-            for i, (own, least) in enumerate(zip(queries.column("id").to_pylist(), queries.column("least").to_pylist(), strict=True)):
+            for i, (own, least) in enumerate(zip(queries.column("q_id").to_pylist(), queries.column("q_least").to_pylist(), strict=True)):
                 use = real[i] if rows.dtype == np.float64 else q[i]
                 found = tree.search(use, float(np.sqrt((real[i] ** 2).sum())), rows, ids, own, k, least)
                 out += [(own, -b, s) for s, b in found]
@@ -121,19 +121,18 @@ def scaled(vec: Column, factor: int) -> Column:
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k best among all other rows, by score, then smaller id."""
-    spark = rows.sparkSession
     given = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col), factor).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     given = stash(given.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).withColumn("dim", F.size("vec")), "vectors")
     n, asked = given.agg(F.count(F.lit(1)), F.count_if("asks")).first()
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
     vectors = given.select("id", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
     queries = given.where("asks").dropDuplicates(["id"]).select("id", "vec", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("block"))
-    parts = shuffle_parts(spark)
     every_block = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
 
     def meet(asking: DataFrame) -> DataFrame:
         keys = ("dim", "shard", "block")
-        return asking.select(*keys, "id", "vec", "least").repartition(parts, *keys).groupBy(*keys).cogroup(every_block.repartition(parts, *keys).groupBy(*keys)).applyInArrow(_search(k), FOUND)
+        named = asking.select(*[F.col(c).alias(f"q_{c}") for c in (*keys, "id", "vec", "least")])  # names of its own, as both sides are the same table
+        return named.groupBy(*[f"q_{c}" for c in keys]).cogroup(every_block.groupBy(*keys)).applyInArrow(_search(k), FOUND)
 
     first = stash(meet(queries.withColumns({"shard": F.col("home"), "least": F.lit(None).cast("long")})), "topk-first")
     found = first
