@@ -334,7 +334,7 @@ def score_filter(spark, sf_dir):
     return search.score_filter(hits, 0.35, 3).select("query_id", "id", "rank")
 
 
-@query(f"WITH {TOPK_SQL(5)} SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM top JOIN documents ON doc_id = id")
+@query(f"WITH {TOPK_SQL(5)} SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM top JOIN documents ON doc_id = id WHERE query_id IN (SELECT doc_id FROM documents)")
 def sources(spark, sf_dir):
     return search.sources(texted_hits(spark, sf_dir, 5).withColumn("page_start", F.col("id") % 9))
 
