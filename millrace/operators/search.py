@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import rules, text
+from millrace.functions.sampling import hash_sample
 
 QUERY_BLOCK_MB = 64
 VECTOR_HITS = "query_id long, id long, score double"
@@ -84,7 +85,7 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 12
 
     spark = queries.sparkSession
     rows = corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("features", array_to_vector("embedding"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(rows.orderBy(F.xxhash64("id"), "id").limit(sample))
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(hash_sample(rows, sample, "id"))
     centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
     near = best(asked.join(F.broadcast(centres)).select("query_id", "q", "cell", dot("q", "centre").alias("score")), probes, tie=("cell",)).select("query_id", "q", "cell")  # a row a centre: `cells` rows
