@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions import rules, text
+from millrace.functions import text
 from millrace.functions.sampling import hash_sample
 
 QUERY_BLOCK_MB = 64
@@ -97,33 +97,36 @@ def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def term_counts(docs: DataFrame, stop_words: Sequence[str] = rules.STOP_WORDS) -> DataFrame:
+Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas UDF with a word segmenter will do
+
+
+def term_counts(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
     """(id, len, term, tf) of documents (id, text)."""
-    split = docs.select("id", text.tokens(F.col("text"), stop_words).alias("tokens"))
+    split = docs.select("id", tokenize(F.col("text")).alias("tokens"))
     return split.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25_df(docs: DataFrame) -> DataFrame:
+def bm25_df(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
     """Documents that have a term, and its occurrences."""
-    return term_counts(docs).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return term_counts(docs, tokenize).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_stats(docs: DataFrame) -> DataFrame:
+def bm25_stats(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
     """Number of documents, tokens and the mean length."""
-    sizes = docs.select(F.size(text.tokens(F.coalesce("text", F.lit("")))).alias("len"))
+    sizes = docs.select(F.size(tokenize(F.coalesce("text", F.lit("")))).alias("len"))
     return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("n_tokens"), F.avg("len").alias("avgdl"))
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, tokenize: Tokenizer = text.tokens) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over documents (id, text); a query's repeated terms count each time; scores of zero give no row.
 
     Only the questions' terms are kept of the corpus, by an equality join that Spark
     broadcasts where the terms are few; df is counted on what is left, so a corpus term
     that nobody asks for crosses no network.
     """
-    asked = queries.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     terms = asked.select("term").distinct()
-    split = docs.select("id", text.tokens(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
+    split = docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
     stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
     postings = split.select("id", "len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))

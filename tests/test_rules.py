@@ -1,5 +1,6 @@
 """Rules on small Chinese texts, with results worked out by hand."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -152,3 +153,13 @@ def test_failing_reranker_keeps_order(spark):
     for scorer in (None, broken):
         got = search.rerank(hits, scorer, 5).orderBy("new_rank").collect()
         assert [(r.id, r.original_rank) for r in got] == [(2, 2), (1, 1)]
+
+
+def test_bm25_with_a_segmenter(spark):
+    @F.pandas_udf("array<string>")
+    def words(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: [w for w in ("公司", "财务") if w in t])
+
+    docs = spark.createDataFrame([(1, "公司的财务"), (2, "公司")], "id long, text string")
+    got = search.bm25_topk(spark.createDataFrame([(1, "财务")], "query_id long, text string"), docs, 5, tokenize=words)
+    assert [(r.id, r.rank) for r in got.collect()] == [(1, 1)]
