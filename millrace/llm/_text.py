@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 1 << 20  # text handled at once; a longer document is a block of its own
+BLOCK_BYTES = 1 << 18  # text handled at once, so that arrays of eight bytes a byte stay in a core's cache; a longer document is a block of its own
 
 #: Odd multipliers of polynomial hashes modulo 2**64.
 BYTE_BASE, WORD_BASE, WORD_BASE_2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
@@ -33,7 +33,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p = np.full(size, b, np.uint64)
             p[0] = 1
             have.append(np.multiply.accumulate(p))
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 16 * BLOCK_BYTES:
             _powers[base] = have
     return have[0], have[1]
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, share, shuffle_parts, stash
+from millrace.llm._store import keep_columns, share, shuffle_parts, small_batches, stash
 from millrace.llm._text import alnum_table, blocks, buffers, with_columns
 
 MAX_SET_BYTES = 32 << 20
@@ -41,6 +41,7 @@ LANE = 2048
 CLASSES = ((48, 16), (24, 12), (12, 6), (0, 3))
 TABLE_BITS = 20
 NEW = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+RESULT = [T.StructField(n, t) for n, t in zip(NEW, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()), strict=True)]
 TABLE = bytes(b or 32 for b in alnum_table())
 
 
@@ -128,61 +129,68 @@ def build(items: list[tuple[str | None, bytes]], window: int) -> list[tuple[WuMa
     return out
 
 
-def _scan(shared, fields: list[str]):
-    """Each document's number of words, the words that are hit (packed) and the items that occur."""
+def _hits(tables, texts: list[bytes]) -> list[tuple[int, np.ndarray, list[str]]]:
+    """For each normal text: number of words, the words that are hit, and the items that occur."""
+    raw = b"\0".join(texts) + b"\0"
+    at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    flat = np.frombuffer(raw, np.uint8)
+    words: dict[int, set] = {}
+    items: dict[int, set] = {}
+    for table, ids, sizes in tables:
+        starts, which = table.find(flat, raw)
+        for d, p, k in zip(np.searchsorted(at, starts, "right") - 1, starts, which, strict=True):
+            items.setdefault(d, set()).update(x for x in ids[k] if x is not None)
+            words.setdefault(d, set()).add((int(p - at[d]), sizes[k]))
+    out = []
+    for d, text in enumerate(texts):
+        n, hit = max(0, text.count(b" ") - 1), np.zeros(0, np.uint32)
+        if d in words:
+            spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            edge = np.zeros(n + 1, np.int64)
+            for p, size in words[d]:
+                first = int(np.searchsorted(spaces, p))
+                edge[first] += 1
+                edge[first + size] -= 1
+            hit = np.flatnonzero(np.cumsum(edge[:-1]) > 0).astype(np.uint32)
+        out.append((n, hit, sorted(items.get(d, ()))))
+    return out
+
+
+def _verdict(n: int, hit: np.ndarray, items: list[str], times: int) -> tuple:
+    """A result's columns."""
+    return n, len(hit), len(items), hashlib.sha256(",".join(items).encode()).hexdigest(), len(hit) > 0 and times * len(hit) >= n
+
+
+def _columns(rows: list[tuple]) -> dict[str, pa.Array]:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+    return dict(zip(NEW, (pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 5, kinds, strict=True)), strict=True))
+
+
+def _scan(shared, text_col: str, fields: list[str], finish):
+    """finish(batch, found) gives what a batch becomes, found being a triple for each row."""
 
     def run(batches):
         tables = pickle.loads(shared.value)
         for batch in batches:
-            data, off = buffers(batch.column("__text"))
-            n_words, hits, items = [], [], []
+            data, off = buffers(batch.column(text_col))
+            found = []
             for i, j in blocks(off):
-                texts = [normal(data[a:b].tobytes()) for a, b in zip(off[i:j], off[i + 1 : j + 1], strict=True)]
-                raw = b"\0".join(texts) + b"\0"
-                at = np.cumsum([0, *(len(t) + 1 for t in texts)])
-                flat = np.frombuffer(raw, np.uint8)
-                counts = [max(0, t.count(b" ") - 1) for t in texts]
-                words: dict[int, set] = {}
-                own: dict[int, set] = {}
-                for table, ids, sizes in tables:
-                    starts, which = table.find(flat, raw)
-                    for d, p, k in zip(np.searchsorted(at, starts, "right") - 1, starts, which, strict=True):
-                        own.setdefault(d, set()).update(x for x in ids[k] if x is not None)
-                        words.setdefault(d, set()).add((int(p - at[d]), sizes[k]))
-                n_words += counts
-                for d, text in enumerate(texts):
-                    hit = np.zeros(0, np.uint32)
-                    if d in words:
-                        spaces = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
-                        mark = np.zeros(counts[d] + 1, np.int64)
-                        for p, n in words[d]:
-                            first = int(np.searchsorted(spaces, p))
-                            mark[first] += 1
-                            mark[first + n] -= 1
-                        hit = np.flatnonzero(np.cumsum(mark[:-1]) > 0).astype(np.uint32)
-                    hits.append(hit.tobytes())
-                    items.append(sorted(own.get(d, ())))
-            new = {"n_words": pa.array(n_words, pa.int64()), "__hits": pa.array(hits, pa.binary()), "__items": pa.array(items, pa.list_(pa.string()))}
-            yield with_columns(batch, {"__text"}, new).select(fields)
+                found += _hits(tables, [normal(data[a:b].tobytes()) for a, b in zip(off[i:j], off[i + 1 : j + 1], strict=True)])
+            yield finish(batch, found).select(fields)
 
     return run
 
 
-def _digest(fields: list[str], times: int):
-    """Hit words and items, of one pass or several, to the result's columns."""
+def _join_passes(times: int, fields: list[str]):
+    """Hit words and items of several passes to the result's columns."""
 
     def run(batches):
         for batch in batches:
-            n_hit, n_items, sha, bad = [], [], [], []
-            for n, hits, items in zip(*(batch.column(k).to_pylist() for k in ("n_words", "__hits", "__items")), strict=True):
-                k = len(hits[0]) // 4 if len(hits) == 1 else len(np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in hits])))
-                ids = sorted({x for part in items for x in part})
-                n_hit.append(k)
-                n_items.append(len(ids))
-                sha.append(hashlib.sha256(",".join(ids).encode()).hexdigest())
-                bad.append(k > 0 and times * k >= n)
-            new = dict(zip(NEW[1:], (pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string()), pa.array(bad, pa.bool_())), strict=True))
-            yield with_columns(batch, {"__hits", "__items"}, new).select(fields)
+            rows = []
+            for n, hits, items in zip(*(batch.column(k).to_pylist() for k in ("n", "hits", "items")), strict=True):
+                hit = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in hits]))
+                rows.append(_verdict(n, hit, sorted({x for part in items for x in part}), times))
+            yield with_columns(batch, {"n", "hits", "items"}, _columns(rows)).select(fields)
 
     return run
 
@@ -193,42 +201,47 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, times
     contaminated: a word is hit and times * n_hit >= n_words. items_sha256: of the ids of
     the items with windows in the text, sorted as strings and joined by commas.
     """
-    spark = docs.sparkSession
     docs = keep_columns(docs, NEW, text_col)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sets = max(1, -(-total // max_set_bytes))
-    given = docs.withColumn("__text", F.col(f"`{text_col}`").cast("binary"))
-    many = [T.StructField("n_words", T.LongType()), T.StructField("__hits", T.BinaryType()), T.StructField("__items", T.ArrayType(T.StringType()))]
-    last = [T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("n_items", T.LongType()), T.StructField("items_sha256", T.StringType()), T.StructField("contaminated", T.BooleanType())]
-
-    def scan(df: DataFrame, k: int) -> DataFrame:
-        own = items if sets == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(sets)) == k)
-        tables = build([(r.item, bytes(r.text or b"")) for r in own.collect()], window)
-        schema = T.StructType([*[df.schema[c] for c in df.columns if c != "__text"], *many])
-        return df.mapInArrow(_scan(share(spark, tables), schema.names), schema)
-
-    def digest(df: DataFrame) -> DataFrame:
-        schema = T.StructType([*[df.schema[c] for c in df.columns if c not in ("__hits", "__items")], *last[1:]])
-        return df.mapInArrow(_digest(schema.names, times), schema)
-
+    sets = _sets(benchmark, item_col, max_set_bytes)
     if sets == 1:
-        return digest(scan(given, 0).withColumns({"__hits": F.array("__hits"), "__items": F.array("__items")}))
+        schema = T.StructType([*docs.schema, *RESULT])
+        finish = lambda batch, found: with_columns(batch, set(), _columns([_verdict(*f, times) for f in found]))
+        return docs.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, 1, 0), text_col, schema.names, finish), schema)
     # One pass for each set; the same text has the same hits wherever it stands.
-    parts, found = shuffle_parts(spark), None
-    texts = given.select(F.sha2("__text", 256).alias("__sha"), "__text")
+    parts, found = shuffle_parts(docs.sparkSession), None
+    texts = docs.select(F.sha2(F.col(text_col), 256).alias("__sha"), F.col(text_col).alias("text"))
+    pack = lambda batch, found: with_columns(batch, {"text"}, {"n": pa.array([f[0] for f in found], pa.int64()), "hits": pa.array([f[1].tobytes() for f in found], pa.binary()), "items": pa.array([f[2] for f in found], pa.list_(pa.string()))})
     for k in range(sets):
-        one = stash(scan(texts, k).dropDuplicates(["__sha"]), "hits")
+        one = texts.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, sets, k), "text", ["__sha", "n", "hits", "items"], pack), "`__sha` string, n long, hits binary, items array<string>")
+        one = stash(one.dropDuplicates(["__sha"]), "hits")
         found = one if found is None else found.unionByName(one)
-    joined = found.repartition(parts, "__sha").groupBy("__sha").agg(F.max("n_words").alias("n_words"), F.collect_list("__hits").alias("__hits"), F.collect_list("__items").alias("__items"))
-    keyed = given.withColumn("__sha", F.coalesce(F.sha2("__text", 256), F.lit(""))).drop("__text")
-    result = digest(joined)
-    empty = hashlib.sha256(b"").hexdigest()
-    return keyed.join(result, "__sha", "left").drop("__sha").fillna({"n_words": 0, "n_hit": 0, "n_items": 0, "items_sha256": empty, "contaminated": False}, NEW)
-
-
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs that are not contaminated, with their own columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = contamination(docs.withColumn("__doc", F.struct(*columns)).select("__doc", options.get("text_col", "text")), benchmark, **options)
-    return marked.where(~F.col("contaminated")).select("__doc.*")
+    joined = found.repartition(parts, "__sha").groupBy("__sha").agg(F.max("n").alias("n"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
+    schema = T.StructType([T.StructField("__sha", T.StringType()), *RESULT])
+    result = joined.mapInArrow(_join_passes(times, schema.names), schema)
+    keyed = docs.withColumn("__sha", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))
+    none = {"n_words": 0, "n_hit": 0, "n_items": 0, "items_sha256": hashlib.sha256(b"").hexdigest(), "contaminated": False}
+    return keyed.join(result, "__sha", "left").drop("__sha").fillna(none, NEW)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, times: int = 20, text_col: str = "text", item_col: str = "item_id", max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
+    """docs that are not contaminated, with their own columns; each set of the benchmark is a pass."""
+    sets = _sets(benchmark, item_col, max_set_bytes)
+    if sets > 1:
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        marked = contamination(docs.select(F.struct(*columns).alias("__doc"), F.col(text_col).alias("text")), benchmark, window, times, "text", item_col, max_set_bytes)
+        return marked.where(~F.col("contaminated")).select("__doc.*")
+    finish = lambda batch, found: batch.filter(pa.array([not _verdict(*f, times)[-1] for f in found], pa.bool_()))
+    return docs.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, 1, 0), text_col, docs.columns, finish), docs.schema)
+
+
+def _sets(benchmark: DataFrame, item_col: str, max_set_bytes: int) -> int:
+    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // max_set_bytes))
+
+
+def _tables(docs: DataFrame, benchmark: DataFrame, item_col: str, window: int, sets: int, k: int):
+    """The tables of one set of items, to be broadcast."""
+    small_batches(docs.sparkSession)
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    own = items if sets == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(sets)) == k)
+    return share(docs.sparkSession, build([(r.item, bytes(r.text or b"")) for r in own.collect()], window))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, share, stash
+from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, with_columns
 
 BUCKETS, FACTORS, MAX_ROWS = 4096, 8, 8000
@@ -149,6 +149,7 @@ def _chars(docs: DataFrame, chars_col: str | None) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS, factors: int = FACTORS, decay: float = 1e-4, steps: int = 80, seed: int = 42, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = "n_chars") -> Model:
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
+    small_batches(docs.sparkSession)
     ids = labels.where((F.lit(True) if learn is None else learn) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     ids = ids.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), _chars(docs, chars_col).alias("chars"))
@@ -165,13 +166,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     return _fit(y, doc, np.concatenate(b).astype(np.int64), value, stats, factors, decay, steps, seed)
 
 
-def _scorer(shared, fields: list[str], threshold: float):
+def _scorer(shared, text_col: str, fields: list[str], threshold: float):
     def run(batches):
         model = pickle.loads(shared.value)
         for batch in batches:
             chars = batch.column("__chars").to_numpy(zero_copy_only=False).astype(np.float64)
-            score = model.scores(*buffers(batch.column("__text")), chars)
-            yield with_columns(batch, {"__text", "__chars"}, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}).select(fields)
+            score = model.scores(*buffers(batch.column(text_col)), chars)
+            yield with_columns(batch, {"__chars"}, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}).select(fields)
 
     return run
 
@@ -179,6 +180,6 @@ def _scorer(shared, fields: list[str], threshold: float):
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """docs with score (0 to 1, higher: better) and predicted."""
     docs = keep_columns(docs, NEW, text_col)
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    given = docs.withColumns({"__text": F.col(f"`{text_col}`").cast("binary"), "__chars": _chars(docs, chars_col)})
-    return given.mapInArrow(_scorer(share(docs.sparkSession, model), schema.names, threshold), schema)
+    return docs.withColumn("__chars", _chars(docs, chars_col)).mapInArrow(_scorer(share(docs.sparkSession, model), text_col, schema.names, threshold), schema)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, shuffle_parts, stash
+from millrace.llm._store import keep_columns, shuffle_parts, small_batches, stash
 from millrace.llm._text import buffers, with_columns
 
 SEED, SEGMENT, CROWD = 42, 32, 4096
@@ -66,6 +66,7 @@ def _fingerprints(shingle: int, names: list[str]):
 
 def fingerprints(docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
     """docs without text_col and with __print, the fingerprint as a signed long."""
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("__print", T.LongType())])
     return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("binary").alias("__text")).mapInArrow(_fingerprints(shingle, schema.names), schema)

@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, shuffle_parts
+from millrace.llm._store import keep_columns, shuffle_parts, small_batches
 from millrace.llm._text import WORD_BASE_2, Words, blocks, buffers, mix, runs, space_table, with_columns
 
 #: Perfect difference sets by period (fixed values): every non-zero remainder is one difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
-FLUSH = 1 << 20  # hashes that a task gathers before it deals them out
+FLUSH = 1 << 18  # hashes that a task gathers before it deals them out
 DEALT = "part int, hashes binary, checks binary, docs binary, places binary, known binary, keys binary"
 ROUTED = "part int, keys binary, places binary"
 MARKS = "`__key` long, `__marks` binary"
@@ -254,6 +254,7 @@ def dedup_substrings(docs: DataFrame, window: int = 35, period: int = 21, text_c
         raise ValueError(f"period must be one of {sorted(COVERS)} and below window")
     parts = shuffle_parts(docs.sparkSession)
     docs = keep_columns(docs, NEW, text_col)
+    small_batches(docs.sparkSession)
     others = [c for c in docs.columns if c != text_col]
     seed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))])
     keyed = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("binary").alias("__text"), seed.alias("__key")).repartition(parts, "__key")

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, share, stash
+from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, mix, with_columns
 
 PREFIXES, MAX_ROWS, MAX_FEATURES, MIN_Z = (4, 5, 6), 12_000, 4096, 4.0
@@ -179,6 +179,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = MAX_ROWS, identity_terms=IDENTITY_TERMS, fairness: float = 1.0, decay: float = 1e-4, steps: int = 300, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
+    small_batches(docs.sparkSession)
     sample = stash(bounded_sample(docs, labels, label, F.lit(True) if learn is None else learn, max_rows, text_col, id_col), "labelled")
     n = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(n) < 2:
@@ -193,25 +194,28 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     return Model(chosen, *_fit(rows, len(chosen), fairness, decay, steps))
 
 
-def _scorer(shared, fields: list[str], threshold: float):
+def _scored(shared, text_col: str, finish):
+    """finish(batch, scores) gives what a batch becomes."""
+
     def run(batches):
         model = pickle.loads(shared.value)
         for batch in batches:
-            score = model.scores(*buffers(batch.column("__text")))
-            yield with_columns(batch, {"__text"}, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}).select(fields)
+            yield finish(batch, model.scores(*buffers(batch.column(text_col))))
 
     return run
 
 
-def score(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs with score (0 to 1) and predicted (1 from threshold on)."""
     docs = keep_columns(docs, NEW, text_col)
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    shared = share(docs.sparkSession, model)
-    return docs.withColumn("__text", F.col(f"`{text_col}`").cast("binary")).mapInArrow(_scorer(shared, schema.names, threshold), schema)
+    finish = lambda batch, s: with_columns(batch, set(), {"score": pa.array(s), "predicted": pa.array((s >= threshold).astype(np.int32))})
+    return docs.mapInArrow(_scored(share(docs.sparkSession, model), text_col, finish), schema)
 
 
-def drop_toxic(docs: DataFrame, model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """docs that the model doesn't reject, with their own columns."""
-    given = docs.select(F.col(f"`{text_col}`"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
-    return score(given, model, threshold, text_col).where("predicted = 0").select("__doc.*")
+    small_batches(docs.sparkSession)
+    finish = lambda batch, s: batch.filter(pa.array(s < threshold))
+    return docs.mapInArrow(_scored(share(docs.sparkSession, model), text_col, finish), docs.schema)
