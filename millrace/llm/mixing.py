@@ -77,26 +77,27 @@ def targets(sources: DataFrame, weights: list[int], share: float, most: float) -
 def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, block: int = 32, seed: int = 42, rows_per_shard: int = ROWS_PER_SHARD, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source", keep_text: bool = True) -> DataFrame:
     """docs with size, source_size, target and taken. most: whole number of times that a word is taken at most."""
     docs = keep_columns(docs, NEW, text_col, id_col, source_col)
+    own = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col]  # kept in a struct, so that no name of theirs meets one of ours
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
-    sized = docs.withColumn("size", size)
+    sized = docs.select(F.struct(*own).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
     if not keep_text:
-        sized = sized.drop(text_col)
         sized = stash(sized, "mix-sizes")
-    sources = stash(sized.groupBy(F.col(source_col).alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mix-sources")
+    sources = stash(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mix-sources")
     goals = targets(sources, list(weights), share, most).withColumn("shards", F.ceil(F.col("docs") / rows_per_shard))
     seats = goals.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block))
     quotas = stash(apportion(seats, "target", "seats", [], ["source"]).withColumnRenamed("quota", "source_quota"), "mix-quotas")
-    goal = quotas.select(F.col("source").alias("__source"), "source_size", "target", "shards", "source_quota")
-    dealt = sized.join(goal, F.col(source_col).eqNullSafe(F.col("__source"))).withColumn("__order", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"))))
-    dealt = dealt.withColumn("__shard", F.pmod(hex_number(F.concat_ws(":", F.lit(f"{seed}s"), F.col(id_col).cast("string"))), F.col("shards")))
-    shards = dealt.groupBy("__source", "__shard").agg(F.sum("size").alias("__words"), F.first("source_quota").alias("source_quota")).withColumn("__blocks", F.ceil(F.col("__words") / block))
-    given = apportion(shards, "__words", "source_quota", ["__source"], ["__shard"]).withColumn("quota", F.least("quota", F.col("__blocks") * int(most)))
-    given = given.select(F.col("__source").alias("__s"), F.col("__shard").alias("__h"), F.col("__blocks").alias("n"), "quota")
-    placed = dealt.withColumn("__end", F.sum("size").over(W.partitionBy("__source", "__shard").orderBy("__order", id_col, "size").rowsBetween(W.unboundedPreceding, 0)))
-    placed = placed.withColumn("__start", F.col("__end") - F.col("size"))
-    full = placed.join(given, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__shard") == F.col("__h")))
-    start, end, n, quota = (F.col(c) for c in ("__start", "__end", "n", "quota"))
-    offset = hex_number(F.concat_ws(":", F.lit(f"{seed}b"), F.coalesce("__source", F.lit("")), F.col("__shard").cast("string")))
+    goal = quotas.select(F.col("source").alias("goal_of"), "source_size", "target", "shards", "source_quota")
+    ordered = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
+    shard = F.pmod(hex_number(F.concat_ws(":", F.lit(f"{seed}s"), F.col("id").cast("string"))), F.col("shards"))
+    dealt = sized.join(goal, F.col("source").eqNullSafe(F.col("goal_of"))).withColumns({"order": ordered, "shard": shard})
+    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota")).withColumn("blocks", F.ceil(F.col("words") / block))
+    given = apportion(shards, "words", "source_quota", ["source"], ["shard"]).withColumn("quota", F.least("quota", F.col("blocks") * int(most)))
+    given = given.select(F.col("source").alias("quota_of"), F.col("shard").alias("quota_shard"), F.col("blocks").alias("n"), "quota")
+    place = W.partitionBy("source", "shard").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, 0)
+    placed = dealt.withColumn("end", F.sum("size").over(place)).withColumn("start", F.col("end") - F.col("size"))
+    full = placed.join(given, F.col("source").eqNullSafe(F.col("quota_of")) & (F.col("shard") == F.col("quota_shard")))
+    start, end, n, quota = (F.col(c) for c in ("start", "end", "n", "quota"))
+    offset = hex_number(F.concat_ws(":", F.lit(f"{seed}b"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")))
 
     def words(j: Column) -> Column:
         again = (F.pmod(j * PRIME + offset, n) < F.pmod(quota, n)).cast("long")
@@ -104,5 +105,4 @@ def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, mos
 
     blocks = F.sequence(F.floor(start / block), F.floor((end - 1) / block))
     taken = F.when(F.col("size") > 0, F.aggregate(blocks, F.lit(0).cast("long"), lambda total, j: total + words(j))).otherwise(F.lit(0).cast("long"))
-    columns = [c for c in docs.columns if keep_text or c != text_col]
-    return full.withColumn("taken", taken).select(*[F.col(f"`{c}`") for c in columns], *NEW)
+    return full.withColumn("taken", taken).select("doc.*", *NEW)

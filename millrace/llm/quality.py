@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.sampling import hash_sample
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, with_columns
 
@@ -151,7 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
     small_batches(docs.sparkSession)
     ids = labels.where((F.lit(True) if learn is None else learn) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows)
+    ids = hash_sample(ids, max_rows, id_col)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), _chars(docs, chars_col).alias("chars"))
     sample = texts.join(F.broadcast(ids), id_col).select("label", "text", "chars")  # at most max_rows pairs of numbers
     rows = stash(sample.mapInArrow(_features, "label int, buckets binary, vals binary, stats binary"), "labelled").collect()

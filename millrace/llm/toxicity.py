@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.sampling import hash_sample
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, mix, with_columns
 
@@ -172,7 +173,7 @@ class Model:
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, text_col: str, id_col: str) -> DataFrame:
     """(label, text) of at most max_rows labelled rows, those of least hash of the id; ids with two labels have the larger."""
     ids = labels.where(learn & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
-    ids = ids.orderBy(F.xxhash64(F.col(id_col)), id_col).limit(max_rows)
+    ids = hash_sample(ids, max_rows, id_col)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
     return texts.join(F.broadcast(ids), id_col).select("label", "text")  # at most max_rows pairs of numbers
 

@@ -25,6 +25,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.sampling import hash_sample
 from millrace.llm._store import keep_columns, stash
 
 MAX_RULES, MAX_ROWS = 1000, 20_000
@@ -97,8 +98,7 @@ class UrlModel:
 def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max_rows: int = MAX_ROWS, trees: int = 12, depth: int = 3, seed: int = 42) -> UrlModel:
     """A model from labelled URLs (1: block, 0: allow)."""
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label"))
-    order = [F.xxhash64("url"), F.col("url")]
-    halves = [rows.where(F.col("label") == k).orderBy(*order).limit(max_rows // 2) for k in (1, 0)]
+    halves = [hash_sample(rows.where(F.col("label") == k), max_rows // 2, "url") for k in (1, 0)]
     sample = stash(with_features(reduce(DataFrame.unionByName, halves), "url").drop("url", "path", "__query"), "labelled-urls")
     n = {int(r.label): r["count"] for r in sample.groupBy("label").count().collect()}
     if len(n) < 2:
@@ -110,7 +110,8 @@ def fit(labelled: DataFrame, url_col: str = "url", label_col: str = "label", max
 
 
 def assembled(x: DataFrame, suffixes: DataFrame) -> DataFrame:
-    x = x.join(suffixes, "__suffix", "left").fillna({"f_suffix_count": 0.0, "f_suffix_rate": 0.5})
+    """x with the feature vector. suffixes has at most a row for each labelled URL of the bounded sample."""
+    x = x.join(F.broadcast(suffixes), "__suffix", "left").fillna({"f_suffix_count": 0.0, "f_suffix_rate": 0.5})
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(x)
 
 

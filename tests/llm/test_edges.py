@@ -11,11 +11,11 @@ LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [None, "", "   \n", "one", "A b C", PASSAGE, f"x {PASSAGE} y", LONG, LONG, "a " * 5000, "é ü ß", "A b C", "!!! ???"]
 #: Columns that clash with the results' names, in another case too.
-CLASH = "n_words string, Score double, component_id int, taken string, lang_pred string, contaminated string, turns string, verdict int"
+CLASH = "n_words string, Score double, component_id int, taken string, lang_pred string, contaminated string, turns string, verdict int, n int, shard string, quota int, part int, root string"
 
 
 def frame(spark, texts=TEXTS, clash=False):
-    rows = [(i, t, ["s1", None, "s2"][i % 3]) + ((None,) * 8 if clash else ()) for i, t in enumerate(texts)]
+    rows = [(i, t, ["s1", None, "s2"][i % 3]) + ((None,) * 13 if clash else ()) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "doc_id long, text string, source string" + (", " + CLASH if clash else ""))
 
 
