@@ -83,12 +83,18 @@ def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 12
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    spark = queries.sparkSession
     rows = corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("features", array_to_vector("embedding"))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(hash_sample(rows, sample, "id"))
-    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "cell int, centre array<double>")
+    centres = np.array(model.clusterCenters())
+
+    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            score = np.stack(pdf["q"].to_numpy()) @ centres.T if len(pdf) else np.zeros((0, len(centres)))
+            at = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), at.shape[1]), "q": pdf["q"].repeat(at.shape[1]).to_numpy(), "cell": at.ravel()})
+
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    near = best(asked.join(F.broadcast(centres)).select("query_id", "q", "cell", dot("q", "centre").alias("score")), probes, tie=("cell",)).select("query_id", "q", "cell")  # a row a centre: `cells` rows
+    near = asked.mapInPandas(nearest, "query_id long, q array<double>, cell int")
     hits = model.transform(rows).select("id", "embedding", "cell").join(near, "cell").select("query_id", "id", dot("q", "embedding").alias("score"))
     return best(hits, k)
 

@@ -292,8 +292,8 @@ def vector_topk_filtered(spark, sf_dir):
 
 @query()
 def ivf_topk(spark, sf_dir):
-    """Recall against vector_topk is tested."""
-    return search.ivf_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10, cells=16, probes=8)
+    """Recall against vector_topk is tested: at least 0.9. These vectors have no clusters, so most cells are probed."""
+    return search.ivf_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10, cells=16, probes=14)
 
 
 def lexical_hits(spark, sf_dir, k=20) -> DataFrame:
