@@ -150,7 +150,8 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
         return F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), one)
 
-    dealt = prints.select("print", F.explode(F.concat(variants(0), variants(1))).alias("variant"))
+    # a row becomes 64, so the rows are dealt out first: a table of a few files would be a few tasks
+    dealt = prints.select("print").repartition(parts, "print").select("print", F.explode(F.concat(variants(0), variants(1))).alias("variant"))
     crowds = stash(dealt.groupBy("variant").count().where(F.col("count") > 1), "simhash-crowds")
     met = dealt.join(crowds, "variant")
     whole = met.where(F.col("count") <= CROWD).select("variant", F.lit(-1).alias("finer"), "print")
