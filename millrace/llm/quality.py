@@ -6,8 +6,8 @@ and lines, repetition); and, where the table has it, the recorded number of char
 score is the logistic of b + w·x + the sum over pairs <v_i, v_j> x_i x_j, the pairs taken
 in linear time as half of |sum v_i x_i|^2 - sum |v_i x_i|^2.
 
-It is fitted on at most `max_rows` labelled rows, chosen by a hash of their ids, by Adam on
-all of them at once. Statistics are standardised by the sample's means and deviations.
+It is fitted on at most `max_rows` labelled rows, chosen by a hash of their ids, by Adam
+over batches of them in a seeded order. Statistics are standardised by the sample's means and deviations.
 
 Texts are scored whole; null and empty texts have no words and all statistics at zero.
 Labels of no or one class give that class's share as every score. Repeated rows are scored
@@ -28,7 +28,7 @@ from millrace.functions.sampling import hash_sample
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, with_columns
 
-BUCKETS, FACTORS, MAX_ROWS = 4096, 8, 8000
+BUCKETS, FACTORS, MAX_ROWS, PASSES = 4096, 8, 8000, 6
 NEW = ["score", "predicted"]
 #: Kinds of bytes: upper, lower, digit, white space, mark, beyond ASCII.
 KINDS = np.array([3 if b in (9, 10, 11, 12, 13, 32) else 0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 5 if b >= 128 else 4 for b in range(256)])
@@ -96,35 +96,40 @@ class Model:
         return np.concatenate(out)
 
 
-def _fit(y: np.ndarray, doc, bucket, value, stats, factors: int, decay: float, steps: int, seed: int) -> Model:
-    n, size = len(y), BUCKETS + stats.shape[1]
+def _fit(y: np.ndarray, doc, bucket, value, stats, factors: int, decay: float, steps: int, batch: int, seed: int) -> Model:
+    """Adam over batches of rows, as they lie; at least `steps` steps and PASSES passes. doc is ascending."""
+    size = BUCKETS + stats.shape[1]
     model = Model(0.0, np.zeros(size), np.random.default_rng(seed).normal(0, 0.05, (size, factors)), stats.mean(axis=0), stats.std(axis=0) + 1e-6)
     z = model.standard(stats)
-    share_ = y.mean()
-    weight = np.where(y == 1, 0.5 / share_, 0.5 / (1 - share_)) / n
+    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
     theta = [np.zeros(1), model.weights, model.factors]
     moments = [(np.zeros_like(t), np.zeros_like(t)) for t in theta]
-    for t in range(1, steps + 1):
+    starts = np.arange(0, len(y), batch)
+    cuts = np.searchsorted(doc, [*starts, len(y)])
+    for t in range(1, max(steps, PASSES * len(starts)) + 1):
+        k = (t - 1) % len(starts)
+        rows, words = slice(starts[k], starts[k] + batch), slice(cuts[k], cuts[k + 1])
+        zk, d, b, x, n = z[rows], doc[words] - starts[k], bucket[words], value[words], len(y[rows])
         w, v = theta[1], theta[2]
-        sums = z @ v[BUCKETS:]
-        squares = (z**2) @ (v[BUCKETS:] ** 2)
+        sums = zk @ v[BUCKETS:]
+        squares = (zk**2) @ (v[BUCKETS:] ** 2)
         for f in range(factors):
-            vx = v[bucket, f] * value
-            sums[:, f] += np.bincount(doc, vx, n)
-            squares[:, f] += np.bincount(doc, vx**2, n)
-        logit = theta[0][0] + z @ w[BUCKETS:] + np.bincount(doc, w[bucket] * value, n) + 0.5 * (sums**2 - squares).sum(axis=1)
-        e = weight * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y)
+            vx = v[b, f] * x
+            sums[:, f] += np.bincount(d, vx, n)
+            squares[:, f] += np.bincount(d, vx**2, n)
+        logit = theta[0][0] + zk @ w[BUCKETS:] + np.bincount(d, w[b] * x, n) + 0.5 * (sums**2 - squares).sum(axis=1)
+        e = weight[rows] / n * (1 / (1 + np.exp(-np.clip(logit, -50, 50))) - y[rows])
         gw, gv = decay * w, decay * v
-        gw[:BUCKETS] += np.bincount(bucket, e[doc] * value, BUCKETS)
-        gw[BUCKETS:] += e @ z
+        gw[:BUCKETS] += np.bincount(b, e[d] * x, BUCKETS)
+        gw[BUCKETS:] += e @ zk
         for f in range(factors):
-            gv[:BUCKETS, f] += np.bincount(bucket, e[doc] * value * (sums[doc, f] - v[bucket, f] * value), BUCKETS)
-        gv[BUCKETS:] += z.T @ (e[:, None] * sums) - ((z**2).T @ e)[:, None] * v[BUCKETS:]
-        for k, g in enumerate((np.array([e.sum()]), gw, gv)):
-            m, s = moments[k]
+            gv[:BUCKETS, f] += np.bincount(b, e[d] * x * (sums[d, f] - v[b, f] * x), BUCKETS)
+        gv[BUCKETS:] += zk.T @ (e[:, None] * sums) - ((zk**2).T @ e)[:, None] * v[BUCKETS:]
+        for i, g in enumerate((np.array([e.sum()]), gw, gv)):
+            m, s = moments[i]
             m += 0.1 * (g - m)
             s += 0.001 * (g * g - s)
-            theta[k] -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
+            theta[i] -= 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     model.bias = float(theta[0][0])
     return model
 
@@ -148,7 +153,7 @@ def _chars(docs: DataFrame, chars_col: str | None) -> Column:
     return F.col(f"`{chars_col}`").cast("double") if chars_col and chars_col in docs.columns else F.lit(None).cast("double")
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS, factors: int = FACTORS, decay: float = 1e-4, steps: int = 80, seed: int = 42, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = "n_chars") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Column | None = None, max_rows: int = MAX_ROWS, factors: int = FACTORS, decay: float = 1e-4, steps: int = 150, batch: int = 256, seed: int = 42, text_col: str = "text", id_col: str = "doc_id", chars_col: str | None = "n_chars") -> Model:
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
     small_batches(docs.sparkSession)
     ids = labels.where((F.lit(True) if learn is None else learn) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
@@ -156,7 +161,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), _chars(docs, chars_col).alias("chars"))
     sample = texts.join(F.broadcast(ids), id_col).select("label", "text", "chars")  # at most max_rows pairs of numbers
     rows = stash(sample.mapInArrow(_features, "label int, buckets binary, vals binary, stats binary"), "labelled").collect()
-    rows.sort(key=lambda r: (r.label, bytes(r.stats), bytes(r.buckets)))  # the same sums whatever the order of arrival
+    rows.sort(key=lambda r: (r.label, bytes(r.stats), bytes(r.buckets)))  # the same model whatever the order of arrival
+    rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
     y = np.array([r.label for r in rows], np.float64)
     if len(set(y.tolist())) < 2:
         return Model(float(y.mean()) if len(y) else 0.0, None, None, None, None)
@@ -164,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     doc = np.repeat(np.arange(len(rows)), list(map(len, b)))
     value = np.concatenate([np.frombuffer(r.vals, np.float32) for r in rows]).astype(np.float64)
     stats = np.stack([np.frombuffer(r.stats, np.float64) for r in rows])
-    return _fit(y, doc, np.concatenate(b).astype(np.int64), value, stats, factors, decay, steps, seed)
+    return _fit(y, doc, np.concatenate(b).astype(np.int64), value, stats, factors, decay, steps, batch, seed)
 
 
 def _scorer(shared, text_col: str, fields: list[str], threshold: float):
