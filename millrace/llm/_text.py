@@ -94,18 +94,24 @@ class Words:
         """Number of the document of each word."""
         return np.repeat(np.arange(len(self.counts)), self.counts)
 
-    def sums(self) -> np.ndarray:
-        p, _ = powers(BYTE_BASE, len(self.bytes) + 1)
-        out = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum(self.bytes.astype(np.uint64) * p[: len(self.bytes)], out=out[1:])
+    def hashes(self, *ends: np.ndarray) -> list[np.ndarray]:
+        """64-bit hashes of the words up to each of ends (their own ends, if none are given). Bytes are hashed in pieces, so a long document needs little more than its words."""
+        ends = ends or (self.ends,)
+        out = [np.zeros(len(self.starts), np.uint64) for _ in ends]
+        i = 0
+        while i < len(self.starts):
+            a = int(self.starts[i])
+            j = max(i + 1, int(np.searchsorted(self.ends, a + 4 * BLOCK_BYTES, "right")))
+            part = self.bytes[a : self.ends[j - 1]].astype(np.uint64)
+            p, inverse = powers(BYTE_BASE, len(part) + 1)
+            sums = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(part * p[: len(part)], out=sums[1:])
+            first = self.starts[i:j] - a
+            for o, e in zip(out, ends, strict=True):
+                o[i:j] = mix((sums[e[i:j] - a] - sums[first]) * inverse[first] + np.uint64(1))
+            i = j
         return out
 
-    def hashes(self, sums: np.ndarray | None = None, ends: np.ndarray | None = None) -> np.ndarray:
-        """64-bit hashes of the words, or of their parts up to ends."""
-        sums, ends = self.sums() if sums is None else sums, self.ends if ends is None else ends
-        _, inverse = powers(BYTE_BASE, len(self.bytes) + 1)
-        return mix((sums[ends] - sums[self.starts]) * inverse[self.starts] + np.uint64(1))
-
 
 def runs(hashes: np.ndarray, n: int, base: int = WORD_BASE) -> np.ndarray:
     """Hashes of every n consecutive words, whatever the document."""

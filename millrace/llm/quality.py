@@ -44,7 +44,7 @@ def featurise(data: np.ndarray, offsets: np.ndarray, chars: np.ndarray) -> tuple
     """For documents side by side: (document, bucket, value) of words, and a row of statistics for each document. chars: recorded lengths, NaN if unknown."""
     w = Words(data, offsets, alnum_table())
     n, doc = len(w.counts), w.docs()
-    once, count = np.unique(doc * BUCKETS + (w.hashes() >> np.uint64(52)).astype(np.int64), return_counts=True)
+    once, count = np.unique(doc * BUCKETS + (w.hashes()[0] >> np.uint64(52)).astype(np.int64), return_counts=True)
     d, bucket = np.divmod(once, BUCKETS)
     norm = np.sqrt(np.bincount(d, count.astype(np.float64) ** 2, n))
     value = count / norm[d] if len(d) else np.zeros(0)

@@ -185,7 +185,7 @@ def _hasher(parts: int, window: int, period: int, extend: bool):
                     at = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
                 if not len(at):
                     continue
-                words = w.hashes()
+                words = w.hashes()[0]
                 check = (runs(words, n, WORD_BASE_2)[at] >> np.uint64(32)).astype(np.uint32) if extend else np.zeros(0, np.uint32)
                 held.append((runs(words, n)[at], check, doc[at] + base, place[at]))
                 all_keys.append(keys[i:j])

@@ -42,14 +42,12 @@ IDENTITY_TERMS = (
 
 def features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """(document, feature) for words and their beginnings; the same pair may come again."""
-    sums, doc = w.sums(), w.docs()
-    length = w.ends - w.starts
-    found, of = [w.hashes(sums)], [doc]
-    for n in PREFIXES:
-        long = length >= n
-        ends = np.where(long, w.starts + n, w.ends)
-        found.append(mix(w.hashes(sums, ends)[long] + np.uint64(n)))
-        of.append(doc[long])
+    doc, length = w.docs(), w.ends - w.starts
+    whole, *begun = w.hashes(w.ends, *(np.minimum(w.starts + n, w.ends) for n in PREFIXES))
+    found, of = [whole], [doc]
+    for n, h in zip(PREFIXES, begun, strict=True):
+        found.append(mix(h[length >= n] + np.uint64(n)))
+        of.append(doc[length >= n])
     return np.concatenate(of), np.concatenate(found)
 
 

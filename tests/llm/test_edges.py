@@ -81,6 +81,21 @@ def test_substrings_random(spark, window, period):
     assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()} == brute.substrings(list(enumerate(texts)), window)
 
 
+def test_hashes_do_not_depend_on_where_words_lie(monkeypatch):
+    from millrace.llm import _text
+
+    texts = [f"w{i % 50} " * (i % 7) + "long" * (i % 90) for i in range(200)]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = _text.Words(data, off, _text.space_table()).hashes()[0]
+    monkeypatch.setattr(_text, "BLOCK_BYTES", 8)
+    w = _text.Words(data, off, _text.space_table())
+    assert (w.hashes()[0] == want).all() and len(want) == sum(len(t.split()) for t in texts)
+    by_word: dict = {}
+    for word, h in zip((x for t in texts for x in t.split()), want.tolist(), strict=True):
+        assert by_word.setdefault(word, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+
+
 def test_substrings_keep_spacing(spark):
     texts = [f"keep  this\n{PASSAGE}\n and   that", f"other {PASSAGE}"]
     got = [r.text for r in substring_dedup.dedup_substrings(frame(spark, texts)).orderBy("doc_id").collect()]
