@@ -266,7 +266,7 @@ def collection_rows(spark, sf_dir) -> DataFrame:
 GATED = f"{VECTORS_SQL}, {TEXTS_SQL}, even AS (SELECT * FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding))))"
 
 
-@query(f"WITH {GATED} SELECT e.chunk_id, coalesce(t.text, '') AS text, 0 AS page_start, 0 AS page_end, '' AS section, '' AS source_pdf, e.type AS content_type, 0 AS table_index, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
+@query(f"WITH {GATED} SELECT e.chunk_id, coalesce(t.text, '') AS text, 0::BIGINT AS page_start, 0::BIGINT AS page_end, '' AS section, '' AS source_pdf, e.type AS content_type, 0::BIGINT AS table_index, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
 def collection(spark, sf_dir):
     return collection_rows(spark, sf_dir).withColumn("dim", F.size("embedding")).drop("embedding")
 
@@ -562,3 +562,12 @@ def jsonl_tolerant(spark, sf_dir):
     return files.parse_lines(lines, "conv_id long, turn long, role string, text string").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Columns that are 32-bit integers in the results, where SQL counts in 64 bits.
+NARROW = {
+    "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
+    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"],
+    "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
+    "sources": ["rank"], "batch_retrieve": ["rank"], "entity_suggest": ["rank"],
+}
+for _name, _columns in NARROW.items():
+    SQL[_name] = f"SELECT * REPLACE ({', '.join(f'{c}::INTEGER AS {c}' for c in _columns)}) FROM ({SQL[_name]})"
