@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,8 +153,9 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
 
     # a row becomes 64, so the rows are dealt out first: a table of a few files would be a few tasks
     dealt = prints.select("print").repartition(parts, "print").select("print", F.explode(F.concat(variants(0), variants(1))).alias("variant"))
-    crowds = stash(dealt.groupBy("variant").count().where(F.col("count") > 1), "simhash-crowds")
-    met = dealt.join(crowds, "variant")
+    # most variants are alone; the others are few. One exchange, whatever their number, and no join back
+    counted = dealt.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("variant")))
+    met = stash(counted.where(F.col("count") > 1), "simhash-met")
     whole = met.where(F.col("count") <= CROWD).select("variant", F.lit(-1).alias("finer"), "print")
     other = F.when(F.col("variant") < F.lit(SEGMENT << SEGMENT), half[1]).otherwise(half[0])
     finer = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255))).cast("int"))
@@ -197,7 +199,7 @@ def drop_near_copies(docs: DataFrame, bits: int = 3, shingle: int = 3, text_col:
     best = groups.groupBy("__root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "__row")).alias("best"))
     rows = groups.groupBy("__row").count()
     stay = stash(best.select(F.col("best.__row").alias("__row")).join(rows, "__row"), "simhash-stay")
-    kept = docs.withColumn("__row", key).join(stay.select("__row"), "__row", "left_semi")
+    kept = docs.withColumn("__row", key).join(stay.select("__row").hint("merge"), "__row", "left_semi")  # it grows with docs, so never broadcast
     if stay.where(F.col("count") > 1).limit(1).count():
         kept = kept.dropDuplicates(["__row"])
     return kept.drop("__row")
