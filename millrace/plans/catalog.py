@@ -313,6 +313,24 @@ def hybrid_topk(spark, sf_dir):
     return rounded(search.hybrid_topk(hits, lexical_hits(spark, sf_dir), 10)).withColumn("fused_score", F.round("fused_score", 9))
 
 
+def whole_lexical_hits(spark, sf_dir, k=20) -> DataFrame:
+    """Every hundredth document asks with its whole text, against all documents."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.bm25_topk(asked, documents(spark, sf_dir), k)
+
+
+@query(f"WITH {WHOLE_FUSED_SQL} SELECT query_id, id, round(fused_score, 9) AS fused_score, rank FROM fused")
+def rrf_fuse_whole(spark, sf_dir):
+    hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 60)
+    return search.rrf_fuse(((hits, 0.7), (whole_lexical_hits(spark, sf_dir), 0.3)), 10).withColumn("fused_score", F.round("fused_score", 9))
+
+
+@query(f"WITH {WHOLE_FUSED_SQL} SELECT query_id, id, round(fused_score, 9) AS fused_score, f.rank, round(t.score, 6) AS score FROM fused f LEFT JOIN top t USING (query_id, id)")
+def hybrid_topk_whole(spark, sf_dir):
+    hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 60)
+    return rounded(search.hybrid_topk(hits, whole_lexical_hits(spark, sf_dir), 10)).withColumn("fused_score", F.round("fused_score", 9))
+
+
 def texted_hits(spark, sf_dir, k=10) -> DataFrame:
     hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k)
     docs = table(spark, sf_dir, "documents")
@@ -566,7 +584,7 @@ def jsonl_tolerant(spark, sf_dir):
 NARROW = {
     "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
     "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"],
-    "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
+    "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rrf_fuse_whole": ["rank"], "hybrid_topk_whole": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
     "sources": ["rank"], "batch_retrieve": ["rank"], "entity_suggest": ["rank"],
 }
 for _name, _columns in NARROW.items():

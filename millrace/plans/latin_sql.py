@@ -98,6 +98,9 @@ fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDE
 ASKING = "(SELECT doc_id AS query_id, text[1:80] AS text FROM documents WHERE doc_id % 100 = 0)"
 FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(ASKING, '(SELECT doc_id AS id, text FROM documents WHERE doc_id < 500 OR doc_id % 3 = 0)', 20)}, {FUSE(10)}"
 
+WHOLE_ASKING = "(SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
+WHOLE_FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(WHOLE_ASKING, '(SELECT doc_id AS id, text FROM documents)', 20)}, {FUSE(10)}"
+
 BATCH_SQL = f"""
 WITH {TOPK_SQL(48, "vec_id % 4 = 0 AND vec_id IN (SELECT doc_id FROM documents)", "q.vec_id % 100 = 0 AND q.vec_id % 300 <> 0 AND q.vec_id IN (SELECT doc_id FROM documents)")},
 {BM25("(SELECT vec_id AS query_id, text[1:80] AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 4 = 0)", 16)}, {FUSE(8)},
