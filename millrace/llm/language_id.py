@@ -9,11 +9,12 @@ binary search; for the sequences that any language has seen, all languages' inte
 probabilities lie side by side in one more sorted array, so that a symbol costs one search.
 
 The language of the lowest cross-entropy per symbol wins; ties go to the first by name.
-`rejected` says that this entropy is above what all but a thousandth of a bounded sample of
-that language's own learning documents reach: text of no learned language, or no prose.
+`rejected` says that this entropy is above what all but a thousandth of that language's own
+learning documents reach: text of no learned language, or no prose.
 
-The model's size is bounded: at most MAX_CELLS probabilities; where the corpus has more
-sequences, those of the lowest counts, whole counts at a time, are left out of the model.
+No sequence is left out. A model of more than MAX_CELLS probabilities stays in Spark tables:
+the most frequent sequences' probabilities, MAX_CELLS at most, go to the tasks, and what a
+document has of others is joined by the sequence. Both ways give the same results.
 Null texts and texts without letters are `und` with score 0, as is all if nothing was
 learned. Texts are read whole. Repeated rows are judged alike. Input columns with the names
 of the result's are replaced.
@@ -29,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.sampling import hash_sample
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import blocks
 
-ORDER, MAX_CELLS, SAMPLE_ROWS, TEMPERATURE = 4, 4_000_000, 4000, 12.0
+ORDER, MAX_CELLS, TEMPERATURE = 4, 4_000_000, 12.0
+REJECTED, HEAVY = 1000, 1000  # one in so many own documents is rejected; a sequence with more than one in so many rows is joined by broadcast
 UNKNOWN = "und"
 NEW = ["lang_pred", "score", "entropy", "rejected"]
 LATIN = np.array([chr(i).isalpha() for i in range(0x250)])
@@ -185,36 +186,171 @@ def _judge(shared, text_col: str, fields: list[str]):
     return run
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+class TableModel:
+    """All languages' models as Spark tables, with the probabilities of the most frequent sequences at hand."""
+
+    def __init__(self, counts: DataFrame, langs: list[str], room: int):
+        self.langs, self.limits, self.orders = langs, np.full(len(langs), np.inf), []
+        symbols = 1 + counts.agg(F.count_distinct(last_of("code", 1))).first()[0]
+        self.uniform = 1.0 / symbols
+        index = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1
+        rows = counts.select(index.alias("i"), "code", "n")
+        for order in range(ORDER, 0, -1):
+            discount = [0.1] * len(langs)
+            for r in rows.groupBy("i").agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).collect():
+                discount[r.i] = float(np.clip(r.once / max(1, r.once + 2 * r.twice), 0.1, 0.9))
+            seen = rows.groupBy("code").agg(F.map_from_entries(F.collect_list(F.struct("i", "n"))).alias("seen"))
+            kinds = rows.groupBy(F.shiftrightunsigned("code", 16).alias("context"), "i").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("follow"))
+            kinds = kinds.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("total", "follow")))).alias("kinds"))
+            self.orders.append((order, discount, stash(seen, f"seen{order}"), stash(kinds, f"contexts{order}")))
+            if order > 1:
+                rows = stash(rows.groupBy("i", last_of("code", order - 1).alias("code")).agg(F.count(F.lit(1)).alias("n")), "continuations")
+        sums, least = counts.groupBy("code").agg(F.sum("n").alias("n")), 1
+        for r in sums.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # by count, from the top, until the room is full
+            room -= r["count"]
+            if room < 0:
+                least = r.n + 1
+                break
+        got = self.probabilities(sums.where(F.col("n") >= least).select("code")).toArrow()
+        keys, logs = got.column("code").to_numpy().view(np.uint64), got.column("logs").combine_chunks()
+        by_key = np.argsort(keys)
+        self.keys, self.table = keys[by_key], logs.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs))[by_key]
+
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """(code, logs) of distinct codes: the log of each language's interpolated probability. A code has at most 65,536 longer ones, so no key of a join grows with the corpus."""
+        at = F.sequence(F.lit(0), F.lit(len(self.langs) - 1))
+        below = None
+        for order, discount, seen, kinds in reversed(self.orders):
+            own = asked if order == ORDER else asked.select(last_of("code", order).alias("code")).distinct()
+            x = own.join(seen, "code", "left").withColumn("context", F.shiftrightunsigned("code", 16)).join(kinds, "context", "left")
+            if below is None:
+                x = x.withColumn("lower", F.array(*[F.lit(self.uniform)] * len(self.langs)))
+            else:
+                x = x.withColumn("below", last_of("code", order - 1)).join(below, "below")
+            x = x.withColumn("d", F.array(*map(F.lit, discount)))
+            x = x.select("code", F.transform(at, interpolated).alias("lower"))
+            below = x.withColumnRenamed("code", "below")
+        return x.select("code", F.transform("lower", lambda p: F.log(p).cast("float")).alias("logs"))
+
+
+def interpolated(i: Column) -> Column:
+    """A language's probability from the columns seen, kinds, d and lower."""
+    kinds = F.try_element_at("kinds", i)
+    own = (F.try_element_at("seen", i) - F.get("d", i)) / kinds["total"]
+    return F.coalesce(own, F.lit(0.0)) + F.coalesce(F.get("d", i) * kinds["follow"] / kinds["total"], F.lit(1.0)) * F.get("lower", i)
+
+
+def last_of(code: str, order: int) -> Column:
+    """The last symbols of a sequence's code."""
+    return F.col(code) if order == ORDER else F.col(code).bitwiseAND(F.lit((1 << 16 * order) - 1))
+
+
+def _parts(shared):
+    """For each text with letters a row with its number of symbols and what the sequences at hand give, and one for each other sequence with its count."""
+
+    def run(batches):
+        keys, table = pickle.loads(shared.value)
+        for batch in batches:
+            names, texts = np.array(batch.column("key").to_pylist(), object), batch.column("text").to_pylist()
+            for i, j in blocks(np.cumsum([0, *map(len, texts)])):
+                code, n = codes(texts[i:j])
+                doc = np.repeat(np.arange(j - i), n)
+                at = np.minimum(np.searchsorted(keys, code), max(0, len(keys) - 1))
+                hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
+                sums = np.stack([np.bincount(doc[hit], column[at[hit]], j - i) for column in table.T.astype(np.float64)], axis=1)
+                order = np.lexsort((code[~hit], doc[~hit]))
+                d, c = doc[~hit][order], code[~hit][order]
+                cuts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])))) if len(c) else np.zeros(0, np.int64)
+                full = np.flatnonzero(n)
+                key = [*names[i:j][full], *names[i:j][d[cuts]]]
+                own = [pa.array(key, pa.binary()), pa.array([*[None] * len(full), *c[cuts].view(np.int64).tolist()], pa.int64()), pa.array([*n[full].tolist(), *np.diff(cuts, append=len(c)).tolist()], pa.int64())]
+                own.append(pa.array([*sums[full].tolist(), *[None] * len(cuts)], pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(own, names=["key", "code", "n", "sums"])
+
+    return run
+
+
+def _joined(docs: DataFrame, model: TableModel, text_col: str) -> DataFrame:
+    """docs judged by a model in tables. Texts are known by their SHA-256, so copies are looked up once."""
+    key, each = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)), range(len(model.langs))
+    texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"))
+    parts = texts.mapInArrow(_parts(share(docs.sparkSession, (model.keys, model.table))), "key binary, code long, n long, sums array<double>")
+    parts = stash(parts.groupBy("key", "code").agg(F.any_value("n").alias("n"), F.any_value("sums").alias("sums")), "parts")
+    others = parts.where("code IS NOT NULL").select("key", "code", "n")
+    asked = stash(others.groupBy("code").agg(F.count(F.lit(1)).alias("rows")), "asked")
+    most = (asked.agg(F.sum("rows")).first()[0] or 0) / HEAVY
+    logs = stash(model.probabilities(asked.select("code")).join(asked, "code"), "logs")
+    met = [others.join(logs.where(F.col("rows") <= most), "code"), others.join(F.broadcast(logs.where(F.col("rows") > most)), "code")]  # fewer than HEAVY codes
+    sums = parts.where("code IS NULL").select("key", F.col("n").alias("symbols"), "sums")
+    for x in met:
+        sums = sums.unionByName(x.select("key", F.lit(None).cast("long").alias("symbols"), F.transform("logs", lambda p: p.cast("double") * F.col("n")).alias("sums")))
+    total = sums.groupBy("key").agg(F.max("symbols").alias("symbols"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in each])
+    h = total.select("key", F.array(*[-F.col(f"s{i}") / F.col("symbols") for i in each]).alias("h")).withColumn("least", F.array_min("h"))
+    h = h.withColumn("best", F.array_position("h", F.col("least")).cast("int") - 1)
+    limit, lang = F.array(*[F.lit(float(x)) for x in model.limits]), F.array(*[F.lit(x) for x in model.langs])
+    share_of = F.lit(1.0) / F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp((F.col("least") - x) * TEMPERATURE))
+    judged = h.select(F.col("key").alias("__key"), F.get(lang, "best").alias("__lang"), share_of.alias("__score"), F.col("least").alias("__entropy"), (F.col("least") > F.get(limit, "best")).alias("__rejected"))
+    x = docs.withColumn("__key", key).join(judged, "__key", "left")
+    return x.select(*docs.columns, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__entropy").alias("entropy"), F.coalesce("__rejected", F.lit(True)).alias("rejected"))
+
+
+def identify(docs: DataFrame, model: Model | TableModel, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score (0 to 1), entropy and rejected."""
     docs = keep_columns(docs, NEW, text_col)
     small_batches(docs.sparkSession)
+    if isinstance(model, TableModel):
+        return _joined(docs, model, text_col)
     types = (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*docs.schema, *(T.StructField(n, t) for n, t in zip(NEW, types, strict=True))])
     return docs.mapInArrow(_judge(share(docs.sparkSession, model), text_col, schema.names), schema)
 
 
-def learn(docs: DataFrame, where: Column, max_cells: int = MAX_CELLS, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
-    """A model from all documents with a language for which `where` holds."""
+def _limits(own: DataFrame, model: Model | TableModel) -> None:
+    """Each language's limit, over all its learning documents: the value at the rank of all but one in REJECTED, found in bins of 10⁻², 10⁻⁶ and 10⁻¹⁰."""
+    if isinstance(model, TableModel):
+        judged = _joined(own, model, "text")
+    else:
+        judged = own.mapInArrow(_judge(share(own.sparkSession, model), "text", ["lang", "lang_pred", "entropy"]), "lang string, lang_pred string, entropy double")
+    seen = stash(judged.where(F.col("lang_pred") == F.col("lang")).select("lang", "entropy"), "entropies")
+    rank, low = {}, {}
+    for k, width in enumerate((1e-2, 1e-6, 1e-10)):
+        bin_of = F.floor(F.col("entropy") / width)
+        if k:
+            chosen = F.create_map(*[F.lit(v) for x in low.items() for v in x])
+            seen = seen.where(F.floor(F.col("entropy") / before) == F.try_element_at(chosen, F.col("lang")))
+        found: dict[str, list] = {}
+        for r in seen.groupBy("lang", bin_of.alias("bin")).count().collect():  # at most some 10,000 bins a language
+            found.setdefault(r.lang, []).append((r.bin, r["count"]))
+        if not found:
+            return
+        for lang, bins in found.items():
+            bins.sort()
+            if not k:
+                rank[lang] = sum(c for _, c in bins) - sum(c for _, c in bins) // REJECTED
+            for low[lang], c in bins:
+                if rank[lang] <= c:
+                    break
+                rank[lang] -= c
+        before = width
+    for lang, place in low.items():
+        model.limits[model.langs.index(lang)] = (place + 1) * before
+
+
+def learn(docs: DataFrame, where: Column, max_cells: int = MAX_CELLS, text_col: str = "text", lang_col: str = "lang") -> Model | TableModel:
+    """A model from all documents with a language for which `where` holds, whose probabilities lie in memory where they are at most max_cells."""
     small_batches(docs.sparkSession)
-    own = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    counts = stash(own.select("lang", "text").mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "sequences")
-    langs = counts.agg(F.count_distinct("lang")).first()[0]
-    room, least = max_cells // max(1, langs), 1
-    for r in counts.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():  # rows by count, from the top, until the room is full
-        room -= r["count"]
-        if room < 0:
-            least = r.n + 1
-            break
-    by: dict[str, list] = {}
-    for r in counts.where(F.col("n") >= least).select("lang", "code", "n").toArrow().to_batches():
-        for lang in set(r.column("lang").to_pylist()):
-            at = np.array(r.column("lang").to_pylist()) == lang
-            by.setdefault(lang, []).append((r.column("code").to_numpy(zero_copy_only=False)[at].view(np.uint64), r.column("n").to_numpy(zero_copy_only=False)[at]))
-    model = Model({lang: _tally(np.concatenate([c for c, _ in x]), np.concatenate([n for _, n in x])) for lang, x in by.items()})
-    ids = hash_sample(own.select("id"), SAMPLE_ROWS, "id")
-    sample = own.join(F.broadcast(ids.distinct()), "id").select("lang", "text")  # at most SAMPLE_ROWS ids
-    seen = identify(sample, model).where(F.col("lang_pred") == F.col("lang")).groupBy("lang").agg(F.percentile("entropy", 0.999).alias("limit"))
-    for r in seen.collect():
-        model.limits[model.langs.index(r.lang)] = r.limit
+    own = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    counts = stash(own.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "sequences")
+    size = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
+    room = max_cells // max(1, len(size))
+    if sum(size.values()) > room:
+        model = TableModel(counts, sorted(size), room)
+    else:
+        by: dict[str, list] = {}
+        for r in counts.toArrow().to_batches():
+            for lang in set(r.column("lang").to_pylist()):
+                at = np.array(r.column("lang").to_pylist()) == lang
+                by.setdefault(lang, []).append((r.column("code").to_numpy(zero_copy_only=False)[at].view(np.uint64), r.column("n").to_numpy(zero_copy_only=False)[at]))
+        model = Model({lang: _tally(np.concatenate([c for c, _ in x]), np.concatenate([n for _, n in x])) for lang, x in by.items()})
+    _limits(own, model)
     return model
