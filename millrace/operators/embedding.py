@@ -80,10 +80,10 @@ def dim_gate(vectors: DataFrame) -> DataFrame:
     return vectors.join(even, "kb_name", "left_semi")
 
 
-def collection(vectors: DataFrame, text_chars: int = 20000) -> DataFrame:
-    """Vector rows with text as rows of the collection."""
+def collection(vectors: DataFrame) -> DataFrame:
+    """Vector rows with their whole text as rows of the collection."""
     return vectors.select(
-        "chunk_id", F.substring(F.coalesce("text", F.lit("")), 1, text_chars).alias("text"), F.coalesce(F.col("page_start"), F.lit(0)).cast("long").alias("page_start"), F.coalesce(F.col("page_end"), F.lit(0)).cast("long").alias("page_end"),
+        "chunk_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("page_start"), F.lit(0)).cast("long").alias("page_start"), F.coalesce(F.col("page_end"), F.lit(0)).cast("long").alias("page_end"),
         F.coalesce("section", F.lit("")).alias("section"), F.coalesce("source_pdf", F.lit("")).alias("source_pdf"), F.coalesce("type", F.lit("text")).alias("content_type"),
         F.coalesce(F.col("table_index"), F.lit(0)).cast("long").alias("table_index"), "kb_name", "embedding",
     )

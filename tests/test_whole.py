@@ -2,6 +2,7 @@
 
 import pytest
 
+from millrace.operators import embedding
 from millrace.plans import catalog
 
 
@@ -19,3 +20,10 @@ def small(spark, tmp_path):
 def test_fusion_sees_all_documents_and_whole_questions(spark, small, name):
     got = {(r.query_id, r.id) for r in catalog.QUERIES[name](spark, small).collect()}
     assert (0, 601) in got  # an id of at least 500 that three does not divide, alike beyond the first 80 characters
+
+
+def test_collection_keeps_long_texts(spark):
+    rows = spark.createDataFrame([("a", "c", "x" * 20000 + "tail", [1.0])], "kb_name string, chunk_id string, text string, embedding array<float>")
+    none = ("page_start", "page_end", "section", "source_pdf", "type", "table_index")
+    rows = rows.selectExpr("*", *[f"CAST(NULL AS {'string' if c in ('section', 'source_pdf', 'type') else 'int'}) AS {c}" for c in none])
+    assert embedding.collection(rows).first().text == "x" * 20000 + "tail"
