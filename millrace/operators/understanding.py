@@ -97,7 +97,8 @@ def resolve_kb(queries: DataFrame, aliases: DataFrame, query_col: str = "query",
     """queries with kb_name: of the longest alias that the question contains (the first by name of several); null for comparisons and without one.
 
     The alias table (kb_name, alias) is read as a literal of at most max_aliases entries; a
-    larger one is matched by joining on the questions' words.
+    larger one is joined to all parts of the questions that have an alias's length, which
+    gives the same.
     """
     small = aliases.limit(max_aliases + 1).collect()
     asks = ~F.col(query_col).rlike(f"(?i){comparison}")
@@ -105,10 +106,13 @@ def resolve_kb(queries: DataFrame, aliases: DataFrame, query_col: str = "query",
         table = sorted(((r.alias, r.kb_name) for r in small if r.alias), key=lambda r: (-len(r[0]), r[1]))
         found = F.coalesce(*[F.when(F.contains(F.col(query_col), F.lit(a)), F.lit(k)) for a, k in table]) if table else F.lit(None).cast("string")
         return queries.withColumn("kb_name", F.when(asks, found))
-    words = queries.select("query_id", query_col, F.explode(F.split(query_col, r"[\s\p{Punct}]+")).alias("word"))
-    named = aliases.withColumn("word", F.try_element_at(F.split("alias", r"[\s\p{Punct}]+"), F.lit(1)))
-    hit = words.join(named, "word").where(F.contains(query_col, "alias")).groupBy("query_id").agg(F.min_by("kb_name", F.struct(-F.length("alias"), "kb_name")).alias("kb_name"))
-    return queries.join(hit, "query_id", "left").withColumn("kb_name", F.when(asks, F.col("kb_name")))
+    named = aliases.where((F.length("alias") > 0) & F.col("kb_name").isNotNull()).groupBy("alias").agg(F.min("kb_name").alias("kb_name"))
+    lengths = F.array(*[F.lit(r.n) for r in named.select(F.length("alias").alias("n")).distinct().collect()])
+    asked = queries.where(asks).select(F.col(query_col).alias("__asked")).distinct()
+    sized = asked.select("__asked", F.explode(lengths).alias("n")).where(F.length("__asked") >= F.col("n"))
+    parts = sized.select("__asked", "n", F.explode(F.sequence(F.lit(1), F.length("__asked") - F.col("n") + 1)).alias("at")).select("__asked", F.col("__asked").substr(F.col("at"), F.col("n")).alias("alias"))
+    hit = parts.join(named, "alias").groupBy("__asked").agg(F.min_by("kb_name", F.struct(-F.length("alias"), "kb_name")).alias("kb_name"))
+    return queries.join(hit, F.col(query_col) == F.col("__asked"), "left").drop("__asked")
 
 
 def routed(query: Column, unrouted: Sequence[str] = rules.UNROUTED) -> Column:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import embedding
+from millrace.operators import embedding, understanding
 from millrace.plans import catalog
 
 
@@ -27,3 +27,11 @@ def test_collection_keeps_long_texts(spark):
     none = ("page_start", "page_end", "section", "source_pdf", "type", "table_index")
     rows = rows.selectExpr("*", *[f"CAST(NULL AS {'string' if c in ('section', 'source_pdf', 'type') else 'int'}) AS {c}" for c in none])
     assert embedding.collection(rows).first().text == "x" * 20000 + "tail"
+
+
+def test_many_aliases_match_as_few(spark):
+    aliases = spark.createDataFrame([("a", "华为"), ("b", "华为公司"), ("c", "-x y"), ("b2", "net"), ("a2", "net"), ("d", ""), (None, "华为公司收")], "kb_name string, alias string")
+    asked = ["请问华为公司收入", "华为收入", "q-x yz", "internet", "对比华为", "", None, "none", "华为收入"]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
+    few, many = ([r.kb_name for r in understanding.resolve_kb(queries, aliases, comparison="对比", max_aliases=n).orderBy("query_id").collect()] for n in (100, 0))
+    assert few == many == ["b", "a", "c", "a2", None, None, None, None, "a"]
