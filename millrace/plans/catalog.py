@@ -81,6 +81,12 @@ def chunk_texts(spark, sf_dir) -> DataFrame:
     return d.select((F.col("doc_id") % 4).cast("string").alias("kb_name"), F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), "doc_id", "text").where("line = 1 OR doc_id % 5 = 0").select("kb_name", F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "line", F.concat("line", F.lit(":"), F.substring("text", 1, 50)).alias("text"))
 
 
+def whole_texts(spark, sf_dir) -> DataFrame:
+    """Every document's whole text, some ids twice."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), "text").where("line = 1 OR doc_id % 5 = 0")
+    return d.select((F.col("doc_id") % 4).cast("string").alias("kb_name"), F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "line", F.concat("line", F.lit(":"), "text").alias("text"))
+
+
 @query(BM25_SQL)
 def bm25_topk(spark, sf_dir):
     hits = search.bm25_topk(benchmark_queries(spark, sf_dir), documents(spark, sf_dir), 10)
@@ -252,18 +258,24 @@ def backfill_text(spark, sf_dir):
     return embedding.backfill_text(vector_chunks(spark, sf_dir), chunk_texts(spark, sf_dir)).select("kb_name", "chunk_id", "text")
 
 
+@query(f"WITH {VECTORS_SQL}, {WHOLE_TEXTS_SQL} SELECT vec.kb_name, vec.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5 FROM vec LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
+def backfill_text_whole(spark, sf_dir):
+    return embedding.backfill_text(vector_chunks(spark, sf_dir), whole_texts(spark, sf_dir)).select("kb_name", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+
+
 @query(f"WITH {VECTORS_SQL} SELECT kb_name, chunk_id, len(embedding) AS dim FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding)))")
 def dim_gate(spark, sf_dir):
     return embedding.dim_gate(vector_chunks(spark, sf_dir).where("embedding IS NOT NULL")).select("kb_name", "chunk_id", F.size("embedding").alias("dim"))
 
 
-def collection_rows(spark, sf_dir) -> DataFrame:
+def collection_rows(spark, sf_dir, texts=chunk_texts) -> DataFrame:
     even = embedding.dim_gate(vector_chunks(spark, sf_dir).where("embedding IS NOT NULL"))
     none = {c: F.lit(None).cast(t) for c, t in (("page_start", "int"), ("page_end", "int"), ("section", "string"), ("source_pdf", "string"), ("table_index", "int"))}
-    return embedding.collection(embedding.backfill_text(even, chunk_texts(spark, sf_dir)).withColumns(none))
+    return embedding.collection(embedding.backfill_text(even, texts(spark, sf_dir)).withColumns(none))
 
 
 GATED = f"{VECTORS_SQL}, {TEXTS_SQL}, even AS (SELECT * FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding))))"
+WHOLE_GATED = f"{VECTORS_SQL}, {WHOLE_TEXTS_SQL}, even AS (SELECT * FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding))))"
 
 
 @query(f"WITH {GATED} SELECT e.chunk_id, coalesce(t.text, '') AS text, 0::BIGINT AS page_start, 0::BIGINT AS page_end, '' AS section, '' AS source_pdf, e.type AS content_type, 0::BIGINT AS table_index, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
@@ -271,6 +283,12 @@ def collection(spark, sf_dir):
     return collection_rows(spark, sf_dir).withColumn("dim", F.size("embedding")).drop("embedding")
 
 
+@query(f"WITH {WHOLE_GATED} SELECT e.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5, e.type AS content_type, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
+def collection_whole(spark, sf_dir):
+    got = collection_rows(spark, sf_dir, whole_texts)
+    return got.select("chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), "content_type", "kb_name", F.size("embedding").alias("dim"))
+
+
 @query(f"WITH {GATED} SELECT kb_name, count(*) AS rows, max(len(embedding)) AS dim FROM even GROUP BY kb_name")
 def collection_stats(spark, sf_dir):
     return embedding.collection_stats(collection_rows(spark, sf_dir))
@@ -583,7 +601,7 @@ def jsonl_tolerant(spark, sf_dir):
 #: Columns that are 32-bit integers in the results, where SQL counts in 64 bits.
 NARROW = {
     "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
-    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"],
+    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"], "backfill_text_whole": ["chars"], "collection_whole": ["chars", "dim"],
     "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rrf_fuse_whole": ["rank"], "hybrid_topk_whole": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
     "sources": ["rank"], "batch_retrieve": ["rank"], "entity_suggest": ["rank"],
 }

@@ -83,6 +83,7 @@ SELECT source_pdf, text, row_count, 2 AS col_count, length(text) AS char_count F
 
 VECTORS_SQL = "vec AS (SELECT (vec_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', vec_id) AS chunk_id, CASE WHEN vec_id % 10 <> 0 THEN CASE WHEN vec_id % 8 = 7 THEN embedding[1:32] ELSE embedding END END AS embedding, label::VARCHAR AS type FROM embeddings)"
 TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text[1:50] AS text FROM documents, unnest([1, 2]) AS t(line) WHERE doc_id % 3 <> 0 AND (line = 1 OR doc_id % 5 = 0))"
+WHOLE_TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text AS text FROM documents, unnest([1, 2]) AS t(line) WHERE line = 1 OR doc_id % 5 = 0)"
 
 
 def TOPK_SQL(k: int, where: str = "true", asks: str = "q.vec_id % 100 = 0") -> str:
