@@ -202,15 +202,18 @@ def compound_query(sub_queries: Column, query: Column) -> Column:
     return F.when(F.size(sub_queries) > 1, F.array_join(F.array_distinct(sub_queries), " ")).otherwise(query)
 
 
-def prompt_messages(questions: DataFrame, hits: DataFrame, history: DataFrame, system: str) -> DataFrame:
+def prompt_messages(questions: DataFrame, hits: DataFrame, history: DataFrame, system: str, before: str | None = None) -> DataFrame:
     """(query_id, messages): the system text with the contexts below, history in order, then the question.
 
     questions: query_id, session_id, query; hits: query_id, rank, text; history: session_id, turn, role, content.
+    before: the questions' column with their turn, for history of earlier turns only.
     """
     context = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c")).select("query_id", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n").alias("context"))
-    past = history.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("h")).select("session_id", F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("past"))
+    past = history.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("h"))
+    told = F.filter("h", lambda x: x["turn"] < F.col(before)) if before else F.col("h")
+    said = F.transform(told, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
     message = lambda role, content: F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
     head = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit(system + "\n\n"), F.col("context"))).otherwise(system)
     none = F.array().cast("array<struct<role:string,content:string>>")
     joined = questions.join(context, "query_id", "left").join(past, "session_id", "left")
-    return joined.select("query_id", F.concat(message("system", head), F.coalesce("past", none), message("user", F.col("query"))).alias("messages"))
+    return joined.select("query_id", F.concat(message("system", head), F.coalesce(said, none), message("user", F.col("query"))).alias("messages"))

@@ -349,10 +349,10 @@ def hybrid_topk_whole(spark, sf_dir):
     return rounded(search.hybrid_topk(hits, whole_lexical_hits(spark, sf_dir), 10)).withColumn("fused_score", F.round("fused_score", 9))
 
 
-def texted_hits(spark, sf_dir, k=10) -> DataFrame:
+def texted_hits(spark, sf_dir, k=10, whole=False) -> DataFrame:
     hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k)
     docs = table(spark, sf_dir, "documents")
-    asked = docs.select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 80)).alias("query"))
     return hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "query_id").select("query_id", "id", "query", "text", "score", "rank")
 
 
@@ -364,6 +364,14 @@ def rerank(spark, sf_dir):
     return rounded(search.rerank(texted_hits(spark, sf_dir), search.token_overlap, 5), "relevance").select("query_id", "id", "relevance", "original_rank", "new_rank")
 
 
+@query(f"""WITH {TOPK_SQL(10)}, h AS (SELECT t.*, d.text, q.text AS query FROM top t JOIN documents d ON d.doc_id = t.id JOIN documents q ON q.doc_id = t.query_id),
+w AS (SELECT *, list_distinct(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS b FROM h),
+s AS (SELECT *, len(list_intersect(a, b)) / greatest(1, len(a)) AS relevance FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank, id) AS new_rank FROM s)
+SELECT query_id, id, round(relevance, 6) AS relevance, rank AS original_rank, new_rank FROM r WHERE new_rank <= 5""")
+def rerank_whole(spark, sf_dir):
+    return rounded(search.rerank(texted_hits(spark, sf_dir, whole=True), search.token_overlap, 5), "relevance").select("query_id", "id", "relevance", "original_rank", "new_rank")
+
+
 @query(f"WITH {TOPK_SQL(10)}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM top WHERE id <> query_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM m) SELECT query_id, id, rank FROM o WHERE (score >= 0.35 AND n <= 3) OR (best < 0.35 AND n = 1)")
 def score_filter(spark, sf_dir):
     hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10).where("id <> query_id")
@@ -399,6 +407,25 @@ def batch_retrieve(spark, sf_dir):
     return rounded(retrieve.batch_retrieve(asked.join(docs, "query_id"), corpus, k=8, kb_name="0"), "score")
 
 
+@query(WHOLE_PROMPT_SQL)
+def prompt_messages_whole(spark, sf_dir):
+    """All turns before the question, and the texts of the two documents that resemble it most."""
+    asked = questions(spark, sf_dir)
+    history = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
+    found = search.bm25_topk(asked.select("query_id", F.col("query").alias("text")), documents(spark, sf_dir), 2)
+    got = search.prompt_messages(asked, found.join(documents(spark, sf_dir), "id"), history, "system text", before="turn")
+    return got.select("query_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("messages_md5"))
+
+
+@query(WHOLE_BATCH_SQL)
+def batch_retrieve_whole(spark, sf_dir):
+    """The whole retrieval over all knowledge bases, asked with whole texts."""
+    asked = vector_queries(spark, sf_dir).withColumn("needs_clarification", F.col("query_id") % 300 == 0)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
+    corpus = vectors(spark, sf_dir).join(documents(spark, sf_dir), "id").withColumn("page_start", F.col("id") % 9)
+    return rounded(retrieve.batch_retrieve(asked.join(docs, "query_id"), corpus, k=8), "score")
+
+
 INTENT = lambda q: understanding.intent(q, latin.INTENTS)
 
 
@@ -601,7 +628,7 @@ def jsonl_tolerant(spark, sf_dir):
 #: Columns that are 32-bit integers in the results, where SQL counts in 64 bits.
 NARROW = {
     "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
-    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"], "backfill_text_whole": ["chars"], "collection_whole": ["chars", "dim"],
+    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"], "backfill_text_whole": ["chars"], "collection_whole": ["chars", "dim"], "rerank_whole": ["original_rank", "new_rank"], "prompt_messages_whole": ["n"], "batch_retrieve_whole": ["rank"],
     "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rrf_fuse_whole": ["rank"], "hybrid_topk_whole": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
     "sources": ["rank"], "batch_retrieve": ["rank"], "entity_suggest": ["rank"],
 }

@@ -110,11 +110,27 @@ r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2
 SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM r JOIN documents ON doc_id = id WHERE good OR (NOT any_good AND rank = 1)
 """
 
+WHOLE_BATCH_SQL = f"""
+WITH {TOPK_SQL(48, "vec_id IN (SELECT doc_id FROM documents)", "q.vec_id % 100 = 0 AND q.vec_id % 300 <> 0 AND q.vec_id IN (SELECT doc_id FROM documents)")},
+{BM25("(SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id)", 16)}, {FUSE(8)},
+h AS (SELECT f.query_id, f.id, t.score, row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(t.score, 0) DESC, f.rank, f.id) AS rank FROM fused f LEFT JOIN top t USING (query_id, id)),
+r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2, false)) OVER (PARTITION BY query_id) AS any_good FROM h WHERE rank <= 5)
+SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM r JOIN documents ON doc_id = id WHERE good OR (NOT any_good AND rank = 1)
+"""
+
 PROMPT_SQL = f"""
 WITH q AS (SELECT {QID} AS query_id, conv_id, text FROM conversations WHERE role = 'user'), h AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn, role, text) AS past FROM conversations WHERE turn < 2 GROUP BY conv_id)
 SELECT query_id, 'system:system text' || CASE WHEN query_id % 3 <> 0 THEN repeat(chr(10) || chr(10) || 'c' || (query_id % 7), 2) ELSE '' END || coalesce('|' || past, '') || '|user:' || text AS messages FROM q LEFT JOIN h USING (conv_id)
 """
 
+WHOLE_PROMPT_SQL = f"""
+WITH {BM25(f"(SELECT {QID} AS query_id, text FROM conversations WHERE role = 'user')", "(SELECT doc_id AS id, text FROM documents)", 2)},
+q AS (SELECT {QID} AS query_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
+h AS (SELECT q.query_id, count(*) AS n, string_agg(c.role || ':' || c.text, '|' ORDER BY c.turn, c.role, c.text) AS past FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn < q.turn GROUP BY 1),
+x AS (SELECT query_id, string_agg(text, chr(10) || chr(10) ORDER BY rank) AS found FROM lex JOIN documents ON doc_id = id GROUP BY 1)
+SELECT query_id, 2 + coalesce(n, 0) AS n, md5('system:system text' || coalesce(chr(10) || chr(10) || found, '') || coalesce('|' || past, '') || '|user:' || text) AS messages_md5 FROM q LEFT JOIN h USING (query_id) LEFT JOIN x USING (query_id)
+"""
+
 RANKED = [k for k in rules.INTENTS if k in latin.INTENTS and k != "greeting"]
 
 

@@ -2,7 +2,7 @@
 
 import pytest
 
-from millrace.operators import embedding, understanding
+from millrace.operators import embedding, search, understanding
 from millrace.plans import catalog
 
 
@@ -35,3 +35,11 @@ def test_many_aliases_match_as_few(spark):
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
     few, many = ([r.kb_name for r in understanding.resolve_kb(queries, aliases, comparison="对比", max_aliases=n).orderBy("query_id").collect()] for n in (100, 0))
     assert few == many == ["b", "a", "c", "a2", None, None, None, None, "a"]
+
+
+def test_history_ends_before_the_question(spark):
+    questions = spark.createDataFrame([(1, 9, 0, "q0"), (2, 9, 4, "q4")], "query_id int, session_id int, turn int, query string")
+    history = spark.createDataFrame([(9, t, "user", f"q{t}") for t in (4, 3, 2, 1, 0, 5)], "session_id int, turn int, role string, content string")
+    hits = spark.createDataFrame([], "query_id int, rank int, text string")
+    got = {r.query_id: [m.content for m in r.messages] for r in search.prompt_messages(questions, hits, history, "s", before="turn").collect()}
+    assert got == {1: ["s", "q0"], 2: ["s", "q0", "q1", "q2", "q3", "q4"]}
