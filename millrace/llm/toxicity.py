@@ -7,8 +7,12 @@ labels set apart (|z| of the two shares at least MIN_Z, MAX_FEATURES at most).
 
 Counterfactuals: where a labelled text mentions an identity term, a copy with each term
 swapped for the next of its set is made, and the fit adds `fairness` times the squared
-change of score between the two to its loss. What only a group's mention would add to a
-score is so taken out, and neutral mentions stay below the threshold.
+change of score between the two to its loss. Few labelled texts may mention a group at
+all, so half of those that don't (by a hash of the text) also give a second sentence with
+a term put in front and the text's own label, and its swapped copy. The terms' own
+features are always among the model's. What only a group's mention would add to a score
+is so taken out, and neutral mentions stay below the threshold. Model.pairs tells how many
+pairs of either kind the penalty saw; a warning says so where there were none.
 
 Texts are scored whole, empty and null texts by the model's bias alone. Labels of no or
 one class give a model of that class's share everywhere; with no labels it is zero.
@@ -19,6 +23,8 @@ from __future__ import annotations
 
 import pickle
 import re
+import warnings
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -105,29 +111,44 @@ def _known(feature: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[same], place[same]
 
 
+def term_features(sets) -> np.ndarray:
+    """The features of all identity terms."""
+    terms = [t.lower().encode() for s in sets for t in s]
+    return np.unique(_pairs(terms)[1]) if terms else np.zeros(0, np.uint64)
+
+
 def _rows(chosen: np.ndarray, sets):
-    """Labelled texts and their counterfactuals as packed places of chosen features."""
+    """Labelled texts and their counterfactuals as packed places of chosen features. put: the term is not the text's own."""
     swap = _swapper(sets)
+    terms = [t.lower().encode() for s in sets for t in s]
 
     def places(text: bytes) -> bytes:
         return np.sort(_known(_pairs([text])[1], chosen)[1]).astype(np.uint32).tobytes()
 
     def run(batches):
         for batch in batches:
-            own, other = [], []
-            for x in batch.column("text"):
+            label, own, other, put = [], [], [], []
+            for y, x in zip(batch.column("label").to_pylist(), batch.column("text"), strict=True):
                 text = x.as_py() or b""
                 swapped = swap(text)
-                own.append(places(text))
-                other.append(places(swapped) if swapped is not None else None)
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.binary()), pa.array(other, pa.binary())], names=["label", "own", "other"])
+                row = [(places(text), places(swapped) if swapped is not None else None, False)]
+                key = zlib.crc32(text)
+                if swapped is None and terms and key % 2 == 0:
+                    sentence = terms[key // 2 % len(terms)] + b" " + text
+                    row.append((places(sentence), places(swap(sentence)), True))
+                for a, b, c in row:
+                    label.append(y)
+                    own.append(a)
+                    other.append(b)
+                    put.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(label, pa.int32()), pa.array(own, pa.binary()), pa.array(other, pa.binary()), pa.array(put, pa.bool_())], names=["label", "own", "other", "put"])
 
     return run
 
 
 def _fit(rows: list, size: int, fairness: float, decay: float, steps: int) -> tuple[np.ndarray, float]:
     """Weights and bias: weighted log loss, squared weights and squared counterfactual changes, by Adam over all rows."""
-    rows = sorted(rows, key=lambda r: (r.label, bytes(r.own)))  # the same sums whatever the order of arrival
+    rows = sorted(rows, key=lambda r: (r.label, bytes(r.own), bytes(r.other or b"")))  # the same sums whatever the order of arrival
     y = np.array([r.label for r in rows], np.float64)
     own = [np.frombuffer(r.own, np.uint32).astype(np.int64) for r in rows]
     doc, at = np.repeat(np.arange(len(rows)), list(map(len, own))), np.concatenate([np.zeros(0, np.int64), *own])
@@ -152,10 +173,10 @@ def _fit(rows: list, size: int, fairness: float, decay: float, steps: int) -> tu
 
 
 class Model:
-    """Sorted hashes of the chosen features, their weights, and the bias."""
+    """Sorted hashes of the chosen features, their weights, and the bias. pairs: how many counterfactual pairs held a term of their own, and how many one put in; dropped: features that the labels set apart beyond the room for them."""
 
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float):
-        self.chosen, self.weights, self.bias = chosen, weights, bias
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, pairs: tuple[int, int] = (0, 0), dropped: int = 0):
+        self.chosen, self.weights, self.bias, self.pairs, self.dropped = chosen, weights, bias, pairs, dropped
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = []
@@ -176,7 +197,7 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column
     return texts.join(F.broadcast(ids), id_col).select("label", "text")  # at most max_rows pairs of numbers
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = MAX_ROWS, identity_terms=IDENTITY_TERMS, fairness: float = 1.0, decay: float = 1e-4, steps: int = 300, text_col: str = "text", id_col: str = "doc_id") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = MAX_ROWS, identity_terms=IDENTITY_TERMS, fairness: float = 1.0, max_features: int = MAX_FEATURES, decay: float = 1e-4, steps: int = 300, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
     small_batches(docs.sparkSession)
     sample = stash(bounded_sample(docs, labels, label, F.lit(True) if learn is None else learn, max_rows, text_col, id_col), "labelled")
@@ -187,10 +208,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     counts = sample.mapInArrow(_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     p = (F.col("ones") + F.col("zeros")) / (a + b)
     z = (F.col("ones") / a - F.col("zeros") / b) / F.sqrt(p * (1 - p + 1e-9) * (1 / a + 1 / b))
-    best = counts.where(F.col("ones") + F.col("zeros") >= 3).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
-    chosen = np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_rows(chosen, identity_terms), "label int, own binary, other binary").collect()
-    return Model(chosen, *_fit(rows, len(chosen), fairness, decay, steps))
+    apart = stash(counts.where(F.col("ones") + F.col("zeros") >= 3).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z), "apart")
+    best = apart.orderBy(F.desc("z"), "feature").limit(max_features)
+    chosen = np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)
+    dropped = apart.count() - len(chosen)
+    chosen = np.union1d(chosen, term_features(identity_terms))
+    rows = sample.mapInArrow(_rows(chosen, identity_terms), "label int, own binary, other binary, put boolean").collect()
+    pairs = tuple(sum(r.other is not None and r.put == k for r in rows) for k in (False, True))
+    if fairness and not sum(pairs):
+        warnings.warn("no labelled text gave a counterfactual pair: the penalty has no effect", stacklevel=2)
+    return Model(chosen, *_fit(rows, len(chosen), fairness, decay, steps), pairs, dropped)
 
 
 def _scored(shared, text_col: str, finish):

@@ -1,6 +1,7 @@
 """Plain-Python statements of the operators' rules, for small tables."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
@@ -93,3 +94,36 @@ def mixing_targets(sizes, weights=(5, 2, 1), share=1.5, most=2.0):
         left -= sum(target[s] for s in over)
         free -= over
     return target
+
+
+MASK = 2**64 - 1
+
+
+def spread(x):
+    """The mixer of 64-bit hashes."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & MASK
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & MASK
+    return x ^ x >> 31
+
+
+def word_hash(word: bytes) -> int:
+    total, power = 0, 1
+    for b in word:
+        total = (total + b * power) & MASK
+        power = power * 0x9E3779B97F4A7C15 & MASK
+    return spread((total + 1) & MASK)
+
+
+def logistic(z):
+    return 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+
+
+def toxicity_score(text, model, prefixes=(4, 5, 6)):
+    """The logistic of bias and the weights of what a text has of words and their beginnings, by bytes."""
+    found = set()
+    for w in ALNUM_WORD.findall((text or "").translate(LOWER)):
+        w = w.encode()
+        found.add(word_hash(w))
+        found |= {spread((word_hash(w[:n]) + n) & MASK) for n in prefixes if len(w) >= n}
+    weight = dict(zip(model.chosen.tolist(), model.weights.tolist(), strict=True))
+    return logistic(model.bias + sum(weight[f] for f in found if f in weight))
