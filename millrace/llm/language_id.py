@@ -10,13 +10,17 @@ probabilities lie side by side in one more sorted array, so that a symbol costs
 
 The language of the lowest cross-entropy per symbol wins; ties go to the first by name.
 `rejected` says that this entropy is above what all but a thousandth of that language's own
-learning documents reach: text of no learned language, or no prose.
+documents reach: text of no learned language, or no prose. This limit, and how sharply
+`score` turns entropies into a probability, are fitted on a tenth of the learning documents
+(by a hash of the text, so copies stay together) under a model that is counted without
+them; the model that judges counts all. A language with no document in that tenth has the
+largest limit of the others.
 
 No sequence is left out. A model of more than MAX_CELLS probabilities stays in Spark tables:
 the most frequent sequences' probabilities, MAX_CELLS at most, go to the tasks, and what a
 document has of others is joined by the sequence. Both ways give the same results.
 Null texts and texts without letters are `und` with score 0, as is all if nothing was
-learned. Texts are read whole. Repeated rows are judged alike. Input columns with the names
+learned. Texts are read whole, long ones in pieces that carry the symbols before them. Repeated rows are judged alike. Input columns with the names
 of the result's are replaced.
 """
 
@@ -33,16 +37,16 @@ from pyspark.sql import types as T
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import blocks
 
-ORDER, MAX_CELLS, TEMPERATURE = 4, 4_000_000, 12.0
+ORDER, MAX_CELLS, PIECE = 4, 4_000_000, 1 << 20
 REJECTED, HEAVY = 1000, 1000  # one in so many own documents is rejected; a sequence with more than one in so many rows is joined by broadcast
+LEFT_OUT, SHARPNESS = 10, tuple(2.0 ** (k / 2) for k in range(2, 19))  # one in so many learning documents calibrates; what a difference of entropies may be multiplied by
 UNKNOWN = "und"
 NEW = ["lang_pred", "score", "entropy", "rejected"]
 LATIN = np.array([chr(i).isalpha() for i in range(0x250)])
 
 
-def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """A code of four symbols for each symbol of the texts, and the number of codes of each text; texts without letters have none."""
-    lowered = [t.lower() for t in texts]
+def codes(lowered: list[str]) -> tuple[np.ndarray, np.ndarray, str]:
+    """A code of four symbols for each symbol of lower-cased texts, the number of codes of each text, and the last symbols; texts without letters have none."""
     cps = np.frombuffer("\n".join([*lowered, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     letter = np.zeros(len(cps), bool)
     low = cps < 0x250
@@ -52,16 +56,35 @@ def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         letter[~low] = np.array([chr(c).isalpha() for c in high])[back]
     keep = letter.copy()
     keep[1:] |= letter[:-1]  # the first of a run of others is its boundary
-    doc = np.repeat(np.arange(len(texts)), [len(t) + 1 for t in lowered])[keep]
+    doc = np.repeat(np.arange(len(lowered)), [len(t) + 1 for t in lowered])[keep]
     symbol = np.where(letter, (cps ^ (cps >> 16) * 40503) & 0xFFFF, 0).astype(np.uint64)[keep]
-    n = np.bincount(doc, minlength=len(texts))
-    padded = np.zeros(len(symbol) + (ORDER - 1) * len(texts), np.uint64)
+    n = np.bincount(doc, minlength=len(lowered))
+    padded = np.zeros(len(symbol) + (ORDER - 1) * len(lowered), np.uint64)
     at = np.arange(len(symbol)) + (ORDER - 1) * (doc + 1)
     padded[at] = symbol
     code = np.zeros(len(symbol), np.uint64)
     for back in range(ORDER - 1, -1, -1):
         code = code << np.uint64(16) | padded[at - back]
-    return code, n
+    last = np.flatnonzero(keep[:-1])[1 - ORDER :] if len(lowered) == 1 else ()
+    return code, n, "".join(chr(cps[i]) if letter[i] else " " for i in last)
+
+
+def coded(texts: list[str]):
+    """(code, its text's number) of texts, a block at a time; a long text comes in pieces, each begun with the symbols before it, so that it needs no more memory than a short one."""
+    lowered = [t.lower() for t in texts]
+    for i, j in blocks(np.cumsum([0, *map(len, lowered)])):
+        if len(lowered[i]) <= PIECE:
+            code, n, _ = codes(lowered[i:j])
+            yield code, np.repeat(np.arange(i, j), n)
+            continue
+        before = ""
+        for a in range(0, len(lowered[i]), PIECE):
+            told = int(codes([before])[1][0]) - (before[-1:].isalpha() and 1)  # without the boundary after its last letter
+            piece = before + lowered[i][a : a + PIECE]
+            code, n, before = codes([piece])
+            more = a + PIECE < len(lowered[i])
+            code = code[told : len(code) - (1 if more and piece[-1:].isalpha() else 0)]  # a piece's end is no boundary
+            yield code, np.full(len(code), i)
 
 
 def _tally(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -74,24 +97,28 @@ def _tally(code: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, n
 
 
 def _count(batches):
-    """Sequences of each language in a task's documents, with counts."""
-    held: dict[str, list] = {}
+    """Sequences of each language in a task's documents, with counts in all of them and in those that don't calibrate."""
+    held: dict[tuple[str, bool], list] = {}
 
-    def merged(lang):
-        c, n = zip(*held[lang], strict=True)
+    def merged(key):
+        if key not in held:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        c, n = zip(*held[key], strict=True)
         return _tally(np.concatenate(c), np.concatenate(n))
 
     for batch in batches:
-        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
-        for lang in sorted(set(langs)):
-            own = [t for x, t in zip(langs, texts, strict=True) if x == lang]
-            for i, j in blocks(np.cumsum([0, *map(len, own)])):
-                held.setdefault(lang, []).append(_tally(codes(own[i:j])[0]))
-            if sum(len(c) for c, _ in held[lang]) > 1 << 21:
-                held[lang] = [merged(lang)]
-    for lang in sorted(held):
-        c, n = merged(lang)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c), pa.string()), pa.array(c.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "code", "n"])
+        keys, texts = list(zip(batch.column("lang").to_pylist(), batch.column("aside").to_pylist(), strict=True)), batch.column("text").to_pylist()
+        for key in sorted(set(keys)):
+            for code, _ in coded([t for x, t in zip(keys, texts, strict=True) if x == key]):
+                held.setdefault(key, []).append(_tally(code))
+            if sum(len(c) for c, _ in held.get(key, ())) > 1 << 21:
+                held[key] = [merged(key)]
+    for lang in sorted({x for x, _ in held}):
+        (rest, n), (aside, m) = merged((lang, False)), merged((lang, True))
+        code, every = _tally(np.concatenate((rest, aside)), np.concatenate((n, m)))
+        others = np.zeros(len(code), np.int64)
+        others[np.searchsorted(code, rest)] = n
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(every.astype(np.int64)), pa.array(others)], names=["lang", "code", "n", "others"])
 
 
 class Sorted:
@@ -142,23 +169,24 @@ class Model:
         self.models = [KneserNey(*counts[x], symbols) for x in self.langs]
         self.keys = np.unique(np.concatenate([c for c, _ in counts.values()])) if counts else np.zeros(0, np.uint64)
         self.table = np.stack([np.log(m(self.keys)) for m in self.models], axis=1).astype(np.float32) if counts else np.zeros((0, 0), np.float32)
-        self.limits = np.full(len(self.langs), np.inf)
+        self.limits, self.sharpness = np.full(len(self.langs), np.inf), SHARPNESS[0]
 
     def entropies(self, texts: list[str]) -> np.ndarray:
         """Cross-entropy per symbol of each text under each language; NaN for texts without letters."""
-        code, n = codes(texts)
-        total = np.zeros((len(texts), len(self.langs)))
-        if len(code) and len(self.keys):
+        total, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        for code, doc in coded(texts) if len(self.keys) else ():
+            if not len(code):
+                continue
             at = np.minimum(np.searchsorted(self.keys, code), len(self.keys) - 1)
             logs = self.table[at]
             miss = np.flatnonzero(self.keys[at] != code)
             if len(miss):
                 new, back = np.unique(code[miss], return_inverse=True)
                 logs[miss] = np.stack([np.log(m(new)) for m in self.models], axis=1)[back]
-            full = np.flatnonzero(n)
-            starts = np.concatenate(([0], np.cumsum(n)))[full]
-            total[full] = np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
-        return np.where(n[:, None] > 0, -total / np.maximum(n, 1)[:, None], np.nan)
+            starts = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+            total[doc[starts]] += np.add.reduceat(logs, starts, axis=0, dtype=np.float64)
+            size[doc[starts]] += np.diff(starts, append=len(doc))
+        return np.where(size[:, None] > 0, -total / np.maximum(size, 1)[:, None], np.nan)
 
 
 def _judged(model: Model, texts: list[str]):
@@ -168,17 +196,14 @@ def _judged(model: Model, texts: list[str]):
             yield UNKNOWN, 0.0, None, True
         else:
             best = int(x.argmin())
-            yield model.langs[best], float(1 / np.exp((x[best] - x) * TEMPERATURE).sum()), float(x[best]), bool(x[best] > model.limits[best])
+            yield model.langs[best], float(1 / np.exp((x[best] - x) * model.sharpness).sum()), float(x[best]), bool(x[best] > model.limits[best])
 
 
 def _judge(shared, text_col: str, fields: list[str]):
     def run(batches):
         model = pickle.loads(shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(text_col).to_pylist()]
-            rows = []
-            for i, j in blocks(np.cumsum([0, *map(len, texts)])):
-                rows += _judged(model, texts[i:j])
+            rows = list(_judged(model, [t or "" for t in batch.column(text_col).to_pylist()]))
             columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
             kept = {f.name: batch.column(k) for k, f in enumerate(batch.schema)} | dict(zip(NEW, (pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)), strict=True))
             yield pa.RecordBatch.from_arrays([kept[f] for f in fields], names=fields)
@@ -186,11 +211,24 @@ def _judge(shared, text_col: str, fields: list[str]):
     return run
 
 
+def _weigh(shared):
+    """Languages of documents with their entropies under each language's model."""
+
+    def run(batches):
+        model = pickle.loads(shared.value)
+        for batch in batches:
+            h = model.entropies([t or "" for t in batch.column("text").to_pylist()])
+            real = np.flatnonzero(~np.isnan(h[:, 0])) if h.shape[1] else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(real)), pa.array(h[real].tolist(), pa.list_(pa.float64()))], names=["lang", "h"])
+
+    return run
+
+
 class TableModel:
     """All languages' models as Spark tables, with the probabilities of the most frequent sequences at hand."""
 
     def __init__(self, counts: DataFrame, langs: list[str], room: int):
-        self.langs, self.limits, self.orders = langs, np.full(len(langs), np.inf), []
+        self.langs, self.limits, self.sharpness, self.orders = langs, np.full(len(langs), np.inf), SHARPNESS[0], []
         symbols = 1 + counts.agg(F.count_distinct(last_of("code", 1))).first()[0]
         self.uniform = 1.0 / symbols
         index = F.array_position(F.array(*[F.lit(x) for x in langs]), F.col("lang")).cast("int") - 1
@@ -252,26 +290,34 @@ def _parts(shared):
         keys, table = pickle.loads(shared.value)
         for batch in batches:
             names, texts = np.array(batch.column("key").to_pylist(), object), batch.column("text").to_pylist()
-            for i, j in blocks(np.cumsum([0, *map(len, texts)])):
-                code, n = codes(texts[i:j])
-                doc = np.repeat(np.arange(j - i), n)
+            n, sums = np.zeros(len(texts), np.int64), np.zeros((len(texts), table.shape[1]))
+            docs, others, times = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for code, doc in coded(texts):
                 at = np.minimum(np.searchsorted(keys, code), max(0, len(keys) - 1))
                 hit = keys[at] == code if len(keys) else np.zeros(len(code), bool)
-                sums = np.stack([np.bincount(doc[hit], column[at[hit]], j - i) for column in table.T.astype(np.float64)], axis=1)
-                order = np.lexsort((code[~hit], doc[~hit]))
-                d, c = doc[~hit][order], code[~hit][order]
-                cuts = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (c[1:] != c[:-1])))) if len(c) else np.zeros(0, np.int64)
-                full = np.flatnonzero(n)
-                key = [*names[i:j][full], *names[i:j][d[cuts]]]
-                own = [pa.array(key, pa.binary()), pa.array([*[None] * len(full), *c[cuts].view(np.int64).tolist()], pa.int64()), pa.array([*n[full].tolist(), *np.diff(cuts, append=len(c)).tolist()], pa.int64())]
-                own.append(pa.array([*sums[full].tolist(), *[None] * len(cuts)], pa.list_(pa.float64())))
-                yield pa.RecordBatch.from_arrays(own, names=["key", "code", "n", "sums"])
+                n += np.bincount(doc, minlength=len(texts))
+                sums += np.stack([np.bincount(doc[hit], column[at[hit]], len(texts)) for column in table.T.astype(np.float64)], axis=1)
+                for k, v in zip((docs, others, times), _pairs(doc[~hit], code[~hit], np.ones(int((~hit).sum()), np.int64)), strict=True):
+                    k.append(v)
+            d, c, m = _pairs(*map(np.concatenate, (docs, others, times)))
+            full = np.flatnonzero(n)
+            own = [pa.array([*names[full], *names[d]], pa.binary()), pa.array([*[None] * len(full), *c.view(np.int64).tolist()], pa.int64()), pa.array([*n[full].tolist(), *m.tolist()], pa.int64())]
+            own.append(pa.array([*sums[full].tolist(), *[None] * len(c)], pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays(own, names=["key", "code", "n", "sums"])
 
     return run
 
 
-def _joined(docs: DataFrame, model: TableModel, text_col: str) -> DataFrame:
-    """docs judged by a model in tables. Texts are known by their SHA-256, so copies are looked up once."""
+def _pairs(doc: np.ndarray, code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each different (document, code) with its sum of n."""
+    order = np.lexsort((code, doc))
+    doc, code, n = doc[order], code[order], n[order]
+    cuts = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (code[1:] != code[:-1])))) if len(code) else np.zeros(0, np.int64)
+    return doc[cuts], code[cuts], np.add.reduceat(n, cuts) if len(cuts) else n
+
+
+def _weighed(docs: DataFrame, model: TableModel, text_col: str) -> DataFrame:
+    """(key, h): entropies of the texts that have letters under each language of a model in tables. Texts are known by their SHA-256, so copies are looked up once."""
     key, each = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256)), range(len(model.langs))
     texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).alias("text"))
     parts = texts.mapInArrow(_parts(share(docs.sparkSession, (model.keys, model.table))), "key binary, code long, n long, sums array<double>")
@@ -285,10 +331,16 @@ def _joined(docs: DataFrame, model: TableModel, text_col: str) -> DataFrame:
     for x in met:
         sums = sums.unionByName(x.select("key", F.lit(None).cast("long").alias("symbols"), F.transform("logs", lambda p: p.cast("double") * F.col("n")).alias("sums")))
     total = sums.groupBy("key").agg(F.max("symbols").alias("symbols"), *[F.sum(F.get("sums", F.lit(i))).alias(f"s{i}") for i in each])
-    h = total.select("key", F.array(*[-F.col(f"s{i}") / F.col("symbols") for i in each]).alias("h")).withColumn("least", F.array_min("h"))
+    return total.select("key", F.array(*[-F.col(f"s{i}") / F.col("symbols") for i in each]).alias("h"))
+
+
+def _joined(docs: DataFrame, model: TableModel, text_col: str) -> DataFrame:
+    """docs judged by a model in tables."""
+    key = F.unhex(F.sha2(F.col(text_col).cast("binary"), 256))
+    h = _weighed(docs, model, text_col).withColumn("least", F.array_min("h"))
     h = h.withColumn("best", F.array_position("h", F.col("least")).cast("int") - 1)
     limit, lang = F.array(*[F.lit(float(x)) for x in model.limits]), F.array(*[F.lit(x) for x in model.langs])
-    share_of = F.lit(1.0) / F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp((F.col("least") - x) * TEMPERATURE))
+    share_of = F.lit(1.0) / F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp((F.col("least") - x) * float(model.sharpness)))
     judged = h.select(F.col("key").alias("__key"), F.get(lang, "best").alias("__lang"), share_of.alias("__score"), F.col("least").alias("__entropy"), (F.col("least") > F.get(limit, "best")).alias("__rejected"))
     x = docs.withColumn("__key", key).join(judged, "__key", "left")
     return x.select(*docs.columns, F.coalesce("__lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce("__score", F.lit(0.0)).alias("score"), F.col("__entropy").alias("entropy"), F.coalesce("__rejected", F.lit(True)).alias("rejected"))
@@ -305,13 +357,32 @@ def identify(docs: DataFrame, model: Model | TableModel, text_col: str = "text")
     return docs.mapInArrow(_judge(share(docs.sparkSession, model), text_col, schema.names), schema)
 
 
-def _limits(own: DataFrame, model: Model | TableModel) -> None:
-    """Each language's limit, over all its learning documents: the value at the rank of all but one in REJECTED, found in bins of 10⁻², 10⁻⁶ and 10⁻¹⁰."""
-    if isinstance(model, TableModel):
-        judged = _joined(own, model, "text")
+def _calibrate(aside: DataFrame, part: Model | TableModel, model: Model | TableModel) -> None:
+    """model's limits and sharpness, from the entropies that `part` gives the documents it has not counted.
+
+    A limit is the value at the rank of all but one in REJECTED, found in bins of 10⁻²,
+    10⁻⁶ and 10⁻¹⁰; the sharpness is the one of least log loss.
+    """
+    if not part.langs:
+        return
+    if isinstance(part, TableModel):
+        key = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+        h = aside.select(key.alias("key"), "lang").join(_weighed(aside, part, "text"), "key").select("lang", "h")
     else:
-        judged = own.mapInArrow(_judge(share(own.sparkSession, model), "text", ["lang", "lang_pred", "entropy"]), "lang string, lang_pred string, entropy double")
-    seen = stash(judged.where(F.col("lang_pred") == F.col("lang")).select("lang", "entropy"), "entropies")
+        h = aside.mapInArrow(_weigh(share(aside.sparkSession, part)), "lang string, h array<double>")
+    at = F.array_position(F.array(*[F.lit(x) for x in part.langs]), F.col("lang")).cast("int") - 1
+    seen = stash(h.select("lang", F.array_min("h").alias("entropy"), "h", F.get("h", at).alias("own")).where("own IS NOT NULL"), "entropies")
+
+    def loss(t: float) -> Column:
+        """Mean log loss where differences of entropies are multiplied by t."""
+        rest = F.aggregate("h", F.lit(0.0), lambda s, x: s + F.exp((F.col("entropy") - x) * t))
+        return F.avg((F.col("own") - F.col("entropy")) * t + F.log(rest))
+
+    losses = seen.agg(*[loss(t).alias(f"t{k}") for k, t in enumerate(SHARPNESS)]).first()
+    if losses[0] is None:
+        return
+    model.sharpness = SHARPNESS[int(np.argmin(losses))]
+    seen = seen.where("own = entropy").select("lang", "entropy")
     rank, low = {}, {}
     for k, width in enumerate((1e-2, 1e-6, 1e-10)):
         bin_of = F.floor(F.col("entropy") / width)
@@ -332,25 +403,31 @@ def _limits(own: DataFrame, model: Model | TableModel) -> None:
                     break
                 rank[lang] -= c
         before = width
-    for lang, place in low.items():
-        model.limits[model.langs.index(lang)] = (place + 1) * before
+    for i, lang in enumerate(model.langs):
+        model.limits[i] = ((low[lang] if lang in low else max(low.values())) + 1) * before
+
+
+def _model(counts: DataFrame, n: str, room: int) -> Model | TableModel:
+    """A model of the counts in column n."""
+    own = counts.where(F.col(n) > 0).select("lang", "code", F.col(n).alias("n"))
+    size = {r.lang: r["count"] for r in own.groupBy("lang").count().collect()}
+    if sum(size.values()) > room // max(1, len(size)):
+        return TableModel(own, sorted(size), room // len(size))
+    by: dict[str, list] = {}
+    for r in own.toArrow().to_batches():
+        langs = np.array(r.column("lang").to_pylist(), object)
+        for lang in set(langs):
+            by.setdefault(lang, []).append(tuple(r.column(c).to_numpy(zero_copy_only=False)[langs == lang] for c in ("code", "n")))
+    return Model({lang: _tally(np.concatenate([c for c, _ in x]).view(np.uint64), np.concatenate([n for _, n in x])) for lang, x in by.items()})
 
 
 def learn(docs: DataFrame, where: Column, max_cells: int = MAX_CELLS, text_col: str = "text", lang_col: str = "lang") -> Model | TableModel:
     """A model from all documents with a language for which `where` holds, whose probabilities lie in memory where they are at most max_cells."""
     small_batches(docs.sparkSession)
-    own = docs.where(where & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = stash(own.mapInArrow(_count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "sequences")
-    size = {r.lang: r["count"] for r in counts.groupBy("lang").count().collect()}
-    room = max_cells // max(1, len(size))
-    if sum(size.values()) > room:
-        model = TableModel(counts, sorted(size), room)
-    else:
-        by: dict[str, list] = {}
-        for r in counts.toArrow().to_batches():
-            for lang in set(r.column("lang").to_pylist()):
-                at = np.array(r.column("lang").to_pylist()) == lang
-                by.setdefault(lang, []).append((r.column("code").to_numpy(zero_copy_only=False)[at].view(np.uint64), r.column("n").to_numpy(zero_copy_only=False)[at]))
-        model = Model({lang: _tally(np.concatenate([c for c, _ in x]), np.concatenate([n for _, n in x])) for lang, x in by.items()})
-    _limits(own, model)
+    text = F.col(f"`{text_col}`")
+    own = docs.where(where & F.col(f"`{lang_col}`").isNotNull() & text.isNotNull()).select(F.col(f"`{lang_col}`").alias("lang"), text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(LEFT_OUT)) == 0).alias("aside"))
+    counts = own.mapInArrow(_count, "lang string, code long, n long, others long").groupBy("lang", "code").agg(F.sum("n").alias("n"), F.sum("others").alias("others"))
+    counts = stash(counts, "sequences")
+    model = _model(counts, "n", max_cells)
+    _calibrate(own.where("aside").drop("aside"), _model(counts, "others", max_cells), model)
     return model

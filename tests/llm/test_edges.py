@@ -321,7 +321,7 @@ def test_factorisation_identity():
 
 def test_kneser_ney_sums_to_one():
     text = "the cat sat on the mat and the rat ate the cat"
-    code, _ = language_id.codes([text])
+    code, *_ = language_id.codes([text])
     seen, n = language_id._tally(code)
     symbols = np.unique(code & np.uint64(0xFFFF))
     model = language_id.KneserNey(seen, n, len(symbols))
