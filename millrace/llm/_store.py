@@ -8,6 +8,7 @@ import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -35,6 +36,27 @@ def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def heavy_keys(df: DataFrame, key: str, one_in: int = 1000) -> list:
+    """Values of key that more than one in so many rows hold, so fewer than one_in values whatever the size. Counted before any row is dealt by key."""
+    total = df.count()
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [r[0] for r in counts.where((F.col("n") > max(1.0, total / one_in)) & F.col(key).isNotNull()).select(key).collect()]
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", heavy: list | None = None) -> DataFrame:
+    """left (read more than once, so stashed) with right, which has a row a key: inner, left or left_semi.
+
+    Rows of heavy keys stay where they lie and meet the few rows of right that have these keys
+    by broadcast; all others meet by exchange, where no key has more than a thousandth of left.
+    """
+    heavy = heavy_keys(left, key) if heavy is None else heavy
+    if not heavy:
+        return left.join(right.hint("merge"), key, how)
+    hot = lambda df: F.coalesce(df[key].isin(heavy), F.lit(False))
+    light = left.where(~hot(left)).join(right.where(~hot(right)).hint("merge"), key, how)
+    return light.unionByName(left.where(hot(left)).join(F.broadcast(right.where(hot(right))), key, how))
+
+
 def keep_columns(df: DataFrame, new: list[str], *needed: str) -> DataFrame:
     """df without the columns that an operator adds; needed ones must be there."""
     missing = [c for c in needed if c not in df.columns]

@@ -8,13 +8,17 @@ bit deleted, equal variants are brought together, and each meeting is verified o
 bits. Exact copies share one fingerprint and count once from the start.
 
 A variant's crowd is never turned into all pairs: within it the links found join into
-trees, and a tree's edges leave the task, one less than it has members. A crowd beyond
-CROWD fingerprints is first dealt again by the bytes of its other segment (of three
-differing bits over four bytes one byte is the same), so that no task gathers it.
-Components come from repeated joins over the trees' edges, cut by checkpoints.
+trees, and a tree's edges leave the task, one less than it has members. Crowds are known
+to be small before any is gathered: fingerprints are counted by each segment with one byte
+blanked, a group that holds the crowds of that byte's eight variants. Where it has more
+than CROWD fingerprints its variants are dealt by the bytes of their other segment too (of
+three differing bits over four bytes one byte is the same), which leaves 25 free bits and
+so at most 2²⁵ fingerprints, whatever the corpus. Components come from repeated joins over
+the trees' edges, cut by checkpoints; keys that many rows share, a large component's root
+or the fingerprint of many copies, are joined without an exchange.
 
 Null and empty texts, and those of no words, have fingerprint zero and are linked like
-any other. Fewer words than a shingle make one shingle. Repeated rows and repeated ids
+any other. The caller's columns keep to a struct, so none clashes with ours. Fewer words than a shingle make one shingle. Repeated rows and repeated ids
 each count; a null id is never a group's smallest unless all its ids are null. An empty
 table gives an empty result.
 """
@@ -31,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, shuffle_parts, small_batches, stash
+from millrace.llm._store import heavy_keys, keep_columns, shuffle_parts, skew_join, small_batches, stash
 from millrace.llm._text import buffers, with_columns
 
 SEED, SEGMENT, CROWD = 42, 32, 4096
@@ -55,22 +59,22 @@ def fingerprint_of(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(shingle: int, names: list[str]):
+def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
-            data, off = buffers(batch.column("__text"))
+            data, off = buffers(batch.column("text"))
             prints = np.array([fingerprint_of(data[a:b].tobytes(), shingle) for a, b in zip(off[:-1], off[1:], strict=True)], np.uint64)
-            yield with_columns(batch, {"__text"}, {"__print": pa.array(prints.view(np.int64), pa.int64())}).select(names)
+            yield with_columns(batch, {"text"}, {"print": pa.array(prints.view(np.int64), pa.int64())})
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int, text_col: str) -> DataFrame:
-    """docs without text_col and with __print, the fingerprint as a signed long."""
+    """(doc, print): docs' columns but text_col in a struct, and the fingerprint as a signed long."""
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text_col]
-    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField("__print", T.LongType())])
-    return docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("binary").alias("__text")).mapInArrow(_fingerprints(shingle, schema.names), schema)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc")
+    x = docs.select(others, F.col(f"`{text_col}`").cast("binary").alias("text"))
+    return x.mapInArrow(_fingerprints(shingle), T.StructType([x.schema["doc"], T.StructField("print", T.LongType())]))
 
 
 def _links(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
@@ -92,7 +96,7 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
 
 
 def _verify(bits: int):
-    """Rows sorted by variant to tree edges within each variant."""
+    """Rows in order of their key to tree edges within each key."""
 
     def crowd(prints):
         prints = np.unique(prints)
@@ -101,15 +105,14 @@ def _verify(bits: int):
     def run(batches):
         tail_key, tail = None, np.zeros(0, np.uint64)
         for batch in batches:
-            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in ("variant", "finer")], axis=1)
+            key = batch.column("key").to_numpy(zero_copy_only=False)
             prints = batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64)
             if not len(prints):
                 continue
-            new = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
-            cuts = np.flatnonzero(new)
+            cuts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
             size = np.diff(np.append(cuts, len(prints)))
             edges = []
-            if tail_key is not None and (key[0] == tail_key).all():
+            if tail_key is not None and key[0] == tail_key:
                 tail = np.concatenate((tail, prints[: size[0]]))
                 if len(cuts) == 1:
                     continue
@@ -142,64 +145,86 @@ def links(prints: DataFrame, bits: int = 3) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("two segments with one deleted bit find up to three differing bits")
     parts = shuffle_parts(prints.sparkSession)
-    half = {0: F.col("print").bitwiseAND(F.lit((1 << SEGMENT) - 1)), 1: F.shiftrightunsigned("print", SEGMENT)}
-    # variant: segment number and place of the deleted bit, then the segment's other bits, in one long
-    def variants(segment: int) -> Column:
+    low = F.lit((1 << SEGMENT) - 1)
+    half = (F.col("print").bitwiseAND(low), F.shiftrightunsigned("print", SEGMENT))
+
+    def blanked(segment: int, width: int) -> Column:
+        """A key for each run of `width` bits of a segment: the number of the run, then the segment without it, in one long."""
+
         def one(i: Column) -> Column:
-            others = F.lit((1 << SEGMENT) - 1).bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))
-            return (F.lit(segment * SEGMENT) + i).cast("long") * F.lit(1 << SEGMENT) + half[segment].bitwiseAND(others)
+            others = low.bitwiseXOR(F.call_function("shiftleft", F.lit((1 << width) - 1).cast("long"), i * width))
+            return (F.lit(segment * SEGMENT // width) + i).cast("long") * F.lit(1 << SEGMENT) + half[segment].bitwiseAND(others)
 
-        return F.transform(F.sequence(F.lit(0), F.lit(SEGMENT - 1)), one)
+        return F.transform(F.sequence(F.lit(0), F.lit(SEGMENT // width - 1)), one)
 
     # a row becomes 64, so the rows are dealt out first: a table of a few files would be a few tasks
-    dealt = prints.select("print").repartition(parts, "print").select("print", F.explode(F.concat(variants(0), variants(1))).alias("variant"))
-    # most variants are alone; the others are few. One exchange, whatever their number, and no join back
-    counted = dealt.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("variant")))
-    met = stash(counted.where(F.col("count") > 1), "simhash-met")
-    whole = met.where(F.col("count") <= CROWD).select("variant", F.lit(-1).alias("finer"), "print")
-    other = F.when(F.col("variant") < F.lit(SEGMENT << SEGMENT), half[1]).otherwise(half[0])
-    finer = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255))).cast("int"))
-    large = met.where(F.col("count") > CROWD).select("variant", F.explode(finer).alias("finer"), "print")
-    rows = whole.unionByName(large).repartition(parts, "variant", "finer").sortWithinPartitions("variant", "finer")
-    return rows.mapInArrow(_verify(bits), "a long, b long").distinct()
+    dealt = prints.select("print").repartition(parts, "print")
+    around = dealt.select(F.explode(F.concat(blanked(0, 8), blanked(1, 8))).alias("around"))
+    crowded = stash(around.groupBy("around").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWD).select("around"), "simhash-crowded")
+    rows = dealt.select("print", F.explode(F.concat(blanked(0, 1), blanked(1, 1))).alias("key"))
+    n = crowded.count()
+    if n:
+        at, rest = F.shiftrightunsigned("key", SEGMENT), F.col("key").bitwiseAND(low)
+        byte = F.call_function("shiftrightunsigned", at, F.lit(3))  # the byte that the deleted bit lies in
+        others = low.bitwiseXOR(F.call_function("shiftleft", F.lit(255).cast("long"), (byte % 4 * 8).cast("int")))
+        rows = rows.withColumn("around", byte * F.lit(1 << SEGMENT) + rest.bitwiseAND(others))
+        marked = crowded.withColumn("crowd", F.lit(True))
+        rows = rows.join(F.broadcast(marked) if n <= 1_000_000 else marked.hint("merge"), "around", "left")
+        other = F.when(at < SEGMENT, half[1]).otherwise(half[0])
+        finer = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.col("key") + (F.lit(1) + i * 256 + F.call_function("shiftrightunsigned", other, i * 8).bitwiseAND(F.lit(255))) * F.lit(1 << (SEGMENT + 6)))
+        rows = rows.select("print", F.explode(F.when(F.col("crowd"), finer).otherwise(F.array("key"))).alias("key"))
+    # most keys are alone; one exchange brings the others together, in order
+    met = rows.withColumn("count", F.count(F.lit(1)).over(W.partitionBy("key"))).where(F.col("count") > 1).select("key", "print")
+    return met.mapInArrow(_verify(bits), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of edges (a, b); root is the smallest node reachable. Each round halves the distances: nodes take the smallest root around them, then their root's root."""
     both = stash(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))), "simhash-edges")
+    hubs = heavy_keys(both, "near")
     roots = stash(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("root")), "simhash-roots")
     while True:
-        near = both.join(roots.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("best"))
+        near = skew_join(both, roots.select(F.col("node").alias("near"), "root"), "near", heavy=hubs).groupBy("node").agg(F.min("root").alias("best"))
         # what a node learns is passed to its root as well, so that whole trees move at once
-        told = roots.join(near, "node").select(F.explode(F.array(F.col("node"), F.col("root"))).alias("node"), "best").groupBy("node").agg(F.min("best").alias("best"))
-        hooked = roots.join(told, "node", "left").select("node", F.col("root").alias("was"), F.least("root", "best").alias("root"))
+        told = roots.join(near.hint("merge"), "node").select(F.explode(F.array(F.col("node"), F.col("root"))).alias("node"), "best").groupBy("node").agg(F.min("best").alias("best"))
+        hooked = stash(roots.join(told.hint("merge"), "node", "left").select("node", F.col("root").alias("was"), F.least("root", "best").alias("root")), "simhash-hooked")
         over = hooked.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        new = stash(hooked.join(over, "root", "left").select("node", "was", F.least("root", "next").alias("root")), "simhash-roots")
+        new = stash(skew_join(hooked, over, "root", "left").select("node", "was", F.least("root", "next").alias("root")), "simhash-roots")
         if not new.where(F.col("was") != F.col("root")).limit(1).count():
             return new.select("node", "root")
         roots = new.select("node", "root")
 
 
-def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """A row for each row of docs: its columns but text_col, fingerprint (16 hex digits) and component_id, and __root, the group's own key."""
-    docs = keep_columns(docs, NEW, text_col, id_col)
+def grouped(docs: DataFrame, id_col: str, bits: int, shingle: int, text_col: str) -> DataFrame:
+    """(doc, print, root, component_id) for each row of docs: its columns but the text in a struct, the fingerprint, and its group's smallest fingerprint and id."""
     printed = stash(fingerprints(docs, shingle, text_col), "simhash-prints")
-    distinct = stash(printed.groupBy(F.col("__print").alias("print")).agg(F.min(id_col).alias("least")), "simhash-distinct")
+    distinct = stash(printed.groupBy("print").agg(F.min(f"doc.`{id_col}`").alias("least")), "simhash-distinct")
     found = components(links(distinct.select("print"), bits))
-    rooted = distinct.join(found.withColumnRenamed("node", "print"), "print", "left").withColumn("root", F.coalesce("root", "print"))
+    rooted = stash(distinct.join(found.withColumnRenamed("node", "print").hint("merge"), "print", "left").withColumn("root", F.coalesce("root", "print")), "simhash-rooted")
     groups = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = rooted.select(F.col("print").alias("__print"), F.col("root").alias("__root")).join(groups.withColumnRenamed("root", "__root"), "__root")
-    return printed.join(by_print, "__print").withColumn("fingerprint", F.lower(F.lpad(F.hex("__print"), 16, "0"))).drop("__print")
+    by_print = stash(skew_join(rooted, groups, "root").select("print", "root", "component_id"), "simhash-groups")
+    return skew_join(printed, by_print, "print")
+
+
+def simhash_groups(docs: DataFrame, bits: int = 3, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """A row for each row of docs: its columns but text_col, fingerprint (16 hex digits) and component_id."""
+    docs = keep_columns(docs, NEW, text_col, id_col)
+    return grouped(docs, id_col, bits, shingle, text_col).select("doc.*", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(docs: DataFrame, bits: int = 3, shingle: int = 3, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each group: one of the smallest id (null ids last); rows equal in id and text are one row."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
-    groups = simhash_groups(docs.select(id_col, text_col, key.alias("__row")), bits, shingle, text_col, id_col)
-    best = groups.groupBy("__root").agg(F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), "__row")).alias("best"))
-    rows = groups.groupBy("__row").count()
-    stay = stash(best.select(F.col("best.__row").alias("__row")).join(rows, "__row"), "simhash-stay")
-    kept = docs.withColumn("__row", key).join(stay.select("__row").hint("merge"), "__row", "left_semi")  # it grows with docs, so never broadcast
-    if stay.where(F.col("count") > 1).limit(1).count():
-        kept = kept.dropDuplicates(["__row"])
-    return kept.drop("__row")
+    """docs with one row of each group: one of the smallest id (null ids last); rows equal in id and text are one row, known by two 64-bit hashes."""
+    own = (F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+    key = F.concat(F.hex(F.xxhash64(*own)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), *reversed(own))))
+    groups = grouped(docs.select(own[0].alias("id"), own[1].alias("text"), key.alias("row")), "id", bits, shingle, "text").select("doc.*", "root")
+    best = groups.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), F.col("id").alias("id"), "row")).alias("best"))
+    rows = stash(groups.groupBy("row").count(), "simhash-rows")
+    total = rows.agg(F.sum("count")).first()[0] or 0
+    often = [r.row for r in rows.where(F.col("count") > max(1.0, total / 1000)).collect()]  # fewer than a thousand
+    stay = stash(best.select(F.col("best.row").alias("row")).join(rows.hint("merge"), "row"), "simhash-stay")
+    again = stay.where(F.col("count") > 1)
+    rowed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("row"))
+    kept = skew_join(rowed, stay.select("row"), "row", "left_semi", often)
+    if again.limit(1).count():
+        kept = kept.dropDuplicates(["row"])
+    return kept.select("doc.*")
