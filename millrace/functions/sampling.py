@@ -1,18 +1,40 @@
-"""Bounded samples that do not depend on how rows are dealt."""
+"""Bounded samples that do not depend on how rows are dealt, and need neither a sort nor a task that holds them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+TOP, BINS = 1 << 63, 1 << 14
 
-def hash_sample(df: DataFrame, rows: int, *keys: str) -> DataFrame:
-    """At most `rows` rows, those of least hash of the keys.
 
-    The hash is first cut where about that many rows lie below it, so that hardly more
-    than the sample is sorted, however large df is.
+def key_hash(*keys: str) -> Column:
+    """A hash of the keys from 0 up to TOP."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 1)
+
+
+def below(rows: int, n: int, slack: float = 1.2) -> int:
+    """A hash below which some more than `rows` of n different keys lie."""
+    return TOP - 1 if n <= rows else min(TOP - 1, int(TOP * (rows / n) * slack) + 1)
+
+
+def hash_sample(df: DataFrame, rows: int, *keys: str, limit: int | None = None) -> DataFrame:
+    """At most `rows` rows, those of least hash of the keys; rows that share a key stay or go together.
+
+    A first cut where somewhat more lie below is followed by counts in BINS ranges of hashes,
+    which give the last cut. limit: the first cut, where the caller has made it already.
     """
-    n = df.count()
-    if n > rows:
-        df = df.where(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)) < int((1 << 32) * rows / n * 1.1) + 1)
-    return df.orderBy(F.pmod(F.xxhash64(*keys), F.lit(1 << 32)), *keys).limit(rows)
+    if limit is None:
+        n = df.count()
+        if n <= rows:
+            return df
+        limit = below(rows, n)
+        df = df.where(key_hash(*keys) <= limit)
+    width = limit // BINS + 1
+    bins = df.groupBy(F.floor(key_hash(*keys) / F.lit(width)).cast("long").alias("bin")).count().collect()  # at most BINS rows
+    left = rows
+    for r in sorted(bins, key=lambda r: r.bin):
+        left -= r["count"]
+        if left < 0:
+            return df.where(F.floor(key_hash(*keys) / F.lit(width)).cast("long") < r.bin)
+    return df
