@@ -13,7 +13,7 @@ __all__ = ["QUERIES", "SQL"]
 #: The contract's rules (fixed values): the path of each is below the first slash.
 URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 #: Host words whose URLs are labelled 1 for training; tables hold no URL labels (fixed values).
-SEED_WORDS = ["spam", "pills", "casino", "bets", "ads", "porn", "viagra", "track", "cheap", "win"]
+SEED_WORDS = ["spam", "pills", "casino", "bets", "ads", "adult", "porn", "viagra", "track", "cheap", "win"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +25,15 @@ def fold(id_col: str, of: int) -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % of
 
 
+def labelled_urls(pages: DataFrame) -> DataFrame:
+    """(url, label) of the URLs: 1 where a word of the host is a seed word."""
+    words = F.split(url_filter.parts(F.col("url"))["host"], "[^a-z0-9]+")
+    return pages.where(F.col("url").isNotNull()).select("url", F.arrays_overlap(words, F.array(*[F.lit(w) for w in SEED_WORDS])).cast("int").alias("label"))
+
+
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    words = F.split(url_filter.parts(F.col("url"))["host"], "[^a-z0-9]+")
-    labelled = pages.where(F.col("url").isNotNull()).select("url", F.arrays_overlap(words, F.array(*[F.lit(w) for w in SEED_WORDS])).cast("int").alias("label"))
-    judged = url_filter.judge(pages, URL_RULES, url_filter.fit(labelled))
+    judged = url_filter.judge(pages, URL_RULES, url_filter.fit(labelled_urls(pages)))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -2,9 +2,10 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from millrace.llm import toxicity
-from millrace.llm.queries import fold, table
+from millrace.llm import toxicity, url_filter
+from millrace.llm.queries import fold, labelled_urls, table
 from tests.llm import brute
 
 SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -50,3 +51,31 @@ def test_toxicity_says_when_nothing_is_swapped(spark, data):
     docs, labels = table(spark, data, "documents"), table(spark, data, "labels")
     with pytest.warns(UserWarning, match="no effect"):
         assert toxicity.train(docs, labels, identity_terms=()).pairs == (0, 0)
+
+
+def test_urls_of_hosts_that_no_label_names(spark):
+    """Fitted on two thirds of the sites, held against the others' labels."""
+    urls = labelled_urls(table(spark, LARGER, "pages")).withColumn("site", F.substring_index(url_filter.parts(F.col("url"))["host"], ".", -3))
+    urls = urls.withColumn("fold", F.crc32(F.col("site").cast("binary")) % 3)
+    found = caught = false = 0
+    for k in range(3):
+        model = url_filter.fit(urls.where(F.col("fold") != k))
+        judged = url_filter.judge(urls.where(F.col("fold") == k).select("url", "label"), [], model).collect()
+        found += sum(r.label for r in judged)
+        caught += sum(r.label and r.verdict == "block" for r in judged)
+        false += sum(not r.label and r.verdict == "block" for r in judged)
+    assert found > 5 and caught >= 0.6 * found and caught >= 0.8 * (caught + false), (found, caught, false)
+
+
+def test_url_sample_is_of_different_urls(spark):
+    """Copies of one URL, with a label each, take the place of none, and its rates leave its own label out."""
+    copies = spark.range(3000).select(F.lit("http://hot.example.com/").alias("url"), F.lit(0).alias("label"))
+    others = spark.range(200).select(F.concat(F.lit("http://s"), F.col("id").cast("string"), F.when(F.col("id") % 2 == 0, "-x.example.com/").otherwise(".example.com/")).alias("url"), (F.col("id") % 2 == 0).cast("int").alias("label"))
+    model = url_filter.fit(copies.unionByName(others), max_rows=100)
+    n = {r.labels: r.n for r in model.suffixes.groupBy("labels").agg(F.sum("n").alias("n")).collect()}
+    assert set(n.values()) <= {n[1]} and 60 <= n[1] <= 100
+    assert sum(v > 0 for v in model.importances().values()) > 1
+    x = url_filter.with_features(others, "url").withColumn("label", F.col("label").cast("double"))
+    known = x.select("__suffix3").distinct().join(model.suffixes.where("labels = 3").select(F.col("suffix").alias("__suffix3")), "__suffix3", "left_semi")
+    own = url_filter.assembled(x.join(known, "__suffix3", "left_semi"), model.suffixes, 0.5, F.col("label")).collect()
+    assert {(r.f_count3, r.f_rate3) for r in own} == {(0.0, 0.5)}  # each site has one URL, whose own label tells nothing
