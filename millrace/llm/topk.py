@@ -1,24 +1,28 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Vectors are dealt to shards of about SHARD_ROWS rows, queries to blocks of QUERY_ROWS, and
-each shard meets each block in a task of its own. In it a ball tree is built over the
-shard; a query's nodes are opened in order of the bound q·c + |q|r on the inner products in
-their ball, and the search ends when no bound reaches the score of the k-th best so far.
-
-That score is shared: in a first wave each query searches one shard, and what it finds as
-k-th best is where its search of all other shards starts. Nodes whose bound equals it are
-still opened, so ties go to the smaller id whatever the order.
+Vectors go to the nearest of at most CELLS centres, which are fitted on a bounded sample
+(PIVOT_ROWS rows by hash); a cell's rows are dealt to shards of about SHARD_ROWS rows, so no
+cell is one task. A ball around its centre holds a cell. In a shard a ball tree is built; a
+query's nodes are opened in order of the bound q·c + |q|r on the inner products in their
+ball, and the search ends when no bound reaches the score of the k-th best so far.
+
+That score is shared in waves. In the first each query searches the shard that it lies in;
+in the second the cells of its NEAR highest bounds; in the third all others. From the
+second wave on a query goes only to cells whose bound reaches its k-th best score of the
+waves before, and starts there with it; a shard that no query goes to isn't moved at all.
+Bounds that equal the score still count, so ties go to the smaller id whatever the order.
 
 Scores are integers. They are taken in floating point where no sum can leave its exact
 range and in 64-bit integers otherwise. Vectors that are null, or hold null or non-finite
 components, take no part. Vectors meet those of their own length only. A query is no
 candidate for itself; rows that repeat an id are rows of their own, but no candidates of a
-query of that id. A null id takes no part. Empty tables give an empty result.
+query of that id; of query rows that repeat an id the one of the smallest vector asks. A null id takes no part. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.llm._store import stash
+from millrace.functions.sampling import hash_sample
+from millrace.llm._store import share, stash
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 4096, 256
+CELLS, PIVOT_ROWS, NEAR = 256, 4096, 4
+PLACED = "id long, vec array<bigint>, dim int, asks boolean, deal long, cell int, away double"
+ASKING = "id long, vec array<bigint>, dim int, home int, deal long, least long, cell int"
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -88,8 +96,9 @@ class BallTree:
         return best
 
 
-def _matrix(col: pa.Array, n: int) -> np.ndarray:
-    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
+def _matrix(col: pa.Array | pa.ChunkedArray, n: int) -> np.ndarray:
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 0), np.int64)
 
 
 def _search(k: int):
@@ -119,27 +128,123 @@ def scaled(vec: Column, factor: int) -> Column:
     return F.when(vec.isNotNull() & F.coalesce(whole, F.lit(False)), F.transform(vec, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query row's k best among all other rows, by score, then smaller id."""
-    given = rows.select(F.col(id_col).cast("long").alias("id"), scaled(F.col(vec_col), factor).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    given = stash(given.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).withColumn("dim", F.size("vec")), "vectors")
+def _pivots(given: DataFrame, n: int, shard_rows: int, cells: int) -> dict[int, np.ndarray]:
+    """Centres by length of vector, from at most PIVOT_ROWS rows: a few rounds of k-means."""
+    by: dict[int, list] = {}
+    for r in hash_sample(given.select("id", "deal", "vec"), PIVOT_ROWS, "id", "deal").orderBy("deal", "id").collect():
+        by.setdefault(len(r.vec), []).append(r.vec)
+    out, most = {}, min(cells, -(-n // shard_rows))
+    for dim, rows in by.items():
+        x = np.array(rows, np.float64).reshape(len(rows), dim)
+        centre = np.unique(x[: max(1, most * len(x) // min(n, PIVOT_ROWS))], axis=0)
+        for _ in range(5):
+            own = _nearest(x, centre)
+            held = np.unique(own)
+            centre = np.stack([x[own == c].mean(axis=0) for c in held])
+        out[dim] = centre
+    return out
+
+
+def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return ((centre**2).sum(axis=1) / 2 - x @ centre.T).argmin(axis=1)
+
+
+def _place(shared):
+    """Rows with the cell of the nearest centre and the distance to it; lengths without a centre have the origin."""
+
+    def run(batches):
+        pivots = pickle.loads(shared.value)
+        for batch in batches:
+            vec, dim = batch.column("vec"), batch.column("dim").to_numpy(zero_copy_only=False)
+            cell, away = np.zeros(len(dim), np.int32), np.zeros(len(dim))
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                x = _matrix(vec.take(pa.array(at)), len(at)).astype(np.float64)
+                centre = pivots.get(d, np.zeros((1, d)))
+                cell[at] = _nearest(x, centre)
+                away[at] = np.sqrt(((x - centre[cell[at]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(away)], names=[*batch.schema.names, "cell", "away"])
+
+    return run
+
+
+def _reach(shared, near: bool):
+    """A row for each cell whose bound reaches a query's score: of the NEAR highest bounds, or of the others."""
+
+    def run(batches):
+        pivots, radii = pickle.loads(shared.value)
+        for batch in batches:
+            vec, dim = batch.column("vec"), batch.column("dim").to_numpy(zero_copy_only=False)
+            least = batch.column("least").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+            rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for d in np.unique(dim).tolist():
+                at = np.flatnonzero(dim == d)
+                q = _matrix(vec.take(pa.array(at)), len(at)).astype(np.float64)
+                centre = pivots.get(d, np.zeros((1, d)))
+                radius = np.array([radii.get((d, c), -1.0) for c in range(len(centre))])
+                reach = np.sqrt((q**2).sum(axis=1))[:, None] * radius[None, :]
+                part = q @ centre.T
+                bound = np.where(radius[None, :] >= 0, part + reach + 1e-9 * (1 + np.abs(part) + reach), -np.inf)
+                order = np.argsort(-bound, axis=1, kind="stable")
+                order = order[:, :NEAR] if near else order[:, NEAR:]
+                good = np.take_along_axis(bound, order, axis=1)
+                r, c = np.nonzero((good >= least[at][:, None]) & (good > -np.inf))
+                rows.append(at[r])
+                cells.append(order[r, c])
+            took = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(took) for k in ("id", "vec", "dim", "home", "deal", "least")), pa.array(np.concatenate(cells).astype(np.int32))], names=["id", "vec", "dim", "home", "deal", "least", "cell"])
+
+    return run
+
+
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, cells: int = CELLS, report: dict | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query row's k best among all other rows, by score, then smaller id. report: gets the number of pairs (query, shard) and of those that were searched."""
+    spark = rows.sparkSession
+    given = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled(F.col(f"`{vec_col}`"), factor).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    given = given.where(F.col("id").isNotNull() & F.col("vec").isNotNull()).withColumn("dim", F.size("vec"))
+    # dealt by a number of its own, so that repeated rows are spread; written, so that it stays what it is
+    given = stash(given.select("id", "vec", "dim", "asks", F.xxhash64("id", F.monotonically_increasing_id()).alias("deal")), "vectors")
     n, asked = given.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-asked // query_rows))
-    vectors = given.select("id", "vec", "dim", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-    queries = given.where("asks").dropDuplicates(["id"]).select("id", "vec", "dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("home"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).alias("block"))
-    every_block = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-
-    def meet(asking: DataFrame) -> DataFrame:
-        keys = ("dim", "shard", "block")
-        named = asking.select(*[F.col(c).alias(f"q_{c}") for c in (*keys, "id", "vec", "least")])  # names of its own, as both sides are the same table
-        return named.groupBy(*[f"q_{c}" for c in keys]).cogroup(every_block.groupBy(*keys)).applyInArrow(_search(k), FOUND)
-
-    first = stash(meet(queries.withColumns({"shard": F.col("home"), "least": F.lit(None).cast("long")})), "topk-first")
-    found = first
-    if shards > 1:
-        least = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<bigint>"), lambda s: s != F.col("home"))
-        asking = queries.join(least, F.col("id") == F.col("query_id"), "left").withColumn("shard", F.explode(others))
-        found = first.unionByName(meet(asking))
+    pivots = _pivots(given, n, shard_rows, cells)
+    placed = stash(given.mapInArrow(_place(share(spark, pivots)), PLACED), "placed")
+    held = stash(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.max("away").alias("radius")), "cells")
+    known = held.collect()  # a row for each centre and length
+    radii = {(r.dim, r.cell): r.radius for r in known}
+    several = len(known) > len({r.dim for r in known}) or any(r.shards > 1 for r in known)
+    shard = F.pmod("deal", "shards").cast("int").alias("shard")
+    vectors = placed.join(held.select("dim", "cell", "shards"), ["dim", "cell"]).select("id", "vec", "dim", "asks", "deal", "cell", "shards", shard)
+    asks = vectors.where("asks").groupBy("id").agg(F.min(F.struct("dim", "vec", "cell", "deal", "shard")).alias("q")).select("id", "q.*")
+    queries = stash(asks.withColumnRenamed("cell", "home"), "queries")
+    blocks = max(1, -(-asked // query_rows))
+
+    def meet(asking: DataFrame, block: Column) -> DataFrame:
+        """Queries (id, vec, least) at (dim, cell, shard) against its vectors, a block of queries a task."""
+        keys = ("dim", "cell", "shard", "block")
+        asking = stash(asking.withColumn("block", block.cast("int")), "asking")
+        if report is not None:
+            report["searched"] = report.get("searched", 0) + asking.count()
+        present = asking.groupBy(*keys[:3]).agg(F.collect_set("block").alias("blocks"))  # a number a block of queries
+        moved = vectors.join(present, list(keys[:3])).select("id", "vec", *keys[:3], F.explode("blocks").alias("block"))
+        named = asking.select(*[F.col(c).alias(f"q_{c}") for c in (*keys, "id", "vec", "least")])
+        return named.groupBy(*[f"q_{c}" for c in keys]).cogroup(moved.groupBy(*keys)).applyInArrow(_search(k), FOUND)
+
+    def shards_of(asking: DataFrame) -> DataFrame:
+        """asking at all shards of its cells but the one that each query was at first."""
+        numbered = asking.join(held.select("dim", "cell", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "shards"), ["dim", "cell"])
+        return numbered.where((F.col("cell") != F.col("home")) | (F.col("shard") != F.pmod("deal", "shards"))).select("id", "vec", "dim", "cell", "shard", "least")
+
+    if report is not None:
+        report["pairs"] = queries.join(held.groupBy("dim").agg(F.sum("shards").alias("n")), "dim").agg(F.sum("n")).first()[0] or 0
+    at_home = queries.select("id", "vec", "dim", F.col("home").alias("cell"), "shard", F.lit(None).cast("long").alias("least"))
+    found = stash(meet(at_home, F.lit(0)), "topk-home")
+    for near in (True, False) if several else ():
+        best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")
+        least = found.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        asking = queries.join(least, "id", "left").select("id", "vec", "dim", "home", "deal", "least")
+        asking = asking.mapInArrow(_reach(share(spark, (pivots, radii)), near), ASKING)
+        found = stash(found.unionByName(meet(shards_of(asking), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)))), "topk-found")
+        if max((len(c) for c in pivots.values()), default=0) <= NEAR:
+            break
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -221,12 +221,34 @@ def test_topk_ties_nulls_and_shards(spark):
         s = whole @ whole[i]
         want |= {(i, n + 1, int(k), int(s[k])) for n, k in enumerate([k for k in np.lexsort((np.arange(400), -s)) if k != i][:5])}
     want |= {(1050, 1, 1100, 128 * 256 + 64 * 256), (1100, 1, 1050, 128 * 256 + 64 * 256)}
-    for shard, block in ((8192, 4096), (60, 3)):
+    for shard, block in ((8192, 4096), (60, 3), (20, 1)):
         got = topk.top_k(vectors(spark, rows + odd), F.col("vec_id") % 50 == 0, shard_rows=shard, query_rows=block)
         assert {tuple(x) for x in got.collect()} == want
     assert topk.top_k(vectors(spark, []), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_leaves_out_what_no_bound_reaches(spark):
+    """Clusters that lie apart: the answer is brute force's, though most pairs of query and shard never meet."""
+    r = np.random.default_rng(8)
+    centre = np.eye(12) * 4
+    v = np.floor((np.repeat(centre, 50, axis=0) + r.normal(size=(600, 12)) * 0.05) * 64) / 64
+    whole, report = np.floor(256 * v).astype(np.int64), {}
+    got = topk.top_k(vectors(spark, [(i, x.tolist()) for i, x in enumerate(v)]), F.col("vec_id") % 50 == 0, shard_rows=25, report=report)
+    want = set()
+    for i in range(0, 600, 50):
+        s = whole @ whole[i]
+        want |= {(i, n + 1, int(k), int(s[k])) for n, k in enumerate([k for k in np.lexsort((np.arange(600), -s)) if k != i][:5])}
+    assert {tuple(x) for x in got.collect()} == want
+    assert report["searched"] < 0.5 * report["pairs"], report
+
+
+def test_topk_repeated_ids_and_clashing_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, 2), (0, [0.5, 0.0], 1, 2), (1, [1.0, 1.0], 1, 2), (2, [2.0, 0.0], 1, 2), (1, [1.0, 1.0], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, id int, cell int")
+    got = topk.top_k(df, F.col("vec_id") == 0, k=2).collect()
+    assert [tuple(x) for x in got] == [(0, 1, 2, 128 * 512), (0, 2, 1, 128 * 256)]  # the smallest vector of id 0 asks
+
+
 def test_topk_large_components(spark):
     rows = [(0, [1e7, 1.0]), (50, [1e7, -1.0]), (3, [1e7, 2.0])]
     got = topk.top_k(vectors(spark, rows), F.col("vec_id") == 0).collect()
