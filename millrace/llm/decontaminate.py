@@ -11,9 +11,11 @@ their nearest alignment; a shift of zero selects, by the hash of that block, the
 whose first m bytes end with it, and these are compared with the text byte by byte. The
 text is cut into lanes that are scanned together, each by its own shifts.
 
-The benchmark is cut into sets of at most MAX_SET_BYTES of text, by its size in the data;
-one set is what a pass over the documents broadcasts. More sets mean more passes, whose
-hits are joined per document, so no benchmark is too large.
+The benchmark is cut into sets of about MAX_PATTERNS windows, which are counted first; a
+long item is cut into pieces that overlap by a window. One set is what a pass over the
+documents broadcasts, and its tables grow with its patterns, up to 2**MAX_BITS shifts. More
+sets mean more passes; what they hit is joined by the text's SHA-256, texts that many
+documents share without an exchange, so no benchmark is too large.
 
 Null texts and texts without words have no hits. An item whose text is null has no window;
 an item with a null id takes part in hits but is not counted or listed. Items that share
@@ -32,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import keep_columns, share, shuffle_parts, small_batches, stash
+from millrace.llm._store import keep_columns, share, skew_join, small_batches, stash
 from millrace.llm._text import alnum_table, blocks, buffers, with_columns
 
-MAX_SET_BYTES = 32 << 20
+MAX_PATTERNS, PIECE = 200_000, 20_000  # windows of a set, and of a piece of a long item
 LANE = 2048
 #: Classes of pattern length in bytes, and the block that each looks up (fixed values).
 CLASSES = ((48, 16), (24, 12), (12, 6), (0, 3))
-TABLE_BITS = 20
+MIN_BITS, MAX_BITS, CHUNK = 16, 24, 4096  # of a shift table's size, and patterns entered into it at once
 NEW = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
 RESULT = [T.StructField(n, t) for n, t in zip(NEW, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BooleanType()), strict=True)]
 TABLE = bytes(b or 32 for b in alnum_table())
@@ -74,16 +76,25 @@ class WuManber:
     def __init__(self, patterns: list[bytes], block: int):
         self.patterns, self.m = patterns, min(map(len, patterns))
         self.block = min(block, self.m)
-        data = np.frombuffer(b"".join(p[: self.m] for p in patterns), np.uint8)
         steps = self.m - self.block + 1
-        at = (np.arange(len(patterns))[:, None] * self.m + np.arange(steps)[None, :]).ravel()
-        h = _block_hash(data, at, self.block)
-        self.shift = np.full(1 << TABLE_BITS, steps, np.uint16 if steps < 65536 else np.uint32)
-        np.minimum.at(self.shift, (h >> np.uint64(64 - TABLE_BITS)).astype(np.int64), np.tile(np.arange(steps)[::-1], len(patterns)).astype(self.shift.dtype))
-        last = h.reshape(-1, steps)[:, -1]
-        self.order = np.argsort(last, kind="stable")
+        # a table of eight places for each block keeps most shifts long; windows of one item share their blocks
+        self.bits = int(np.clip(np.ceil(np.log2(8.0 * (len(patterns) * 8 + steps))), MIN_BITS, MAX_BITS))
+        self.shift = np.full(1 << self.bits, steps, np.uint8 if steps < 256 else np.uint16 if steps < 65536 else np.uint32)
+        last = []
+        for a in range(0, len(patterns), CHUNK):
+            own = patterns[a : a + CHUNK]
+            data = np.frombuffer(b"".join(p[: self.m] for p in own), np.uint8)
+            at = (np.arange(len(own))[:, None] * self.m + np.arange(steps)[None, :]).ravel()
+            h = _block_hash(data, at, self.block)
+            np.minimum.at(self.shift, self.place(h), np.tile(np.arange(steps)[::-1], len(own)).astype(self.shift.dtype))
+            last.append(h.reshape(-1, steps)[:, -1].copy())
+        last = np.concatenate(last)
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
         self.last = last[self.order]
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
     def find(self, data: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Starts and pattern numbers of all occurrences."""
         end = len(data) - self.m  # the last place that a pattern may start at
@@ -95,7 +106,7 @@ class WuManber:
         tail = self.m - self.block
         while len(lane):
             h = _block_hash(data, lane + tail, self.block)
-            step = self.shift[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.int64)
+            step = self.shift[self.place(h)].astype(np.int64)
             zero = np.flatnonzero(step == 0)
             if len(zero):
                 low, high = np.searchsorted(self.last, h[zero], "left"), np.searchsorted(self.last, h[zero], "right")
@@ -182,66 +193,77 @@ def _scan(shared, text_col: str, fields: list[str], finish):
 
 
 def _join_passes(times: int, fields: list[str]):
-    """Hit words and items of several passes to the result's columns."""
+    """Whole texts with what several passes hit to the result's columns."""
 
     def run(batches):
         for batch in batches:
+            data, off = buffers(batch.column("text"))
             rows = []
-            for n, hits, items in zip(*(batch.column(k).to_pylist() for k in ("n", "hits", "items")), strict=True):
-                hit = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in hits]))
-                rows.append(_verdict(n, hit, sorted({x for part in items for x in part}), times))
-            yield with_columns(batch, {"n", "hits", "items"}, _columns(rows)).select(fields)
+            for a, b, hits, items in zip(off[:-1], off[1:], batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                hit = np.unique(np.concatenate([np.zeros(0, np.uint32), *(np.frombuffer(x, np.uint32) for x in hits or ())]))
+                rows.append(_verdict(len(normal(data[a:b].tobytes()).split()), hit, sorted({x for part in items or () for x in part}), times))
+            yield with_columns(batch, {"text", "sha", "hits", "items"}, _columns(rows)).select(fields)
 
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, times: int = 20, text_col: str = "text", item_col: str = "item_id", max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, times: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """docs with n_words, n_hit, n_items, items_sha256 and contaminated.
 
     contaminated: a word is hit and times * n_hit >= n_words. items_sha256: of the ids of
     the items with windows in the text, sorted as strings and joined by commas.
     """
     docs = keep_columns(docs, NEW, text_col)
-    sets = _sets(benchmark, item_col, max_set_bytes)
+    pieces, sets = _pieces(benchmark, item_col, item_text, window, max_patterns)
     if sets == 1:
         schema = T.StructType([*docs.schema, *RESULT])
         finish = lambda batch, found: with_columns(batch, set(), _columns([_verdict(*f, times) for f in found]))
-        return docs.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, 1, 0), text_col, schema.names, finish), schema)
+        return docs.mapInArrow(_scan(_tables(pieces, window, 1, 0), text_col, schema.names, finish), schema)
     # One pass for each set; the same text has the same hits wherever it stands.
-    parts, found = shuffle_parts(docs.sparkSession), None
-    texts = docs.select(F.sha2(F.col(text_col), 256).alias("__sha"), F.col(text_col).alias("text"))
-    pack = lambda batch, found: with_columns(batch, {"text"}, {"n": pa.array([f[0] for f in found], pa.int64()), "hits": pa.array([f[1].tobytes() for f in found], pa.binary()), "items": pa.array([f[2] for f in found], pa.list_(pa.string()))})
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text.alias("text"), F.sha2(text, 256).alias("sha"))
+
+    def pack(batch, found):
+        some = pa.array([len(f[1]) > 0 for f in found], pa.bool_())
+        new = {"hits": pa.array([f[1].tobytes() for f in found], pa.binary()), "items": pa.array([f[2] for f in found], pa.list_(pa.string()))}
+        return with_columns(batch, {"text"}, new).filter(some)
+
+    found = None
     for k in range(sets):
-        one = texts.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, sets, k), "text", ["__sha", "n", "hits", "items"], pack), "`__sha` string, n long, hits binary, items array<string>")
-        one = stash(one.dropDuplicates(["__sha"]), "hits")
+        one = keyed.select("sha", "text").mapInArrow(_scan(_tables(pieces, window, sets, k), "text", ["sha", "hits", "items"], pack), "sha string, hits binary, items array<string>")
+        one = stash(one.dropDuplicates(["sha"]), "hits")
         found = one if found is None else found.unionByName(one)
-    joined = found.repartition(parts, "__sha").groupBy("__sha").agg(F.max("n").alias("n"), F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items"))
-    schema = T.StructType([T.StructField("__sha", T.StringType()), *RESULT])
-    result = joined.mapInArrow(_join_passes(times, schema.names), schema)
-    keyed = docs.withColumn("__sha", F.coalesce(F.sha2(F.col(text_col), 256), F.lit("")))
-    none = {"n_words": 0, "n_hit": 0, "n_items": 0, "items_sha256": hashlib.sha256(b"").hexdigest(), "contaminated": False}
-    return keyed.join(result, "__sha", "left").drop("__sha").fillna(none, NEW)
+    joined = stash(found.groupBy("sha").agg(F.collect_list("hits").alias("hits"), F.collect_list("items").alias("items")), "all-hits")  # a row a set
+    full = skew_join(keyed, joined, "sha", "left").select("doc", "text", "sha", "hits", "items")
+    schema = T.StructType([keyed.schema["doc"], *RESULT])
+    return full.mapInArrow(_join_passes(times, schema.names), schema).select("doc.*", *NEW)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, times: int = 20, text_col: str = "text", item_col: str = "item_id", max_set_bytes: int = MAX_SET_BYTES) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, times: int = 20, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", max_patterns: int = MAX_PATTERNS) -> DataFrame:
     """docs that are not contaminated, with their own columns; each set of the benchmark is a pass."""
-    sets = _sets(benchmark, item_col, max_set_bytes)
+    pieces, sets = _pieces(benchmark, item_col, item_text, window, max_patterns)
     if sets > 1:
         columns = [F.col(f"`{c}`") for c in docs.columns]
-        marked = contamination(docs.select(F.struct(*columns).alias("__doc"), F.col(text_col).alias("text")), benchmark, window, times, "text", item_col, max_set_bytes)
+        marked = contamination(docs.select(F.struct(*columns).alias("__doc"), F.col(f"`{text_col}`").alias("text")), benchmark, window, times, "text", item_col, item_text, max_patterns)
         return marked.where(~F.col("contaminated")).select("__doc.*")
     finish = lambda batch, found: batch.filter(pa.array([not _verdict(*f, times)[-1] for f in found], pa.bool_()))
-    return docs.mapInArrow(_scan(_tables(docs, benchmark, item_col, window, 1, 0), text_col, docs.columns, finish), docs.schema)
-
-
-def _sets(benchmark: DataFrame, item_col: str, max_set_bytes: int) -> int:
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-total // max_set_bytes))
-
-
-def _tables(docs: DataFrame, benchmark: DataFrame, item_col: str, window: int, sets: int, k: int):
-    """The tables of one set of items, to be broadcast."""
-    small_batches(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
-    own = items if sets == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(sets)) == k)
-    return share(docs.sparkSession, build([(r.item, bytes(r.text or b"")) for r in own.collect()], window))
+    return docs.mapInArrow(_scan(_tables(pieces, window, 1, 0), text_col, docs.columns, finish), docs.schema)
+
+
+def _pieces(benchmark: DataFrame, item_col: str, item_text: str, window: int, max_patterns: int) -> tuple[DataFrame, int]:
+    """(item, text) of different items, long ones in pieces, and the number of sets that their windows make."""
+    small_batches(benchmark.sparkSession)
+    text = F.translate(F.col(f"`{item_text}`"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(text, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0).distinct()
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window + 1, F.lit(1)), F.lit(PIECE))
+    pieces = items.select("item", F.explode(starts).alias("at"), "words").select("item", F.slice("words", F.col("at"), F.lit(PIECE + window - 1)).alias("words"))
+    pieces = stash(pieces.select("item", F.greatest(F.size("words") - window + 1, F.lit(1)).alias("windows"), F.array_join("words", " ").alias("text")), "items")
+    total = pieces.agg(F.sum("windows")).first()[0] or 0
+    return pieces, max(1, -(-total // max_patterns))
+
+
+def _tables(pieces: DataFrame, window: int, sets: int, k: int):
+    """The tables of one set of pieces, to be broadcast; a set has about an equal share of all windows."""
+    own = pieces if sets == 1 else pieces.where(F.pmod(F.xxhash64("item", "text"), F.lit(sets)) == k)
+    return share(pieces.sparkSession, build([(r.item, r.text.encode()) for r in own.collect()], window))

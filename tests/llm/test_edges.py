@@ -112,13 +112,23 @@ def test_contamination_short_items_and_passes(spark):
     items = [(1, "one"), (2, "b c"), (3, PASSAGE), (None, "é"), (4, "zz !"), (3, "p58 p59 y")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     want = brute.contamination(list(enumerate(TEXTS)), items)
-    for most in (1 << 25, 60):  # one pass, and several
-        got = decontaminate.contamination(frame(spark), bench, max_set_bytes=most)
+    for most in (1 << 25, 20):  # one pass, and several
+        got = decontaminate.contamination(frame(spark), bench, max_patterns=most)
         assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == want
-        left = decontaminate.drop_contaminated(frame(spark), bench, max_set_bytes=most)
+        left = decontaminate.drop_contaminated(frame(spark), bench, max_patterns=most)
         assert {r.doc_id for r in left.collect()} == {i for i, w in want.items() if not w[4]}
 
 
+def test_contamination_long_items_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PIECE", 7)
+    items = [(1, PASSAGE), (2, "é ü " + PASSAGE), (2, "é ü " + PASSAGE), (3, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = brute.contamination(list(enumerate(TEXTS)), items)
+    for most in (1 << 25, 15):
+        got = decontaminate.contamination(frame(spark), bench, max_patterns=most)
+        assert {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got.collect()} == want
+
+
 def test_contamination_empty_benchmark(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not decontaminate.contamination(frame(spark), bench).where("contaminated").count()
