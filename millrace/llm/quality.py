@@ -173,20 +173,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     return _fit(y, doc, np.concatenate(b).astype(np.int64), value, stats, factors, decay, steps, batch, seed)
 
 
-def _scorer(shared, text_col: str, fields: list[str], threshold: float):
+def _scorer(shared, text_col: str, threshold: float):
     def run(batches):
         model = pickle.loads(shared.value)
         for batch in batches:
-            chars = batch.column("__chars").to_numpy(zero_copy_only=False).astype(np.float64)
-            score = model.scores(*buffers(batch.column(text_col)), chars)
-            yield with_columns(batch, {"__chars"}, {"score": pa.array(score), "predicted": pa.array((score >= threshold).astype(np.int32))}).select(fields)
+            chars = batch.column("chars").to_numpy(zero_copy_only=False).astype(np.float64)
+            score = model.scores(*buffers(batch.column("doc").field(text_col)), chars)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc", *NEW])
 
     return run
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """docs with score (0 to 1, higher: better) and predicted."""
+    """docs with score (0 to 1, higher: better) and predicted. Columns keep to a struct, so none clashes with ours."""
     docs = keep_columns(docs, NEW, text_col)
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.withColumn("__chars", _chars(docs, chars_col)).mapInArrow(_scorer(share(docs.sparkSession, model), text_col, schema.names, threshold), schema)
+    x = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), _chars(docs, chars_col).alias("chars"))
+    schema = T.StructType([x.schema["doc"], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    return x.mapInArrow(_scorer(share(docs.sparkSession, model), text_col, threshold), schema).select("doc.*", *NEW)

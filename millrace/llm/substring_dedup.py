@@ -15,9 +15,14 @@ Hashes are counted, never paired, so a passage in a third of all documents costs
 rows. Each task sends a hash once however often it met it, so no partition gets all of a
 common line. Texts cross the network once: all three steps read the same exchange.
 
+A part's hashes lie in memory, so there are as many parts as the session deals rows to, and
+more where the texts, whose bytes are counted first, are over PART_BYTES a part. Rows are
+known by a 64-bit hash; the same first pass finds different rows that share one (a second
+hash tells), and these go by their second hash.
+
 Null texts have no words. Empty tables give empty results. Repeated rows count as
-separate places. Other columns pass through; input columns with the names of the result's
-are replaced.
+separate places. The caller's columns keep to a struct, so none clashes with ours; input
+columns with the names of the result's are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +32,7 @@ from itertools import compress, pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,6 +42,7 @@ from millrace.llm._text import WORD_BASE_2, Words, blocks, buffers, mix, runs, s
 #: Perfect difference sets by period (fixed values): every non-zero remainder is one difference of two members.
 COVERS = {7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 
+PART_BYTES = 64 << 20
 FLUSH = 1 << 18  # hashes that a task gathers before it deals them out
 DEALT = "part int, hashes binary, checks binary, docs binary, places binary, known binary, keys binary"
 ROUTED = "part int, keys binary, places binary"
@@ -243,6 +249,10 @@ def _cutter(window: int, text_col: str, fields: list[str]):
     return run
 
 
+def row_hash(columns: list[Column]) -> Column:
+    return F.xxhash64(*columns)
+
+
 def dedup_substrings(docs: DataFrame, window: int = 35, period: int = 21, text_col: str = "text") -> DataFrame:
     """docs with repeated passages cut out of text_col, and n_words, n_removed and kept_sha256.
 
@@ -252,12 +262,19 @@ def dedup_substrings(docs: DataFrame, window: int = 35, period: int = 21, text_c
     """
     if period not in COVERS or period >= window:
         raise ValueError(f"period must be one of {sorted(COVERS)} and below window")
-    parts = shuffle_parts(docs.sparkSession)
     docs = keep_columns(docs, NEW, text_col)
     small_batches(docs.sparkSession)
-    others = [c for c in docs.columns if c != text_col]
-    seed = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))])
-    keyed = docs.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_col}`").cast("binary").alias("__text"), seed.alias("__key")).repartition(parts, "__key")
+    text = F.col(f"`{text_col}`")
+    hashed = [F.col(f"`{c}`") for c in docs.columns if not isinstance(docs.schema[c].dataType, (T.MapType, T.VariantType))]
+    key, other = row_hash(hashed), F.xxhash64(F.lit(1), *hashed)
+    rows = docs.select(key.alias("key"), other.alias("other"), F.octet_length(text).alias("bytes"))
+    rows = rows.groupBy("key").agg(F.min("other").alias("least"), F.max("other").alias("most"), F.sum("bytes").alias("bytes"))
+    known = rows.agg(F.sum("bytes").alias("bytes"), F.collect_list(F.when(F.col("least") != F.col("most"), F.col("key"))).alias("clashes")).first()  # of n rows some n² / 2⁶⁵ clash
+    parts = max(shuffle_parts(docs.sparkSession), -(-(known.bytes or 0) // PART_BYTES))
+    if known.clashes:
+        key = F.when(key.isin(known.clashes), other).otherwise(key)
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("__none")).alias("__doc")
+    keyed = docs.select(others, text.cast("binary").alias("__text"), key.alias("__key")).repartition(parts, "__key")
 
     def repeats(dealt: DataFrame) -> DataFrame:
         found = dealt.repartition(parts, "part").mapInArrow(_find_repeats(parts), ROUTED)
@@ -265,5 +282,6 @@ def dedup_substrings(docs: DataFrame, window: int = 35, period: int = 21, text_c
 
     anchors = repeats(keyed.mapInArrow(_hasher(parts, window, period, False), DEALT))
     windows = repeats(keyed.join(anchors, "__key").mapInArrow(_hasher(parts, window, period, True), DEALT))
-    schema = T.StructType([*[docs.schema[c] for c in others], T.StructField(text_col, T.StringType()), *[T.StructField(n, T.LongType()) for n in NEW[:2]], T.StructField(NEW[2], T.StringType())])
-    return keyed.join(windows, "__key", "left").mapInArrow(_cutter(window, text_col, schema.names), schema).select(*[F.col(f"`{c}`") for c in [*docs.columns, *NEW]])
+    schema = T.StructType([keyed.schema["__doc"], T.StructField("__kept", T.StringType()), *[T.StructField(n, T.LongType()) for n in NEW[:2]], T.StructField(NEW[2], T.StringType())])
+    cut = keyed.join(windows, "__key", "left").mapInArrow(_cutter(window, "__kept", schema.names), schema)
+    return cut.select(*[F.col("__kept").alias(c) if c == text_col else F.col(f"__doc.`{c}`") for c in docs.columns], *NEW)

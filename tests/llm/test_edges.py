@@ -30,7 +30,7 @@ def operators(spark):
         "substrings": lambda df: substring_dedup.dedup_substrings(df),
         "contamination": lambda df: decontaminate.contamination(df, items),
         "drop_contaminated": lambda df: decontaminate.drop_contaminated(df, items),
-        "simhash": lambda df: simhash.simhash_groups(df).drop("__root"),
+        "simhash": lambda df: simhash.simhash_groups(df),
         "drop_near": lambda df: simhash.drop_near_copies(df),
         "mix": lambda df: mixing.mix(df),
         "toxicity": lambda df: toxicity.score(df, toxic_model()),
@@ -70,6 +70,22 @@ def test_substrings_against_brute_force(spark):
     assert got == brute.substrings(list(enumerate(TEXTS)))
 
 
+def test_substrings_of_rows_that_share_a_hash(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "row_hash", lambda columns: F.coalesce(F.length(columns[1]), F.lit(0)).cast("long") % 3)
+    texts = [f"{PASSAGE} a", f"{PASSAGE} b c", "d " * 40, "x y z", None, f"q {PASSAGE}", *("u v w " * k for k in range(12))]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.dedup_substrings(frame(spark, texts)).collect()}
+    assert got == brute.substrings(list(enumerate(texts)))
+
+
+@pytest.mark.parametrize("name", ["substrings", "simhash", "quality", "language", "mix", "toxicity", "contamination"])
+def test_columns_named_like_inner_ones(spark, name):
+    names = "text2 __text __key __marks __print __root __chars __doc __sha __row doc print root key row id end start order sizes other lang2 label"
+    df = frame(spark, ["a b c", None, PASSAGE, PASSAGE]).select("*", *[F.lit(i).alias(c) for i, c in enumerate(names.split())])
+    got = operators(spark)[name](df)
+    assert got.count() == 4 and len(set(got.columns)) == len(got.columns) and set(names.split()) <= set(got.columns)
+    assert got.where("__key = 2 and __text = 1 and id = 15 and doc = 10").count() == 4
+
+
 @pytest.mark.parametrize(("window", "period"), [(8, 7), (15, 13), (35, 7), (35, 21), (40, 31)])
 def test_substrings_random(spark, window, period):
     r = np.random.default_rng(window)
