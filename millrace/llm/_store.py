@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_local: dict[str, str] = {}  # by application: the folder of one in local mode that names none
+_tables: dict[str, list[str]] = {}  # by application: tables that stash has written
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; in local mode only, a new one where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,9 +22,10 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    return _local[app]
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
@@ -28,9 +33,25 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _tables.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stashed(spark: SparkSession) -> list[str]:
+    """Paths of the tables that stash has written and release has not deleted."""
+    return list(_tables.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stashed tables that nothing will read again. What the operators return reads some of them, so a caller does this once its own results are written."""
+    own = _tables.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in own:
+            own.remove(path)
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     """Partitions that a job deals rows to: the session's own setting, which its user sizes to the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -15,7 +15,8 @@ assistant turn's escaped text.
 Null texts and roles are empty. Turns of one number are ordered by role, then text; a null
 number comes first. Repeated rows stay. A conversation is one row of output, whatever its
 length. An empty table gives an empty result. Layout columns are named by the caller, so
-other columns never clash with them; those of the result's names are replaced.
+other columns never clash with them; those of the result's names are replaced. A
+conversation's text is one string, so it may have 2**31 bytes at most.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ TURN = "struct<role:string,text:string>"
 ASSISTANT = "assistant"
 #: Escapes in the order of writing (fixed values); reading goes backwards.
 ESCAPES = (("\\", "\\b"), ("<", "\\l"), (">", "\\g"))
-OPEN, CLOSE, END = "<turn ", ">", "</turn>"
+OPEN, CLOSE, END, BLOCK = "<turn ", ">", "</turn>", 256
 
 
 @dataclass(frozen=True)
@@ -138,18 +139,27 @@ def format_turns(df: DataFrame) -> DataFrame:
     df = keep_columns(df, NEW[2:], "turns")
     piece = lambda t: F.concat(F.lit(OPEN), escape(t["role"]), F.lit(CLOSE), escape(t["text"]), F.lit(END))
 
+    length = F.transform("turns", lambda t: F.struct((F.length(escape(t["role"])) + len(OPEN + CLOSE)).cast("long").alias("head"), F.length(escape(t["text"])).cast("long").alias("body"), (t["role"] == ASSISTANT).alias("own")))
+    none = F.array().cast("array<struct<start:bigint,length:bigint>>")
+    after = lambda at, t: at + t["head"] + t["body"] + F.lit(len(END)).cast("long")
+
     def span(done: Column, t: Column) -> Column:
-        head = F.length(escape(t["role"])) + len(OPEN + CLOSE)
-        body = F.length(escape(t["text"]))
-        own = F.struct((done["at"] + head).cast("long").alias("start"), body.cast("long").alias("length"))
-        spans = F.when(t["role"] == ASSISTANT, F.concat(done["spans"], F.array(own))).otherwise(done["spans"])
-        return F.struct((done["at"] + head + body + len(END)).cast("long").alias("at"), spans.alias("spans"))
-
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-    return df.withColumns({
-        "formatted": F.array_join(F.transform("turns", piece), ""),
-        "loss_mask": F.aggregate("turns", start, span, lambda done: done["spans"]),
-    })
+        own = F.struct((done["at"] + t["head"]).alias("start"), t["body"].alias("length"))
+        return F.struct(after(done["at"], t).alias("at"), F.when(t["own"], F.concat(done["spans"], F.array(own))).otherwise(done["spans"]).alias("spans"))
+
+    def begun(done: Column, block: Column) -> Column:
+        """Where each block begins: an array that grows by one a block."""
+        at = F.element_at(done, -1)
+        return F.concat(done, F.array(F.aggregate(block, at, after)))
+
+    # in blocks of turns, as an array that grows by one a turn would be copied at every turn
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("turns") - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice("__length", i + 1, F.lit(BLOCK)))
+    x = df.withColumn("__length", length).withColumn("__blocks", blocks)
+    x = x.withColumn("__begin", F.aggregate("__blocks", F.array(F.lit(0).cast("long")), begun))
+    own_spans = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), span, lambda done: done["spans"])
+    mask = F.flatten(F.zip_with("__blocks", F.slice("__begin", F.lit(1), F.size("__blocks")), own_spans))
+    done = x.withColumns({"formatted": F.array_join(F.transform("turns", piece), ""), "loss_mask": F.when(F.col("turns").isNotNull(), mask)})
+    return done.select(*[F.col(f"`{c}`") for c in df.columns], *NEW[2:])
 
 
 def read_turns(formatted: Column) -> Column:

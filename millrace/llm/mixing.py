@@ -80,17 +80,19 @@ def mix(docs: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5, mos
     own = [F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col]  # kept in a struct, so that no name of theirs meets one of ours
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
     sized = docs.select(F.struct(*own).alias("doc"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
-    if not keep_text:
-        sized = stash(sized, "mix-sizes")
-    sources = stash(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mix-sources")
+    # words are counted once for all sums; a text that stays in the result is read once more, and moves once
+    small = stash(sized.drop("doc") if keep_text else sized, "mix-sizes")
+    sized = sized if keep_text else small
+    sources = stash(small.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs")), "mix-sources")
     goals = targets(sources, list(weights), share, most).withColumn("shards", F.ceil(F.col("docs") / rows_per_shard))
     seats = goals.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block))
     quotas = stash(apportion(seats, "target", "seats", [], ["source"]).withColumnRenamed("quota", "source_quota"), "mix-quotas")
     goal = quotas.select(F.col("source").alias("goal_of"), "source_size", "target", "shards", "source_quota")
     ordered = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")))
     shard = F.pmod(hex_number(F.concat_ws(":", F.lit(f"{seed}s"), F.col("id").cast("string"))), F.col("shards"))
-    dealt = sized.join(goal, F.col("source").eqNullSafe(F.col("goal_of"))).withColumns({"order": ordered, "shard": shard})
-    shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota")).withColumn("blocks", F.ceil(F.col("words") / block))
+    deal = lambda df: df.join(goal, F.col("source").eqNullSafe(F.col("goal_of"))).withColumns({"order": ordered, "shard": shard})
+    dealt = deal(sized)
+    shards = deal(small).groupBy("source", "shard").agg(F.sum("size").alias("words"), F.first("source_quota").alias("source_quota")).withColumn("blocks", F.ceil(F.col("words") / block))
     given = apportion(shards, "words", "source_quota", ["source"], ["shard"]).withColumn("quota", F.least("quota", F.col("blocks") * int(most)))
     given = given.select(F.col("source").alias("quota_of"), F.col("shard").alias("quota_shard"), F.col("blocks").alias("n"), "quota")
     place = W.partitionBy("source", "shard").orderBy("order", "id", "size").rowsBetween(W.unboundedPreceding, 0)

@@ -35,7 +35,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm._store import heavy_keys, keep_columns, shuffle_parts, skew_join, small_batches, stash
+from millrace.llm._store import heavy_keys, keep_columns, release, shuffle_parts, skew_join, small_batches, stash, stashed
 from millrace.llm._text import buffers, with_columns
 
 SEED, SEGMENT, CROWD = 42, 32, 4096
@@ -182,8 +182,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) for all nodes of edges (a, b); root is the smallest node reachable. Each round halves the distances: nodes take the smallest root around them, then their root's root."""
     both = stash(edges.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("near"))), "simhash-edges")
     hubs = heavy_keys(both, "near")
+    kept = set(stashed(edges.sparkSession))
     roots = stash(both.groupBy("node").agg(F.least(F.min("near"), F.col("node")).alias("root")), "simhash-roots")
     while True:
+        before = set(stashed(edges.sparkSession)) - kept  # roots that this round replaces
         near = skew_join(both, roots.select(F.col("node").alias("near"), "root"), "near", heavy=hubs).groupBy("node").agg(F.min("root").alias("best"))
         # what a node learns is passed to its root as well, so that whole trees move at once
         told = roots.join(near.hint("merge"), "node").select(F.explode(F.array(F.col("node"), F.col("root"))).alias("node"), "best").groupBy("node").agg(F.min("best").alias("best"))
@@ -193,6 +195,7 @@ def components(edges: DataFrame) -> DataFrame:
         if not new.where(F.col("was") != F.col("root")).limit(1).count():
             return new.select("node", "root")
         roots = new.select("node", "root")
+        release(edges.sparkSession, sorted(before))
 
 
 def grouped(docs: DataFrame, id_col: str, bits: int, shingle: int, text_col: str) -> DataFrame:

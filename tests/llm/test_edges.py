@@ -387,3 +387,44 @@ def test_languages_and_rejection(spark):
     assert all(got[i].lang_pred == lang for i, _, lang in rows[:200])
     assert [got[i].lang_pred for i in (900, 901)] == ["und", "und"] and got[902].lang_pred in ("x", "y") and got[902].rejected
     assert np.mean([got[i].rejected for i in range(200)]) < 0.05
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and repeated rows and extra columns pass through every stage; so does an empty table."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __row string, print int, key int"
+    rows = [(i, t, None, ["s1", None][i % 2], None, "x", 1, 2) for i, t in enumerate(TEXTS)] + [(1, "", None, None, None, "x", 1, 2), (None, PASSAGE, "en", "s1", 9, None, 1, 2), (None, None, None, None, None, None, None, None)]
+    marks = spark.createDataFrame([(i, i % 2, int(i == 7)) for i in range(9)], "doc_id long, quality int, toxic int")
+    marks.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "p1 p2 p3"), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for k, given in enumerate((rows, [])):
+        kept = spark.createDataFrame(given, schema)
+        for name, stage in corpus_pipeline.STAGES:
+            out = f"{tmp_path}/{k}-{name}"
+            stage(spark, kept, str(tmp_path)).write.parquet(out)
+            kept = spark.read.parquet(out)
+            assert kept.columns[:8] == ["doc_id", "text", "lang", "source", "n_chars", "__row", "print", "key"], name
+        assert (kept.count() > 0) == bool(given)
+
+
+def test_tables_are_released(spark, data):
+    import os
+
+    import corpus_pipeline
+    from millrace.llm._store import stashed
+
+    before = set(stashed(spark))
+    got = corpus_pipeline.run(spark, data)
+    n = got.count()
+    left = [p for p in stashed(spark) if p not in before]
+    assert n > 0 and sum("mix" not in p for p in left) == 1  # the last stage's input
+    assert all(os.path.isdir(p.removeprefix("file:")) for p in left)
+
+
+def test_loss_mask_of_a_long_conversation(spark):
+    turns = [("assistant" if i % 3 else "user", f"t<{i}>" * (i % 5)) for i in range(1500)]
+    df = spark.createDataFrame([(1, turns), (2, []), (3, None)], "id int, turns array<struct<role:string,text:string>>")
+    x = chat_format.format_turns(df).select("id", "loss_mask", chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("l"))
+    got = {r.id: r for r in x.collect()}
+    assert got[1].l == "".join(t for r, t in turns if r == "assistant") and got[2].loss_mask == [] and got[3].loss_mask is None
