@@ -96,15 +96,21 @@ def split_long(text: Column, max_chars: int = rules.CHUNK_CHARS, ends: str = rul
 
 
 def tokens(text: Column, stop_words: Sequence[str] = rules.STOP_WORDS) -> Column:
-    """Words of CJK, Latin letters and digits of two characters and more that are no stop words. CJK runs become overlapping pairs; case is kept; all else separates."""
-    spaced = F.regexp_replace(text, r"[^\x{4e00}-\x{9fa5}a-zA-Z0-9]", " ")
-    parts = F.regexp_extract_all(spaced, F.lit(r"([\x{4e00}-\x{9fa5}]+|[a-zA-Z0-9]+)"), F.lit(1))
+    """Words of CJK, Latin letters and digits of two characters and more that are no stop words. CJK runs become overlapping pairs; case is kept; all else separates.
+
+    A text without CJK is one regular expression and, where there are Latin stop words, a filter.
+    """
+    cjk, latin = r"[\x{4e00}-\x{9fa5}]", "[a-zA-Z0-9]"
+    plain = [w for w in stop_words if w.isascii()]
+    parts = F.regexp_extract_all(text, F.lit(f"({cjk}+|{latin}{{2,}})"), F.lit(1))
 
     def units(part: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(part) - 1, F.lit(1))), lambda i: F.substr(part, i, F.lit(2)))
-        return F.when(part.rlike(r"^[\x{4e00}-\x{9fa5}]"), pairs).otherwise(F.array(part))
+        return F.when(part.rlike(f"^{cjk}"), pairs).otherwise(F.array(part))
 
-    return F.filter(F.flatten(F.transform(parts, units)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words))
+    mixed = F.filter(F.flatten(F.transform(parts, units)), lambda t: (F.length(t) > 1) & ~t.isin(*stop_words))
+    words = F.regexp_extract_all(text, F.lit(f"({latin}{{2,}})"), F.lit(1))
+    return F.when(text.rlike(cjk), mixed).otherwise(F.filter(words, lambda t: ~t.isin(*plain)) if plain else words)
 
 
 def table_markdown(cells: Column, index: Column) -> Column:

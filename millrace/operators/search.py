@@ -14,6 +14,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -24,6 +26,7 @@ from millrace.functions import text
 from millrace.functions.sampling import hash_sample
 
 QUERY_BLOCK_MB = 64
+BLOCK_TERMS, BLOCK_QUERIES, MEETS = 1_000_000, 1024, 1 << 21  # of a broadcast block of lexical questions; terms that are scored at once
 VECTOR_HITS = "query_id long, id long, score double"
 
 
@@ -35,10 +38,14 @@ def matching(filters: dict) -> Column:
 def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -> DataFrame:
     """(query_id, id, score, rank): the k rows of largest inner product for each query, ties to the smaller id.
 
+    Vectors that are null or hold nulls take no part; vectors meet those of their own length.
+
     queries: query_id, embedding; corpus: id, embedding and the filters' columns, which are
     applied before ranking. Products are taken for batches of rows at once, and a batch
     keeps k rows a query.
     """
+    whole = F.forall("embedding", lambda x: x.isNotNull())
+    queries, corpus = queries.where(whole), corpus.where(whole)
     size = queries.agg(F.sum(F.size("embedding")), F.count(F.lit(1))).first()
     blocks = max(1, math.ceil((size[0] or 0) * 8 / (QUERY_BLOCK_MB << 20)))
     rows = corpus.where(matching(filters)).select(F.col("id").cast("long").alias("id"), "embedding")
@@ -51,11 +58,14 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -
             for pdf in frames:
                 if not len(pdf) or not len(ids):
                     continue
-                for a in range(0, len(pdf), 2048):
-                    own = pdf.iloc[a : a + 2048]
-                    score = np.stack(own["embedding"].to_numpy()).astype(np.float64) @ q.T
-                    order = np.lexsort((np.broadcast_to(own["id"].to_numpy()[:, None], score.shape), -score), axis=0)[:k]
-                    yield pd.DataFrame({"query_id": np.tile(ids, len(order)), "id": own["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
+                for dim, same in pdf.groupby(pdf["embedding"].map(len)):
+                    if dim not in q:
+                        continue
+                    for a in range(0, len(same), 2048):
+                        own = same.iloc[a : a + 2048]
+                        score = np.stack(own["embedding"].to_numpy()).astype(np.float64) @ q[dim].T
+                        order = np.lexsort((np.broadcast_to(own["id"].to_numpy()[:, None], score.shape), -score), axis=0)[:k]
+                        yield pd.DataFrame({"query_id": np.tile(ids[dim], len(order)), "id": own["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
 
         return run
 
@@ -63,7 +73,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = block.toPandas()  # at most about QUERY_BLOCK_MB
-        value = (got["query_id"].to_numpy(np.int64), np.stack(got["embedding"].to_numpy()).astype(np.float64) if len(got) else np.zeros((0, 0)))
+        by = {dim: x for dim, x in got.groupby(got["embedding"].map(len)) if dim}
+        value = ({d: x["query_id"].to_numpy(np.int64) for d, x in by.items()}, {d: np.stack(x["embedding"].to_numpy()).astype(np.float64) for d, x in by.items()})
         found.append(rows.mapInPandas(scan(context.broadcast(cloudpickle.dumps(value))), VECTOR_HITS))
     return best(reduce(DataFrame.unionByName, found), k)
 
@@ -106,15 +117,11 @@ def dot(a: str, b: str) -> Column:
 Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas UDF with a word segmenter will do
 
 
-def term_counts(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
-    """(id, len, term, tf) of documents (id, text)."""
-    split = docs.select("id", tokenize(F.col("text")).alias("tokens"))
-    return split.select("id", F.size("tokens").alias("len"), F.explode("tokens").alias("term")).groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def bm25_df(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
-    """Documents that have a term, and its occurrences."""
-    return term_counts(docs, tokenize).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    """Documents that have a term, and its occurrences. A document's terms are sorted in its row, so that one exchange by term counts both."""
+    own = docs.select(F.sort_array(tokenize(F.col("text"))).alias("t"))
+    marked = own.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), (~F.get("t", i - 1).eqNullSafe(x)).cast("long").alias("first")))).alias("x"))
+    return marked.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
 def bm25_stats(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
@@ -126,21 +133,87 @@ def bm25_stats(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, tokenize: Tokenizer = text.tokens) -> DataFrame:
     """(query_id, id, score, rank) by BM25 over documents (id, text); a query's repeated terms count each time; scores of zero give no row.
 
-    Only the questions' terms are kept of the corpus, by an equality join that Spark
-    broadcasts where the terms are few; df is counted on what is left, so a corpus term
-    that nobody asks for crosses no network.
+    The questions' weighted terms are broadcast in blocks of a counted size, one pass over the
+    documents for each. A document is scored where it lies, and a task sends k rows a
+    question, so no postings cross the network, however common a term is.
     """
     asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    terms = asked.select("term").distinct()
-    split = docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens")).withColumn("len", F.size("tokens"))
-    stats = split.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avgdl"))
-    postings = split.select("id", "len", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").join(F.broadcast(stats))  # stats is one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    scored = postings.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum(F.col("qtf") * idf * gain), 9).alias("score"))  # rounded, so that equal documents tie however their terms are added
-    return best(scored.where("score > 0"), k)
+    split = docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
+    n, avgdl = split.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
+    df = split.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("weight"))
+    weighted = weighted.persist()  # read for its size, then block by block
+    size = weighted.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    blocks = max(1, math.ceil(size[0] / BLOCK_TERMS), math.ceil(size[1] / BLOCK_QUERIES))
+    schema = T.StructType([queries.schema["query_id"], docs.schema["id"], T.StructField("score", T.DoubleType())])
+    found = []
+    for i in range(blocks):
+        block = (weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()  # about BLOCK_TERMS rows at most
+        shared = queries.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_postings(block)))
+        found.append(split.mapInArrow(_score(shared, k, k1, b, avgdl or 1.0), schema))
+    weighted.unpersist()
+    return best(reduce(DataFrame.unionByName, found), k)
+
+
+def _postings(block: pa.Table) -> tuple:
+    """(questions, terms by number, where each term's questions start, their numbers, their weights)."""
+    questions = block.column("query_id").combine_chunks().dictionary_encode()
+    terms = block.column("term").combine_chunks().dictionary_encode()
+    at, of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms, questions))
+    order = np.lexsort((of, at))
+    start = np.searchsorted(at[order], np.arange(len(terms.dictionary) + 1))
+    return questions.dictionary, {t: i for i, t in enumerate(terms.dictionary.to_pylist())}, start, of[order], block.column("weight").to_numpy()[order]
+
+
+def _score(shared, k: int, k1: float, b: float, avgdl: float):
+    """Tokens of documents to each question's k best of a task."""
+
+    def run(batches):
+        questions, known, start, of, weight = pickle.loads(shared.value)
+        held, rows = [], 0
+
+        def reduced():
+            q, ids, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
+            place = np.empty(len(q), np.int64)
+            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(q))
+            order = np.lexsort((place, -score, q))
+            first = np.searchsorted(q[order], q[order], "left")
+            keep = order[np.arange(len(order)) - first < k]
+            return q[keep], ids.take(pa.array(keep)), score[keep]
+
+        for batch in batches:
+            tokens, ids = batch.column("tokens"), batch.column("id")
+            size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = tokens.flatten().dictionary_encode()
+            number = np.array([known.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
+            code = number[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
+            doc = np.repeat(np.arange(len(size)), size)
+            pair, tf = np.unique((doc * max(1, len(known)) + code)[code >= 0], return_counts=True)
+            doc, code = np.divmod(pair, max(1, len(known)))
+            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
+            meets = start[code + 1] - start[code] if len(code) else np.zeros(0, np.int64)
+            total, a = np.concatenate(([0], np.cumsum(meets))), 0
+            while a < len(code):  # documents whose terms meet some MEETS questions' terms
+                z = max(a + 1, int(np.searchsorted(total, total[a] + MEETS, "right")) - 1)
+                z = int(np.searchsorted(doc, doc[z - 1], "right"))
+                each = np.repeat(np.arange(a, z), meets[a:z])
+                at = start[code[each]] + np.arange(len(each)) - (total[each] - total[a])
+                near, low = of[at], doc[a]
+                score = np.bincount((doc[each] - low) * len(questions) + near, gain[each] * weight[at], (doc[z - 1] - low + 1) * len(questions))
+                score = np.round(score, 9)  # so that equal documents tie however their terms are added
+                hit = np.flatnonzero(score > 0)
+                d, q = np.divmod(hit, len(questions))
+                held.append((q, ids.take(pa.array(d + low)), score[hit]))
+                rows += len(hit)
+                if rows > max(1 << 18, 4 * k * len(questions)):
+                    held = [reduced()]
+                    rows = len(held[0][0])
+                a = z
+        if held:
+            q, ids, score = reduced()
+            yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), ids, pa.array(score)], names=["query_id", "id", "score"])
+
+    return run
 
 
 def rrf_fuse(lists: Sequence[tuple[DataFrame, float]], k: int = 10, constant: int = 60) -> DataFrame:
@@ -162,21 +235,22 @@ def token_overlap(pairs: pd.DataFrame) -> pd.Series:
 
 
 def rerank(hits: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series] | None, k: int = 5) -> DataFrame:
-    """hits (query_id, id, query, text, score, rank) by a pair scorer, with relevance, original_rank and new_rank; without a scorer, or for batches where it fails, the original score counts."""
+    """hits (query_id, id, query, text, score, rank) by a pair scorer, with relevance, original_rank, new_rank and scored; without a scorer, or for batches where it fails, the original score counts and scored is false."""
     relevance = F.coalesce(F.col("score"), F.lit(0.0)).cast("double")
     if scorer is None:
-        scored = hits.withColumn("relevance", relevance)
+        scored = hits.withColumns({"relevance": relevance, "scored": F.lit(False)})
     else:
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in frames:
+                done = True
                 try:
                     got = scorer(pdf[["query", "text"]]).to_numpy(float)
-                except Exception:  # a scorer is the caller's; its failure leaves the order as it was
-                    got = pdf["score"].fillna(0.0).to_numpy(float)
-                yield pdf.assign(relevance=got)
+                except Exception:  # a scorer is the caller's; its failure leaves the order as it was, and says so
+                    got, done = pdf["score"].fillna(0.0).to_numpy(float), False
+                yield pdf.assign(relevance=got, scored=done)
 
-        scored = hits.mapInPandas(run, T.StructType([*hits.schema, T.StructField("relevance", T.DoubleType())]))
+        scored = hits.mapInPandas(run, T.StructType([*hits.schema, T.StructField("relevance", T.DoubleType()), T.StructField("scored", T.BooleanType())]))
     order = W.partitionBy("query_id").orderBy(F.desc("relevance"), "rank", "id")
     ranked = scored.withColumns({"original_rank": F.col("rank"), "new_rank": F.row_number().over(order)})
     return ranked.where(F.col("new_rank") <= k).drop("rank")
@@ -193,8 +267,8 @@ def score_filter(hits: DataFrame, least: float = 0.2, k: int = 5, score: str = "
 
 
 def sources(hits: DataFrame, chars: int = 200) -> DataFrame:
-    """Hits as answer sources: text cut, page, rounded score."""
-    return hits.select("query_id", "rank", "id", text.cut(F.col("text"), chars).alias("text"), F.col("page_start").alias("page"), F.round("score", 4).alias("score"))
+    """Hits as answer sources: text cut, page, section, type, rounded score."""
+    return hits.select("query_id", "rank", "id", text.cut(F.col("text"), chars).alias("text"), F.col("page_start").alias("page"), "section", "content_type", F.round("score", 4).alias("score"))
 
 
 def compound_query(sub_queries: Column, query: Column) -> Column:
