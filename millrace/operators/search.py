@@ -44,28 +44,34 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -
     applied before ranking. Products are taken for batches of rows at once, and a batch
     keeps k rows a query.
     """
+    return _scan(queries, corpus.where(matching(filters)), k, lambda ids, q, x: [(np.arange(len(x)), np.arange(len(q)))])
+
+
+def _scan(queries: DataFrame, corpus: DataFrame, k: int, pairs: Callable) -> DataFrame:
+    """The k best of all rows for each query, taken where the rows lie. pairs(ids, q, x): which rows of a batch x meet which queries q, as (places in x, places in q)."""
     whole = F.forall("embedding", lambda x: x.isNotNull())
     queries, corpus = queries.where(whole), corpus.where(whole)
     size = queries.agg(F.sum(F.size("embedding")), F.count(F.lit(1))).first()
     blocks = max(1, math.ceil((size[0] or 0) * 8 / (QUERY_BLOCK_MB << 20)))
-    rows = corpus.where(matching(filters)).select(F.col("id").cast("long").alias("id"), "embedding")
+    rows = corpus.select(F.col("id").cast("long").alias("id"), "embedding")
     context = queries.sparkSession.sparkContext
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
 
     def scan(shared) -> Callable:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            ids, q = pickle.loads(shared.value)
+            by, meeting = pickle.loads(shared.value)
             for pdf in frames:
-                if not len(pdf) or not len(ids):
-                    continue
                 for dim, same in pdf.groupby(pdf["embedding"].map(len)):
-                    if dim not in q:
+                    if dim not in by:
                         continue
+                    ids, q = by[dim]
                     for a in range(0, len(same), 2048):
                         own = same.iloc[a : a + 2048]
-                        score = np.stack(own["embedding"].to_numpy()).astype(np.float64) @ q[dim].T
-                        order = np.lexsort((np.broadcast_to(own["id"].to_numpy()[:, None], score.shape), -score), axis=0)[:k]
-                        yield pd.DataFrame({"query_id": np.tile(ids[dim], len(order)), "id": own["id"].to_numpy()[order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
+                        x, row_ids = np.stack(own["embedding"].to_numpy()).astype(np.float64), own["id"].to_numpy()
+                        for at, of in meeting(ids, q, x):
+                            score = x[at] @ q[of].T
+                            order = np.lexsort((np.broadcast_to(row_ids[at][:, None], score.shape), -score), axis=0)[:k]
+                            yield pd.DataFrame({"query_id": np.tile(ids[of], len(order)), "id": row_ids[at][order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
 
         return run
 
@@ -73,9 +79,8 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = block.toPandas()  # at most about QUERY_BLOCK_MB
-        by = {dim: x for dim, x in got.groupby(got["embedding"].map(len)) if dim}
-        value = ({d: x["query_id"].to_numpy(np.int64) for d, x in by.items()}, {d: np.stack(x["embedding"].to_numpy()).astype(np.float64) for d, x in by.items()})
-        found.append(rows.mapInPandas(scan(context.broadcast(cloudpickle.dumps(value))), VECTOR_HITS))
+        by = {dim: (x["query_id"].to_numpy(np.int64), np.stack(x["embedding"].to_numpy()).astype(np.float64)) for dim, x in got.groupby(got["embedding"].map(len)) if dim}
+        found.append(rows.mapInPandas(scan(context.broadcast(cloudpickle.dumps((by, pairs)))), VECTOR_HITS))
     return best(reduce(DataFrame.unionByName, found), k)
 
 
@@ -88,30 +93,28 @@ def best(scored: DataFrame, k: int, score: str = "score", by: str = "query_id",
 def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 128, probes: int = 16, sample: int = 50_000, seed: int = 42) -> DataFrame:
     """Approximate top-k: k-means cells, of which each query searches the nearest by inner product.
 
-    Centres are fitted on at most `sample` rows by hash of the id; every row is assigned. Only
-    rows of a probed cell meet a query, by an equality join on the cell.
+    Centres are fitted on at most `sample` rows by hash of the id; every row is assigned where
+    it lies and meets the queries that probe its cell, so a cell of many rows is no task of its own.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    rows = corpus.select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding")).withColumn("features", array_to_vector("embedding"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(hash_sample(rows, sample, "id"))
+    rows = corpus.where(F.forall("embedding", lambda x: x.isNotNull())).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(hash_sample(rows, sample, "id").withColumn("features", array_to_vector("embedding")))
     centres = np.array(model.clusterCenters())
 
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            score = np.stack(pdf["q"].to_numpy()) @ centres.T if len(pdf) else np.zeros((0, len(centres)))
-            at = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-            yield pd.DataFrame({"query_id": np.repeat(pdf["query_id"].to_numpy(), at.shape[1]), "q": pdf["q"].repeat(at.shape[1]).to_numpy(), "cell": at.ravel()})
-
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("q"))
-    near = asked.mapInPandas(nearest, "query_id long, q array<double>, cell int")
-    hits = model.transform(rows).select("id", "embedding", "cell").join(near, "cell").select("query_id", "id", dot("q", "embedding").alias("score"))
-    return best(hits, k)
-
-
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    def meeting(ids, q, x):
+        if q.shape[1] != centres.shape[1]:
+            return
+        probed = np.zeros((len(q), len(centres)), bool)
+        np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+        cell = ((centres**2).sum(axis=1) / 2 - x @ centres.T).argmin(axis=1)
+        for c in np.unique(cell):
+            of = np.flatnonzero(probed[:, c])
+            if len(of):
+                yield np.flatnonzero(cell == c), of
+
+    return _scan(queries, rows, k, meeting)
 
 
 Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas UDF with a word segmenter will do

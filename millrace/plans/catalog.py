@@ -76,12 +76,6 @@ def vector_chunks(spark, sf_dir) -> DataFrame:
 
 
 def chunk_texts(spark, sf_dir) -> DataFrame:
-    """Texts for three quarters of the vectors, some ids twice."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
-    return d.select((F.col("doc_id") % 4).cast("string").alias("kb_name"), F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), "doc_id", "text").where("line = 1 OR doc_id % 5 = 0").select("kb_name", F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "line", F.concat("line", F.lit(":"), F.substring("text", 1, 50)).alias("text"))
-
-
-def whole_texts(spark, sf_dir) -> DataFrame:
     """Every document's whole text, some ids twice."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("line"), "text").where("line = 1 OR doc_id % 5 = 0")
     return d.select((F.col("doc_id") % 4).cast("string").alias("kb_name"), F.format_string("chunk_%04d", "doc_id").alias("chunk_id"), "line", F.concat("line", F.lit(":"), "text").alias("text"))
@@ -253,14 +247,9 @@ def embedding_quality(spark, sf_dir):
     return embedding.embedding_quality(vector_chunks(spark, sf_dir)).withColumn("dims", F.col("dims").cast("array<bigint>"))
 
 
-@query(f"WITH {VECTORS_SQL}, {TEXTS_SQL} SELECT vec.kb_name, vec.chunk_id, coalesce(t.text, '') AS text FROM vec LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
+@query(f"WITH {VECTORS_SQL}, {TEXTS_SQL} SELECT vec.kb_name, vec.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5 FROM vec LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
 def backfill_text(spark, sf_dir):
-    return embedding.backfill_text(vector_chunks(spark, sf_dir), chunk_texts(spark, sf_dir)).select("kb_name", "chunk_id", "text")
-
-
-@query(f"WITH {VECTORS_SQL}, {WHOLE_TEXTS_SQL} SELECT vec.kb_name, vec.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5 FROM vec LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
-def backfill_text_whole(spark, sf_dir):
-    return embedding.backfill_text(vector_chunks(spark, sf_dir), whole_texts(spark, sf_dir)).select("kb_name", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
+    return embedding.backfill_text(vector_chunks(spark, sf_dir), chunk_texts(spark, sf_dir)).select("kb_name", "chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"))
 
 
 @query(f"WITH {VECTORS_SQL} SELECT kb_name, chunk_id, len(embedding) AS dim FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding)))")
@@ -268,24 +257,18 @@ def dim_gate(spark, sf_dir):
     return embedding.dim_gate(vector_chunks(spark, sf_dir).where("embedding IS NOT NULL")).select("kb_name", "chunk_id", F.size("embedding").alias("dim"))
 
 
-def collection_rows(spark, sf_dir, texts=chunk_texts) -> DataFrame:
+def collection_rows(spark, sf_dir) -> DataFrame:
     even = embedding.dim_gate(vector_chunks(spark, sf_dir).where("embedding IS NOT NULL"))
     none = {c: F.lit(None).cast(t) for c, t in (("page_start", "int"), ("page_end", "int"), ("section", "string"), ("source_pdf", "string"), ("table_index", "int"))}
-    return embedding.collection(embedding.backfill_text(even, texts(spark, sf_dir)).withColumns(none))
+    return embedding.collection(embedding.backfill_text(even, chunk_texts(spark, sf_dir)).withColumns(none))
 
 
 GATED = f"{VECTORS_SQL}, {TEXTS_SQL}, even AS (SELECT * FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding))))"
-WHOLE_GATED = f"{VECTORS_SQL}, {WHOLE_TEXTS_SQL}, even AS (SELECT * FROM vec WHERE embedding IS NOT NULL AND kb_name IN (SELECT kb_name FROM vec GROUP BY 1 HAVING min(len(embedding)) = max(len(embedding))))"
 
 
-@query(f"WITH {GATED} SELECT e.chunk_id, coalesce(t.text, '') AS text, 0::BIGINT AS page_start, 0::BIGINT AS page_end, '' AS section, '' AS source_pdf, e.type AS content_type, 0::BIGINT AS table_index, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
+@query(f"WITH {GATED} SELECT e.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5, e.type AS content_type, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
 def collection(spark, sf_dir):
-    return collection_rows(spark, sf_dir).withColumn("dim", F.size("embedding")).drop("embedding")
-
-
-@query(f"WITH {WHOLE_GATED} SELECT e.chunk_id, length(coalesce(t.text, '')) AS chars, md5(coalesce(t.text, '')) AS text_md5, e.type AS content_type, e.kb_name, len(embedding) AS dim FROM even e LEFT JOIN (SELECT kb_name, chunk_id, arg_max(text, line) AS text FROM texts GROUP BY ALL) t USING (kb_name, chunk_id)")
-def collection_whole(spark, sf_dir):
-    got = collection_rows(spark, sf_dir, whole_texts)
+    got = collection_rows(spark, sf_dir)
     return got.select("chunk_id", F.length("text").alias("chars"), F.md5("text").alias("text_md5"), "content_type", "kb_name", F.size("embedding").alias("dim"))
 
 
@@ -315,8 +298,9 @@ def ivf_topk(spark, sf_dir):
 
 
 def lexical_hits(spark, sf_dir, k=20) -> DataFrame:
-    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("text"))
-    return search.bm25_topk(asked, documents(spark, sf_dir).where("id < 500 OR id % 3 = 0"), k)
+    """Every hundredth document asks with its whole text, against all documents."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
+    return search.bm25_topk(asked, documents(spark, sf_dir), k)
 
 
 @query(f"WITH {FUSED_SQL} SELECT query_id, id, round(fused_score, 9) AS fused_score, rank FROM fused")
@@ -331,32 +315,14 @@ def hybrid_topk(spark, sf_dir):
     return rounded(search.hybrid_topk(hits, lexical_hits(spark, sf_dir), 10)).withColumn("fused_score", F.round("fused_score", 9))
 
 
-def whole_lexical_hits(spark, sf_dir, k=20) -> DataFrame:
-    """Every hundredth document asks with its whole text, against all documents."""
-    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text")
-    return search.bm25_topk(asked, documents(spark, sf_dir), k)
-
-
-@query(f"WITH {WHOLE_FUSED_SQL} SELECT query_id, id, round(fused_score, 9) AS fused_score, rank FROM fused")
-def rrf_fuse_whole(spark, sf_dir):
-    hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 60)
-    return search.rrf_fuse(((hits, 0.7), (whole_lexical_hits(spark, sf_dir), 0.3)), 10).withColumn("fused_score", F.round("fused_score", 9))
-
-
-@query(f"WITH {WHOLE_FUSED_SQL} SELECT query_id, id, round(fused_score, 9) AS fused_score, f.rank, round(t.score, 6) AS score FROM fused f LEFT JOIN top t USING (query_id, id)")
-def hybrid_topk_whole(spark, sf_dir):
-    hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 60)
-    return rounded(search.hybrid_topk(hits, whole_lexical_hits(spark, sf_dir), 10)).withColumn("fused_score", F.round("fused_score", 9))
-
-
-def texted_hits(spark, sf_dir, k=10, whole=False) -> DataFrame:
+def texted_hits(spark, sf_dir, k=10) -> DataFrame:
     hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), k)
     docs = table(spark, sf_dir, "documents")
-    asked = docs.select(F.col("doc_id").alias("query_id"), (F.col("text") if whole else F.substring("text", 1, 80)).alias("query"))
+    asked = docs.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
     return hits.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").join(asked, "query_id").select("query_id", "id", "query", "text", "score", "rank")
 
 
-@query(f"""WITH {TOPK_SQL(10)}, h AS (SELECT t.*, d.text, q.text[1:80] AS query FROM top t JOIN documents d ON d.doc_id = t.id JOIN documents q ON q.doc_id = t.query_id),
+@query(f"""WITH {TOPK_SQL(10)}, h AS (SELECT t.*, d.text, q.text AS query FROM top t JOIN documents d ON d.doc_id = t.id JOIN documents q ON q.doc_id = t.query_id),
 w AS (SELECT *, list_distinct(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS b FROM h),
 s AS (SELECT *, len(list_intersect(a, b)) / greatest(1, len(a)) AS relevance FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank, id) AS new_rank FROM s)
 SELECT query_id, id, round(relevance, 6) AS relevance, rank AS original_rank, new_rank FROM r WHERE new_rank <= 5""")
@@ -364,23 +330,16 @@ def rerank(spark, sf_dir):
     return rounded(search.rerank(texted_hits(spark, sf_dir), search.token_overlap, 5), "relevance").select("query_id", "id", "relevance", "original_rank", "new_rank")
 
 
-@query(f"""WITH {TOPK_SQL(10)}, h AS (SELECT t.*, d.text, q.text AS query FROM top t JOIN documents d ON d.doc_id = t.id JOIN documents q ON q.doc_id = t.query_id),
-w AS (SELECT *, list_distinct(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS b FROM h),
-s AS (SELECT *, len(list_intersect(a, b)) / greatest(1, len(a)) AS relevance FROM w), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, rank, id) AS new_rank FROM s)
-SELECT query_id, id, round(relevance, 6) AS relevance, rank AS original_rank, new_rank FROM r WHERE new_rank <= 5""")
-def rerank_whole(spark, sf_dir):
-    return rounded(search.rerank(texted_hits(spark, sf_dir, whole=True), search.token_overlap, 5), "relevance").select("query_id", "id", "relevance", "original_rank", "new_rank")
-
-
 @query(f"WITH {TOPK_SQL(10)}, m AS (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM top WHERE id <> query_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS n FROM m) SELECT query_id, id, rank FROM o WHERE (score >= 0.35 AND n <= 3) OR (best < 0.35 AND n = 1)")
 def score_filter(spark, sf_dir):
     hits = search.vector_topk(vector_queries(spark, sf_dir), vectors(spark, sf_dir), 10).where("id <> query_id")
     return search.score_filter(hits, 0.35, 3).select("query_id", "id", "rank")
 
 
-@query(f"WITH {TOPK_SQL(5)} SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM top JOIN documents ON doc_id = id WHERE query_id IN (SELECT doc_id FROM documents)")
+@query(f"WITH {TOPK_SQL(5)} SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, 's' || id % 3 AS section, label::VARCHAR AS content_type, round(score, 4) AS score FROM top JOIN embeddings e ON e.vec_id = id JOIN documents ON doc_id = id WHERE query_id IN (SELECT doc_id FROM documents)")
 def sources(spark, sf_dir):
-    return search.sources(texted_hits(spark, sf_dir, 5).withColumn("page_start", F.col("id") % 9))
+    kind = vectors(spark, sf_dir).select("id", "content_type")
+    return search.sources(texted_hits(spark, sf_dir, 5).join(kind, "id").withColumns({"page_start": F.col("id") % 9, "section": F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))}))
 
 
 @query(f"SELECT {QID} AS query_id, CASE WHEN len(p) > 1 THEN (SELECT string_agg(x, ' ' ORDER BY i) FROM (SELECT p[k] AS x, min(k) AS i FROM unnest(range(1, len(p) + 1)) AS t(k) GROUP BY 1)) ELSE text END AS query FROM (SELECT *, string_split(text, ', ') AS p FROM conversations WHERE role = 'user')")
@@ -390,25 +349,6 @@ def compound_query(spark, sf_dir):
 
 @query(PROMPT_SQL)
 def prompt_messages(spark, sf_dir):
-    asked = questions(spark, sf_dir)
-    c = table(spark, sf_dir, "conversations")
-    history = c.where("turn < 2").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
-    hits = asked.select("query_id", F.explode(F.array(F.lit(2), F.lit(1))).alias("rank"), F.concat(F.lit("c"), (F.col("query_id") % 7).cast("string")).alias("text")).where("query_id % 3 <> 0")
-    got = search.prompt_messages(asked, hits, history, "system text")
-    return got.select("query_id", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|").alias("messages"))
-
-
-@query(BATCH_SQL)
-def batch_retrieve(spark, sf_dir):
-    """The whole retrieval: filter, vector candidates, fusion, filter by score and sources."""
-    asked = vector_queries(spark, sf_dir).withColumn("needs_clarification", F.col("query_id") % 300 == 0)
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
-    corpus = vectors(spark, sf_dir).join(documents(spark, sf_dir), "id").withColumn("page_start", F.col("id") % 9)
-    return rounded(retrieve.batch_retrieve(asked.join(docs, "query_id"), corpus, k=8, kb_name="0"), "score")
-
-
-@query(WHOLE_PROMPT_SQL)
-def prompt_messages_whole(spark, sf_dir):
     """All turns before the question, and the texts of the two documents that resemble it most."""
     asked = questions(spark, sf_dir)
     history = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), "turn", "role", F.col("text").alias("content"))
@@ -417,13 +357,15 @@ def prompt_messages_whole(spark, sf_dir):
     return got.select("query_id", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["content"])), "|")).alias("messages_md5"))
 
 
-@query(WHOLE_BATCH_SQL)
-def batch_retrieve_whole(spark, sf_dir):
-    """The whole retrieval over all knowledge bases, asked with whole texts."""
+@query(BATCH_SQL)
+def batch_retrieve(spark, sf_dir):
+    """The whole retrieval over all knowledge bases, asked with whole texts; every other question is routed to two sections."""
     asked = vector_queries(spark, sf_dir).withColumn("needs_clarification", F.col("query_id") % 300 == 0)
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
-    corpus = vectors(spark, sf_dir).join(documents(spark, sf_dir), "id").withColumn("page_start", F.col("id") % 9)
-    return rounded(retrieve.batch_retrieve(asked.join(docs, "query_id"), corpus, k=8), "score")
+    corpus = vectors(spark, sf_dir).join(documents(spark, sf_dir), "id").withColumns({"page_start": F.col("id") % 9, "section": F.concat(F.lit("s"), (F.col("id") % 3).cast("string"))})
+    routed = F.when(F.col("query_id") % 200 == 0, F.array(F.lit("s0"), F.lit("s2")))
+    asked = asked.join(docs, "query_id").withColumn("sections", routed)
+    return rounded(retrieve.batch_retrieve(asked, corpus, k=8, scorer=search.token_overlap), "score")
 
 
 INTENT = lambda q: understanding.intent(q, latin.INTENTS)
@@ -628,8 +570,8 @@ def jsonl_tolerant(spark, sf_dir):
 #: Columns that are 32-bit integers in the results, where SQL counts in 64 bits.
 NARROW = {
     "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
-    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["dim"], "collection_stats": ["dim"], "backfill_text_whole": ["chars"], "collection_whole": ["chars", "dim"], "rerank_whole": ["original_rank", "new_rank"], "prompt_messages_whole": ["n"], "batch_retrieve_whole": ["rank"],
-    "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rrf_fuse_whole": ["rank"], "hybrid_topk_whole": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
+    "layout_pages": ["page_num", "char_count"], "table_markdown": ["row_count", "char_count"], "dim_gate": ["dim"], "collection": ["chars", "dim"], "backfill_text": ["chars"], "prompt_messages": ["n"], "collection_stats": ["dim"],
+    "vector_topk": ["rank"], "vector_topk_filtered": ["rank"], "rrf_fuse": ["rank"], "hybrid_topk": ["rank"], "rerank": ["original_rank", "new_rank"], "score_filter": ["rank"],
     "sources": ["rank"], "batch_retrieve": ["rank"], "entity_suggest": ["rank"],
 }
 for _name, _columns in NARROW.items():

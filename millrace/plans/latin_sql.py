@@ -82,8 +82,7 @@ SELECT source_pdf, text, row_count, 2 AS col_count, length(text) AS char_count F
 """
 
 VECTORS_SQL = "vec AS (SELECT (vec_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', vec_id) AS chunk_id, CASE WHEN vec_id % 10 <> 0 THEN CASE WHEN vec_id % 8 = 7 THEN embedding[1:32] ELSE embedding END END AS embedding, label::VARCHAR AS type FROM embeddings)"
-TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text[1:50] AS text FROM documents, unnest([1, 2]) AS t(line) WHERE doc_id % 3 <> 0 AND (line = 1 OR doc_id % 5 = 0))"
-WHOLE_TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text AS text FROM documents, unnest([1, 2]) AS t(line) WHERE line = 1 OR doc_id % 5 = 0)"
+TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text AS text FROM documents, unnest([1, 2]) AS t(line) WHERE line = 1 OR doc_id % 5 = 0)"
 
 
 def TOPK_SQL(k: int, where: str = "true", asks: str = "q.vec_id % 100 = 0") -> str:
@@ -91,39 +90,27 @@ def TOPK_SQL(k: int, where: str = "true", asks: str = "q.vec_id % 100 = 0") -> s
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc0) WHERE rank <= {k})"""
 
 
-def FUSE(k: int) -> str:
-    return f"""parts AS (SELECT query_id, id, 0.7::DOUBLE / (60 + rank) AS part FROM top UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60 + rank) FROM lex),
+def FUSE(k: int, kept: str = "true") -> str:
+    return f"""parts AS (SELECT query_id, id, 0.7::DOUBLE / (60 + rank) AS part FROM top WHERE {kept} UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60 + rank) FROM lex WHERE {kept}),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, id) AS rank FROM (SELECT query_id, id, sum(part) AS fused_score FROM parts GROUP BY ALL)) WHERE rank <= {k})"""
 
 
-ASKING = "(SELECT doc_id AS query_id, text[1:80] AS text FROM documents WHERE doc_id % 100 = 0)"
-FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(ASKING, '(SELECT doc_id AS id, text FROM documents WHERE doc_id < 500 OR doc_id % 3 = 0)', 20)}, {FUSE(10)}"
-
-WHOLE_ASKING = "(SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
-WHOLE_FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(WHOLE_ASKING, '(SELECT doc_id AS id, text FROM documents)', 20)}, {FUSE(10)}"
+ASKING = "(SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
+FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(ASKING, '(SELECT doc_id AS id, text FROM documents)', 20)}, {FUSE(10)}"
 
+KEPT = "(query_id % 200 <> 0 OR id % 3 <> 1)"  # every other question is routed to the sections s0 and s2
 BATCH_SQL = f"""
-WITH {TOPK_SQL(48, "vec_id % 4 = 0 AND vec_id IN (SELECT doc_id FROM documents)", "q.vec_id % 100 = 0 AND q.vec_id % 300 <> 0 AND q.vec_id IN (SELECT doc_id FROM documents)")},
-{BM25("(SELECT vec_id AS query_id, text[1:80] AS text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 4 = 0)", 16)}, {FUSE(8)},
-h AS (SELECT f.query_id, f.id, t.score, row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(t.score, 0) DESC, f.rank, f.id) AS rank FROM fused f LEFT JOIN top t USING (query_id, id)),
-r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2, false)) OVER (PARTITION BY query_id) AS any_good FROM h WHERE rank <= 5)
-SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM r JOIN documents ON doc_id = id WHERE good OR (NOT any_good AND rank = 1)
-"""
-
-WHOLE_BATCH_SQL = f"""
 WITH {TOPK_SQL(48, "vec_id IN (SELECT doc_id FROM documents)", "q.vec_id % 100 = 0 AND q.vec_id % 300 <> 0 AND q.vec_id IN (SELECT doc_id FROM documents)")},
-{BM25("(SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id)", 16)}, {FUSE(8)},
-h AS (SELECT f.query_id, f.id, t.score, row_number() OVER (PARTITION BY f.query_id ORDER BY coalesce(t.score, 0) DESC, f.rank, f.id) AS rank FROM fused f LEFT JOIN top t USING (query_id, id)),
+{BM25("(SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id)", 16)}, {FUSE(8, KEPT)},
+g AS (SELECT f.query_id, f.id, t.score, f.rank, d.text, list_distinct(list_filter(string_split_regex(q.text, '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(d.text, '\\s+'), lambda x: x <> '')) AS b
+  FROM fused f LEFT JOIN top t USING (query_id, id) JOIN documents d ON d.doc_id = f.id JOIN documents q ON q.doc_id = f.query_id),
+h AS (SELECT query_id, id, score, text, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(a, b)) / greatest(1, len(a)) DESC, rank, id) AS rank FROM g),
 r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2, false)) OVER (PARTITION BY query_id) AS any_good FROM h WHERE rank <= 5)
-SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, round(score, 4) AS score FROM r JOIN documents ON doc_id = id WHERE good OR (NOT any_good AND rank = 1)
+SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, 's' || id % 3 AS section, label::VARCHAR AS content_type, round(score, 4) AS score
+FROM r JOIN embeddings e ON e.vec_id = id WHERE good OR (NOT any_good AND rank = 1)
 """
 
 PROMPT_SQL = f"""
-WITH q AS (SELECT {QID} AS query_id, conv_id, text FROM conversations WHERE role = 'user'), h AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn, role, text) AS past FROM conversations WHERE turn < 2 GROUP BY conv_id)
-SELECT query_id, 'system:system text' || CASE WHEN query_id % 3 <> 0 THEN repeat(chr(10) || chr(10) || 'c' || (query_id % 7), 2) ELSE '' END || coalesce('|' || past, '') || '|user:' || text AS messages FROM q LEFT JOIN h USING (conv_id)
-"""
-
-WHOLE_PROMPT_SQL = f"""
 WITH {BM25(f"(SELECT {QID} AS query_id, text FROM conversations WHERE role = 'user')", "(SELECT doc_id AS id, text FROM documents)", 2)},
 q AS (SELECT {QID} AS query_id, conv_id, turn, text FROM conversations WHERE role = 'user'),
 h AS (SELECT q.query_id, count(*) AS n, string_agg(c.role || ':' || c.text, '|' ORDER BY c.turn, c.role, c.text) AS past FROM q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn < q.turn GROUP BY 1),

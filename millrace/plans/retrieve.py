@@ -5,27 +5,46 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators import search
+from millrace.operators import search, understanding
 
 
 def batch_retrieve(queries: DataFrame, corpus: DataFrame, k: int = 8, rerank_k: int = 5, least: float = 0.2, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, score: str = "score", **filters) -> DataFrame:
-    """Sources of each question (query_id, query, embedding[, needs_clarification]) from corpus rows (id, text, embedding, page_start and the filters' columns).
+    """Sources of each question (query_id, query, embedding[, needs_clarification][, sections][, sub_queries]) from corpus rows (id, text, embedding, page_start, section, content_type and the filters' columns).
 
-    6k vector candidates and 2k lexical ones are fused to k, reranked to rerank_k, filtered by
-    `score` (the inner product, or fused_score) and cut to sources. Questions that need
-    clarification get none.
+    6k vector candidates and 2k lexical ones, of the sections that the question is routed to
+    if any, are fused to k, reranked to rerank_k, filtered by `score` (the inner product, or
+    fused_score) and cut to sources. Several sub-questions are asked lexically as one.
+    Questions that need clarification get none.
     """
     if "needs_clarification" in queries.columns:
         queries = queries.where(~F.coalesce(F.col("needs_clarification"), F.lit(False)))
+    if "sub_queries" in queries.columns:
+        queries = queries.withColumn("query", search.compound_query(F.col("sub_queries"), F.col("query")))
     corpus = corpus.where(search.matching(filters))
     vector = search.vector_topk(queries, corpus, 6 * k)
     lexical = search.bm25_topk(queries.select("query_id", F.col("query").alias("text")), corpus.select("id", "text"), 2 * k)
+    if "sections" in queries.columns:
+        routes = queries.select("query_id", "sections")
+        vector, lexical = (understanding.hits_in_sections(hits.join(corpus.select("id", "section"), "id"), routes).drop("section") for hits in (vector, lexical))
     fused = search.hybrid_topk(vector, lexical, k)
-    texts = corpus.select("id", "text", "page_start")
+    texts = corpus.select("id", "text", "page_start", "section", "content_type")
     # a corpus row joins only where it was found: the hits are few, so Spark sends them to the corpus
     full = fused.join(texts, "id").join(queries.select("query_id", "query"), "query_id")
     ranked = search.rerank(full, scorer, rerank_k).withColumnRenamed("new_rank", "rank")
     return search.sources(search.score_filter(ranked, least, rerank_k, score))
+
+
+def answer_sources(questions: DataFrame, aliases: DataFrame, day: Column, corpus: DataFrame, encode: Callable[[Column], Column], scorer: Callable[[pd.DataFrame], pd.Series] | None = None, rule_sets: dict | None = None, routing: dict | None = None, **options) -> DataFrame:
+    """From questions (query_id, session_id, turn, query) to sources: understanding, sub-questions, sections, then batch_retrieve.
+
+    encode: a vector of a question's normal form; rule_sets and routing: of understand and section_route.
+    """
+    known = understanding.understand(questions, aliases, day, **(rule_sets or {}))
+    asked = known.select(
+        "query_id", F.col("normalized_query").alias("query"), "needs_clarification", "sub_queries",
+        understanding.section_route(F.col("query"), F.col("intent"), **(routing or {})).alias("sections"), encode(F.col("normalized_query")).alias("embedding"),
+    )
+    return batch_retrieve(asked, corpus, scorer=scorer, **options)

@@ -1,9 +1,11 @@
 """Registered queries over whole texts and tables, where a shorter input gives other rows."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.operators import embedding, search, understanding
-from millrace.plans import catalog
+from millrace.plans import catalog, retrieve
 
 
 @pytest.fixture
@@ -16,7 +18,7 @@ def small(spark, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["rrf_fuse_whole", "hybrid_topk_whole"])
+@pytest.mark.parametrize("name", ["rrf_fuse", "hybrid_topk"])
 def test_fusion_sees_all_documents_and_whole_questions(spark, small, name):
     got = {(r.query_id, r.id) for r in catalog.QUERIES[name](spark, small).collect()}
     assert (0, 601) in got  # an id of at least 500 that three does not divide, alike beyond the first 80 characters
@@ -43,3 +45,41 @@ def test_history_ends_before_the_question(spark):
     hits = spark.createDataFrame([], "query_id int, rank int, text string")
     got = {r.query_id: [m.content for m in r.messages] for r in search.prompt_messages(questions, hits, history, "s", before="turn").collect()}
     assert got == {1: ["s", "q0"], 2: ["s", "q0", "q1", "q2", "q3", "q4"]}
+
+
+def test_vectors_that_take_no_part(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, None), (2, [1.0, None]), (3, [2.0, 1.0]), (4, [1.0]), (5, [3.0])], "id long, embedding array<float>")
+    got = search.vector_topk(rows.withColumnRenamed("id", "query_id"), rows, 5).collect()
+    assert {(r.query_id, r.id) for r in got} == {(a, b) for g in ((0, 3), (4, 5)) for a in g for b in g}
+
+
+def test_rerank_says_what_was_not_scored(spark):
+    hits = spark.createDataFrame([(1, 7, "q", "t", 0.5, 1)], "query_id long, id long, query string, text string, score double, rank int")
+
+    def broken(pairs):
+        raise RuntimeError("no model")
+
+    assert [(r.relevance, r.scored) for r in search.rerank(hits, broken).collect()] == [(0.5, False)]
+    assert [r.scored for r in search.rerank(hits, search.token_overlap).collect()] == [True]
+
+
+def test_answers_from_questions(spark):
+    """A question that needs clarification gets nothing; a routed one only its sections."""
+    corpus = spark.createDataFrame([(1, "收入 是 很 高 的 情况", [1.0, 0.0], 3, "甲", "text", "k"), (2, "收入 情况", [0.9, 0.1], 4, "乙", "table", "k")], "id long, text string, embedding array<double>, page_start int, section string, content_type string, kb_name string")
+    asked = spark.createDataFrame([(10, 1, 0, "k公司2023年收入情况是什么"), (11, 2, 0, "嗯嗯")], "query_id long, session_id long, turn int, query string")
+    aliases = spark.createDataFrame([("k", "k公司")], "kb_name string, alias string")
+    encode = lambda q: F.array(F.lit(1.0), F.length(q) * 0.0)
+    got = retrieve.answer_sources(asked, aliases, F.lit("2024-05-01").cast("date"), corpus, encode, search.token_overlap, routing={"keywords": {"收入": ["乙"]}, "by_intent": {}}).collect()
+    assert [(r.query_id, r.id, r.section, r.content_type, r.page) for r in got] == [(10, 2, "乙", "table", 4)]
+
+
+def test_cells_at_the_usual_ratio(spark):
+    """Vectors in clusters: 16 of 128 cells find nine of ten."""
+    r = np.random.default_rng(4)
+    centre = r.normal(size=(60, 24))
+    v = np.repeat(centre, 60, axis=0) + r.normal(size=(3600, 24)) * 0.2
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
+    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    pick = lambda df: {(x.query_id, x.id) for x in df.collect()}
+    exact = pick(search.vector_topk(asked, rows, 10))
+    assert len(exact & pick(search.ivf_topk(asked, rows, 10, cells=128, probes=16))) >= 0.9 * len(exact)
