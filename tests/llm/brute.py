@@ -127,3 +127,70 @@ def toxicity_score(text, model, prefixes=(4, 5, 6)):
         found |= {spread((word_hash(w[:n]) + n) & MASK) for n in prefixes if len(w) >= n}
     weight = dict(zip(model.chosen.tolist(), model.weights.tolist(), strict=True))
     return logistic(model.bias + sum(weight[f] for f in found if f in weight))
+
+
+def symbols(text):
+    """Letters, lower-cased; each run of others that follows a letter is one boundary, as is the end after a letter. Symbols are 16 bits of the code point."""
+    out, before = [], False
+    for c in text.lower() + "\n":
+        if c.isalpha():
+            out.append((ord(c) ^ (ord(c) >> 16) * 40503) & 0xFFFF)
+        elif before:
+            out.append(0)
+        before = c.isalpha()
+    return out
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney of four symbols from a language's texts, by the book."""
+
+    def __init__(self, texts, size):
+        grams = Counter()
+        for t in texts:
+            s = [0, 0, 0, *symbols(t)]
+            grams.update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+        self.levels, self.size = [], size
+        for order in (4, 3, 2, 1):
+            once, twice = (sum(n == k for n in grams.values()) for k in (1, 2))
+            discount = min(0.9, max(0.1, once / max(1, once + 2 * twice)))
+            total, follow = Counter(), Counter()
+            for g, n in grams.items():
+                total[g[:-1]] += n
+                follow[g[:-1]] += 1
+            self.levels.append((order, grams, total, follow, discount))
+            grams = Counter(g[1:] for g in grams)  # continuations: a sequence counts once for each symbol before it
+
+    def probability(self, gram, level=0):
+        if level == 4:
+            return 1 / self.size
+        _, grams, total, follow, discount = self.levels[level]
+        lower = self.probability(gram[1:], level + 1)
+        if not total[gram[:-1]]:
+            return lower
+        return (max(0.0, grams[gram] - discount if gram in grams else 0.0) + discount * follow[gram[:-1]] * lower) / total[gram[:-1]]
+
+    def entropy(self, text):
+        s = [0, 0, 0, *symbols(text)]
+        return -sum(math.log(self.probability(tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / (len(s) - 3)
+
+
+def quality_score(text, chars, model, buckets):
+    """A factorisation machine with all pairs of features written out, over plain counts of a text."""
+    raw = (text or "").encode()
+    words = [w.encode() for w in ALNUM_WORD.findall((text or "").translate(LOWER))]
+    count = Counter(word_hash(w) >> 52 for w in words)
+    norm = math.sqrt(sum(n * n for n in count.values()))
+    x = {b: n / norm for b, n in count.items()}
+    kind = lambda b: 3 if b in b"\t\n\v\f\r " else 0 if 65 <= b <= 90 else 1 if 97 <= b <= 122 else 2 if 48 <= b <= 57 else 5 if b >= 128 else 4
+    size, lines, n = max(1, len(raw)), raw.count(b"\n") + 1, max(1, len(words))
+    lengths = [len(w) for w in words]
+    mean = sum(lengths) / n
+    stats = [math.log1p(len(raw)), *(sum(kind(b) == k for b in raw) / size for k in range(6))]
+    stats += [sum(a == b and kind(b) == 4 for a, b in zip(raw, raw[1:], strict=False)) / size, math.log(size / lines), mean]
+    stats += [math.sqrt(max(0.0, sum(v * v for v in lengths) / n - mean**2)), sum(v >= 15 for v in lengths) / n, sum(v <= 2 for v in lengths) / n]
+    stats += [len(count) / n, norm**2 / n**2, raw.count(b"|") / size, math.log1p(len(words)), math.log1p(max(0, chars)) if chars is not None else 0.0]
+    for k, v in enumerate(stats):
+        z = ((v if raw else 0.0) - model.centre[k]) / model.spread[k]
+        x[buckets + k] = max(-4.0, min(4.0, z))
+    pairs = sum(float(model.factors[i] @ model.factors[j]) * x[i] * x[j] for i in x for j in x if i < j)
+    return logistic(model.bias + sum(model.weights[i] * v for i, v in x.items()) + pairs)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import toxicity, url_filter
+from millrace.llm import language_id, quality, toxicity, url_filter
 from millrace.llm.queries import fold, labelled_urls, table
 from tests.llm import brute
 
@@ -79,3 +79,29 @@ def test_url_sample_is_of_different_urls(spark):
     known = x.select("__suffix3").distinct().join(model.suffixes.where("labels = 3").select(F.col("suffix").alias("__suffix3")), "__suffix3", "left_semi")
     own = url_filter.assembled(x.join(known, "__suffix3", "left_semi"), model.suffixes, 0.5, F.col("label")).collect()
     assert {(r.f_count3, r.f_rate3) for r in own} == {(0.0, 0.5)}  # each site has one URL, whose own label tells nothing
+
+
+def test_quality_scores_by_all_pairs(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", "text", "n_chars")
+    model = quality.train(docs, table(spark, data, "labels"))
+    odd = spark.createDataFrame([(*o, None) for o in ODD], "doc_id long, text string, n_chars long")
+    short = docs.where(F.length("text") < 600)  # all pairs of a long text take long
+    rows = quality.score(short.unionByName(odd), model).collect()
+    assert len(rows) > len(ODD) + 3
+    for r in rows:
+        assert r.score == pytest.approx(brute.quality_score(r.text, r.n_chars, model, quality.BUCKETS), abs=1e-8), r.doc_id
+
+
+def test_language_by_the_book(spark, data):
+    docs = table(spark, data, "documents").where("doc_id < 60").select("doc_id", "text", "lang")
+    learning = [r for r in docs.where(fold("doc_id", 5) != 0).collect() if r.lang is not None and r.text is not None]
+    model = language_id.learn(docs, fold("doc_id", 5) != 0)
+    known = len({x for r in learning for x in brute.symbols(r.text)}) + 1
+    books = {lang: brute.KneserNey([r.text for r in learning if r.lang == lang], known) for lang in model.langs}
+    for r in language_id.identify(with_odd(docs), model).collect():
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        h = {lang: b.entropy(r.text) for lang, b in books.items()}
+        assert r.entropy == pytest.approx(min(h.values()), abs=1e-5) and h[r.lang_pred] == pytest.approx(min(h.values()), abs=1e-5)
+        assert r.score == pytest.approx(1 / sum(np.exp((h[r.lang_pred] - v) * model.sharpness) for v in h.values()), abs=1e-4)
