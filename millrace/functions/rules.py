@@ -87,6 +87,15 @@ NO_TIME_NEEDED = (
 )
 PRONOUNS = ("该公司", "这家公司", "该企业", "它")
 COMPANY_SIGNS = (r"(公司|企业|发行人|本[公企])", r"(营收|收入|利润|资产|负债|风险|业务|产品|技术|专利|股本|发行)")
+# what a question that needs clarification is answered with, by reason
+CLARIFY_TEXTS = {
+    "unclear": "抱歉，我没有理解您的问题。您可以问关于公司财务、业务、风险、管理层等方面的问题。",
+    "out_of_scope": "抱歉，这个问题超出了我的知识范围。我只能回答关于招股说明书内容的问题。",
+    "time": "您想了解哪个时间段的财务数据？比如2023年或2024年。",
+    "pronoun": "您指的是{company}吗？",
+    "company": "请问您指的是哪家公司？当前可查询以下知识库：{bases}。您可以直接说公司全称或简称。",
+}
+BASE_QUOTE, BASE_COMMA = '"', "、"
 COMPARISON = r"(对比|比较|vs|versus|和.*(?:相比|之间|的.*和)|与.*相比)"
 
 # --- sections by question ---

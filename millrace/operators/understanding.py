@@ -93,6 +93,13 @@ def clarify(query: Column, intent_name: Column, has_time: Column, last_company:
     )
 
 
+def clarification_text(reason: Column, company: Column, bases: Sequence[str] = (), texts: Mapping[str, str] = rules.CLARIFY_TEXTS) -> Column:
+    """What a question with this reason is answered with, the company meant and the names of knowledge bases put in; null without a reason."""
+    named = rules.BASE_COMMA.join(f"{rules.BASE_QUOTE}{b}{rules.BASE_QUOTE}" for b in bases)
+    said = F.coalesce(*[F.when(reason == k, F.lit(t.replace("{bases}", named))) for k, t in texts.items()])
+    return F.replace(said, F.lit("{company}"), F.coalesce(company, F.lit("")))
+
+
 def resolve_kb(queries: DataFrame, aliases: DataFrame, query_col: str = "query", comparison: str = rules.COMPARISON, max_aliases: int = 10_000) -> DataFrame:
     """queries with kb_name: of the longest alias that the question contains (the first by name of several); null for comparisons and without one.
 
@@ -144,9 +151,9 @@ def hits_in_sections(hits: DataFrame, routes: DataFrame) -> DataFrame:
     return hits.join(wanted, ["query_id", "section"], "left_semi").unionByName(hits.join(free, "query_id", "left_semi").select(hits.columns), allowMissingColumns=False)
 
 
-def understand(queries: DataFrame, aliases: DataFrame, day: Column, session: str = "session_id", turn: str = "turn", entity_patterns: Mapping[str, str] = rules.ENTITY_PATTERNS, company_type: str = "COMPANY", time_type: str = "TIME", **rule_sets) -> DataFrame:
-    """The whole understanding of each question (query_id, session_id, turn, query); what a session asked before counts as its history."""
-    x = entities(resolve_kb(queries, aliases), entity_patterns)
+def understand(queries: DataFrame, aliases: DataFrame, day: Column, session: str = "session_id", turn: str = "turn", entity_patterns: Mapping[str, str] = rules.ENTITY_PATTERNS, company_type: str = "COMPANY", time_type: str = "TIME", bases: Sequence[str] = (), **rule_sets) -> DataFrame:
+    """The whole understanding of each question (query_id, session_id, turn, query); what a session asked before counts as its history. bases: names of knowledge bases to offer where the company is open."""
+    x = entities(resolve_kb(queries, aliases, **rule_sets.get("resolve_kb", {})), entity_patterns)
     x = x.withColumn("__intent", intent(F.col("query"), **rule_sets.get("intent", {})))
     x = x.withColumn("normalized_query", normalize_time(F.col("query"), day, **rule_sets.get("normalize", {})))
     x = x.withColumns({"intent": F.col("__intent.intent"), "intent_confidence": F.col("__intent.confidence")}).drop("__intent")
@@ -156,4 +163,5 @@ def understand(queries: DataFrame, aliases: DataFrame, day: Column, session: str
     x = x.withColumns({"__last": F.last("__company", ignorenulls=True).over(before), "__kb": F.last("kb_name", ignorenulls=True).over(before)})
     reason = clarify(F.col("query"), F.col("intent"), F.exists("entities", lambda e: e["type"] == time_type), F.col("__last"), F.col("kb_name"), F.col("__kb"), **rule_sets.get("clarify", {}))
     x = x.withColumns({"sub_queries": decompose(F.col("normalized_query"), F.col("intent"), **rule_sets.get("decompose", {})), "clarification": reason})
-    return x.withColumn("needs_clarification", F.col("clarification").isNotNull()).drop("__company", "__last", "__kb")
+    said = clarification_text(F.col("clarification"), F.col("__last"), bases, **rule_sets.get("clarification_text", {}))
+    return x.withColumns({"needs_clarification": F.col("clarification").isNotNull(), "clarification_prompt": said}).drop("__company", "__last", "__kb")

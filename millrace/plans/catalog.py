@@ -376,10 +376,9 @@ def intent(spark, sf_dir):
     return questions(spark, sf_dir).select("query_id", INTENT(F.col("query")).alias("i")).select("query_id", "i.*")
 
 
-@query()
+@query(ENTITIES_SQL)
 def entities(spark, sf_dir):
-    """Offsets are tested by hand-worked cases."""
-    return understanding.entities(questions(spark, sf_dir), {"COMPANY": latin.DECOMPOSE["company"], "TIME": r"([0-9]{2,4})", "PERCENT": r"([0-9]+ ?%)"}).select("query_id", "entities")
+    return understanding.entities(questions(spark, sf_dir), latin.ENTITIES).select("query_id", F.inline("entities"))
 
 
 @query(f"SELECT {QID} AS query_id, {NORMAL_SQL('text')} AS normalized FROM conversations WHERE role = 'user'")
@@ -424,11 +423,12 @@ def section_route_all(spark, sf_dir):
     return q.select("query_id", F.array_join(route, "|").alias("sections"))
 
 
-@query()
+@query(UNDERSTAND_SQL)
 def understand(spark, sf_dir):
-    """Its parts have SQL of their own."""
-    sets = {"intent": {"patterns": latin.INTENTS}, "normalize": {"years": latin.YEARS, "phrases": latin.PHRASES, "suffix": latin.YEAR_SUFFIX}, "clarify": latin.CLARIFY, "decompose": latin.DECOMPOSE}
-    return understanding.understand(questions(spark, sf_dir), alias_table(spark), F.lit("2024-06-01").cast("date"), entity_patterns={"COMPANY": latin.DECOMPOSE["company"], "TIME": r"([0-9]{2,4})"}, **sets)
+    """All of it but the entities, which have SQL of their own; they act here in what needs clarification."""
+    sets = {"intent": {"patterns": latin.INTENTS}, "normalize": {"years": latin.YEARS, "phrases": latin.PHRASES, "suffix": latin.YEAR_SUFFIX}, "clarify": latin.CLARIFY, "decompose": latin.DECOMPOSE, "resolve_kb": {"comparison": latin.COMPARISON}}
+    got = understanding.understand(questions(spark, sf_dir), alias_table(spark), F.lit("2024-06-01").cast("date"), entity_patterns=latin.ENTITIES, bases=latin.BASES, **sets)
+    return got.select("query_id", "kb_name", "intent", "intent_confidence", F.md5("normalized_query").alias("normalized_md5"), F.md5(F.array_join("sub_queries", "|")).alias("sub_queries_md5"), "clarification", "needs_clarification", "clarification_prompt")
 
 
 @query(f"SELECT event_id, {PATTERN_SQL} AS pattern FROM {LOG_SQL}")

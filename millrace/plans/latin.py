@@ -35,6 +35,8 @@ DECOMPOSE = {
 }
 CLARIFY = {"no_time": ("tion", "ment"), "pronouns": (" it ", " he "), "signs": ("th", "en")}
 ALIASES = (("north", "Then"), ("north", "Therea"), ("south", "Enen"), ("south", "the"), ("east", "la "), ("west", "der"), ("west", "die "))
+BASES = ("north", "south", "east", "west")
+ENTITIES = {"COMPANY": DECOMPOSE["company"], "TIME": r"([0-9]{2,4})", "PERCENT": r"([0-9]+ ?%)"}
 COMPARISON = "vers"
 KEYWORDS = {"ment": ("one", "two"), "tion": ("two", "three"), "sch": ("four",), "que": ("one", "five")}
 BY_INTENT = {"business": ("six",), "financial": ("seven", "one")}

@@ -138,9 +138,9 @@ def CONFIDENCE_SQL(x: str) -> str:
     return f"CASE WHEN {HITS(x, 'greeting')} > 0 THEN 0.95::DOUBLE WHEN list_max({ALL_HITS(x)}) = 0 THEN 0.3::DOUBLE ELSE round(least(0.9::DOUBLE, 0.5::DOUBLE + 0.1::DOUBLE * list_max({ALL_HITS(x)})), 6) END"
 
 
-def NORMAL_SQL(x: str) -> str:
+def NORMAL_SQL(x: str, year: str = "year(DATE '2020-01-01' + (conv_id * 40)::INTEGER)") -> str:
     for word, back in latin.YEARS:
-        x = f"replace({x}, '{word}', (year(DATE '2020-01-01' + (conv_id * 40)::INTEGER) + {back}) || '{latin.YEAR_SUFFIX}')"
+        x = f"replace({x}, '{word}', ({year} + {back}) || '{latin.YEAR_SUFFIX}')"
     for old, new in latin.PHRASES:
         x = f"replace({x}, '{old}', '{new}')"
     return x
@@ -148,14 +148,18 @@ def NORMAL_SQL(x: str) -> str:
 
 D = latin.DECOMPOSE
 EXPANDED = "CASE " + " ".join(f"WHEN contains(w, '{k}') THEN [text, {', '.join(f'''replace(text, w, '{v}' || w)''' for v in vs)}]" for k, vs in D["verbs"].items()) + " END"
-DECOMPOSE_SQL = f"""
-WITH q AS (SELECT {QID} AS query_id, text, {INTENT_SQL("text")} AS i, regexp_extract_all(text, '{D["company"]}', 1) AS c, {FIRST("text", D["metrics"], "'" + D["default_metric"] + "'")} AS m,
-  list_filter(list_transform(string_split(text, ','), lambda x: {STRIP("x")}), lambda x: length(x) > 3) AS p, {STRIP("regexp_extract(text, '" + D["vague"] + "', 1)")} AS w FROM conversations WHERE role = 'user'),
+def SUB_QUERIES(asked: str) -> str:
+    """asked: a relation of (query_id, text, i), i the intent."""
+    return f"""q AS (SELECT query_id, text, i, regexp_extract_all(text, '{D["company"]}', 1) AS c, {FIRST("text", D["metrics"], "'" + D["default_metric"] + "'")} AS m,
+  list_filter(list_transform(string_split(text, ','), lambda x: {STRIP("x")}), lambda x: length(x) > 3) AS p, {STRIP("regexp_extract(text, '" + D["vague"] + "', 1)")} AS w FROM {asked}),
 r1 AS (SELECT *, CASE WHEN i = 'comparison' AND len(c) >= 2 THEN list_transform(c, lambda x: x || '{D["of"]}' || m) WHEN i <> 'comparison' AND contains(text, ',') AND len(p) > 0 THEN p ELSE [text] END AS a, {EXPANDED} AS e FROM q),
 r2 AS (SELECT *, CASE WHEN length(w) >= 2 AND e IS NOT NULL THEN e ELSE a END AS b FROM r1),
-r3 AS (SELECT *, CASE WHEN {ANY("text", D["structure"])} THEN list_filter([text, CASE WHEN NOT contains(text, '{D["structure_suffix"]}') THEN text || ' {D["structure_suffix"]}' END, CASE WHEN contains(text, '{D["department"]}') AND NOT contains(text, '{D["department_as"]}') THEN replace(text, '{D["department"]}', '{D["department_as"]}') END], lambda x: x IS NOT NULL) ELSE b END AS d FROM r2)
-SELECT query_id, array_to_string(CASE WHEN {ANY("text", D["facts"])} AND NOT {ANY("text", D["parents"])} THEN [CASE WHEN contains(text, '{D["of_company"]}') THEN replace(text, '{D["of_company"]}', '{D["of_parent"]}') ELSE '{D["parent"]}' || text END, text] ELSE d END, '|') AS sub_queries FROM r3
-"""
+r3 AS (SELECT *, CASE WHEN {ANY("text", D["structure"])} THEN list_filter([text, CASE WHEN NOT contains(text, '{D["structure_suffix"]}') THEN text || ' {D["structure_suffix"]}' END, CASE WHEN contains(text, '{D["department"]}') AND NOT contains(text, '{D["department_as"]}') THEN replace(text, '{D["department"]}', '{D["department_as"]}') END], lambda x: x IS NOT NULL) ELSE b END AS d FROM r2),
+sub AS (SELECT query_id, array_to_string(CASE WHEN {ANY("text", D["facts"])} AND NOT {ANY("text", D["parents"])} THEN [CASE WHEN contains(text, '{D["of_company"]}') THEN replace(text, '{D["of_company"]}', '{D["of_parent"]}') ELSE '{D["parent"]}' || text END, text] ELSE d END, '|') AS sub_queries FROM r3)"""
+
+
+ASKED_SQL = f"SELECT {QID} AS query_id, conv_id, turn, text AS raw, {INTENT_SQL('text')} AS i, {CONFIDENCE_SQL('text')} AS confidence FROM conversations WHERE role = 'user'"
+DECOMPOSE_SQL = f"WITH asked AS ({ASKED_SQL}), {SUB_QUERIES('(SELECT query_id, raw AS text, i FROM asked)')} SELECT query_id, sub_queries FROM sub"
 
 C = latin.CLARIFY
 CLARIFY_SQL = f"""
@@ -170,6 +174,29 @@ def KB_SQL(x: str) -> str:
     return "CASE " + " ".join(f"WHEN contains({x}, '{a}') THEN '{k}'" for k, a in order) + " END"
 
 
+def CLARIFIED(reason: str, company: str) -> str:
+    named = rules.BASE_COMMA.join(rules.BASE_QUOTE + b + rules.BASE_QUOTE for b in latin.BASES)
+    return f"CASE {reason} " + " ".join(f"WHEN '{k}' THEN replace(replace('{t}', '{{company}}', coalesce({company}, '')), '{{bases}}', '{named}')" for k, t in rules.CLARIFY_TEXTS.items()) + " END"
+
+
+ENTITIES_SQL = f"""
+WITH RECURSIVE k AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{p}')" for k, p in latin.ENTITIES.items())}) t(type, pattern)),
+m AS (SELECT {QID} AS query_id, type, pattern, text AS rest, 0 AS done, regexp_extract(text, pattern, 1) AS word FROM conversations, k WHERE role = 'user'
+  UNION ALL SELECT query_id, type, pattern, rest, done, regexp_extract(rest, pattern, 1) FROM (SELECT query_id, type, pattern, substr(rest, strpos(rest, word) + length(word)) AS rest, done + strpos(rest, word) + length(word) - 1 AS done FROM m WHERE word <> ''))
+SELECT query_id, word AS text, type, min(done + strpos(rest, word) - 1)::INTEGER AS start, min(done + strpos(rest, word) - 1 + length(word))::INTEGER AS "end" FROM m WHERE word <> '' GROUP BY ALL
+"""
+
+UNDERSTAND_SQL = f"""
+WITH asked AS ({ASKED_SQL}),
+known AS (SELECT *, {NORMAL_SQL("raw", "2024")} AS text, nullif(regexp_extract(raw, '{D["company"]}', 1), '') AS company, CASE WHEN NOT regexp_matches(raw, '(?i){latin.COMPARISON}') THEN {KB_SQL("raw")} END AS kb_name FROM asked),
+h AS (SELECT *, last_value(company IGNORE NULLS) OVER w AS last, last_value(kb_name IGNORE NULLS) OVER w AS last_kb FROM known WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, CASE WHEN i = 'unclear' THEN 'unclear' WHEN i = 'financial' AND NOT regexp_matches(raw, '{latin.ENTITIES["TIME"]}') AND NOT {MATCH("raw", C["no_time"])} THEN 'time'
+  WHEN {ANY("raw", C["pronouns"])} AND last IS NOT NULL THEN 'pronoun' WHEN kb_name IS NULL AND i NOT IN ('comparison', 'greeting', 'unclear') AND {MATCH("raw", C["signs"])} AND last_kb IS NULL THEN 'company' END AS clarification FROM h),
+{SUB_QUERIES("known")}
+SELECT query_id, kb_name, i AS intent, confidence AS intent_confidence, md5(text) AS normalized_md5, md5(sub_queries) AS sub_queries_md5, clarification, clarification IS NOT NULL AS needs_clarification, {CLARIFIED("clarification", "last")} AS clarification_prompt FROM c JOIN sub USING (query_id)
+"""
+
+
 def ROUTE_SQL(x: str) -> str:
     words = " ".join(f"WHEN contains({x}, '{k}') THEN '{'|'.join(s)}'" for k, s in latin.KEYWORDS.items())
     intents = " ".join(f"WHEN {INTENT_SQL(x)} = '{k}' THEN '{'|'.join(s)}'" for k, s in latin.BY_INTENT.items())

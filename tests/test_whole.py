@@ -83,3 +83,15 @@ def test_cells_at_the_usual_ratio(spark):
     pick = lambda df: {(x.query_id, x.id) for x in df.collect()}
     exact = pick(search.vector_topk(asked, rows, 10))
     assert len(exact & pick(search.ivf_topk(asked, rows, 10, cells=128, probes=16))) >= 0.9 * len(exact)
+
+
+def test_clarification_says_what_is_asked(spark):
+    asked = [(1, 1, 0, "嗯嗯"), (2, 2, 0, "营业收入是多少"), (3, 3, 0, "武汉公司2023年营收多少"), (4, 3, 1, "它2023年营收多少"), (5, 4, 0, "公司2023年营收多少"), (6, 5, 0, "k公司2023年营收多少")]
+    queries = spark.createDataFrame(asked, "query_id long, session_id long, turn int, query string")
+    aliases = spark.createDataFrame([("k", "k公司")], "kb_name string, alias string")
+    got = {r.query_id: (r.clarification, r.clarification_prompt) for r in understanding.understand(queries, aliases, F.lit("2024-05-01").cast("date"), bases=["甲", "乙"]).collect()}
+    assert got[1][0] == "unclear" and got[1][1].startswith("抱歉，我没有理解")
+    assert got[2] == ("time", "您想了解哪个时间段的财务数据？比如2023年或2024年。")
+    assert got[4] == ("pronoun", "您指的是武汉公司吗？")
+    assert got[5] == ("company", '请问您指的是哪家公司？当前可查询以下知识库："甲"、"乙"。您可以直接说公司全称或简称。')
+    assert got[6] == (None, None)
