@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import rules, text
 
-CHUNKS = "kb_name string, source_pdf string, run int, is_table int, table_seq int, pos int, text string, type string, page_start int, page_end int, section string, char_count int, table_index int"
+CHUNKS = "kb_name string, source_pdf string, run int, is_table int, table_seq int, pos int, text string, type string, page_start int, page_end int, section string, char_count int, table_index int, number bigint"
 
 
 def section_runs(pages: DataFrame, unknown: str = rules.UNKNOWN_SECTION) -> DataFrame:
@@ -73,8 +73,10 @@ def build_chunks(pages: DataFrame, max_chars: int = rules.CHUNK_CHARS, overlap:
     """Chunks of pages (kb_name, source_pdf, page_num, seq, type, text, section[, table_index]).
 
     One shuffle brings a document's blocks together, in order; runs, paragraphs and packing
-    are taken from that partition. Ids count through numbered_by: a knowledge base, or
-    source_pdf for ids by document, which needs no task to hold a whole knowledge base.
+    are taken from that partition. Ids count through numbered_by: source_pdf, where the fold
+    counts as it goes, or kb_name, where a document's numbers begin after those of the
+    documents before it. For that the chunks are made twice, once to be counted; of a
+    knowledge base one task sees its documents' counts, never their texts.
     """
     if "table_index" not in pages.columns:
         pages = pages.withColumn("table_index", F.lit(None).cast("int"))
@@ -94,11 +96,11 @@ def build_chunks(pages: DataFrame, max_chars: int = rules.CHUNK_CHARS, overlap:
             long = {p: list(c) for b in texts for p, c in zip(b.paragraphs, b.long, strict=True) if c is not None}
             found = pack([p for b in texts for p in b.paragraphs], long.__getitem__, max_chars, overlap, stop)
             for i, t in enumerate(found):
-                yield (*key, 0, 0, i, t, "text", int(texts[0].page_num), int(texts[-1].page_num), first.section, len(t), None)
+                yield *key, 0, 0, i, t, "text", int(texts[0].page_num), int(texts[-1].page_num), first.section, len(t), None
         for k, b in enumerate(tables):
             index = 1 if pd.isna(b.table_index) else int(b.table_index)
             for i, t in enumerate(pack_table(b.table, table_chars)):
-                yield (*key, 1, k, i, t, "table", int(b.page_num), int(b.page_num), first.section, len(t), index)
+                yield *key, 1, k, i, t, "table", int(b.page_num), int(b.page_num), first.section, len(t), index
 
     def frame(rows: list[tuple]) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=names).astype({"table_index": "Int32"})
@@ -106,21 +108,37 @@ def build_chunks(pages: DataFrame, max_chars: int = rules.CHUNK_CHARS, overlap:
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Blocks come in order, so a run is done where the next one starts; only its own blocks are held."""
         held: list = []
+        document, number = None, 0
+
+        def numbered() -> list[tuple]:
+            nonlocal document, number
+            if document != (held[0].kb_name, held[0].source_pdf):
+                document, number = (held[0].kb_name, held[0].source_pdf), 0
+            rows = [(*r, number + i) for i, r in enumerate(run_chunks(held))]
+            number += len(rows)
+            return rows
+
         for pdf in frames:
             out: list[tuple] = []
             for b in pdf.itertuples(index=False):
                 if held and (b.kb_name, b.source_pdf, b.run) != (held[0].kb_name, held[0].source_pdf, held[0].run):
-                    out += run_chunks(held)
+                    out += numbered()
                     held = []
                 held.append(b)
             yield frame(out)
         if held:
-            yield frame(list(run_chunks(held)))
+            yield frame(numbered())
 
     ordered = merged.repartition("kb_name", "source_pdf").sortWithinPartitions("kb_name", "source_pdf", "page_num", "seq")
     chunks = ordered.mapInPandas(fold, CHUNKS)
-    place = W.partitionBy("kb_name", *([] if numbered_by == "kb_name" else [numbered_by])).orderBy("source_pdf", "run", "is_table", "table_seq", "pos")
-    return chunks.withColumn("chunk_id", F.format_string("chunk_%04d", F.row_number().over(place) - 1)).select("kb_name", "chunk_id", "text", "type", "page_start", "page_end", "section", "source_pdf", "char_count", "table_index", "run", "pos")
+    if numbered_by == "kb_name":
+        counts = chunks.groupBy("kb_name", "source_pdf").agg(F.count(F.lit(1)).alias("own"))
+        earlier = W.partitionBy("kb_name").orderBy("source_pdf").rowsBetween(W.unboundedPreceding, -1)
+        starts = counts.select(F.col("kb_name").alias("__kb"), F.col("source_pdf").alias("__source"), F.coalesce(F.sum("own").over(earlier), F.lit(0)).alias("__before"))
+        chunks = chunks.join(starts, F.col("kb_name").eqNullSafe(F.col("__kb")) & F.col("source_pdf").eqNullSafe(F.col("__source"))).withColumn("number", F.col("number") + F.col("__before"))
+    elif numbered_by != "source_pdf":
+        raise ValueError(f"ids count through kb_name or source_pdf, not {numbered_by}")
+    return chunks.withColumn("chunk_id", F.format_string("chunk_%04d", "number")).select("kb_name", "chunk_id", "text", "type", "page_start", "page_end", "section", "source_pdf", "char_count", "table_index", "run", "pos")
 
 
 def chunk_quality(chunks: DataFrame) -> DataFrame:
@@ -136,7 +154,7 @@ def chunk_sections(chunks: DataFrame, unknown: str = rules.UNKNOWN_SECTION) -> D
 
 
 def overlap_pairs(chunks: DataFrame, chars: int = rules.OVERLAP_CHARS, order: tuple[str, ...] = ("chunk_id",), by: tuple[str, ...] = ("kb_name",)) -> DataFrame:
-    """Neighbouring chunks of one section of which the second holds the first's last `chars` characters."""
+    """Neighbouring chunks of one section of which the second holds the first's last `chars` characters. A task reads all chunks of a value of `by` in order: name source_pdf too where a knowledge base is large."""
     own = W.partitionBy(*by).orderBy(*order)
     before, section = F.lag("text").over(own), F.lag("section").over(own)
     tail = text.strip(F.substr(before, F.greatest(F.length(before) - chars + 1, F.lit(1))))

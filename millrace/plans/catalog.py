@@ -221,9 +221,8 @@ def table_markdown(spark, sf_dir):
     return pages.table_pages(part_cells(spark, sf_dir)).select("source_pdf", "text", "row_count", "col_count", "char_count")
 
 
-@query()
+@query(TABLE_CHUNKS_SQL)
 def table_chunks(spark, sf_dir):
-    """Tested against a fold in Python."""
     tables = pages.table_pages(part_cells(spark, sf_dir)).withColumns({"seq": F.lit(0), "section": F.lit("parts")})
     return chunking.build_chunks(tables, table_chars=500).select("source_pdf", "chunk_id", "text", "char_count")
 

@@ -81,6 +81,15 @@ WITH t AS (SELECT p_brand AS source_pdf, '[表格 1]' || chr(10) || 'name | size
 SELECT source_pdf, text, row_count, 2 AS col_count, length(text) AS char_count FROM t
 """
 
+TABLE_CHUNKS_SQL = f"""
+WITH RECURSIVE tables AS ({TABLE_SQL}), ln AS (SELECT source_pdf, string_split(text, chr(10)) AS l FROM tables),
+row AS (SELECT source_pdf, array_to_string(l[1:3], chr(10)) AS head, i - 3 AS i, l[i] AS line FROM ln, unnest(range(4, len(l) + 1)) AS u(i)),
+cut AS (SELECT *, 0 AS piece, 1 + length(line) AS held FROM row WHERE i = 1
+  UNION ALL SELECT r.*, c.piece + full_::INTEGER, CASE WHEN full_ THEN 0 ELSE c.held END + 1 + length(r.line) FROM (SELECT r, c, length(r.head) + c.held + 1 + length(r.line) > 500 AS full_ FROM row r JOIN cut c ON r.source_pdf = c.source_pdf AND r.i = c.i + 1)),
+pieces AS (SELECT source_pdf, piece, any_value(head) || chr(10) || string_agg(line, chr(10) ORDER BY i) AS text FROM cut GROUP BY ALL)
+SELECT source_pdf, printf('chunk_%04d', row_number() OVER (ORDER BY source_pdf, piece) - 1) AS chunk_id, text, length(text)::INTEGER AS char_count FROM pieces
+"""
+
 VECTORS_SQL = "vec AS (SELECT (vec_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', vec_id) AS chunk_id, CASE WHEN vec_id % 10 <> 0 THEN CASE WHEN vec_id % 8 = 7 THEN embedding[1:32] ELSE embedding END END AS embedding, label::VARCHAR AS type FROM embeddings)"
 TEXTS_SQL = "texts AS (SELECT (doc_id % 4)::VARCHAR AS kb_name, printf('chunk_%04d', doc_id) AS chunk_id, line, line || ':' || text AS text FROM documents, unnest([1, 2]) AS t(line) WHERE line = 1 OR doc_id % 5 = 0)"
 

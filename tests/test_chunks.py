@@ -59,3 +59,11 @@ def test_sections_reach_layout_pages(spark):
 
     found = pages.layout_pages(doc).withColumns({"seq": F.lit(0), "section": text.guess_section(F.col("text"))})
     assert [r.section for r in pages.fill_sections(found).orderBy("page_num").collect()] == ["第一节 释义"] * 2
+
+
+def test_numbers_go_on_through_a_knowledge_base_or_start_with_each_document(spark):
+    rows = [(kb, s, p, 0, "text", f"{c}" * 12, c, None) for kb, s, p, c in (("k", "t", 1, "甲"), ("k", "s", 1, "乙"), ("k", "s", 2, "丙"), ("k", None, 1, "丁"), (None, "s", 1, "戊"))]
+    ids = lambda by: {(r.kb_name, r.source_pdf, r.text[0]): r.chunk_id for r in chunking.build_chunks(spark.createDataFrame(rows, SCHEMA), numbered_by=by).collect()}
+    want = {("k", None, "丁"): (0, 0), ("k", "s", "乙"): (1, 0), ("k", "s", "丙"): (2, 1), ("k", "t", "甲"): (3, 0), (None, "s", "戊"): (0, 0)}
+    assert ids("kb_name") == {k: f"chunk_{a:04d}" for k, (a, _) in want.items()}
+    assert ids("source_pdf") == {k: f"chunk_{b:04d}" for k, (_, b) in want.items()}
