@@ -153,11 +153,10 @@ def section_runs(spark, sf_dir):
     return chunking.run_ranges(chunking.section_runs(pages.fill_sections(page_records(spark, sf_dir))))
 
 
-@query()
+@query(PACK_SQL)
 def pack_chunks(spark, sf_dir):
-    """Tested against a fold in Python."""
     filled = pages.fill_sections(page_records(spark, sf_dir))
-    return chunking.build_chunks(filled, ends=latin.SENTENCE_ENDS, stop=".", header_words=latin.HEADER_WORDS, joiner=" ", numbered_by="source_pdf")
+    return chunking.build_chunks(filled, ends=latin.SENTENCE_ENDS, stop=".", header_words=latin.HEADER_WORDS, joiner=" ", numbered_by="source_pdf").drop("table_index")
 
 
 def page_chunks(spark, sf_dir) -> DataFrame:

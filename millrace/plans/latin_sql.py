@@ -55,19 +55,44 @@ runs AS (SELECT *, (sum(new) OVER (PARTITION BY kb_name, source_pdf ORDER BY pag
 
 CHUNKS_SQL = f"{RUNS_SQL}, chunks AS (SELECT * REPLACE (CASE WHEN page_num % 2 = 0 THEN right(lag(text) OVER (PARTITION BY kb_name, source_pdf ORDER BY page_num), 60) || chr(10) || text ELSE text END AS text) FROM runs)"
 
-MERGE_SQL = rf"""
-WITH src AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END, chr(10)) AS l FROM documents),
-ln AS (SELECT doc_id, i, {STRIP("l[i]")} AS t FROM src, unnest(range(1, len(l) + 1)) AS u(i)),
+
+def MERGED(lines: str, ends: str) -> str:
+    """lines: a relation of (doc_id, l), l the lines; j has each text's paragraphs."""
+    return rf"""ln AS (SELECT doc_id, i, {STRIP("l[i]")} AS t FROM {lines}, unnest(range(1, len(l) + 1)) AS u(i)),
 b AS (SELECT *, sum(CASE WHEN t = '' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS blanks FROM ln),
 kept AS (SELECT *, lag(t) OVER w AS pt, lag(blanks) OVER w AS pb FROM b WHERE t <> '' AND NOT regexp_matches(t, '{rules.PAGE_NUMBER}') AND NOT regexp_matches(t, '^\d{{1,4}}$') AND NOT ({ANY("t", latin.HEADER_WORDS)} AND length(t) < 60) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-j AS (SELECT doc_id, string_agg(CASE WHEN pt IS NULL THEN '' WHEN blanks > pb OR (contains('{latin.ENDS}', right(pt, 1)) AND length(t) >= 30) THEN chr(10) || chr(10) ELSE ' ' END || t, '' ORDER BY i) AS text FROM kept GROUP BY doc_id)
+j AS (SELECT doc_id, string_agg(CASE WHEN pt IS NULL THEN '' WHEN blanks > pb OR (contains('{ends}', right(pt, 1)) AND length(t) >= 30) THEN chr(10) || chr(10) ELSE ' ' END || t, '' ORDER BY i) AS text FROM kept GROUP BY doc_id)"""
+
+
+MERGE_SQL = f"""
+WITH src AS (SELECT doc_id, string_split(CASE WHEN doc_id % 2 = 0 THEN replace(text, '. ', '.' || chr(10) || chr(10)) ELSE text END, chr(10)) AS l FROM documents), {MERGED("src", latin.ENDS)}
 SELECT doc_id, coalesce(j.text, '') AS text FROM src LEFT JOIN j USING (doc_id)
 """
 
-SPLIT_SQL = rf"""
-WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '([^.!?\n]*[.!?\n]|[^.!?\n]+)', 1), lambda s: {STRIP("CASE WHEN length(regexp_replace(s, '[.!?" + chr(92) + "n]$', '')) >= 64 THEN regexp_replace(s, '[.!?" + chr(92) + "n]$', '') ELSE s END")}), lambda s: length(s) > 10) AS p FROM documents),
-c AS (SELECT doc_id, list_filter(flatten(list_transform(p, lambda s: CASE WHEN length(s) > 80 THEN list_transform(range(0, (length(s) - 1) // 80 + 1), lambda i: {STRIP("s[i * 80 + 1 : i * 80 + 80]")}) ELSE [s] END)), lambda s: length(s) > 10) AS p FROM s)
-SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS pieces FROM c
+
+def PIECES(x: str, most: int) -> str:
+    """The pieces of a paragraph beyond `most` characters."""
+    bare = r"regexp_replace(s, '[.!?\n]$', '')"
+    whole = rf"list_filter(list_transform(regexp_extract_all({x}, '([^.!?\n]*[.!?\n]|[^.!?\n]+)', 1), lambda s: {STRIP(f'CASE WHEN length({bare}) >= {most * 8 // 10} THEN {bare} ELSE s END')}), lambda s: length(s) > 10)"
+    cut = f"CASE WHEN length(s) > {most} THEN list_transform(range(0, (length(s) - 1) // {most} + 1), lambda i: {STRIP(f's[i * {most} + 1 : i * {most} + {most}]')}) ELSE [s] END"
+    return f"list_filter(flatten(list_transform({whole}, lambda s: {cut})), lambda s: length(s) > 10)"
+
+
+SPLIT_SQL = f"SELECT doc_id, len(p) AS n, md5(array_to_string(p, '|')) AS pieces FROM (SELECT doc_id, {PIECES('text', 80)} AS p FROM documents)"
+
+MOST, TAIL = rules.CHUNK_CHARS, rules.OVERLAP_CHARS
+PACK_SQL = f"""
+WITH RECURSIVE {RUNS_SQL}, paged AS (SELECT source_pdf::BIGINT * 1000000 + page_num AS doc_id, string_split(text, chr(10)) AS l, kb_name, source_pdf, page_num, run, section FROM runs), {MERGED("paged", rules.PARAGRAPH_ENDS)},
+par AS (SELECT source_pdf, run, row_number() OVER (PARTITION BY source_pdf, run ORDER BY page_num, i) AS n, p[i] AS p, CASE WHEN length(p[i]) > {MOST} THEN {PIECES("p[i]", MOST)} END AS long
+  FROM (SELECT source_pdf, run, page_num, list_filter(list_transform(string_split_regex(j.text, '\\n{{2,}}'), lambda x: {STRIP("x")}), lambda x: length(x) >= 10) AS p FROM paged JOIN j USING (doc_id)), unnest(range(1, len(p) + 1)) AS u(i)),
+fold AS (SELECT source_pdf, run, 0::BIGINT AS n, '' AS held, []::VARCHAR[] AS said FROM par WHERE n = 1
+  UNION ALL SELECT source_pdf, run, n, CASE WHEN held = '' THEN CASE WHEN long IS NULL THEN p ELSE '' END WHEN fits THEN held || chr(10) || p ELSE CASE WHEN length(held) <= {TAIL} THEN held WHEN stop > 1 THEN substr(held, stop + 1) ELSE right(held, {TAIL}) END || chr(10) || p END,
+    CASE WHEN held = '' THEN coalesce(long, []) WHEN fits THEN [] ELSE [held] END
+  FROM (SELECT par.*, held, length(held) + 1 + length(par.p) <= {MOST} AS fits, length(held) - {TAIL} - length(regexp_extract(left(held, greatest(length(held) - {TAIL}, 0)), '[^.]*$')) AS stop FROM fold JOIN par ON par.source_pdf = fold.source_pdf AND par.run = fold.run AND par.n = fold.n + 1)),
+texts AS (SELECT source_pdf, run, n, i, said[i] AS text FROM fold, unnest(range(1, len(said) + 1)) AS u(i) UNION ALL SELECT source_pdf, run, max(n) + 1, 1, arg_max(held, n) FROM fold GROUP BY 1, 2 HAVING arg_max(held, n) <> ''),
+ranges AS (SELECT kb_name, source_pdf, run, any_value(section) AS section, min(page_num)::INTEGER AS page_start, max(page_num)::INTEGER AS page_end FROM runs GROUP BY ALL)
+SELECT kb_name, printf('chunk_%04d', row_number() OVER (PARTITION BY kb_name, source_pdf ORDER BY run, n, i) - 1) AS chunk_id, text, 'text' AS type, page_start, page_end, section, source_pdf, length(text)::INTEGER AS char_count, run,
+  (row_number() OVER (PARTITION BY kb_name, source_pdf, run ORDER BY n, i) - 1)::INTEGER AS pos FROM texts JOIN ranges USING (source_pdf, run)
 """
 
 LAYOUT_SQL = f"""
