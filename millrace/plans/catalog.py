@@ -478,9 +478,9 @@ def requests(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("client"), F.col("event_type").alias("path"), (F.col("value") / 100).alias("seconds"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"))
 
 
-@query()
+@query(LIMIT_SQL)
 def rate_limit(spark, sf_dir):
-    """Tested against a fold in Python. Events are sparse, so the window is a day."""
+    """Events are sparse, so the window is a day."""
     return logs.rate_limit(requests(spark, sf_dir), most=3, seconds=86400).select("event_id", "client", "accepted")
 
 
@@ -495,9 +495,8 @@ def cache_keys(spark, sf_dir):
     return logs.cache_keys(c, (("top_k", 8), ("min_score", 0.2))).select("query_id", "result_key", "query_key")
 
 
-@query()
+@query(REPLAY_SQL)
 def cache_replay(spark, sf_dir):
-    """Tested against a fold in Python."""
     accesses = table(spark, sf_dir, "events").select("event_id", "ts", F.concat_ws("/", "event_type", F.col("user_id").cast("string")).alias("cache_key"))
     return logs.cache_replay(accesses, ttl_seconds=5 * 86400).select("event_id", "cache_key", "hit")
 

@@ -246,6 +246,17 @@ SELECT query_id, CASE WHEN len(l) > 0 THEN array_to_string(list_filter(l, lambda
 LOG_SQL = "(SELECT event_id, ts, event_type AS intent, 'about ' || event_type || ' no ' || (event_id % 5) || [' ante', ' post', ' now'][event_id % 3 + 1] AS query, CASE WHEN event_id % 7 <> 0 THEN round(1 + value % 4, 2) END AS feedback FROM events)"
 PATTERN_SQL = rf"regexp_replace(translate(query, '{latin.STOPS}', ''), '\d+', '[NUM]', 'g')"
 
+
+def REPLAYED(key: str, first: str, step: str) -> str:
+    """The events of each key in order, with `state` and `said` carried from one to the next; `was` is the state before, t the microseconds."""
+    return f"""WITH RECURSIVE e AS (SELECT event_id, key, epoch_us(ts) AS t, row_number() OVER (PARTITION BY key ORDER BY ts, event_id) AS n FROM (SELECT *, {key} AS key FROM events)),
+s AS (SELECT event_id, key, n, {first} FROM e WHERE n = 1 UNION ALL SELECT event_id, key, n, {step} FROM (SELECT e.*, s.state AS was FROM s JOIN e ON e.key = s.key AND e.n = s.n + 1))"""
+
+
+RECENT = "list_filter(was, lambda x: x > t - 86400000000)"
+LIMIT_SQL = f"{REPLAYED('user_id', '[t] AS state, true AS said', f'CASE WHEN len({RECENT}) < 3 THEN list_append({RECENT}, t) ELSE {RECENT} END, len({RECENT}) < 3')} SELECT event_id, key AS client, said AS accepted FROM s"
+REPLAY_SQL = f"{REPLAYED("event_type || '/' || user_id", 't AS state, false AS said', 'CASE WHEN t - was < 432000000000 THEN was ELSE t END, t - was < 432000000000')} SELECT event_id, key AS cache_key, said AS hit FROM s"
+
 VERDICTS_SQL = "v AS (SELECT doc_id, quality, toxic, doc_id % 5 AS k, round(quality * 0.7::DOUBLE + (doc_id % 10) * 0.05::DOUBLE - 0.1::DOUBLE, 2) AS s FROM labels)"
 SCORE_SQL = "CASE WHEN k <= 2 THEN least(1.0::DOUBLE, greatest(0.0::DOUBLE, s)) WHEN k = 3 THEN round(quality * 0.1::DOUBLE + 0.05::DOUBLE, 2) ELSE 0.0::DOUBLE END"
 ITEMS_SQL = f"""{VERDICTS_SQL}, x AS (SELECT *, {SCORE_SQL} AS sc, doc_id % 11 = 0 AS silent, toxic = 1 AS negative, CASE WHEN k <= 2 THEN toxic = 1 ELSE {SCORE_SQL} > 0.7 END AS refused FROM v),
