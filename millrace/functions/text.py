@@ -12,7 +12,7 @@ from millrace.functions import rules
 
 def strip(x: Column) -> Column:
     """Without white space at either end, of any kind."""
-    return F.regexp_replace(x, r"^\s+|\s+$", "")
+    return F.btrim(x, F.lit(" \t\n\x0b\f\r"))
 
 
 def clean_text(x: Column) -> Column:
@@ -49,7 +49,7 @@ def guess_section(text: Column, numbered: str = rules.NUMBERED_HEADING, headings
         word = F.when(F.length(line) < heading_chars, first_of(line, headings))
         return F.when(~skip, F.coalesce(numbered_part, word))
 
-    found = F.transform(F.slice(F.split(text, "\n"), 1, lines), lambda x: heading(strip(x)))
+    found = F.transform(F.transform(F.slice(F.split(text, "\n"), 1, lines), strip), heading)  # stripped in a step of its own, once a line
     return F.try_element_at(F.filter(found, lambda x: x.isNotNull()), F.lit(1))
 
 
@@ -68,11 +68,9 @@ def merge_lines(text: Column, ends: str = rules.PARAGRAPH_ENDS, header_words: Se
         ended = F.contains(F.lit(ends), F.right(before, F.lit(1))) & (before != "")
         return F.when(t.isNull(), "").otherwise(F.concat(F.when(before.isNull(), "").when(ended & (F.length(t) >= min_chars), "\n\n").otherwise(joiner), t))
 
-    def merged(part: Column) -> Column:
-        lines = F.filter(F.transform(F.split(part, "\n"), strip), kept)
-        return F.array_join(F.zip_with(lines, F.concat(F.array(F.lit(None).cast("string")), lines), piece), "")
-
-    parts = F.transform(F.split(text, r"\n\s*\n"), merged)
+    lines = F.transform(F.split(text, r"\n\s*\n"), lambda part: F.filter(F.transform(F.split(part, "\n"), strip), kept))
+    # a step of its own, as a lambda's text is worked out wherever it is named
+    parts = F.transform(lines, lambda own: F.array_join(F.zip_with(own, F.concat(F.array(F.lit(None).cast("string")), own), piece), ""))
     return F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")
 
 

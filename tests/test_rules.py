@@ -163,3 +163,9 @@ def test_bm25_with_a_segmenter(spark):
     docs = spark.createDataFrame([(1, "公司的财务"), (2, "公司")], "id long, text string")
     got = search.bm25_topk(spark.createDataFrame([(1, "财务")], "query_id long, text string"), docs, 5, tokenize=words)
     assert [(r.id, r.rank) for r in got.collect()] == [(1, 1)]
+
+
+def test_strip_takes_all_white_space_at_the_ends_alone(spark):
+    texts = ["", " ", "\t\n\x0b\f\r a \n b \r\n", "a", None, "　a　"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.strip(F.col("t")).alias("s"))
+    assert [r.s for r in got.orderBy("i").collect()] == ["", "", "a \n b", "a", None, "　a　"]
