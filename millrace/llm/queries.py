@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, substring_dedup, topk, toxicity, url_filter
+from millrace.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity, url_filter
 from millrace.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -100,6 +100,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the runs whose crc32 with their document's id 31 divides, one code point is deleted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.group_variants(docs, noise=spelling.delete_one_in(31))
+
+
 QUERIES = {
     "op1_urls": op1_urls,
     "op2_quality": op2_quality,
@@ -111,4 +117,5 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op13_spelling": op13_spelling,
 }

@@ -91,4 +91,29 @@ WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}'
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM dw LEFT JOIN kept USING (doc_id)
 """
 
-SQL = {"op3_topk": TOPK, "op4_mixing": MIXING, "op6_decontamination": CONTAMINATION, "op7_chat": CHAT, "op10_substrings": SUBSTRINGS}
+SPELLING = rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS tab
+), said AS (
+  SELECT doc_id, {LOWER.format("w")} AS w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 7 GROUP BY ALL
+), coded AS (SELECT *, hex(encode(doc_id || ':' || w)) AS x FROM said
+), hashed AS (
+  SELECT w, c, xor(list_reduce(list_transform(range(length(x) // 2), lambda i: ('0x' || x[2 * i + 1:2 * i + 2])::BIGINT), lambda a, b: xor(tab[(xor(a, b) & 255) + 1], a >> 8), 4294967295::BIGINT), 4294967295) AS h FROM coded, crc
+), made AS (SELECT CASE WHEN h % 31 = 0 THEN w[:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM hashed
+), words AS (SELECT word, sum(c)::BIGINT AS n FROM made WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), cut AS (SELECT word, n, length(word) AS l, k, word[:k - 1] || word[k + 1:] AS rest FROM words, unnest(range(1, length(word) + 1)) AS t(k)
+), near AS (
+  SELECT DISTINCT a.word, b.word AS other FROM cut a JOIN cut b ON a.l = b.l AND a.k = b.k AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT DISTINCT cut.word, w.word FROM cut JOIN words w ON w.word = cut.rest
+  UNION SELECT DISTINCT w.word, cut.word FROM cut JOIN words w ON w.word = cut.rest
+), best AS (
+  SELECT near.word, count(*) AS n_near, max(o.n) AS form_n, arg_min(o.word, (-o.n, o.word)) AS form FROM near JOIN words o ON o.word = near.other GROUP BY near.word
+), known AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 10 * n THEN form_n END AS form_n, CASE WHEN form_n >= 10 * n THEN form END AS form FROM words LEFT JOIN best USING (word)
+), path AS (
+  WITH RECURSIVE r AS (SELECT word, word AS root FROM known UNION ALL SELECT r.word, known.form FROM r JOIN known ON known.word = r.root WHERE known.form IS NOT NULL)
+  SELECT r.word, r.root FROM r JOIN known ON known.word = r.root WHERE known.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM known JOIN path USING (word)
+"""
+
+SQL = {"op3_topk": TOPK, "op4_mixing": MIXING, "op6_decontamination": CONTAMINATION, "op7_chat": CHAT, "op10_substrings": SUBSTRINGS, "op13_spelling": SPELLING}
