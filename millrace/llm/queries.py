@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity, url_filter
+from millrace.llm import alignment, chat_format, decontaminate, language_id, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity, url_filter
 from millrace.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -15,6 +15,8 @@ URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/"
 #: Host words whose URLs are labelled 1 for training; tables hold no URL labels (fixed values).
 SEED_WORDS = ["spam", "pills", "casino", "bets", "ads", "adult", "porn", "viagra", "track", "cheap", "win"]
 
+TOKENIZERS = "/opt/tokenizers"  # the folder of the public tokenizers' files, which only the driver reads
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -100,6 +102,11 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return alignment.align(docs, alignment.load_pair(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")).select(F.col("doc_id").cast("long").alias("doc_id"), *alignment.NEW)
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the runs whose crc32 with their document's id 31 divides, one code point is deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -117,5 +124,6 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
+    "op11_alignment": op11_alignment,
     "op13_spelling": op13_spelling,
 }
