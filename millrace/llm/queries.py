@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import alignment, chat_format, decontaminate, language_id, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity, url_filter
+from millrace.llm import alignment, chat_format, decontaminate, html_text, language_id, mixing, quality, simhash, spelling, substring_dedup, topk, toxicity, url_filter
 from millrace.llm.sql import SQL
 
 __all__ = ["QUERIES", "SQL"]
@@ -107,6 +107,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(docs, alignment.load_pair(f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model")).select(F.col("doc_id").cast("long").alias("doc_id"), *alignment.NEW)
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract(pages, html_text.fit(pages)).select("page_id", "url", "text", "n_chars")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the runs whose crc32 with their document's id 31 divides, one code point is deleted."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -125,5 +130,6 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_substrings": op10_substrings,
     "op11_alignment": op11_alignment,
+    "op12_html": op12_html,
     "op13_spelling": op13_spelling,
 }

@@ -91,6 +91,15 @@ WITH dw AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}'
 SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, coalesce(sha, sha256('')) AS kept_sha256 FROM dw LEFT JOIN kept USING (doc_id)
 """
 
+#: These tables' pages have their main text in an article element, and few kinds of character references.
+HTML = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages
+), b AS (SELECT page_id, url, regexp_replace(replace(x, '<b>', ''), '<[^>]*>', ' ', 'g') AS x FROM a
+), c AS (SELECT page_id, url, regexp_replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?', '&', 'g') AS x FROM b
+), d AS (SELECT page_id, url, trim(regexp_replace(x, '[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""
+
 SPELLING = rf"""
 WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i::BIGINT)) AS tab
 ), said AS (
@@ -116,4 +125,4 @@ WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), l
 SELECT word, form, root, n, n_near, form_n FROM known JOIN path USING (word)
 """
 
-SQL = {"op3_topk": TOPK, "op4_mixing": MIXING, "op6_decontamination": CONTAMINATION, "op7_chat": CHAT, "op10_substrings": SUBSTRINGS, "op13_spelling": SPELLING}
+SQL = {"op3_topk": TOPK, "op4_mixing": MIXING, "op6_decontamination": CONTAMINATION, "op7_chat": CHAT, "op10_substrings": SUBSTRINGS, "op12_html": HTML, "op13_spelling": SPELLING}
