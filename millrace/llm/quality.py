@@ -6,8 +6,8 @@ and lines, repetition); and, where the table has it, the recorded number of char
 score is the logistic of b + w·x + the sum over pairs <v_i, v_j> x_i x_j, the pairs taken
 in linear time as half of |sum v_i x_i|^2 - sum |v_i x_i|^2.
 
-It is fitted on at most `max_rows` labelled rows, chosen by a hash of their ids, by Adam
-over batches of them in a seeded order. Statistics are standardised by the sample's means and deviations.
+It is fitted on at most `max_rows` labelled rows, chosen by a hash of their ids and one text
+an id, by Adam over batches of them in a seeded order. Statistics are standardised by the sample's means and deviations.
 
 Texts are scored whole; null and empty texts have no words and all statistics at zero.
 Labels of no or one class give that class's share as every score. Repeated rows are scored
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.sampling import hash_sample
+from millrace.functions.sampling import hash_sample, one_each
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, with_columns
 
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", learn: Col
     ids = labels.where((F.lit(True) if learn is None else learn) & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     ids = hash_sample(ids, max_rows, id_col)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"), _chars(docs, chars_col).alias("chars"))
-    sample = texts.join(F.broadcast(ids), id_col).select("label", "text", "chars")  # at most max_rows pairs of numbers
+    sample = one_each(texts.join(F.broadcast(ids), id_col), id_col).select("label", "text", "chars")  # ids: at most max_rows pairs of numbers
     rows = stash(sample.mapInArrow(_features, "label int, buckets binary, vals binary, stats binary"), "labelled").collect()
     rows.sort(key=lambda r: (r.label, bytes(r.stats), bytes(r.buckets)))  # the same model whatever the order of arrival
     rows = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]

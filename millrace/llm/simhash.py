@@ -13,7 +13,8 @@ to be small before any is gathered: fingerprints are counted by each segment wit
 blanked, a group that holds the crowds of that byte's eight variants. Where it has more
 than CROWD fingerprints its variants are dealt by the bytes of their other segment too (of
 three differing bits over four bytes one byte is the same), which leaves 25 free bits and
-so at most 2²⁵ fingerprints, whatever the corpus. Components come from repeated joins over
+so at most 2²⁵ fingerprints, whatever the corpus; a task cuts these into pieces again until
+a crowd is small, so none is compared pair by pair. Components come from repeated joins over
 the trees' edges, cut by checkpoints; keys that many rows share, a large component's root
 or the fingerprint of many copies, are joined without an exchange.
 
@@ -25,6 +26,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -82,7 +84,19 @@ def _links(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Edges of trees that span what is linked in a crowd of different fingerprints: each new member is compared at once with all that no tree has taken yet."""
+    """Edges of trees that span what is linked in a crowd of different fingerprints.
+
+    Up to CROWD of them, each new member is compared at once with all that no tree has taken
+    yet. A larger crowd is parted: the places at which its members differ are cut into one
+    piece more than links may have bits, so linked members agree in a piece; members are
+    sorted by each piece in turn, and those that agree in it are a smaller crowd that differs
+    at fewer places.
+    """
+    if len(prints) > CROWD:
+        differ = int(np.bitwise_or.reduce(prints ^ prints[0]))
+        if differ.bit_count() <= bits:  # all are linked
+            return [(int(prints[0]), int(x)) for x in prints[1:]]
+        return _spanning(e for some in _parted(prints, differ, bits) for e in _forest(some, bits))
     left, edges = np.sort(prints), []
     while len(left):
         reached, left = left[:1], left[1:]
@@ -95,6 +109,37 @@ def _forest(prints: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _parted(prints: np.ndarray, differ: int, bits: int) -> Iterator[np.ndarray]:
+    """Crowds of those that agree in a piece, for each piece of the places at which prints differ."""
+    places = np.array([b for b in range(64) if differ >> b & 1], np.uint64)
+    for piece in np.array_split(places, bits + 1):
+        own = prints & np.uint64(sum(1 << int(b) for b in piece))
+        order = np.argsort(own, kind="stable")
+        cuts = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+        for a, b in zip(cuts, np.append(cuts[1:], len(order)), strict=True):
+            if b - a > 1:
+                yield prints[order[a:b]]
+
+
+def _spanning(edges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those edges that join trees that no edge before has joined."""
+    root: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = root[x]
+        return x
+
+    kept = []
+    for a, b in edges:
+        x, y = top(a), top(b)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            kept.append((a, b))
+    return kept
+
+
 def _verify(bits: int):
     """Rows in order of their key to tree edges within each key."""
 

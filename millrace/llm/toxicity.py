@@ -3,7 +3,7 @@
 A logistic model over the words of a text and their beginnings of four to six bytes
 (lower-cased; which of them occur, not how often). It is fitted on at most `max_rows`
 labelled rows, chosen by a hash of their ids; among their features those count that the
-labels set apart (|z| of the two shares at least MIN_Z, MAX_FEATURES at most).
+labels set apart (|z| of the two shares at least MIN_Z), all of them: the sample bounds them.
 
 Counterfactuals: where a labelled text mentions an identity term, a copy with each term
 swapped for the next of its set is made, and the fit adds `fairness` times the squared
@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.functions.sampling import hash_sample
+from millrace.functions.sampling import hash_sample, one_each
 from millrace.llm._store import keep_columns, share, small_batches, stash
 from millrace.llm._text import Words, alnum_table, blocks, buffers, mix, with_columns
 
-PREFIXES, MAX_ROWS, MAX_FEATURES, MIN_Z = (4, 5, 6), 12_000, 4096, 4.0
+PREFIXES, MAX_ROWS, MIN_Z = (4, 5, 6), 12_000, 4.0
 NEW = ["score", "predicted"]
 #: Identity terms by set; a term is swapped for the next of its set (fixed values, replaceable).
 IDENTITY_TERMS = (
@@ -173,10 +173,10 @@ def _fit(rows: list, size: int, fairness: float, decay: float, steps: int) -> tu
 
 
 class Model:
-    """Sorted hashes of the chosen features, their weights, and the bias. pairs: how many counterfactual pairs held a term of their own, and how many one put in; dropped: features that the labels set apart beyond the room for them."""
+    """Sorted hashes of the chosen features, their weights, and the bias. pairs: how many counterfactual pairs held a term of their own, and how many one put in."""
 
-    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, pairs: tuple[int, int] = (0, 0), dropped: int = 0):
-        self.chosen, self.weights, self.bias, self.pairs, self.dropped = chosen, weights, bias, pairs, dropped
+    def __init__(self, chosen: np.ndarray, weights: np.ndarray, bias: float, pairs: tuple[int, int] = (0, 0)):
+        self.chosen, self.weights, self.bias, self.pairs = chosen, weights, bias, pairs
 
     def scores(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out = []
@@ -190,14 +190,14 @@ class Model:
 
 
 def bounded_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int, text_col: str, id_col: str) -> DataFrame:
-    """(label, text) of at most max_rows labelled rows, those of least hash of the id; ids with two labels have the larger."""
+    """(label, text) of at most max_rows labelled rows, those of least hash of the id, one text an id (that of least hash); ids with two labels have the larger."""
     ids = labels.where(learn & F.col(label).isin(0, 1)).groupBy(id_col).agg(F.max(label).cast("int").alias("label"))
     ids = hash_sample(ids, max_rows, id_col)
     texts = docs.select(F.col(id_col), F.col(text_col).cast("binary").alias("text"))
-    return texts.join(F.broadcast(ids), id_col).select("label", "text")  # at most max_rows pairs of numbers
+    return one_each(texts.join(F.broadcast(ids), id_col), id_col).select("label", "text")  # ids: at most max_rows pairs of numbers
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = MAX_ROWS, identity_terms=IDENTITY_TERMS, fairness: float = 1.0, max_features: int = MAX_FEATURES, decay: float = 1e-4, steps: int = 300, text_col: str = "text", id_col: str = "doc_id") -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Column | None = None, max_rows: int = MAX_ROWS, identity_terms=IDENTITY_TERMS, fairness: float = 1.0, decay: float = 1e-4, steps: int = 300, text_col: str = "text", id_col: str = "doc_id") -> Model:
     """A model from at most max_rows labelled rows. learn: condition on labels' columns for rows to learn from."""
     small_batches(docs.sparkSession)
     sample = stash(bounded_sample(docs, labels, label, F.lit(True) if learn is None else learn, max_rows, text_col, id_col), "labelled")
@@ -208,16 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", learn: Colum
     counts = sample.mapInArrow(_counts, "feature long, ones long, zeros long").groupBy("feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
     p = (F.col("ones") + F.col("zeros")) / (a + b)
     z = (F.col("ones") / a - F.col("zeros") / b) / F.sqrt(p * (1 - p + 1e-9) * (1 / a + 1 / b))
-    apart = stash(counts.where(F.col("ones") + F.col("zeros") >= 3).withColumn("z", F.abs(z)).where(F.col("z") >= MIN_Z), "apart")
-    best = apart.orderBy(F.desc("z"), "feature").limit(max_features)
-    chosen = np.array([r.feature for r in best.select("feature").collect()], np.int64).view(np.uint64)
-    dropped = apart.count() - len(chosen)
+    apart = counts.where((F.col("ones") + F.col("zeros") >= 3) & (F.abs(z) >= MIN_Z))
+    chosen = apart.select("feature").toArrow().column("feature").to_numpy().view(np.uint64)  # bounded as the sample is
     chosen = np.union1d(chosen, term_features(identity_terms))
     rows = sample.mapInArrow(_rows(chosen, identity_terms), "label int, own binary, other binary, put boolean").collect()
     pairs = tuple(sum(r.other is not None and r.put == k for r in rows) for k in (False, True))
     if fairness and not sum(pairs):
         warnings.warn("no labelled text gave a counterfactual pair: the penalty has no effect", stacklevel=2)
-    return Model(chosen, *_fit(rows, len(chosen), fairness, decay, steps), pairs, dropped)
+    return Model(chosen, *_fit(rows, len(chosen), fairness, decay, steps), pairs)
 
 
 def _scored(shared, text_col: str, finish):

@@ -194,3 +194,20 @@ def quality_score(text, chars, model, buckets):
         x[buckets + k] = max(-4.0, min(4.0, z))
     pairs = sum(float(model.factors[i] @ model.factors[j]) * x[i] * x[j] for i in x for j in x if i < j)
     return logistic(model.bias + sum(model.weights[i] * v for i, v in x.items()) + pairs)
+
+
+def components(nodes, edges):
+    """The smallest node that each node reaches."""
+    near: dict = {n: [] for n in nodes}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    root: dict = {}
+    for n in sorted(nodes):
+        todo = [] if n in root else [n]
+        while todo:
+            x = todo.pop()
+            if x not in root:
+                root[x] = n
+                todo += near[x]
+    return root

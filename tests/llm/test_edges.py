@@ -428,3 +428,23 @@ def test_loss_mask_of_a_long_conversation(spark):
     x = chat_format.format_turns(df).select("id", "loss_mask", chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("l"))
     got = {r.id: r for r in x.collect()}
     assert got[1].l == "".join(t for r, t in turns if r == "assistant") and got[2].loss_mask == [] and got[3].loss_mask is None
+
+
+def test_large_crowds_are_not_compared_pair_by_pair(monkeypatch):
+    """Crowds beyond CROWD are parted again and again; what is linked stays linked, and 10,000 unlinked members cost no pairs."""
+    r = np.random.default_rng(8)
+    base = r.integers(0, 2**32, 30, dtype=np.uint64)
+    prints = np.unique(np.concatenate([base, *[base ^ np.uint64(1 << int(a) | 1 << int(b)) for a, b in r.integers(0, 32, (12, 2))], r.integers(0, 2**12, 200, dtype=np.uint64)]))
+    roots = lambda edges: brute.components([int(p) for p in prints], edges)
+    linked = [(int(a), int(b)) for i, a in enumerate(prints) for b in prints[i + 1 :] if int(a ^ b).bit_count() <= 3]
+    for crowd in (3, 50, 4096):
+        monkeypatch.setattr(simhash, "CROWD", crowd)
+        edges = simhash._forest(prints, 3)
+        assert set(edges) <= {*linked, *((b, a) for a, b in linked)} and roots(edges) == roots(linked) and len(edges) < len(prints)
+    monkeypatch.setattr(simhash, "CROWD", 64)
+    compared = []
+    plain = simhash._links
+    monkeypatch.setattr(simhash, "_links", lambda a, b, bits: compared.append(len(a)) or plain(a, b, bits))
+    apart = np.unique(r.integers(0, 2**32, 10_000, dtype=np.uint64))
+    simhash._forest(apart, 3)
+    assert sum(compared) < 100 * len(apart)

@@ -26,6 +26,25 @@ def test_toxicity_scores_by_plain_python(spark, data):
         assert r.score == pytest.approx(brute.toxicity_score(r.text, model), abs=1e-9), r.doc_id
 
 
+def test_training_rows_are_bounded_whatever_is_repeated(spark, data):
+    """A labelled id that 5,000 rows have counts once, with one text, whatever their order."""
+    docs, labels = table(spark, data, "documents").select("doc_id", "text", "n_chars"), table(spark, data, "labels")
+    hot = labels.agg(F.min("doc_id")).first()[0]
+    copies = spark.range(5000).select(F.lit(hot).alias("doc_id"), F.concat(F.lit("copy no "), (F.col("id") % 7).cast("string")).alias("text"), F.col("id").alias("n_chars"))
+    many = docs.unionByName(copies)
+    sample = toxicity.bounded_sample(many, labels, "toxic", F.lit(True), 50, "text", "doc_id")
+    assert sample.count() == 50 and toxicity.bounded_sample(many, labels, "toxic", F.lit(True), 10**6, "text", "doc_id").count() == docs.join(labels, "doc_id").select("doc_id").distinct().count()
+    one, two = (quality.train(x, labels, max_rows=60) for x in (many, many.repartition(5)))
+    assert one.bias == two.bias and (one.weights == two.weights).all()
+    a, b = (toxicity.train(x, labels, max_rows=60) for x in (many, many.repartition(5)))
+    assert (a.chosen == b.chosen).all() and np.allclose(a.weights, b.weights)
+    none = spark.createDataFrame([], docs.schema)
+    assert quality.train(none, labels).factors is None and len(toxicity.train(none, labels).weights) == 0
+    clash = docs.withColumns({"label": F.lit("x"), "Quality": F.lit("y"), "toxic": F.lit("z"), "ones": F.lit(1)})
+    assert (toxicity.train(clash, labels).chosen == toxicity.train(docs, labels).chosen).all()
+    assert (quality.train(clash, labels).weights == quality.train(docs, labels).weights).all()
+
+
 def test_counterfactual_penalty_acts(spark):
     """Labelled sentences of the held-out third move less between the terms of a set than without the penalty."""
     docs, labels = table(spark, LARGER, "documents"), table(spark, LARGER, "labels")
