@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.functions import rules, text
+from millrace.sources.shared import stash
 
 CHUNKS = "kb_name string, source_pdf string, run int, is_table int, table_seq int, pos int, text string, type string, page_start int, page_end int, section string, char_count int, table_index int, number bigint"
 
@@ -154,9 +157,41 @@ def chunk_sections(chunks: DataFrame, unknown: str = rules.UNKNOWN_SECTION) -> D
 
 
 def overlap_pairs(chunks: DataFrame, chars: int = rules.OVERLAP_CHARS, order: tuple[str, ...] = ("chunk_id",), by: tuple[str, ...] = ("kb_name",)) -> DataFrame:
-    """Neighbouring chunks of one section of which the second holds the first's last `chars` characters. A task reads all chunks of a value of `by` in order: name source_pdf too where a knowledge base is large."""
-    own = W.partitionBy(*by).orderBy(*order)
-    before, section = F.lag("text").over(own), F.lag("section").over(own)
-    tail = text.strip(F.substr(before, F.greatest(F.length(before) - chars + 1, F.lit(1))))
-    paired = chunks.withColumn("__pair", F.when(before.isNotNull() & section.eqNullSafe(F.col("section")), F.contains(F.col("text"), tail)).otherwise(False))
-    return paired.groupBy(*by).agg(F.count_if("__pair").alias("overlap_pairs"))
+    """Neighbouring chunks of one section of which the second holds the first's last `chars` characters, for each value of `by`.
+
+    Chunks are dealt by ranges of `by` and `order`, so a knowledge base lies in many tasks. A
+    task counts its own neighbours; its first and last chunk meet those of the tasks beside
+    it, two rows a task.
+    """
+    tail = text.strip(F.substr("text", F.greatest(F.length("text") - chars + 1, F.lit(1))))
+    parts = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = chunks.select(*by, *order, "section", "text", tail.alias("__tail")).repartitionByRange(parts, *by, *order).sortWithinPartitions(*by, *order).select(*by, "section", "text", "__tail")
+    kinds = [chunks.schema[c] for c in by]
+    schema = T.StructType([*kinds, *T._parse_datatype_string("section string, text string, __tail string, part int, last boolean, pairs long").fields])
+    names = schema.names
+    none = {"section": None, "text": None, "__tail": None, "part": None, "last": None, "pairs": 0}
+
+    def paired(before, after) -> bool:
+        """(section, tail) and (section, text)."""
+        return before[1] is not None and after[1] is not None and before[0] == after[0] and before[1] in after[1]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = TaskContext.get().partitionId(), None
+        for pdf in frames:
+            pdf = pdf.astype(object).where(pdf.notna(), None)
+            counts: dict = {}
+            for *own, section, said, end in pdf.itertuples(index=False, name=None):
+                key = tuple(own)
+                if held is None:
+                    yield pd.DataFrame([{**dict(zip(by, key, strict=True)), **none, "section": section, "text": said, "part": part, "last": False}])[names]
+                counts[key] = counts.get(key, 0) + (held is not None and held[0] == key and paired(held[1:], (section, said)))
+                held = (key, section, end)
+            yield pd.DataFrame([{**dict(zip(by, k, strict=True)), **none, "pairs": n} for k, n in counts.items()], columns=names)
+        if held is not None:
+            yield pd.DataFrame([{**dict(zip(by, held[0], strict=True)), **none, "section": held[1], "__tail": held[2], "part": part, "last": True}])[names]
+
+    told = stash(ranged.mapInPandas(run, schema), "overlap-parts")
+    beside = W.partitionBy(*by).orderBy("part", "last")
+    first = (~F.col("last")) & F.lag("last").over(beside) & F.lag("section").over(beside).eqNullSafe(F.col("section"))
+    met = told.where("part is not null").withColumn("pairs", F.when(first & F.contains(F.col("text"), F.lag("__tail").over(beside)), F.lit(1)).otherwise(F.lit(0)).cast("long"))
+    return told.where("part is null").select(*by, "pairs").unionByName(met.select(*by, "pairs")).groupBy(*by).agg(F.sum("pairs").alias("overlap_pairs"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text
+from millrace.sources.shared import stash
 
 
 def micros(ts: str = "ts") -> Column:
@@ -65,12 +67,56 @@ def session_tail(messages: DataFrame, limit: int = 10, kept: int = 40) -> DataFr
 
 
 def sessions(events: DataFrame, key: str = "user_id", ttl_seconds: int = 86400, tie: str = "event_id") -> DataFrame:
-    """(key, session_start, session_end, n): a session ends ttl_seconds after its last write."""
-    order = W.partitionBy(key).orderBy("ts", tie)
-    us = micros()
-    gap = us - F.lag(us).over(order)
-    numbered = events.withColumn("__new", F.when(gap < ttl_seconds * 1_000_000, 0).otherwise(1)).withColumn("__session", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "__session").agg(F.min("ts").alias("session_start"), F.max("ts").alias("session_end"), F.count(F.lit(1)).alias("n")).drop("__session")
+    """(key, session_start, session_end, n): a session ends ttl_seconds after its last write.
+
+    Events are dealt by ranges of key and time, so a key of many events lies in many tasks. A
+    task folds its events to sessions; of these only the first and the last may go on in a
+    neighbour, and these few are put together by their gaps. Null keys are one key.
+    """
+    names = [key, "session_start", "session_end", "n", "edge"]
+    ttl = ttl_seconds * 1_000_000
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: pd.DataFrame | None = None  # the session that may go on
+        edge = True
+        for pdf in frames:
+            if not len(pdf):
+                continue
+            us = pdf["ts"].to_numpy().astype("datetime64[us]").astype(np.int64)
+            code = pdf[key].astype(object).where(pdf[key].notna(), None)
+            before = code.shift()
+            new = ((code != before) & ~(code.isna() & before.isna())).to_numpy() | (np.diff(us, prepend=us[0]) >= ttl)
+            new[0] = True
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(pdf))
+            got = pd.DataFrame({key: pdf[key].to_numpy()[starts], "session_start": pdf["ts"].to_numpy()[starts], "session_end": pdf["ts"].to_numpy()[ends - 1], "n": ends - starts, "edge": False})
+            if held is not None:
+                same = held[key].iloc[0] == got[key].iloc[0] or (pd.isna(held[key].iloc[0]) and pd.isna(got[key].iloc[0]))
+                gap = int((got["session_start"].iloc[0] - held["session_end"].iloc[0]) / np.timedelta64(1, "us"))
+                if same and gap < ttl:
+                    got.loc[0, "session_start"], got.loc[0, "n"] = held["session_start"].iloc[0], got["n"].iloc[0] + held["n"].iloc[0]
+                else:
+                    yield held.assign(edge=edge)[names]
+                    edge = False
+            if len(got) > 1:
+                done = got.iloc[:-1].copy()
+                done.iloc[0, 4] = edge
+                edge = False
+                yield done[names]
+            held = got.iloc[-1:].reset_index(drop=True)
+        if held is not None:
+            yield held.assign(edge=True)[names]
+
+    kind = events.schema["ts"].dataType
+    schema = T.StructType([events.schema[key], T.StructField("session_start", kind), T.StructField("session_end", kind), T.StructField("n", T.LongType()), T.StructField("edge", T.BooleanType())])
+    parts = max(1, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranged = events.select(key, "ts", tie).repartitionByRange(parts, key, "ts", tie).sortWithinPartitions(key, "ts", tie).select(key, "ts")
+    told = stash(ranged.mapInPandas(run, schema), "session-parts")
+    order = W.partitionBy(key).orderBy("session_start", "session_end")  # two rows a task at most
+    gap = micros("session_start") - F.lag(micros("session_end")).over(order)
+    numbered = told.where("edge").withColumn("__new", F.when(gap < ttl, 0).otherwise(1)).withColumn("__session", F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = numbered.groupBy(key, "__session").agg(F.min("session_start").alias("session_start"), F.max("session_end").alias("session_end"), F.sum("n").alias("n"))
+    return told.where("not edge").drop("edge").unionByName(joined.drop("__session"))
 
 
 def _fold(df: DataFrame, key: str, order: Sequence[str], new: T.StructField, make_step) -> DataFrame:
@@ -116,9 +162,19 @@ def rate_limit(requests: DataFrame, key: str = "client", most: int = 100, second
 
 
 def trailing_requests(requests: DataFrame, key: str = "client", seconds: int = 60) -> DataFrame:
-    """requests with trailing: all requests of the client in the window that ends with this one."""
-    own = W.partitionBy(key).orderBy(micros()).rangeBetween(-seconds * 1_000_000 + 1, 0)
-    return requests.withColumn("trailing", F.count(F.lit(1)).over(own))
+    """requests with trailing: all requests of the client in the window that ends with this one.
+
+    Time is cut into spans of a window's length. A request looks no further back than the span
+    before its own, so times also go into the next span, and a client's requests are dealt by
+    span: a client with a third of all requests is as many groups as it has spans.
+    """
+    width = seconds * 1_000_000
+    row = F.struct(*[F.col(f"`{c}`") for c in requests.columns])
+    own = requests.select(F.col(f"`{key}`").alias("__key"), micros().alias("__us"), row.alias("__row"))
+    span = F.floor(F.col("__us") / F.lit(width)).cast("long")
+    both = own.withColumn("__span", span).unionByName(own.select("__key", "__us", F.lit(None).cast(own.schema["__row"].dataType).alias("__row"), (span + 1).alias("__span")))
+    order = W.partitionBy("__key", "__span").orderBy("__us").rangeBetween(-width + 1, 0)
+    return both.withColumn("__n", F.count(F.lit(1)).over(order)).where(F.col("__row").isNotNull()).select("__row.*", F.col("__n").alias("trailing"))
 
 
 def cache_keys(queries: DataFrame, settings: Sequence[tuple[str, object]], extra_cols: Sequence[str] = ()) -> DataFrame:
@@ -157,10 +213,37 @@ def hit_ratio(replayed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return replayed.groupBy(*by).agg(F.count(F.lit(1)).alias("accesses"), F.count_if("hit").alias("hits"), (F.count_if("hit") / F.count(F.lit(1))).alias("hit_ratio"))
 
 
-def request_metrics(requests: DataFrame, window: str = "1 hour", slow: float = 1.0) -> DataFrame:
-    """Calls, slow calls, server errors and latency of each path in each window. requests: ts, path, status, seconds."""
-    got = requests.groupBy(F.window("ts", window).alias("w"), "path").agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("seconds") > slow).alias("slow"), (F.count_if(F.col("status") >= 500) / F.count(F.lit(1))).alias("error_share"),
-        F.avg("seconds").alias("mean_seconds"), F.max("seconds").alias("max_seconds"),
-    )
+SKETCH_K = 1024  # of latency sketches: quantiles are exact up to as many calls, beyond that their rank is off by some 0.3 % of the calls
+QUANTILES = (0.5, 0.95, 0.99)
+
+
+def metric_parts(slow: float = 1.0, k: int = SKETCH_K) -> list[Column]:
+    """Aggregates of requests (status, seconds) that can be merged: numbers, sums, the maximum, and a sketch of the latencies. Null latencies are calls without one."""
+    return [
+        F.count(F.lit(1)).alias("calls"), F.count_if(F.col("seconds") > slow).alias("slow"), F.count_if(F.col("status") >= 500).alias("errors"),
+        F.count("seconds").alias("timed"), F.sum("seconds").alias("total_seconds"), F.max("seconds").alias("max_seconds"), F.kll_sketch_agg_double("seconds", k).alias("latency"),
+    ]
+
+
+def metric_sketches(requests: DataFrame, window: str = "1 hour", slow: float = 1.0, k: int = SKETCH_K) -> DataFrame:
+    """Metrics of each path in each window in the form that is stored and merged. requests: ts, path, status, seconds."""
+    got = requests.groupBy(F.window("ts", window).alias("w"), "path").agg(*metric_parts(slow, k))
     return got.select(F.col("w.start").alias("window_start"), *[c for c in got.columns if c != "w"])
+
+
+def merge_metrics(stored: DataFrame, window: str = "1 day", k: int = SKETCH_K) -> DataFrame:
+    """Stored metrics of shorter windows as those of longer ones: no request is read again."""
+    add = [F.sum(c).alias(c) for c in ("calls", "slow", "errors", "timed", "total_seconds")]
+    got = stored.groupBy(F.window("window_start", window).alias("w"), "path").agg(*add, F.max("max_seconds").alias("max_seconds"), F.kll_merge_agg_double("latency", k).alias("latency"))
+    return got.select(F.col("w.start").alias("window_start"), *[c for c in got.columns if c != "w"])
+
+
+def metric_values(stored: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Stored metrics as figures: shares, means and quantiles (p50 and so on; null where no call has a latency)."""
+    shown = {f"p{q * 100:g}".replace(".", "_"): F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(float(q)))) for q in quantiles}
+    return stored.select("window_start", "path", "calls", "slow", (F.col("errors") / F.col("calls")).alias("error_share"), (F.col("total_seconds") / F.col("timed")).alias("mean_seconds"), "max_seconds", *[c.alias(n) for n, c in shown.items()])
+
+
+def request_metrics(requests: DataFrame, window: str = "1 hour", slow: float = 1.0, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """Calls, slow calls, server errors and latency of each path in each window. requests: ts, path, status, seconds."""
+    return metric_values(metric_sketches(requests, window, slow), quantiles)

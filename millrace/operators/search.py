@@ -9,24 +9,25 @@ from __future__ import annotations
 
 import math
 import pickle
+import uuid
 from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text
 from millrace.functions.sampling import hash_sample
+from millrace.operators.lexical import best, bm25_df, bm25_stats, bm25_topk  # noqa: F401
+from millrace.sources.shared import checkpoint_root, stash
 
-QUERY_BLOCK_MB = 64
-BLOCK_TERMS, BLOCK_QUERIES, MEETS = 1_000_000, 1024, 1 << 21  # of a broadcast block of lexical questions; terms that are scored at once
+QUERY_BLOCK_MB, MOST_VALUES = 64, 1000  # of a broadcast block of vectors; values of a column that a scan is pruned by
 VECTOR_HITS = "query_id long, id long, score double"
 
 
@@ -35,43 +36,81 @@ def matching(filters: dict) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c) == v for c, v in filters.items() if v is not None], F.lit(True))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, **filters) -> DataFrame:
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, scope: Sequence[str] = (), **filters) -> DataFrame:
     """(query_id, id, score, rank): the k rows of largest inner product for each query, ties to the smaller id.
 
     Vectors that are null or hold nulls take no part; vectors meet those of their own length.
 
-    queries: query_id, embedding; corpus: id, embedding and the filters' columns, which are
-    applied before ranking. Products are taken for batches of rows at once, and a batch
-    keeps k rows a query.
+    queries: query_id, embedding; corpus: id, embedding, and the columns that are filtered by.
+    filters hold for all queries; scope names columns that each query filters by itself, by
+    its column of that name: a string is the value that rows must have, an array holds those
+    that they may have, null asks for nothing. All hold before ranking. Products are taken for
+    batches of rows at once, and a batch keeps k rows a query.
     """
-    return _scan(queries, corpus.where(matching(filters)), k, lambda ids, q, x: [(np.arange(len(x)), np.arange(len(q)))])
-
-
-def _scan(queries: DataFrame, corpus: DataFrame, k: int, pairs: Callable) -> DataFrame:
-    """The k best of all rows for each query, taken where the rows lie. pairs(ids, q, x): which rows of a batch x meet which queries q, as (places in x, places in q)."""
+    return _scan(queries, corpus.where(matching(filters)), k, scope)
+
+
+@dataclass
+class _Block:
+    """Queries of one length: ids, vectors, what each filters by, and the cells that each probes (none: all rows)."""
+
+    ids: np.ndarray
+    q: np.ndarray
+    scopes: list[tuple]
+    probed: np.ndarray | None = None
+
+    def __post_init__(self):
+        groups: dict = {}
+        for i, s in enumerate(self.scopes):
+            groups.setdefault(s, []).append(i)
+        self.groups = [(s, np.array(g)) for s, g in groups.items()]
+
+    def meetings(self, own: pd.DataFrame, scope: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Which rows meet which queries, as (places of rows, places of queries)."""
+        every = np.arange(len(own))
+        cells = own["cell"].to_numpy() if self.probed is not None else None
+        parts = [(every, None)] if cells is None else [(np.flatnonzero(cells == c), self.probed[:, c]) for c in np.unique(cells)]
+        fits = []
+        for wanted, of in self.groups:
+            mask = np.ones(len(own), bool)
+            for c, allowed in zip(scope, wanted, strict=True):
+                if allowed is not None:
+                    mask &= own[c].isin(allowed).to_numpy()
+            fits.append((mask, of))
+        for at, probing in parts:
+            for mask, of in fits:
+                some, asking = at[mask[at]], of if probing is None else of[probing[of]]
+                if len(some) and len(asking):
+                    yield some, asking
+
+
+def _scan(queries: DataFrame, corpus: DataFrame, k: int, scope: Sequence[str] = (), centres: np.ndarray | None = None, probes: int = 0) -> DataFrame:
+    """The k best of all rows for each query, taken where the rows lie. centres: of the corpus's cells (column cell), of which each query probes the nearest; other cells are not read."""
     whole = F.forall("embedding", lambda x: x.isNotNull())
     queries, corpus = queries.where(whole), corpus.where(whole)
+    scope = [c for c in scope if c in queries.columns]
     size = queries.agg(F.sum(F.size("embedding")), F.count(F.lit(1))).first()
     blocks = max(1, math.ceil((size[0] or 0) * 8 / (QUERY_BLOCK_MB << 20)))
-    rows = corpus.select(F.col("id").cast("long").alias("id"), "embedding")
+    rows = corpus.select(F.col("id").cast("long").alias("id"), "embedding", *[F.col(c).cast("string").alias(c) for c in scope], *(["cell"] if centres is not None else []))
     context = queries.sparkSession.sparkContext
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+    wanted = [F.col(c) if isinstance(queries.schema[c].dataType, T.ArrayType) else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))).alias(c) for c in scope]
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "embedding", *wanted)
 
     def scan(shared) -> Callable:
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            by, meeting = pickle.loads(shared.value)
+            by = pickle.loads(shared.value)
             for pdf in frames:
                 for dim, same in pdf.groupby(pdf["embedding"].map(len)):
                     if dim not in by:
                         continue
-                    ids, q = by[dim]
+                    block = by[dim]
                     for a in range(0, len(same), 2048):
                         own = same.iloc[a : a + 2048]
                         x, row_ids = np.stack(own["embedding"].to_numpy()).astype(np.float64), own["id"].to_numpy()
-                        for at, of in meeting(ids, q, x):
-                            score = x[at] @ q[of].T
+                        for at, of in block.meetings(own, scope):
+                            score = x[at] @ block.q[of].T
                             order = np.lexsort((np.broadcast_to(row_ids[at][:, None], score.shape), -score), axis=0)[:k]
-                            yield pd.DataFrame({"query_id": np.tile(ids[of], len(order)), "id": row_ids[at][order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
+                            yield pd.DataFrame({"query_id": np.tile(block.ids[of], len(order)), "id": row_ids[at][order].ravel(), "score": np.take_along_axis(score, order, axis=0).ravel()})
 
         return run
 
@@ -79,144 +118,92 @@ def _scan(queries: DataFrame, corpus: DataFrame, k: int, pairs: Callable) -> Dat
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
         got = block.toPandas()  # at most about QUERY_BLOCK_MB
-        by = {dim: (x["query_id"].to_numpy(np.int64), np.stack(x["embedding"].to_numpy()).astype(np.float64)) for dim, x in got.groupby(got["embedding"].map(len)) if dim}
-        found.append(rows.mapInPandas(scan(context.broadcast(cloudpickle.dumps((by, pairs)))), VECTOR_HITS))
+        by, read = {}, rows
+        for dim, x in got.groupby(got["embedding"].map(len)):
+            if dim:
+                scopes = [tuple(None if v is None else tuple(sorted({a for a in v if a is not None})) for v in r) for r in zip(*(x[c] for c in scope), strict=True)] if scope else [()] * len(x)
+                by[dim] = _Block(x["query_id"].to_numpy(np.int64), np.stack(x["embedding"].to_numpy()).astype(np.float64), scopes)
+        if centres is not None:
+            by = {dim: x for dim, x in by.items() if dim == centres.shape[1]}
+            for x in by.values():
+                x.probed = nearest_cells(x.q, centres, probes)
+            used = np.flatnonzero(np.any([x.probed.any(axis=0) for x in by.values()], axis=0)) if by else []
+            read = read.where(F.col("cell").isin([int(c) for c in used]))
+        for i, c in enumerate(scope):  # partitions that no query of the block asks for are not read
+            values = [s[i] for x in by.values() for s in x.scopes]
+            if values and None not in values and len(every := sorted({v for own in values for v in own})) <= MOST_VALUES:
+                read = read.where(F.col(c).isin(every))
+        found.append(read.mapInPandas(scan(context.broadcast(cloudpickle.dumps(by))), VECTOR_HITS))
     return best(reduce(DataFrame.unionByName, found), k)
 
 
-def best(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: Sequence[str] = ("id",)) -> DataFrame:
-    """The k rows of highest score of each query, with rank from 1."""
-    order = W.partitionBy(by).orderBy(F.col(score).desc_nulls_last(), *tie)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+def nearest_cells(q: np.ndarray, centres: np.ndarray, probes: int) -> np.ndarray:
+    """Which cells each query probes: those whose centres have the largest inner products."""
+    probed = np.zeros((len(q), len(centres)), bool)
+    np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
+    return probed
 
 
-def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 128, probes: int = 16, sample: int = 50_000, seed: int = 42) -> DataFrame:
-    """Approximate top-k: k-means cells, of which each query searches the nearest by inner product.
+@dataclass(frozen=True)
+class VectorIndex:
+    """An inverted file: the centres of its cells, and its rows as Parquet by cell."""
 
-    Centres are fitted on at most `sample` rows by hash of the id; every row is assigned where
-    it lies and meets the queries that probe its cell, so a cell of many rows is no task of its own.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+    path: str
 
-    rows = corpus.where(F.forall("embedding", lambda x: x.isNotNull())).select(F.col("id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(hash_sample(rows, sample, "id").withColumn("features", array_to_vector("embedding")))
-    centres = np.array(model.clusterCenters())
+    def centres(self, spark: SparkSession) -> np.ndarray:
+        got = spark.read.parquet(f"{self.path}/centres").orderBy("cell").collect()  # as many as there are cells
+        return np.array([r.centre for r in got])
 
-    def meeting(ids, q, x):
-        if q.shape[1] != centres.shape[1]:
-            return
-        probed = np.zeros((len(q), len(centres)), bool)
-        np.put_along_axis(probed, np.argsort(-(q @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
-        cell = ((centres**2).sum(axis=1) / 2 - x @ centres.T).argmin(axis=1)
-        for c in np.unique(cell):
-            of = np.flatnonzero(probed[:, c])
-            if len(of):
-                yield np.flatnonzero(cell == c), of
+    def rows(self, spark: SparkSession) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/cells")
 
-    return _scan(queries, rows, k, meeting)
 
+def build_vector_index(corpus: DataFrame, path: str, cells: int = 128, sample: int = 50_000, seed: int = 42) -> VectorIndex:
+    """A new index at path over corpus (id, embedding and any other columns).
 
-Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas UDF with a word segmenter will do
+    Centres are fitted by k-means on at most `sample` rows of different ids, by hash; then
+    all rows are added. Vectors that are null or hold nulls take no part.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
 
+    spark = corpus.sparkSession
+    rows = corpus.where(F.forall("embedding", lambda x: x.isNotNull())).select("id", F.col("embedding").cast("array<double>").alias("embedding"))
+    taken = hash_sample(rows, sample, "id").withColumn("features", array_to_vector("embedding"))
+    model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol="features", predictionCol="cell").fit(taken)
+    centres = [(i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())]
+    spark.createDataFrame(centres, "cell int, centre array<double>").coalesce(1).write.parquet(f"{path}/centres")
+    return add_vectors(corpus, VectorIndex(path))
 
-def bm25_df(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
-    """Documents that have a term, and its occurrences. A document's terms are sorted in its row, so that one exchange by term counts both."""
-    own = docs.select(F.sort_array(tokenize(F.col("text"))).alias("t"))
-    marked = own.select(F.explode(F.transform("t", lambda x, i: F.struct(x.alias("term"), (~F.get("t", i - 1).eqNullSafe(x)).cast("long").alias("first")))).alias("x"))
-    return marked.groupBy("x.term").agg(F.sum("x.first").alias("df"), F.count(F.lit(1)).alias("cf"))
 
+def add_vectors(corpus: DataFrame, index: VectorIndex) -> VectorIndex:
+    """Append rows to the cells of an index, without fitting it again. A cell of many rows is split over tasks and files by its size; vectors of another length than the centres' are an error."""
+    spark = corpus.sparkSession
+    centres = index.centres(spark)
+    shared = spark.sparkContext.broadcast(centres)
 
-def bm25_stats(docs: DataFrame, tokenize: Tokenizer = text.tokens) -> DataFrame:
-    """Number of documents, tokens and the mean length."""
-    sizes = docs.select(F.size(tokenize(F.coalesce("text", F.lit("")))).alias("len"))
-    return sizes.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("n_tokens"), F.avg("len").alias("avgdl"))
+    @F.pandas_udf("int")
+    def cell_of(vectors: pd.Series) -> pd.Series:
+        own = shared.value
+        x = np.stack(vectors.to_numpy()).astype(np.float64) if len(vectors) else np.zeros((0, own.shape[1]))
+        return pd.Series(((own**2).sum(axis=1) / 2 - x @ own.T).argmin(axis=1))
 
+    rows = corpus.where(F.forall("embedding", lambda x: x.isNotNull())).withColumn("cell", cell_of("embedding"))
+    rows.hint("rebalance", "cell").write.mode("append").partitionBy("cell").parquet(f"{index.path}/cells")
+    return index
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75, tokenize: Tokenizer = text.tokens) -> DataFrame:
-    """(query_id, id, score, rank) by BM25 over documents (id, text); a query's repeated terms count each time; scores of zero give no row.
 
-    The questions' weighted terms are broadcast in blocks of a counted size, one pass over the
-    documents for each. A document is scored where it lies, and a task sends k rows a
-    question, so no postings cross the network, however common a term is.
-    """
-    asked = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    split = docs.select("id", tokenize(F.coalesce("text", F.lit(""))).alias("tokens"))
-    n, avgdl = split.agg(F.count(F.lit(1)), F.avg(F.size("tokens"))).first()
-    df = split.select(F.explode(F.array_distinct("tokens")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weighted = asked.join(df, "term").select("query_id", "term", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("weight"))
-    weighted = weighted.persist()  # read for its size, then block by block
-    size = weighted.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
-    blocks = max(1, math.ceil(size[0] / BLOCK_TERMS), math.ceil(size[1] / BLOCK_QUERIES))
-    schema = T.StructType([queries.schema["query_id"], docs.schema["id"], T.StructField("score", T.DoubleType())])
-    found = []
-    for i in range(blocks):
-        block = (weighted if blocks == 1 else weighted.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)).toArrow()  # about BLOCK_TERMS rows at most
-        shared = queries.sparkSession.sparkContext.broadcast(cloudpickle.dumps(_postings(block)))
-        found.append(split.mapInArrow(_score(shared, k, k1, b, avgdl or 1.0), schema))
-    weighted.unpersist()
-    return best(reduce(DataFrame.unionByName, found), k)
+def ivf_ask(index: VectorIndex, queries: DataFrame, k: int = 10, probes: int = 16, scope: Sequence[str] = (), **filters) -> DataFrame:
+    """Approximate top-k, as vector_topk: each query meets the rows of the cells whose centres are nearest to it; files of cells that no query probes are not read."""
+    spark = queries.sparkSession
+    return _scan(queries, index.rows(spark).where(matching(filters)), k, scope, index.centres(spark), probes)
 
 
-def _postings(block: pa.Table) -> tuple:
-    """(questions, terms by number, where each term's questions start, their numbers, their weights)."""
-    questions = block.column("query_id").combine_chunks().dictionary_encode()
-    terms = block.column("term").combine_chunks().dictionary_encode()
-    at, of = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (terms, questions))
-    order = np.lexsort((of, at))
-    start = np.searchsorted(at[order], np.arange(len(terms.dictionary) + 1))
-    return questions.dictionary, {t: i for i, t in enumerate(terms.dictionary.to_pylist())}, start, of[order], block.column("weight").to_numpy()[order]
-
-
-def _score(shared, k: int, k1: float, b: float, avgdl: float):
-    """Tokens of documents to each question's k best of a task."""
-
-    def run(batches):
-        questions, known, start, of, weight = pickle.loads(shared.value)
-        held, rows = [], 0
-
-        def reduced():
-            q, ids, score = np.concatenate([h[0] for h in held]), pa.concat_arrays([h[1] for h in held]), np.concatenate([h[2] for h in held])
-            place = np.empty(len(q), np.int64)
-            place[pc.sort_indices(ids).to_numpy()] = np.arange(len(q))
-            order = np.lexsort((place, -score, q))
-            first = np.searchsorted(q[order], q[order], "left")
-            keep = order[np.arange(len(order)) - first < k]
-            return q[keep], ids.take(pa.array(keep)), score[keep]
-
-        for batch in batches:
-            tokens, ids = batch.column("tokens"), batch.column("id")
-            size = tokens.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = tokens.flatten().dictionary_encode()
-            number = np.array([known.get(t, -1) for t in flat.dictionary.to_pylist()], np.int64)
-            code = number[flat.indices.to_numpy(zero_copy_only=False)] if len(flat) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(len(size)), size)
-            pair, tf = np.unique((doc * max(1, len(known)) + code)[code >= 0], return_counts=True)
-            doc, code = np.divmod(pair, max(1, len(known)))
-            gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / avgdl))
-            meets = start[code + 1] - start[code] if len(code) else np.zeros(0, np.int64)
-            total, a = np.concatenate(([0], np.cumsum(meets))), 0
-            while a < len(code):  # documents whose terms meet some MEETS questions' terms
-                z = max(a + 1, int(np.searchsorted(total, total[a] + MEETS, "right")) - 1)
-                z = int(np.searchsorted(doc, doc[z - 1], "right"))
-                each = np.repeat(np.arange(a, z), meets[a:z])
-                at = start[code[each]] + np.arange(len(each)) - (total[each] - total[a])
-                near, low = of[at], doc[a]
-                score = np.bincount((doc[each] - low) * len(questions) + near, gain[each] * weight[at], (doc[z - 1] - low + 1) * len(questions))
-                score = np.round(score, 9)  # so that equal documents tie however their terms are added
-                hit = np.flatnonzero(score > 0)
-                d, q = np.divmod(hit, len(questions))
-                held.append((q, ids.take(pa.array(d + low)), score[hit]))
-                rows += len(hit)
-                if rows > max(1 << 18, 4 * k * len(questions)):
-                    held = [reduced()]
-                    rows = len(held[0][0])
-                a = z
-        if held:
-            q, ids, score = reduced()
-            yield pa.RecordBatch.from_arrays([questions.take(pa.array(q)), ids, pa.array(score)], names=["query_id", "id", "score"])
-
-    return run
+def ivf_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, cells: int = 128, probes: int = 16, sample: int = 50_000, seed: int = 42) -> DataFrame:
+    """ivf_ask over a corpus that is indexed for this once, in the shared folder."""
+    path = f"{checkpoint_root(corpus.sparkSession)}/millrace/vectors-{uuid.uuid4().hex}"
+    rows = stash(corpus.select("id", "embedding"), "vectors")  # read for the sample and for the cells
+    return ivf_ask(build_vector_index(rows, path, cells, sample, seed), queries, k, probes)
 
 
 def rrf_fuse(lists: Sequence[tuple[DataFrame, float]], k: int = 10, constant: int = 60) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from millrace.functions import rules, text
+from millrace.functions import phrases, rules, text
 
 ENTITY = "array<struct<text:string,type:string,start:int,end:int>>"
 
@@ -100,26 +100,17 @@ def clarification_text(reason: Column, company: Column, bases: Sequence[str] = (
     return F.replace(said, F.lit("{company}"), F.coalesce(company, F.lit("")))
 
 
-def resolve_kb(queries: DataFrame, aliases: DataFrame, query_col: str = "query", comparison: str = rules.COMPARISON, max_aliases: int = 10_000) -> DataFrame:
+def resolve_kb(queries: DataFrame, aliases: DataFrame, query_col: str = "query", comparison: str = rules.COMPARISON) -> DataFrame:
     """queries with kb_name: of the longest alias that the question contains (the first by name of several); null for comparisons and without one.
 
-    The alias table (kb_name, alias) is read as a literal of at most max_aliases entries; a
-    larger one is joined to all parts of the questions that have an alias's length, which
-    gives the same.
+    aliases (kb_name, alias) become automata of a bounded size, one or more by the table's
+    size, which read a question once each. An alias table is read on the driver block by
+    block; of an alias with several names the first by name counts.
     """
-    small = aliases.limit(max_aliases + 1).collect()
-    asks = ~F.col(query_col).rlike(f"(?i){comparison}")
-    if len(small) <= max_aliases:
-        table = sorted(((r.alias, r.kb_name) for r in small if r.alias), key=lambda r: (-len(r[0]), r[1]))
-        found = F.coalesce(*[F.when(F.contains(F.col(query_col), F.lit(a)), F.lit(k)) for a, k in table]) if table else F.lit(None).cast("string")
-        return queries.withColumn("kb_name", F.when(asks, found))
     named = aliases.where((F.length("alias") > 0) & F.col("kb_name").isNotNull()).groupBy("alias").agg(F.min("kb_name").alias("kb_name"))
-    lengths = F.array(*[F.lit(r.n) for r in named.select(F.length("alias").alias("n")).distinct().collect()])
-    asked = queries.where(asks).select(F.col(query_col).alias("__asked")).distinct()
-    sized = asked.select("__asked", F.explode(lengths).alias("n")).where(F.length("__asked") >= F.col("n"))
-    parts = sized.select("__asked", "n", F.explode(F.sequence(F.lit(1), F.length("__asked") - F.col("n") + 1)).alias("at")).select("__asked", F.col("__asked").substr(F.col("at"), F.col("n")).alias("alias"))
-    hit = parts.join(named, "alias").groupBy("__asked").agg(F.min_by("kb_name", F.struct(-F.length("alias"), "kb_name")).alias("kb_name"))
-    return queries.join(hit, F.col(query_col) == F.col("__asked"), "left").drop("__asked")
+    table = named.orderBy(F.desc(F.length("alias")), "kb_name", "alias")  # the first that a question contains is the best
+    asked = F.when(~F.col(query_col).rlike(f"(?i){comparison}"), F.col(query_col))
+    return queries.withColumn("kb_name", phrases.first_found(queries.sparkSession, asked, ((r.alias, r.kb_name) for r in table.toLocalIterator())))
 
 
 def routed(query: Column, unrouted: Sequence[str] = rules.UNROUTED) -> Column:
@@ -144,6 +135,40 @@ def section_route_all(query: Column, intent_name: Column, keywords: Mapping[str,
     return F.when(F.size(of_words) > 0, of_words).otherwise(of_intent)
 
 
+def section_routes(queries: DataFrame, keywords: DataFrame, intent_sections: DataFrame | None = None, query_col: str = "query", unrouted: Sequence[str] = rules.UNROUTED, every: bool = False) -> DataFrame:
+    """section_route (or, with every, section_route_all) by tables of any size: queries with sections.
+
+    keywords: ord, keyword, sections; intent_sections: intent, sections, for queries with an
+    intent. Keywords are looked for by automata, as aliases are; one that stands twice counts
+    where it stands first.
+    """
+    spark = queries.sparkSession
+    listed = [(r.keyword, list(r.sections)) for r in keywords.where(F.length("keyword") > 0).groupBy("keyword").agg(F.min("ord").alias("ord"), F.min_by("sections", "ord").alias("sections")).orderBy("ord", "keyword").toLocalIterator()]
+    groups, at = [], 0
+    for own in phrases.blocks(listed):
+        groups.append((at, own))
+        at += len(own)
+    table = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(listed)], "__number int, __sections array<string>")
+    numbered = queries.withColumn("__row", F.monotonically_increasing_id())
+    asked = F.col(query_col) if every else F.when(routed(F.col(query_col), unrouted), F.col(query_col))
+
+    def numbers(low: int, own: list) -> Column:
+        return F.transform(phrases.found_in(spark, asked, [k for k, _ in own]), lambda i: i + low)
+
+    found = F.flatten(F.array(*[numbers(*g) for g in groups])) if groups else F.array().cast("array<int>")
+    numbered = numbered.withColumn("__found", found if every else F.slice(found, 1, 1))
+    hit = numbered.select("__row", F.explode("__found").alias("__number")).join(table, "__number").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__number", "__sections"))).alias("__hit"))
+    merged = numbered.join(hit, "__row", "left").withColumn("sections", F.array_distinct(F.flatten(F.transform("__hit", lambda h: h["__sections"]))))
+    if intent_sections is not None:
+        by = intent_sections.select("intent", F.col("sections").alias("__of_intent"))
+        merged = merged.join(by, "intent", "left")
+        own = F.col("__of_intent") if every else F.when(routed(F.col(query_col), unrouted), F.col("__of_intent"))
+        merged = merged.withColumn("sections", F.coalesce("sections", own))
+    if every:
+        merged = merged.withColumn("sections", F.coalesce("sections", F.array().cast("array<string>")))
+    return merged.select(*queries.columns, "sections")
+
+
 def hits_in_sections(hits: DataFrame, routes: DataFrame) -> DataFrame:
     """Hits whose section their query (query_id, sections) is routed to; queries with null sections keep all."""
     wanted = routes.select("query_id", F.explode("sections").alias("section"))

@@ -40,5 +40,6 @@ ENTITIES = {"COMPANY": DECOMPOSE["company"], "TIME": r"([0-9]{2,4})", "PERCENT":
 COMPARISON = "vers"
 KEYWORDS = {"ment": ("one", "two"), "tion": ("two", "three"), "sch": ("four",), "que": ("one", "five")}
 BY_INTENT = {"business": ("six",), "financial": ("seven", "one")}
+SECTIONS = ("one", "two", "three", "four", "five", "six", "seven")
 UNROUTED = ("^in ", "over all")
 STOPS = "aeo"

@@ -35,12 +35,13 @@ def GUESS(x: str) -> str:
     return f"list_filter(list_transform(list_transform(string_split({x}, chr(10))[1:10], lambda x: {STRIP('x')}), lambda l: {found}), lambda x: x IS NOT NULL)[1]"
 
 
-def BM25(queries: str, docs: str, k: int) -> str:
+def BM25(queries: str, docs: str, k: int, kept: str = "true") -> str:
+    """kept: a condition on sc, the pairs of query_id and id, that holds before ranking."""
     return f"""qt AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({TOKENS("text")}) AS term FROM {queries}) GROUP BY ALL),
 dt AS (SELECT id, {TOKENS("text")} AS toks FROM {docs}), st AS (SELECT count(*) AS n, avg(len(toks)) AS avgdl FROM dt),
 post AS (SELECT id, len, term, count(*) AS tf FROM (SELECT id, len(toks) AS len, unnest(toks) AS term FROM dt) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 sc AS (SELECT query_id, id, round(sum(qtf * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * (tf * 2.5::DOUBLE) / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / avgdl))), 9) AS score FROM qt JOIN post USING (term) JOIN df USING (term), st GROUP BY ALL),
-lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0) WHERE rank <= {k})"""
+lex AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc WHERE score > 0 AND {kept}) WHERE rank <= {k})"""
 
 
 BM25_SQL = f"WITH {BM25('(SELECT item_id AS query_id, text FROM benchmark)', '(SELECT doc_id AS id, text FROM documents)', 10)} SELECT query_id, id, round(score, 6) AS score, rank FROM lex"
@@ -124,24 +125,29 @@ def TOPK_SQL(k: int, where: str = "true", asks: str = "q.vec_id % 100 = 0") -> s
 top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc0) WHERE rank <= {k})"""
 
 
-def FUSE(k: int, kept: str = "true") -> str:
-    return f"""parts AS (SELECT query_id, id, 0.7::DOUBLE / (60 + rank) AS part FROM top WHERE {kept} UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60 + rank) FROM lex WHERE {kept}),
+def FUSE(k: int) -> str:
+    return f"""parts AS (SELECT query_id, id, 0.7::DOUBLE / (60 + rank) AS part FROM top UNION ALL SELECT query_id, id, 0.3::DOUBLE / (60 + rank) FROM lex),
 fused AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused_score DESC, id) AS rank FROM (SELECT query_id, id, sum(part) AS fused_score FROM parts GROUP BY ALL)) WHERE rank <= {k})"""
 
 
 ASKING = "(SELECT doc_id AS query_id, text FROM documents WHERE doc_id % 100 = 0)"
 FUSED_SQL = f"{TOPK_SQL(60)}, {BM25(ASKING, '(SELECT doc_id AS id, text FROM documents)', 20)}, {FUSE(10)}"
 
-KEPT = "(query_id % 200 <> 0 OR id % 3 <> 1)"  # every other question is routed to the sections s0 and s2
+def SOURCES(asked: str, corpus: str) -> str:
+    """From fused on: reranked by shared words, filtered and cut. asked: (query_id, text); corpus: (id, text, page_start, section, content_type)."""
+    words = lambda x: f"list_distinct(list_filter(string_split_regex({x}, '\\s+'), lambda x: x <> ''))"
+    return f"""g AS (SELECT f.query_id, f.id, t.score, f.rank, {words("q.text")} AS a, {words("d.text")} AS b FROM fused f LEFT JOIN top t USING (query_id, id) JOIN {corpus} d ON d.id = f.id JOIN {asked} q ON q.query_id = f.query_id),
+h2 AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(a, b)) / greatest(1, len(a)) DESC, rank, id) AS rank FROM g),
+r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2, false)) OVER (PARTITION BY query_id) AS any_good FROM h2 WHERE rank <= 5)
+SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, page_start AS page, section, content_type, round(score, 4) AS score FROM r JOIN {corpus} d USING (id) WHERE good OR (NOT any_good AND rank = 1)"""
+
+
+KEPT = "({0}.query_id % 200 <> 0 OR {0}.id % 3 <> 1)"  # every other question is routed to the sections s0 and s2
 BATCH_SQL = f"""
-WITH {TOPK_SQL(48, "vec_id IN (SELECT doc_id FROM documents)", "q.vec_id % 100 = 0 AND q.vec_id % 300 <> 0 AND q.vec_id IN (SELECT doc_id FROM documents)")},
-{BM25("(SELECT vec_id AS query_id, text FROM embeddings JOIN documents ON doc_id = vec_id WHERE vec_id % 100 = 0 AND vec_id % 300 <> 0)", "(SELECT vec_id AS id, text FROM embeddings JOIN documents ON doc_id = vec_id)", 16)}, {FUSE(8, KEPT)},
-g AS (SELECT f.query_id, f.id, t.score, f.rank, d.text, list_distinct(list_filter(string_split_regex(q.text, '\\s+'), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split_regex(d.text, '\\s+'), lambda x: x <> '')) AS b
-  FROM fused f LEFT JOIN top t USING (query_id, id) JOIN documents d ON d.doc_id = f.id JOIN documents q ON q.doc_id = f.query_id),
-h AS (SELECT query_id, id, score, text, row_number() OVER (PARTITION BY query_id ORDER BY len(list_intersect(a, b)) / greatest(1, len(a)) DESC, rank, id) AS rank FROM g),
-r AS (SELECT *, coalesce(score >= 0.2, false) AS good, max(coalesce(score >= 0.2, false)) OVER (PARTITION BY query_id) AS any_good FROM h WHERE rank <= 5)
-SELECT query_id, rank, id, CASE WHEN length(text) > 200 THEN text[1:200] || '...' ELSE text END AS text, id % 9 AS page, 's' || id % 3 AS section, label::VARCHAR AS content_type, round(score, 4) AS score
-FROM r JOIN embeddings e ON e.vec_id = id WHERE good OR (NOT any_good AND rank = 1)
+WITH corpus AS (SELECT vec_id AS id, text, embedding, vec_id % 9 AS page_start, 's' || vec_id % 3 AS section, label::VARCHAR AS content_type FROM embeddings JOIN documents ON doc_id = vec_id),
+asked AS (SELECT id AS query_id, text FROM corpus WHERE id % 100 = 0 AND id % 300 <> 0),
+{TOPK_SQL(48, "vec_id IN (SELECT id FROM corpus)", "q.vec_id IN (SELECT query_id FROM asked) AND (q.vec_id % 200 <> 0 OR c.vec_id % 3 <> 1)")},
+{BM25("asked", "corpus", 16, KEPT.format("sc"))}, {FUSE(8)}, {SOURCES("asked", "corpus")}
 """
 
 PROMPT_SQL = f"""
@@ -189,7 +195,7 @@ def SUB_QUERIES(asked: str) -> str:
 r1 AS (SELECT *, CASE WHEN i = 'comparison' AND len(c) >= 2 THEN list_transform(c, lambda x: x || '{D["of"]}' || m) WHEN i <> 'comparison' AND contains(text, ',') AND len(p) > 0 THEN p ELSE [text] END AS a, {EXPANDED} AS e FROM q),
 r2 AS (SELECT *, CASE WHEN length(w) >= 2 AND e IS NOT NULL THEN e ELSE a END AS b FROM r1),
 r3 AS (SELECT *, CASE WHEN {ANY("text", D["structure"])} THEN list_filter([text, CASE WHEN NOT contains(text, '{D["structure_suffix"]}') THEN text || ' {D["structure_suffix"]}' END, CASE WHEN contains(text, '{D["department"]}') AND NOT contains(text, '{D["department_as"]}') THEN replace(text, '{D["department"]}', '{D["department_as"]}') END], lambda x: x IS NOT NULL) ELSE b END AS d FROM r2),
-sub AS (SELECT query_id, array_to_string(CASE WHEN {ANY("text", D["facts"])} AND NOT {ANY("text", D["parents"])} THEN [CASE WHEN contains(text, '{D["of_company"]}') THEN replace(text, '{D["of_company"]}', '{D["of_parent"]}') ELSE '{D["parent"]}' || text END, text] ELSE d END, '|') AS sub_queries FROM r3)"""
+sub AS (SELECT query_id, subs, array_to_string(subs, '|') AS sub_queries FROM (SELECT query_id, CASE WHEN {ANY("text", D["facts"])} AND NOT {ANY("text", D["parents"])} THEN [CASE WHEN contains(text, '{D["of_company"]}') THEN replace(text, '{D["of_company"]}', '{D["of_parent"]}') ELSE '{D["parent"]}' || text END, text] ELSE d END AS subs FROM r3))"""
 
 
 ASKED_SQL = f"SELECT {QID} AS query_id, conv_id, turn, text AS raw, {INTENT_SQL('text')} AS i, {CONFIDENCE_SQL('text')} AS confidence FROM conversations WHERE role = 'user'"
@@ -220,13 +226,14 @@ m AS (SELECT {QID} AS query_id, type, pattern, text AS rest, 0 AS done, regexp_e
 SELECT query_id, word AS text, type, min(done + strpos(rest, word) - 1)::INTEGER AS start, min(done + strpos(rest, word) - 1 + length(word))::INTEGER AS "end" FROM m WHERE word <> '' GROUP BY ALL
 """
 
-UNDERSTAND_SQL = f"""
-WITH asked AS ({ASKED_SQL}),
+UNDERSTOOD = f"""asked AS ({ASKED_SQL}),
 known AS (SELECT *, {NORMAL_SQL("raw", "2024")} AS text, nullif(regexp_extract(raw, '{D["company"]}', 1), '') AS company, CASE WHEN NOT regexp_matches(raw, '(?i){latin.COMPARISON}') THEN {KB_SQL("raw")} END AS kb_name FROM asked),
 h AS (SELECT *, last_value(company IGNORE NULLS) OVER w AS last, last_value(kb_name IGNORE NULLS) OVER w AS last_kb FROM known WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT *, CASE WHEN i = 'unclear' THEN 'unclear' WHEN i = 'financial' AND NOT regexp_matches(raw, '{latin.ENTITIES["TIME"]}') AND NOT {MATCH("raw", C["no_time"])} THEN 'time'
   WHEN {ANY("raw", C["pronouns"])} AND last IS NOT NULL THEN 'pronoun' WHEN kb_name IS NULL AND i NOT IN ('comparison', 'greeting', 'unclear') AND {MATCH("raw", C["signs"])} AND last_kb IS NULL THEN 'company' END AS clarification FROM h),
-{SUB_QUERIES("known")}
+{SUB_QUERIES("known")}"""
+UNDERSTAND_SQL = f"""
+WITH {UNDERSTOOD}
 SELECT query_id, kb_name, i AS intent, confidence AS intent_confidence, md5(text) AS normalized_md5, md5(sub_queries) AS sub_queries_md5, clarification, clarification IS NOT NULL AS needs_clarification, {CLARIFIED("clarification", "last")} AS clarification_prompt FROM c JOIN sub USING (query_id)
 """
 
@@ -237,6 +244,24 @@ def ROUTE_SQL(x: str) -> str:
     return f"CASE WHEN NOT {MATCH(x, ['(?i)' + p for p in latin.UNROUTED])} THEN CASE {words} {intents} END END"
 
 
+def ROUTED(x: str, i: str) -> str:
+    """The sections, as a list, for a text and its intent."""
+    words = " ".join(f"WHEN contains({x}, '{k}') THEN [{quoted(w)}]" for k, w in latin.KEYWORDS.items())
+    intents = " ".join(f"WHEN {i} = '{k}' THEN [{quoted(w)}]" for k, w in latin.BY_INTENT.items())
+    return f"CASE WHEN NOT {MATCH(x, ['(?i)' + p for p in latin.UNROUTED])} THEN CASE {words} {intents} END END"
+
+
+FITS = "({0}.kb_name IS NULL OR {1}.kb_name = {0}.kb_name) AND ({0}.sections IS NULL OR list_contains({0}.sections, {1}.section))"
+ANSWER_SQL = f"""
+WITH {UNDERSTOOD},
+corpus AS (SELECT vec_id AS id, text, embedding, vec_id % 9 AS page_start, [{quoted(latin.SECTIONS)}][vec_id % {len(latin.SECTIONS)} + 1] AS section, label::VARCHAR AS content_type, [{quoted(latin.BASES)}][vec_id % {len(latin.BASES)} + 1] AS kb_name FROM embeddings JOIN documents ON doc_id = vec_id),
+qs AS (SELECT query_id, kb_name, CASE WHEN len(subs) > 1 THEN array_to_string(list_filter(subs, lambda x, i: list_position(subs, x) = i), ' ') ELSE text END AS text, {ROUTED("text", "i")} AS sections FROM c JOIN sub USING (query_id) WHERE clarification IS NULL),
+v AS (SELECT *, list_transform(range(1, 65), lambda j: (ord(substr(md5(text || j), 1, 1)) % 16) / 8.0::DOUBLE - 1) AS e FROM qs),
+sc0 AS (SELECT v.query_id, d.id, list_dot_product(v.e, d.embedding::DOUBLE[]) AS score FROM v JOIN corpus d ON {FITS.format("v", "d")}),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc0) WHERE rank <= 48),
+{BM25("qs", "corpus", 16, f"EXISTS (SELECT 1 FROM qs, corpus d WHERE qs.query_id = sc.query_id AND d.id = sc.id AND {FITS.format('qs', 'd')})")}, {FUSE(8)}, {SOURCES("qs", "corpus")}
+"""
+
 ROUTE_ALL_SQL = f"""
 WITH q AS (SELECT {QID} AS query_id, text, {" || ".join(f"CASE WHEN contains(text, '{k}') THEN [{quoted(s)}] ELSE [] END" for k, s in latin.KEYWORDS.items())} AS l,
   CASE {" ".join(f"WHEN {INTENT_SQL('text')} = '{k}' THEN '{'|'.join(s)}'" for k, s in latin.BY_INTENT.items())} ELSE '' END AS o FROM conversations WHERE role = 'user')

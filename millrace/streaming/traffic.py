@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from millrace.operators.logs import limiter, replay
+from millrace.operators.logs import limiter, metric_parts, replay
 
 
 def session_stream(events: DataFrame, key: str = "user_id", ttl: str = "24 hours", delay: str = "1 hour") -> DataFrame:
@@ -19,9 +19,9 @@ def session_stream(events: DataFrame, key: str = "user_id", ttl: str = "24 hours
 
 
 def metrics_stream(requests: DataFrame, window: str = "1 hour", slow: float = 1.0, delay: str = "10 minutes") -> DataFrame:
-    """Request metrics of tumbling windows, each emitted once it is closed."""
-    got = requests.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "path").agg(F.count(F.lit(1)).alias("calls"), F.count_if(F.col("seconds") > slow).alias("slow"), F.avg("seconds").alias("mean_seconds"))
-    return got.select(F.col("w.start").alias("window_start"), "path", "calls", "slow", "mean_seconds")
+    """Request metrics of tumbling windows, each emitted once it is closed, in the form that is stored: logs.merge_metrics makes days of them, logs.metric_values figures."""
+    got = requests.withWatermark("ts", delay).groupBy(F.window("ts", window).alias("w"), "path").agg(*metric_parts(slow))
+    return got.select(F.col("w.start").alias("window_start"), *[c for c in got.columns if c != "w"])
 
 
 def trailing_stream(requests: DataFrame, key: str = "client", window: str = "60 seconds", slide: str = "10 seconds", delay: str = "1 minute") -> DataFrame:

@@ -1,11 +1,16 @@
 """Registered queries over whole texts and tables, where a shorter input gives other rows."""
 
+import math
+import random
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import embedding, search, understanding
-from millrace.plans import catalog, retrieve
+from millrace.functions import phrases
+from millrace.operators import embedding, lexical, search, understanding
+from millrace.plans import catalog, latin, retrieve
 
 
 @pytest.fixture
@@ -31,12 +36,55 @@ def test_collection_keeps_long_texts(spark):
     assert embedding.collection(rows).first().text == "x" * 20000 + "tail"
 
 
-def test_many_aliases_match_as_few(spark):
+@pytest.mark.parametrize("block", [200_000, 5])
+def test_aliases_in_one_and_in_many_automata(spark, monkeypatch, block):
+    monkeypatch.setattr(phrases, "BLOCK_CHARS", block)
     aliases = spark.createDataFrame([("a", "华为"), ("b", "华为公司"), ("c", "-x y"), ("b2", "net"), ("a2", "net"), ("d", ""), (None, "华为公司收")], "kb_name string, alias string")
     asked = ["请问华为公司收入", "华为收入", "q-x yz", "internet", "对比华为", "", None, "none", "华为收入"]
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string")
-    few, many = ([r.kb_name for r in understanding.resolve_kb(queries, aliases, comparison="对比", max_aliases=n).orderBy("query_id").collect()] for n in (100, 0))
-    assert few == many == ["b", "a", "c", "a2", None, None, None, None, "a"]
+    got = [r.kb_name for r in understanding.resolve_kb(queries, aliases, comparison="对比").orderBy("query_id").collect()]
+    assert got == ["b", "a", "c", "a2", None, None, None, None, "a"]
+    assert {r.kb_name for r in understanding.resolve_kb(queries, aliases.where("false")).collect()} == {None}
+
+
+def test_automaton_finds_what_contains_finds():
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("ab中") for _ in range(n))
+    for _ in range(300):
+        known = [word(r.randint(0, 5)) for _ in range(r.randint(0, 12))]
+        said = word(r.randint(0, 30))
+        assert set(phrases.Automaton(known).found(said)) == {i for i, k in enumerate(known) if k and k in said}
+
+
+def test_thousands_of_aliases(spark):
+    """Five thousand aliases in seconds, each question read once."""
+    r = random.Random(7)
+    names = sorted({"".join(r.choice("abcdefghij") for _ in range(r.randint(4, 9))) for _ in range(5000)})
+    aliases = spark.createDataFrame([(f"kb{i % 97}", a) for i, a in enumerate(names)], "kb_name string, alias string")
+    asked = [" ".join("".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(15)) for _ in range(280)] + [f"about {a} now" for a in names[::50]]
+    queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, query string").cache()
+    queries.count()
+    began = time.time()
+    got = {x.query_id: x.kb_name for x in understanding.resolve_kb(queries, aliases).collect()}
+    took = time.time() - began
+    kb = {a: f"kb{i % 97}" for i, a in enumerate(names)}
+    for i, q in enumerate(asked):
+        hits = [a for a in names if a in q]
+        assert got[i] == (min(hits, key=lambda a: (-len(a), kb[a])) and kb[min(hits, key=lambda a: (-len(a), kb[a]))] if hits else None)
+    assert took < 10, took
+
+
+@pytest.mark.parametrize("block", [200_000, 3])
+def test_section_tables_route_as_expressions(spark, data, monkeypatch, block):
+    monkeypatch.setattr(phrases, "BLOCK_CHARS", block)
+    asked = catalog.questions(spark, data).withColumn("intent", catalog.INTENT(F.col("query"))["intent"])
+    keywords = spark.createDataFrame([(i, k, list(s)) for i, (k, s) in enumerate(latin.KEYWORDS.items())], "ord int, keyword string, sections array<string>")
+    intents = spark.createDataFrame([(k, list(s)) for k, s in latin.BY_INTENT.items()], "intent string, sections array<string>")
+    pairs = lambda df: {(r.query_id, None if r.sections is None else tuple(r.sections)) for r in df.collect()}
+    one = asked.withColumn("sections", understanding.section_route(F.col("query"), F.col("intent"), latin.KEYWORDS, latin.BY_INTENT, latin.UNROUTED))
+    assert pairs(understanding.section_routes(asked, keywords, intents, unrouted=latin.UNROUTED)) == pairs(one)
+    every = asked.withColumn("sections", understanding.section_route_all(F.col("query"), F.col("intent"), latin.KEYWORDS, latin.BY_INTENT))
+    assert pairs(understanding.section_routes(asked, keywords, intents, every=True)) == pairs(every)
 
 
 def test_history_ends_before_the_question(spark):
@@ -73,16 +121,111 @@ def test_answers_from_questions(spark):
     assert [(r.query_id, r.id, r.section, r.content_type, r.page) for r in got] == [(10, 2, "乙", "table", 4)]
 
 
-def test_cells_at_the_usual_ratio(spark):
-    """Vectors in clusters: 16 of 128 cells find nine of ten."""
+def clustered(spark):
     r = np.random.default_rng(4)
     centre = r.normal(size=(60, 24))
     v = np.repeat(centre, 60, axis=0) + r.normal(size=(3600, 24)) * 0.2
-    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, embedding array<float>")
-    asked = rows.where("id % 100 = 0").withColumnRenamed("id", "query_id")
+    return spark.createDataFrame([(i, x.tolist(), f"k{i % 3}", f"s{i % 5}") for i, x in enumerate(v)], "id long, embedding array<float>, kb_name string, section string")
+
+
+def test_stored_cells(spark, tmp_path):
+    """Vectors in clusters: 16 of 128 cells find nine of ten, other cells' files are not read, and rows added later are found without another fit."""
+    rows = clustered(spark)
+    asked = rows.where("id % 100 = 0").select(F.col("id").alias("query_id"), "embedding")
     pick = lambda df: {(x.query_id, x.id) for x in df.collect()}
+    index = search.build_vector_index(rows.where("id % 2 = 0"), f"{tmp_path}/index")
+    before = index.centres(spark)
+    search.add_vectors(rows.where("id % 2 = 1"), index)
+    assert (index.centres(spark) == before).all() and index.rows(spark).count() == 3600
     exact = pick(search.vector_topk(asked, rows, 10))
-    assert len(exact & pick(search.ivf_topk(asked, rows, 10, cells=128, probes=16))) >= 0.9 * len(exact)
+    assert len(exact & pick(search.ivf_ask(index, asked, 10))) >= 0.9 * len(exact)
+    assert pick(search.ivf_ask(index, asked, 10, probes=128)) == exact
+    one = asked.where("query_id = 500")
+    scan = search.ivf_ask(index, one, 10)._jdf.queryExecution().optimizedPlan().toString()
+    cells = search.nearest_cells(np.array([r.embedding for r in one.collect()]), before, 16)
+    assert cells.sum() == 16
+    read = index.rows(spark).where(F.col("cell").isin(np.flatnonzero(cells[0]).tolist()))
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(read) <= files(index.rows(spark)) / 4 and "cell" in scan
+    filtered = asked.withColumns({"kb_name": F.lit("k1"), "section": F.when(F.col("query_id") % 200 == 0, F.array(F.lit("s0"), F.lit("s3")))})
+    assert pick(search.ivf_ask(index, filtered, 10, probes=128, scope=("kb_name", "section"))) == pick(search.vector_topk(filtered, rows, 10, ("kb_name", "section")))
+
+
+def test_filters_hold_before_ranking(spark):
+    """Each query's own knowledge base and sections: all its k rows come from these, however far down they rank among all."""
+    rows = clustered(spark)
+    asked = rows.where("id % 300 = 0").select(F.col("id").alias("query_id"), "embedding", F.when(F.col("id") % 900 != 0, F.concat(F.lit("k"), (F.col("id") % 2).cast("string"))).alias("kb_name"), F.when(F.col("id") % 600 == 0, F.array(F.lit("s4"), F.lit(None))).alias("section"))
+    got: dict = {}
+    for r in search.vector_topk(asked, rows, 7, ("kb_name", "section")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.id))
+    data = [(r.id, np.array(r.embedding), r.kb_name, r.section) for r in rows.collect()]
+    for q in asked.collect():
+        own = [(-float(np.dot(v, np.array(q.embedding))), i) for i, v, kb, s in data if q.kb_name in (None, kb) and (q.section is None or s in q.section)]
+        assert [i for _, i in sorted(got[q.query_id])] == [i for _, i in sorted(own)[:7]]
+
+
+def brute_bm25(docs, queries, k):
+    """docs: (id, words, kb, section); queries: (id, words, kb, sections)."""
+    n, avgdl = len(docs), sum(len(d[1]) for d in docs) / len(docs)
+    out = set()
+    for q, words, kb, sections in queries:
+        scored = []
+        for i, own, a, b in docs:
+            if (kb is None or a == kb) and (sections is None or b in sections):
+                s = sum(math.log((n - df + 0.5) / (df + 0.5) + 1) * own.count(w) * 2.5 / (own.count(w) + 1.5 * (0.25 + 0.75 * len(own) / avgdl)) for w in words if (df := sum(w in d[1] for d in docs)) and w in own)
+                if round(s, 9) > 0:
+                    scored.append((-round(s, 9), i))
+        out |= {(q, i, r + 1) for r, (_, i) in enumerate(sorted(scored)[:k])}
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_stored_postings(spark, tmp_path, monkeypatch, small):
+    """An index in parts, small segments and blocks of questions: the rows of brute force, with each question's own filters."""
+    if small:
+        monkeypatch.setattr(lexical, "SEGMENT_DOCS", 7)
+        monkeypatch.setattr(lexical, "BLOCK_QUERIES", 3)
+    r = random.Random(9)
+    vocabulary = [f"w{i}" for i in range(40)]
+    said = lambda: [r.choice(vocabulary[: r.choice((3, 40))]) for _ in range(r.randint(0, 30))]
+    docs = [(i, said(), f"k{i % 3}", r.choice(["s1", "s2", None])) for i in range(120)]
+    queries = [(1000 + i, said() + ["unknown"], r.choice([None, "k0", "k2"]), r.choice([None, ["s1"], ["s1", "s2"], []])) for i in range(14)]
+    rows = spark.createDataFrame([(i, " ".join(w), k, s) for i, w, k, s in docs] + [(500, None, "k0", "s1")], "id long, text string, kb_name string, section string")
+    asked = spark.createDataFrame([(i, " ".join(w), k, s) for i, w, k, s in queries], "query_id long, text string, kb_name string, section array<string>")
+    index = lexical.add_documents(rows.where("id % 4 <> 1").repartition(3), f"{tmp_path}/index", scope=("kb_name", "section"))
+    lexical.add_documents(rows.where("id % 4 = 1"), index.path, scope=("kb_name", "section"))
+    want = brute_bm25([*docs, (500, [], "k0", "s1")], queries, 6)
+    got = lexical.bm25_ask(index, asked, 6)
+    assert {(x.query_id, x.id, x["rank"]) for x in got.collect()} == want
+    free = [(q, w, None, None) for q, w, _, _ in queries]
+    assert {(x.query_id, x.id, x["rank"]) for x in lexical.bm25_topk(asked.drop("kb_name", "section"), rows, 6).collect()} == brute_bm25([*docs, (500, [], "k0", "s1")], free, 6)
+    assert lexical.bm25_ask(index, asked.where("false"), 6).count() == 0
+
+
+def test_postings_that_are_not_asked_for_are_not_read(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"common word{i} other{i % 7}") for i in range(400)], "id long, text string")
+    index = lexical.add_documents(rows, f"{tmp_path}/index")
+    one = spark.createDataFrame([(1, "word17")], "query_id long, text string")
+    got = lexical.bm25_ask(index, one, 5)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan and plan.count("Scan parquet") == 1
+    assert [x.id for x in got.collect()] == [17]
+    bucket = one.select(lexical.bucket_of(F.lit("word17")).alias("b")).first().b
+    files = lambda df: df.select(F.input_file_name()).distinct().count()
+    assert files(index.rows(spark).where(F.col("bucket").isin(bucket, lexical.BUCKETS))) <= files(index.rows(spark)) / 8
+
+
+def test_bounds_skip_segments():
+    """Once a task has k good scores, segments whose best possible score is lower are not searched."""
+    import pyarrow as pa
+
+    block = pa.table({"query_id": pa.array([1]), "term": pa.array(["t"]), "weight": pa.array([1.0])})
+    questions, found = lexical._Questions(block, {}), lexical._Found(1, 2)
+    segment = lambda ids, tf: [{"term": lexical.OWN, "docs": np.full(len(ids), 10, np.int32).tobytes(), "id": pa.array(ids)}, {"term": "t", "docs": np.arange(len(ids), dtype=np.int32).tobytes(), "tfs": np.array(tf, np.int32).tobytes(), "most": max(tf), "shortest": 10}]
+    searched = [lexical.search_segment(questions, found, segment(ids, tf), [], 1.5, 0.75, 10.0) for ids, tf in (([5, 6, 7], [3, 9, 8]), ([1, 2], [2, 1]), ([3, 4], [8, 1]))]
+    assert searched == [1, 0, 1]
+    rows = sorted((-s, i) for q, ids, score in found.rows for i, s in zip(ids.to_pylist(), score.tolist(), strict=True))
+    assert [i for _, i in rows[:3]] == [6, 3, 7]  # 3 and 7 tie, and the smaller goes before
 
 
 def test_clarification_says_what_is_asked(spark):
