@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 
@@ -89,11 +88,3 @@ def keep_columns(df: DataFrame, new: list[str], *needed: str) -> DataFrame:
 def share(spark: SparkSession, value):
     """A broadcast of a bounded value whose classes need no import on executors; pickle.loads of its value gives it back."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
-
-
-def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Lets a batch that goes to Python hold about 8 MB of texts, not 10,000 texts of any length: a setting of the session, lowered where it is higher."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = spark.conf.get(key)
-    if not re.fullmatch(r"\d+b?", held) or int(held.rstrip("b")) > most:
-        spark.conf.set(key, str(most))
