@@ -36,7 +36,9 @@ def hash_sample(df: DataFrame, rows: int, *keys: str, limit: int | None = None)
     which give the last cut. limit: the first cut, where the caller has made it already.
     """
     if limit is None:
-        n = df.agg(F.approx_count_distinct(F.xxhash64(*keys))).first()[0]
+        total, n = df.agg(F.count(F.lit(1)), F.approx_count_distinct(F.xxhash64(*keys))).first()
+        if total <= rows:
+            return one_each(df, *keys)
         limit = below(rows, int(n * 1.2))
         if limit < TOP - 1:
             df = df.where(key_hash(*keys) <= limit)

@@ -36,12 +36,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text
-from millrace.sources.shared import checkpoint_root
+from millrace.sources.shared import checkpoint_root, shuffle_parts
 
 Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas UDF with a word segmenter will do
 
 SEGMENT_DOCS, SEGMENT_TOKENS = 1 << 14, 1 << 21  # a segment ends at either; a longer document is a segment of its own
-BUCKETS, SPREAD = 64, 4  # directories of terms, and the tasks that write each
+BUCKETS = 64  # directories of terms
 BLOCK_TERMS, BLOCK_QUERIES = 1_000_000, 1024  # of a broadcast block of questions
 OWN = "\0docs"  # the term of a segment's own row, which no tokenizer gives
 
@@ -149,8 +149,9 @@ def add_documents(docs: DataFrame, path: str, tokenize: Tokenizer = text.tokens,
     schema = "segment string, term string, df long, tokens long, docs binary, tfs binary, most int, shortest int"
     lists = [T.StructField("id", T.ArrayType(docs.schema["id"].dataType)), *[T.StructField(c, T.ArrayType(T.StringType())) for c in scope]]
     made = own.mapInArrow(_segments(uuid.uuid4().hex, tuple(scope)), T.StructType([*T._parse_datatype_string(schema).fields, *lists]))
-    # a bucket's rows go to several tasks by segment, so that neither a term nor a bucket is one task's
-    dealt = made.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(SPREAD)))
+    # a bucket's rows go to several tasks by segment, as many as the session has partitions for, so that neither a term nor a bucket is one task's
+    spread = -(-shuffle_parts(docs.sparkSession) // BUCKETS)
+    dealt = made.withColumn("bucket", bucket_of(F.col("term"))).repartition("bucket", F.pmod(F.xxhash64("segment"), F.lit(spread)))
     dealt.sortWithinPartitions("bucket", "term").write.mode("append").partitionBy("bucket").parquet(path)
     return LexicalIndex(path, tokenize, tuple(scope))
 
@@ -171,13 +172,13 @@ def bm25_ask(index: LexicalIndex, queries: DataFrame, k: int = 10, k1: float = 1
     filters = [c for c in index.scope if c in queries.columns]
     wanted = [F.col(c) if isinstance(queries.schema[c].dataType, T.ArrayType) else F.when(F.col(c).isNotNull(), F.array(F.col(c).cast("string"))) for c in filters]
     asked = queries.select("query_id", F.explode(index.tokenize(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.withColumn("bucket", bucket_of(F.col("term"))).persist()  # read for its buckets, its terms, and block by block
+    asked = asked.withColumn("bucket", bucket_of(F.col("term"))).persist()  # read for its size and buckets, for its terms, and for its weights
     rows = index.rows(spark)
-    buckets = [r.bucket for r in asked.select("bucket").distinct().collect()]  # at most BUCKETS
-    df = rows.where(F.col("bucket").isin(buckets)).select("term", "df").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-    weighted = asked.join(df, "term").select("query_id", "term", "bucket", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("weight")).persist()
-    size = weighted.agg(F.count(F.lit(1)), F.count_distinct("query_id")).first()
+    size = asked.agg(F.count(F.lit(1)), F.count_distinct("query_id"), F.collect_set("bucket")).first()  # at most BUCKETS buckets
+    df = rows.where(F.col("bucket").isin(size[2])).select("term", "df").join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
+    weighted = asked.join(df, "term").select("query_id", "term", "bucket", (F.col("qtf") * F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)).alias("weight"))
     blocks = max(1, math.ceil(size[0] / BLOCK_TERMS), math.ceil(size[1] / BLOCK_QUERIES))
+    weighted = weighted.persist() if blocks > 1 else weighted
     id_type = rows.schema["id"].dataType.elementType
     schema = T.StructType([queries.schema["query_id"], T.StructField("id", id_type), T.StructField("score", T.DoubleType())])
     found = []
