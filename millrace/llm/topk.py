@@ -1,7 +1,7 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Vectors go to the nearest of at most CELLS centres, which are fitted on a bounded sample
-(PIVOT_ROWS rows by hash); a cell's rows are dealt to shards of about SHARD_ROWS rows, so no
+Vectors go to the nearest of a number of centres that grows with the root of the table
+(cells_for), fitted on a bounded sample (PIVOT_ROWS rows a centre, by hash); a cell's rows are dealt to shards of about SHARD_ROWS rows, so no
 cell is one task. A ball around its centre holds a cell. In a shard a ball tree is built; a
 query's nodes are opened in order of the bound q·c + |q|r on the inner products in their
 ball, and the search ends when no bound reaches the score of the k-th best so far.
@@ -34,7 +34,7 @@ from millrace.functions.sampling import hash_sample
 from millrace.llm._store import share, stash
 
 SHARD_ROWS, QUERY_ROWS, LEAF_ROWS = 8192, 4096, 256
-CELLS, PIVOT_ROWS, NEAR = 256, 4096, 4
+CELLS, MOST_CELLS, PIVOT_ROWS, NEAR = 256, 8192, 16, 4  # cells of a table of up to 4 million rows; of any; sampled rows for each cell; cells of the second wave
 PLACED = "id long, vec array<bigint>, dim int, asks boolean, deal long, cell int, away double"
 ASKING = "id long, vec array<bigint>, dim int, home int, deal long, least long, cell int"
 FOUND = "query_id long, vec_id long, score long"
@@ -128,25 +128,32 @@ def scaled(vec: Column, factor: int) -> Column:
     return F.when(vec.isNotNull() & F.coalesce(whole, F.lit(False)), F.transform(vec, lambda x: F.floor(x.cast("double") * factor).cast("long")))
 
 
-def _pivots(given: DataFrame, n: int, shard_rows: int, cells: int) -> dict[int, np.ndarray]:
-    """Centres by length of vector, from at most PIVOT_ROWS rows: a few rounds of k-means."""
-    by: dict[int, list] = {}
-    for r in hash_sample(given.select("id", "deal", "vec"), PIVOT_ROWS, "id", "deal").orderBy("deal", "id").collect():
-        by.setdefault(len(r.vec), []).append(r.vec)
-    out, most = {}, min(cells, -(-n // shard_rows))
-    for dim, rows in by.items():
-        x = np.array(rows, np.float64).reshape(len(rows), dim)
-        centre = np.unique(x[: max(1, most * len(x) // min(n, PIVOT_ROWS))], axis=0)
+def cells_for(n: int, shard_rows: int = SHARD_ROWS) -> int:
+    """How many cells n rows are cut into: one a shard at most; up to CELLS, then with the root of the table, as both a query's choice among cells and the search in those that it reaches cost time."""
+    return max(1, min(-(-n // shard_rows), MOST_CELLS, max(CELLS, int(n**0.5 / 8))))
+
+
+def _pivots(given: DataFrame, n: int, cells: int) -> dict[int, np.ndarray]:
+    """Centres by length of vector, from at most PIVOT_ROWS rows a cell: a few rounds of k-means."""
+    sample = hash_sample(given.select("id", "deal", "vec"), PIVOT_ROWS * max(CELLS, cells), "id", "deal").toArrow().sort_by([("deal", "ascending"), ("id", "ascending")])
+    size, out = sample.column("vec").combine_chunks().value_lengths().to_numpy(zero_copy_only=False), {}
+    for dim in np.unique(size).tolist():
+        own = np.flatnonzero(size == dim)
+        x = _matrix(sample.column("vec").take(pa.array(own)), len(own)).astype(np.float64).reshape(len(own), dim)
+        centre = np.unique(x[: max(1, cells * len(x) // len(size))], axis=0)
         for _ in range(5):
-            own = _nearest(x, centre)
-            held = np.unique(own)
-            centre = np.stack([x[own == c].mean(axis=0) for c in held])
+            at = _nearest(x, centre)
+            order = np.argsort(at, kind="stable")
+            cuts = np.flatnonzero(np.concatenate(([True], at[order][1:] != at[order][:-1])))
+            centre = np.add.reduceat(x[order], cuts, axis=0) / np.diff(np.append(cuts, len(x)))[:, None]
         out[dim] = centre
     return out
 
 
 def _nearest(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-    return ((centre**2).sum(axis=1) / 2 - x @ centre.T).argmin(axis=1)
+    half = (centre**2).sum(axis=1) / 2
+    step = max(1, (1 << 22) // len(centre))  # so that a block of products stays small
+    return np.concatenate([np.zeros(0, np.int64), *((half - x[i : i + step] @ centre.T).argmin(axis=1) for i in range(0, len(x), step))])
 
 
 def _place(shared):
@@ -197,7 +204,7 @@ def _reach(shared, near: bool):
     return run
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, cells: int = CELLS, report: dict | None = None) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, cells: int | None = None, report: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query row's k best among all other rows, by score, then smaller id. report: gets the number of pairs (query, shard) and of those that were searched."""
     spark = rows.sparkSession
     given = rows.select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled(F.col(f"`{vec_col}`"), factor).alias("vec"), F.coalesce(is_query, F.lit(False)).alias("asks"))
@@ -205,7 +212,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, factor: int = 256, id_c
     # dealt by a number of its own, so that repeated rows are spread; written, so that it stays what it is
     given = stash(given.select("id", "vec", "dim", "asks", F.xxhash64("id", F.monotonically_increasing_id()).alias("deal")), "vectors")
     n, asked = given.agg(F.count(F.lit(1)), F.count_if("asks")).first()
-    pivots = _pivots(given, n, shard_rows, cells)
+    pivots = _pivots(given, n, min(-(-n // shard_rows), cells) if cells else cells_for(n, shard_rows))
     placed = stash(given.mapInArrow(_place(share(spark, pivots)), PLACED), "placed")
     held = stash(placed.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / shard_rows).cast("int").alias("shards"), F.max("away").alias("radius")), "cells")
     known = held.collect()  # a row for each centre and length

@@ -448,3 +448,8 @@ def test_large_crowds_are_not_compared_pair_by_pair(monkeypatch):
     apart = np.unique(r.integers(0, 2**32, 10_000, dtype=np.uint64))
     simhash._forest(apart, 3)
     assert sum(compared) < 100 * len(apart)
+
+
+def test_cells_grow_with_the_table():
+    grown = [topk.cells_for(n) for n in (0, 1, 8192, 50_000, 4_000_000, 10**8, 10**9, 10**11, 10**13)]
+    assert grown == [1, 1, 1, 7, 256, 1250, 3952, 8192, 8192]
