@@ -31,8 +31,10 @@ def hashing_encoder(dim: int = 64) -> Callable[[], Encoder]:
     return make
 
 
-def encode_chunks(chunks: DataFrame, make_encoder: Callable[[], Encoder], dim: int, batch: int = 32) -> DataFrame:
-    """A vector row for each chunk: its metadata with defaults, no text, and a vector of unit length. The encoder is made once a task; a wrong count or dimension fails the task."""
+def encode_chunks(chunks: DataFrame, make_encoder: Callable[[], Encoder], dim: int, batch: int = 32, parts: int | None = None) -> DataFrame:
+    """A vector row for each chunk: its metadata with defaults, no text, and a vector of unit length. The encoder is made once a task; a wrong count or dimension fails the task. parts: deal chunks to as many tasks of equal work and like lengths first, for encoders that cost more than an exchange of the texts."""
+    if parts:
+        chunks = balanced(chunks, parts)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = make_encoder()
@@ -51,6 +53,31 @@ def encode_chunks(chunks: DataFrame, make_encoder: Callable[[], Encoder], dim: i
     return meta.mapInPandas(run, schema)
 
 
+def balanced(chunks: DataFrame, parts: int, text_col: str = "text", each: int = 64, steps: int = 8) -> DataFrame:
+    """chunks in `parts` partitions of about equal work, each of texts of like length, in order of length: batches hold little padding, and no task has all long texts.
+
+    A text's work is its characters and `each`. Work is summed for classes of lengths, `steps`
+    to each doubling (at most some hundred rows); a class gets partitions by its share of the
+    work, of which the last may hold the first of the next class, and its rows are dealt to them.
+    """
+    cost = F.coalesce(F.length(text_col), F.lit(0)) + F.lit(each)
+    kind = F.floor(F.log2(cost) * steps).cast("int")
+    sums = sorted((r.kind, r.cost) for r in chunks.groupBy(kind.alias("kind")).agg(F.sum(cost).alias("cost")).collect())
+    total = sum(c for _, c in sums)
+    if not total:
+        return chunks
+    done, rows = 0, []
+    for k, c in sums:
+        rows.append((k, done * parts / total, c * parts / total))
+        done += c
+    spans = chunks.sparkSession.createDataFrame(rows, "__kind int, __start double, __share double")
+    number = F.xxhash64(*[F.col(f"`{c}`") for c in chunks.columns], F.monotonically_increasing_id())
+    at = F.col("__start") + F.col("__share") * (F.shiftrightunsigned(number, 1) / F.lit(float(1 << 63)))
+    placed = chunks.withColumn("__kind", kind).join(F.broadcast(spans), "__kind").withColumn("__part", F.least(F.floor(at), F.lit(parts - 1)).cast("int"))
+    dealt = placed.withColumn("__cost", cost).repartitionById(parts, "__part").sortWithinPartitions("__cost")
+    return dealt.drop("__kind", "__start", "__share", "__part", "__cost")
+
+
 def vector_columns(chunks: DataFrame) -> list:
     """A chunk's metadata with defaults for what is missing."""
     default = {"page_start": 0, "page_end": 0, "section": "", "source_pdf": "", "type": "text", "table_index": 0}

@@ -273,11 +273,19 @@ def prompt_messages(questions: DataFrame, hits: DataFrame, history: DataFrame, s
     before: the questions' column with their turn, for history of earlier turns only.
     """
     context = hits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("c")).select("query_id", F.array_join(F.transform("c", lambda x: x["text"]), "\n\n").alias("context"))
-    past = history.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "content"))).alias("h"))
-    told = F.filter("h", lambda x: x["turn"] < F.col(before)) if before else F.col("h")
-    said = F.transform(told, lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    said = F.struct("turn", "role", "content")
+    if before:
+        # one pass over a session's turns in order: each question takes what was said before it
+        own = questions.select(F.col("session_id"), F.col(before).alias("turn"), F.struct("query_id").alias("asks"))
+        turns = history.select("session_id", "turn", said.alias("said")).unionByName(own, allowMissingColumns=True)
+        earlier = W.partitionBy("session_id").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+        told = turns.select("session_id", "asks", F.array_sort(F.collect_list("said").over(earlier)).alias("h")).where(F.col("asks").isNotNull()).select("asks.query_id", "h")
+    else:
+        past = history.groupBy("session_id").agg(F.array_sort(F.collect_list(said)).alias("h"))
+        told = questions.select("query_id", "session_id").join(past, "session_id").select("query_id", "h")
     message = lambda role, content: F.array(F.struct(F.lit(role).alias("role"), content.alias("content")))
     head = F.when(F.coalesce("context", F.lit("")) != "", F.concat(F.lit(system + "\n\n"), F.col("context"))).otherwise(system)
     none = F.array().cast("array<struct<role:string,content:string>>")
-    joined = questions.join(context, "query_id", "left").join(past, "session_id", "left")
-    return joined.select("query_id", F.concat(message("system", head), F.coalesce(said, none), message("user", F.col("query"))).alias("messages"))
+    joined = questions.join(context, "query_id", "left").join(told, "query_id", "left")
+    spoken = F.transform("h", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
+    return joined.select("query_id", F.concat(message("system", head), F.coalesce(spoken, none), message("user", F.col("query"))).alias("messages"))

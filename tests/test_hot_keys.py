@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text
-from millrace.operators import chunking, logs
+from millrace.operators import chunking, embedding, logs
 
 
 @pytest.fixture
@@ -94,3 +94,22 @@ def test_latency_quantiles(spark):
     exact = sorted(v.seconds for v in short.collect())
     got = logs.request_metrics(short).first()
     assert [got.p50, got.p95, got.p99] == [exact[-(-len(exact) * q // 100) - 1] for q in (50, 95, 99)]
+
+
+def test_encoding_by_equal_work(spark):
+    """A few texts hold most characters and lie side by side: tasks of equal work and batches of like length, and the same vectors."""
+    r = random.Random(17)
+    sizes = [r.choice((2000, 4000)) for _ in range(400)] + [r.randint(1, 60) for _ in range(6000)]
+    rows = [("k", f"c{i}", " ".join(r.choice(["a", "bc", "def"]) for _ in range(n))) for i, n in enumerate(sizes)] + [("k", "none", None), ("k", "empty", "")]
+    chunks = spark.createDataFrame(rows, "kb_name string, chunk_id string, text string").coalesce(2)
+    dealt = embedding.balanced(chunks, 16)
+    work = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)) + 64).alias("work"), F.count(F.lit(1)).alias("n")).collect()
+    all_work = sorted(x.work for x in work)
+    assert len(work) == 16 and sum(x.n for x in work) == len(rows) and all_work[-1] <= 1.5 * all_work[len(all_work) // 2]
+    padding = lambda df, k: df.withColumn("i", F.monotonically_increasing_id()).select(F.col("i"), F.coalesce(F.length("text"), F.lit(0)).alias("n"), (F.col("i") / k).cast("long").alias("b")).groupBy("b").agg(F.sum(F.lit(1)).alias("rows"), F.max("n").alias("most"), F.sum("n").alias("own")).agg(F.sum(F.col("rows") * F.col("most")) / F.sum("own")).first()[0]
+    mixed = chunks.orderBy(F.md5("chunk_id"))
+    assert padding(dealt, 32) < 1.2 < padding(mixed, 32)
+    make = embedding.hashing_encoder(8)
+    vectors = lambda parts: {x.chunk_id: tuple(x.embedding) for x in embedding.encode_chunks(chunks, make, 8, parts=parts).collect()}
+    assert vectors(None) == vectors(16)
+    assert embedding.balanced(chunks.where("false"), 4).count() == 0
