@@ -8,9 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from millrace.operators.logs import limiter, metric_parts, replay
 
+#: The setting that tail_stream needs: state in RocksDB.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+
 
 def session_stream(events: DataFrame, key: str = "user_id", ttl: str = "24 hours", delay: str = "1 hour") -> DataFrame:
     """Sessions by gap, each emitted once it can no longer grow."""
@@ -63,25 +67,50 @@ def cache_stream(accesses: DataFrame, key: str = "cache_key", ttl_seconds: int =
     return accesses.withWatermark("ts", delay).groupBy(key).applyInPandasWithState(run, f"{key} {kind}, event_id long, ts timestamp, hit boolean", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def tail_stream(messages: DataFrame, kept: int = 40, ttl_seconds: int = 86400, delay: str = "1 hour") -> DataFrame:
-    """(session_id, n, messages) after each batch of a session's messages (session_id, ts, role, content): at most `kept`, dropped ttl_seconds after the last."""
+class SessionTail(StatefulProcessor):
+    """The last messages of a session, and the time of the last; a timer of event time clears both when the session has ended."""
 
-    def run(k, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        held, last = ([tuple(x) for x in state.get[0]], state.get[1]) if state.exists else ([], None)
-        for t, role, content in zip(rows["ts"], rows["role"], rows["content"], strict=True):
-            now = int(pd.Timestamp(t).value // 1000)
-            if last is not None and now - last >= ttl_seconds * 1_000_000:
+    def __init__(self, kept: int, ttl_us: int, key: str):
+        self.kept, self.ttl, self.key = kept, ttl_us, key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", "role string, content string")
+        self.last = handle.getValueState("last", "us long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        got = pd.concat(list(rows)).sort_values("ts", kind="stable")
+        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        last = self.last.get()[0] if self.last.exists() else None
+        us = got["ts"].to_numpy().astype("datetime64[us]").astype("int64").tolist()
+        for now, role, content in zip(us, got["role"], got["content"], strict=True):
+            if last is not None and now - last >= self.ttl:
                 held = []
-            held, last = [*held, (role, content)][-kept:], now
-        state.update((held, last))
-        state.setTimeoutTimestamp(max(last // 1000, state.getCurrentWatermarkMs()) + ttl_seconds * 1000 + 1)
-        yield pd.DataFrame({"session_id": [k[0]], "n": [len(held)], "messages": [[{"role": r, "content": c} for r, c in held]]})
+            held, last = [*held, (role, content)][-self.kept :], now
+        self.held.put(held)
+        self.last.update((last,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max((last + self.ttl) // 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
+        yield pd.DataFrame({self.key: [key[0]], "n": [len(held)], "messages": [[{"role": r, "content": c} for r, c in held]]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.held.clear()
+        self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def tail_stream(messages: DataFrame, kept: int = 40, ttl_seconds: int = 86400, delay: str = "1 hour") -> DataFrame:
+    """(session_id, n, messages) after each batch of a session's messages (session_id, ts, role, content): at most `kept`, dropped ttl_seconds after the last.
 
+    State lies in RocksDB, which the session must name as its state store (STATE_STORE). A
+    session holds at most `kept` messages, one time and one timer, and nothing once the
+    watermark has passed its end.
+    """
     kind = dict(messages.dtypes)["session_id"]
-    return messages.withWatermark("ts", delay).groupBy("session_id").applyInPandasWithState(
-        run, f"session_id {kind}, n int, messages array<struct<role:string,content:string>>", "held array<struct<role:string,content:string>>, last long", "append", GroupStateTimeout.EventTimeTimeout
+    return messages.withWatermark("ts", delay).groupBy("session_id").transformWithStateInPandas(
+        SessionTail(kept, ttl_seconds * 1_000_000, "session_id"), f"session_id {kind}, n int, messages array<struct<role:string,content:string>>", "Append", "EventTime"
     )

@@ -61,16 +61,58 @@ def test_sessions(stream):
     assert pick(got) == pick(want)
 
 
-def test_tail(stream):
-    run, batch = stream
-    got = run(lambda s: traffic.tail_stream(s.selectExpr("client AS session_id", "ts", "path AS role", "cast(event_id AS string) AS content"), kept=5)).where("session_id <> 'end'")
-    last = {}
-    for r in batch.orderBy("ts", "event_id").collect():
-        last[r.client] = [*last.get(r.client, []), str(r.event_id)][-5:]
+@pytest.fixture
+def rocksdb(spark):
+    for k, v in traffic.STATE_STORE.items():
+        spark.conf.set(k, v)
+    yield
+    for k in traffic.STATE_STORE:
+        spark.conf.unset(k)
+
+
+def said(s):
+    return s.selectExpr("client AS session_id", "ts", "path AS role", "cast(event_id AS string) AS content")
+
+
+def tails(rows, kept, ttl=None):
+    """A session's last messages by plain Python; those before a pause of ttl seconds are forgotten."""
+    last, when = {}, {}
+    for r in sorted(rows, key=lambda r: (r.ts, r.event_id)):
+        if ttl and r.client in when and (r.ts - when[r.client]).total_seconds() >= ttl:
+            last[r.client] = []
+        last[r.client], when[r.client] = [*last.get(r.client, []), str(r.event_id)][-kept:], r.ts
+    return last
+
+
+def latest(got):
     final = {}
     for r in got.collect():
         final[r.session_id] = max(final.get(r.session_id, []), [m.content for m in r.messages], key=lambda x: int(x[-1]) if x else -1)
-    assert final == last
+    return final
+
+
+@pytest.mark.parametrize("ttl", [86400, 200])
+def test_tail(stream, rocksdb, ttl):
+    run, batch = stream
+    got = run(lambda s: traffic.tail_stream(said(s), kept=5, ttl_seconds=ttl)).where("session_id <> 'end'")
+    assert latest(got) == tails(batch.collect(), 5, ttl)
+
+
+def test_tail_goes_on_after_a_restart_and_forgets_ended_sessions(spark, tmp_path, rocksdb):
+    """The query is stopped after each file and started again from its checkpoint: the tails of one run. Sessions that have ended hold no state."""
+    t0, r = dt.datetime(2024, 1, 1), random.Random(2)
+    files = [[(k * 100 + i, t0 + dt.timedelta(days=k, seconds=i), f"c{r.randrange(3)}", "/p", 0.0, 200) for i in range(30)] for k in range(3)]
+    files.append([(999, t0 + dt.timedelta(days=9), "end", "/end", 0.0, 200)])
+    sizes = []
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+        q = traffic.tail_stream(said(source), kept=40, ttl_seconds=2 * 86400).writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    every = spark.createDataFrame([x for f in files for x in f], SCHEMA).collect()
+    assert latest(spark.read.parquet(str(tmp_path / "out"))) == tails(every, 40, 2 * 86400)
+    assert max(sizes[:3]) <= 3 * (40 + 3) and sizes[-1] < sizes[0]
 
 
 def test_trailing(stream):
