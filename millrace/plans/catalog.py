@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import segment, text
 from millrace.operators import chunking, embedding, evaluation, logs, pages, search, understanding
-from millrace.plans import latin, retrieve
+from millrace.plans import chinese, latin, retrieve
 from millrace.plans.latin_sql import *  # noqa: F403
 from millrace.sources import files
-from millrace.sources.shared import stash
+from millrace.sources.shared import checkpoint_root, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -615,6 +616,30 @@ def jsonl_tolerant(spark, sf_dir):
     return files.parse_lines(lines, "conv_id long, turn long, role string, text string").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT source AS kb_name, doc_id AS chunk_id, md5(text) AS text_md5, lang AS section, n_chars::INTEGER AS char_count FROM documents")
+def write_jsonl(spark, sf_dir):
+    """All documents to JSON lines and back, with whole texts."""
+    path = f"{checkpoint_root(spark)}/millrace/jsonl-{uuid.uuid4().hex}"
+    files.write_jsonl(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("section"), F.col("n_chars").cast("int").alias("char_count"), F.col("source").alias("source_pdf")), path)
+    good, _ = files.read_jsonl(spark, path)
+    return good.select(F.col("source_pdf").alias("kb_name"), F.col("chunk_id").cast("long").alias("chunk_id"), F.md5("text").alias("text_md5"), "section", "char_count")
+
+
+@query("SELECT (vec_id % 4)::VARCHAR AS kb_name, vec_id AS id, CASE WHEN vec_id % 4 = 2 THEN 'new' ELSE label::VARCHAR END AS content_type FROM embeddings WHERE vec_id % 4 <> 2 OR vec_id % 3 = 0")
+def write_collection(spark, sf_dir):
+    """The collection appended in two parts, then one knowledge base replaced by other rows; all others stay."""
+    path = f"{checkpoint_root(spark)}/millrace/collection-{uuid.uuid4().hex}"
+    rows = vectors(spark, sf_dir).select("id", "embedding", "content_type", "kb_name")
+    files.write_collection(rows.where("id % 2 = 0"), path)
+    files.write_collection(rows.where("id % 2 = 1"), path)
+    files.write_collection(rows.where("kb_name = '2' AND id % 3 = 0").withColumn("content_type", F.lit("new")), path, "replace")
+    return files.read_collection(spark, path).select(F.col("kb_name").cast("string").alias("kb_name"), "id", "content_type")
+
+
+#: The default rule tables over questions in Chinese.
+for _name, (_query, _sql) in chinese.queries(questions).items():
+    QUERIES[_name], SQL[_name] = _query, _sql
+
 #: Columns that are 32-bit integers in the results, where SQL counts in 64 bits.
 NARROW = {
     "bm25_topk": ["rank"], "tokenize": ["n"], "fill_sections": ["page_num"], "split_long": ["n"], "section_runs": ["page_start", "page_end"], "chunk_quality": ["min_chars", "max_chars"],
