@@ -2,48 +2,54 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from millrace.functions import rules, text
 
 #: Fields of a block's content that hold text, in the order they are read (fixed values).
 CONTENT_FIELDS = ("content", "paragraph_content", "title_content", "item_content")
 
+#: The field of a block's content whose items hold text in their item_content (fixed values).
+LIST_FIELD, ITEM_FIELD = "list_items", "item_content"
+DEPTH = 100  # of objects and arrays inside each other
+
+
+def nested_text(content: Column, depth: int = DEPTH) -> Column:
+    """All text of a block's content, a JSON string, in the order of CONTENT_FIELDS, joined by spaces; '' for what is no JSON.
+
+    The content is a list of one VARIANT; each step puts what an object's fields or an array
+    hold in its place, so texts stay in order, until only texts are left. Content that is
+    nested deeper than `depth` is an error, which says so.
+    """
+    variants = "array<variant>"
+    texts = "array<struct<text:string,more:variant>>"
+
+    def node(v: Column) -> Column:
+        told = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+        return F.struct(told.alias("text"), F.when(told.isNull(), v).alias("more"))
 
-def _text_of(content) -> str:
-    if isinstance(content, str):
-        return content
-    parts: list[str] = []
-    if isinstance(content, dict):
-        for field in CONTENT_FIELDS:
-            parts.append(_text_of(content.get(field)))
-        for item in content.get("list_items") or []:
-            if isinstance(item, dict):
-                parts.append(_text_of(item.get("item_content")))
-    elif isinstance(content, list):
-        parts += [_text_of(x) for x in content]
-    return " ".join(x for x in parts if x)
+    def inside(x: Column) -> Column:
+        items = F.try_variant_get(x["more"], "$", variants)
+        own = F.try_variant_get(x["more"], "$", "map<string,variant>")
+        listed = F.transform(F.coalesce(F.try_variant_get(F.try_element_at(own, F.lit(LIST_FIELD)), "$", variants), F.array().cast(variants)), lambda i: F.try_variant_get(i, f"$.{ITEM_FIELD}", "variant"))
+        fields = F.concat(F.array(*[F.try_element_at(own, F.lit(f)) for f in CONTENT_FIELDS]), listed)
+        held = F.filter(F.coalesce(items, F.when(own.isNotNull(), fields), F.array().cast(variants)), lambda v: v.isNotNull())
+        return F.when(x["text"].isNotNull(), F.array(x)).otherwise(F.transform(held, node))
 
+    root = F.try_parse_json(content)
+    got = F.when(root.isNotNull(), F.array(node(root))).otherwise(F.array().cast(texts))
+    unread = lambda held: F.exists(held, lambda x: x["text"].isNull())
 
-@F.pandas_udf(T.StringType())
-def nested_text(content: pd.Series) -> pd.Series:
-    """All text of a block's content, a JSON string, joined by spaces. Nesting has no fixed depth, which built-in functions need."""
+    def step(held: Column, _: Column) -> Column:
+        return F.when(unread(held), F.flatten(F.transform(held, inside))).otherwise(held).cast(texts)
 
-    def one(x):
-        if not x:
-            return ""
-        try:
-            return _text_of(json.loads(x)).strip()
-        except ValueError:
-            return ""
+    def said(held: Column) -> Column:
+        joined = text.strip(F.array_join(F.filter(F.transform(held, lambda x: x["text"]), lambda t: t != ""), " "))
+        return F.when(~unread(held), joined).otherwise(F.raise_error(F.lit(f"content nested deeper than {depth}: raise depth")))
 
-    return content.map(one)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), got.cast(texts), step, said)
 
 
 def layout_blocks(docs: DataFrame) -> DataFrame:
@@ -55,7 +61,7 @@ def layout_blocks(docs: DataFrame) -> DataFrame:
 def layout_pages(docs: DataFrame) -> DataFrame:
     """One text row per page that has text: discarded and skipped blocks left out, tables as their html, the rest as nested text, joined by newlines."""
     blocks = layout_blocks(docs).where(~F.col("type").isin(*rules.DISCARDED_BLOCKS, *rules.SKIPPED_BLOCKS))
-    told = blocks.withColumn("text", F.when(F.col("type") == "table", F.get_json_object("content", "$.html")).otherwise(nested_text("content"))).where(F.coalesce(F.col("text"), F.lit("")) != "")
+    told = blocks.withColumn("text", F.when(F.col("type") == "table", F.get_json_object("content", "$.html")).otherwise(nested_text(F.col("content")))).where(F.coalesce(F.col("text"), F.lit("")) != "")
     pages = told.groupBy("kb_name", "source_pdf", "page_num").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("blocks"))
     joined = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n")
     return pages.select("kb_name", "source_pdf", "page_num", F.lit("text").alias("type"), joined.alias("text"), F.length(joined).alias("char_count"))

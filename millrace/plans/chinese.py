@@ -84,11 +84,13 @@ def queries(turns) -> dict:
     def tokens(q: DataFrame) -> DataFrame:
         return q.select("query_id", text.tokens(F.col("text")).alias("w")).select("query_id", F.size("w").alias("n"), F.md5(F.array_join("w", " ")).alias("tokens_md5"))
 
-    day = F.lit(f"{YEAR}-06-01").cast("date")
+    def normal_form(q: DataFrame) -> DataFrame:
+        return q.select("query_id", understanding.normalize_time(F.col("text"), F.lit(f"{YEAR}-06-01").cast("date")).alias("normalized"))
+
     return {
         "tokenize_chinese": (on(tokens), TOKENS_SQL),
         "intent_chinese": (on(lambda q: q.select("query_id", understanding.intent(F.col("text")).alias("i")).select("query_id", "i.*")), INTENT_SQL),
-        "normalize_time_chinese": (on(lambda q: q.select("query_id", understanding.normalize_time(F.col("text"), day).alias("normalized"))), NORMAL_SQL),
+        "normalize_time_chinese": (on(normal_form), NORMAL_SQL),
         "section_route_chinese": (on(lambda q: q.select("query_id", F.array_join(understanding.section_route(F.col("text"), intent(F.col("text"))), "|").alias("sections"))), ROUTE_SQL),
         "guess_section_chinese": (on(lambda q: q.select("query_id", text.guess_section(F.col("page")).alias("section"))), HEADING_SQL),
         "entities_chinese": (on(lambda q: understanding.entities(q, query_col="text").select("query_id", F.inline("entities"))), ENTITIES_SQL),
