@@ -183,9 +183,12 @@ class Tokens:
         self.digits = tuple(_digits(len(x)) for x in (self.a, self.b))
 
     def encode_a(self, text: str, rare: bool) -> np.ndarray:
-        if self.quick is None or rare:
-            return np.array(self.full.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        if self.quick is not None and not rare:
+            try:
+                return self.quick.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            except ValueError:  # its regular expression fails on very long runs of white space
+                pass
+        return np.array(self.full.encode(text, add_special_tokens=False).ids, np.int64)
 
     def pieces_of(self, text: str) -> Iterator[str]:
         """A text in pieces; each but the first lacks the space before it."""

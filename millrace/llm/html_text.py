@@ -63,8 +63,9 @@ CONTENT_WORDS = frozenset("article articlebody body-text content entry entrytext
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 P_ENDS = BLOCK_TAGS - {"button", "label", "option", "optgroup", "select", "summary", "legend", "caption", "html", "body", "head"}
 
+#: Comments, elements without text, tags, and what only looks like one. Outside quotes a tag ends at the next "<" at the latest, and quotes reach so far, so no place is read again and again.
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<({NO_TEXT})\b[^>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/>]*)((?:[^>"']|"[^"]{{0,4096}}"|'[^']{{0,4096}}')*+)>|<(/?)([a-z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""",
+    rf"""<!--.*?(?:-->|\Z)|<({NO_TEXT})\b[^<>]*?(?:/>|>.*?(?:</\1\s*>|\Z))|<(/?)([a-z][^\s/<>]*)((?:[^<>"']++|"[^"]{{0,4096}}"|'[^']{{0,4096}}'){{0,300}}+)>|<(/?)([a-z][^\s/<>]*)([^<>]*)>|<[!?/][^<>]*>""",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|aria-hidden|aria-modal|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -119,8 +120,8 @@ def landmarks(tag: str, attributes: str) -> int:
 @dataclass
 class Element:
     tag: str
-    number: int
-    bits: int
+    parent: Element | None
+    depth: int
     article: bool  # whether it lies in an article
     within: int  # bits of the elements from the article on, or of all where there is none
     around: int  # bits of the elements outside the article
@@ -129,8 +130,7 @@ class Element:
 @dataclass
 class Block:
     text: str
-    path: tuple[int, ...]  # numbers of the elements around it, outermost first
-    element: Element
+    element: Element  # the innermost around it
     linked: int  # characters inside links
 
 
@@ -139,11 +139,10 @@ class Reader:
     """Reads a page's tags in order and keeps the elements that are open."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[Element] = field(default_factory=lambda: [Element("html", 0, 0, False, 0, 0)])
+    open: list[Element] = field(default_factory=lambda: [Element("html", None, 0, False, 0, 0)])
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     link: bool = False
-    count: int = 0
 
     def said(self, piece: str) -> None:
         self.pieces.append(piece)
@@ -154,7 +153,7 @@ class Reader:
         if self.pieces:
             text = " ".join(unescape("".join(self.pieces)).split())
             if text:
-                self.blocks.append(Block(text, tuple(e.number for e in self.open), self.open[-1], self.linked))
+                self.blocks.append(Block(text, self.open[-1], self.linked))
             self.pieces, self.linked = [], 0
 
     def start(self, tag: str, attributes: str) -> None:
@@ -162,11 +161,10 @@ class Reader:
             self.close({"p"}, P_ENDS - {"p"})
         if tag in CLOSES:
             self.close(CLOSES[tag], {"ul", "ol", "dl", "table", "select", "menu"})
-        self.count += 1
         up, bits = self.open[-1], landmarks(tag, attributes)
         new = bits & ARTICLE and not up.article
         within = bits if new else up.within | bits
-        self.open.append(Element(tag, self.count, bits, bool(up.article or bits & ARTICLE), within, up.within | up.around if new else up.around))
+        self.open.append(Element(tag, up, up.depth + 1, bool(up.article or bits & ARTICLE), within, up.within | up.around if new else up.around))
 
     def close(self, tags: set[str], walls: set[str] | frozenset[str]) -> None:
         """End the innermost open one of these elements, unless a wall stands before it."""
@@ -296,14 +294,15 @@ def capacities(blocks: list[Block], logits: np.ndarray) -> tuple[list[int], list
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            before, common = blocks[i - 1].path, 0
-            for x, y in zip(before, b.path, strict=False):
-                if x != y:
-                    break
-                common += 1
-            steps = len(before) + len(b.path) - 2 * common
+            x, y, steps = blocks[i - 1].element, b.element, 0
+            while x is not y:  # as many steps as elements were closed and opened between
+                if x.depth >= y.depth:
+                    x = x.parent
+                else:
+                    y = y.parent
+                steps += 1
             edges.append((i - 1, i, round(NEAR * UNIT * 0.5 ** (max(0, steps - 2) / 2))))
-        parent = b.path[-2:-1]
+        parent = id(b.element.parent)
         j = last.get(parent)
         if j is not None and j < i - 1:
             edges.append((j, i, round(PARTED * UNIT)))

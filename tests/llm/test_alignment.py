@@ -15,7 +15,7 @@ from tests.compare import database
 A, B = f"{TOKENIZERS}/byte_bpe_50k.json", f"{TOKENIZERS}/piece_bpe_32k.model"
 ODD = [
     None, "", " ", "   ", "a", "a  b\t\nc", "naïve café — déjà vu", "<s> </s> <unk> <|endoftext|> <0x41>", "▁ under", "x\u0000y", "ｆｕｌｌ ﬁ 你好，世界 🙂🙂", "don't I'll we've",
-    "word " * 40_000, "z" * 3000, "\n\n\n a b c　d", "a" + " " * 500 + "b", "same text", "same text", "é" * 700, "١٢٣ ⅷ ½ x²",
+    "word " * 40_000, "z" * 3000, "\n\n\n a b c　d", "a" + " " * 500 + "b", "same text", "same text", "é" * 700, "١٢٣ ⅷ ½ x²", "a" + " " * 300_000 + "b",
 ]
 
 

@@ -1,6 +1,7 @@
 """Main text of pages of several layouts; the cut against all labellings; the reader's odd inputs."""
 
 import itertools
+import time
 
 import numpy as np
 import pytest
@@ -99,6 +100,16 @@ ODD = {
 }
 
 
+HOSTILE = {"open quotes": '<a href="' * 20_000, "open tags": "<a " * 100_000, "brackets": "<" * 100_000, "deep": "<div>x" * 10_000, "comments": "<!--" * 50_000, "scripts": "<script " * 20_000, "ends": "</p" * 50_000, "attributes": "<p " + 'a="b" ' * 50_000 + ">x"}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_are_read_once(name, fitted):
+    began = time.time()
+    text_of(HOSTILE[name], fitted)
+    assert time.time() - began < 10
+
+
 @pytest.mark.parametrize("html", list(ODD), ids=lambda h: str(h)[:30])
 def test_odd_html(html, fitted):
     assert text_of(html, fitted) == ODD[html]
