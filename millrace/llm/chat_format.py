@@ -111,15 +111,20 @@ def _turns(mapping: Mapping) -> Column:
 
 def canonical_turns(records: DataFrame, layout: list[str], mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """records without their layout columns, with layout (a mapping's name or null) and turns."""
-    others = [c for c in records.columns if c not in layout and c not in NEW]
+    others = [c for c in records.columns if c not in layout and c.lower() not in NEW]
     columns = {path for path, _ in paths_of(records.schema, layout)}
-    x = records.withColumn("__fingerprint", fingerprint(records, layout))
+    x = records.select(*[F.col(f"`{c}`") for c in layout if c in records.columns], _held(others), fingerprint(records, layout).alias("__fingerprint"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast(f"array<{TURN}>")
     for m in mappings:
         if columns >= set(m.paths()):  # a layout that these records can have
             own = F.col("__fingerprint") == path_hash(m.paths())
             name, turns = F.when(own, F.lit(m.name)).otherwise(name), F.when(own, _turns(m)).otherwise(turns)
-    return x.select(*[F.col(f"`{c}`") for c in others], name.alias("layout"), turns.alias("turns"))
+    return x.select(*[F.col(f"__doc.`{c}`") for c in others], name.alias("layout"), turns.alias("turns"))
+
+
+def _held(columns: list[str]) -> Column:
+    """The caller's columns in a struct, so that none clashes with ours."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns], *([] if columns else [F.lit(0).alias("none")])).alias("__doc")
 
 
 def escape(text: Column) -> Column:
@@ -154,12 +159,12 @@ def format_turns(df: DataFrame) -> DataFrame:
 
     # in blocks of turns, as an array that grows by one a turn would be copied at every turn
     blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("turns") - 1, F.lit(0)), F.lit(BLOCK)), lambda i: F.slice("__length", i + 1, F.lit(BLOCK)))
-    x = df.withColumn("__length", length).withColumn("__blocks", blocks)
+    x = df.select(_held(df.columns), F.col("turns")).withColumn("__length", length).withColumn("__blocks", blocks)
     x = x.withColumn("__begin", F.aggregate("__blocks", F.array(F.lit(0).cast("long")), begun))
     own_spans = lambda block, at: F.aggregate(block, F.struct(at.alias("at"), none.alias("spans")), span, lambda done: done["spans"])
     mask = F.flatten(F.zip_with("__blocks", F.slice("__begin", F.lit(1), F.size("__blocks")), own_spans))
     done = x.withColumns({"formatted": F.array_join(F.transform("turns", piece), ""), "loss_mask": F.when(F.col("turns").isNotNull(), mask)})
-    return done.select(*[F.col(f"`{c}`") for c in df.columns], *NEW[2:])
+    return done.select(*[F.col(f"__doc.`{c}`") for c in df.columns], *NEW[2:])
 
 
 def read_turns(formatted: Column) -> Column:

@@ -453,3 +453,21 @@ def test_large_crowds_are_not_compared_pair_by_pair(monkeypatch):
 def test_cells_grow_with_the_table():
     grown = [topk.cells_for(n) for n in (0, 1, 8192, 50_000, 4_000_000, 10**8, 10**9, 10**11, 10**13)]
     assert grown == [1, 1, 1, 7, 256, 1250, 3952, 8192, 8192]
+
+
+def test_chat_rows_that_are_odd(spark):
+    """Null conversations are one conversation, null roles and texts are empty, an empty table gives none, and callers' columns stay."""
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", None), (None, 0, None, "x"), (None, 0, "user", ""), (2, None, "assistant", "</turn> \\"), (2, None, "assistant", "</turn> \\")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    layout = ["system", "prompt", "response", "messages"]
+
+    def read(x):
+        done = chat_format.format_records(x, layout)
+        return done, {r.conv_id: ([(t.role, t.text) for t in r.t], r.l) for r in done.select("conv_id", chat_format.read_turns(F.col("formatted")).alias("t"), chat_format.read_loss(F.col("formatted"), F.col("loss_mask")).alias("l")).collect()}
+
+    records = chat_format.records_of(df)
+    _, got = read(records)
+    assert got == {1: ([("user", "hi"), ("assistant", "")], ""), None: ([("", "x"), ("user", "")], ""), 2: ([("assistant", "</turn> \\")] * 2, "</turn> \\" * 2)}
+    done, same = read(records.select("*", *[F.lit(i).alias(c) for i, c in enumerate("Layout turns formatted LOSS_MASK __length __blocks __begin".split())]))
+    assert same == got and len({c.lower() for c in done.columns}) == len(done.columns)
+    assert chat_format.format_records(chat_format.records_of(df.where("false")), layout).count() == 0
