@@ -42,7 +42,7 @@ Tokenizer = Callable[[Column], Column]  # a text to an array of terms; a pandas
 
 SEGMENT_DOCS, SEGMENT_TOKENS = 1 << 14, 1 << 21  # a segment ends at either; a longer document is a segment of its own
 BUCKETS = 64  # directories of terms
-BLOCK_TERMS, BLOCK_QUERIES = 1_000_000, 1024  # of a broadcast block of questions
+BLOCK_TERMS, BLOCK_QUERIES, MEETS = 1_000_000, 1024, 1 << 21  # of a broadcast block of questions; scores and postings handled at once
 OWN = "\0docs"  # the term of a segment's own row, which no tokenizer gives
 
 
@@ -253,32 +253,49 @@ def search_segment(questions: _Questions, found: _Found, rows: list[dict], filte
     order = np.empty(len(size), np.int64)
     order[pc.sort_indices(own["id"]).to_numpy()] = np.arange(len(size))
     masks: dict = {}
-    searched = 0
-    for q in np.flatnonzero(has & (highest + 1e-8 >= found.least)).tolist():  # scores are rounded to 9 places
-        scope = questions.scopes[q]
+
+    def mask_of(scope: tuple) -> np.ndarray | None:
+        """Which documents a question's filters let through; None: all."""
         if scope not in masks:
             mask = np.ones(len(size), bool)
             for c, allowed in zip(filters, scope, strict=True):
                 if allowed is not None:
                     mask &= pc.fill_null(pc.is_in(own[c], pa.array(sorted(allowed), pa.string())), False).to_numpy(zero_copy_only=False) if allowed else False
             masks[scope] = None if mask.all() else mask
-        mask = masks[scope]
-        if mask is not None and not mask.any():
-            continue
-        searched += 1
-        part = slice(questions.start[q], questions.start[q + 1])
-        mine = [(there[i], w) for i, w in zip(range(part.start, part.stop), questions.weight[part], strict=True) if there[i] >= 0]
-        score = np.bincount(np.concatenate([docs[s] for s, _ in mine]), np.concatenate([gains[s] * w for s, w in mine]), len(size))
-        score = np.round(score, 9)  # so that equal documents tie however their terms are added
-        if mask is not None:
-            score[~mask] = 0
-        hit = np.flatnonzero((score > 0) & (score >= found.least[q]))
-        if len(hit) > found.k:
-            hit = hit[score[hit] >= np.partition(score[hit], len(hit) - found.k)[len(hit) - found.k]]
-            hit = hit[np.lexsort((order[hit], -score[hit]))][: found.k]
-        if len(hit):
-            found.add(q, own["id"], hit, score[hit])
-    return searched
+        return masks[scope]
+
+    may = has & (highest + 1e-8 >= found.least)  # scores are rounded to 9 places
+    chosen = [q for q in np.flatnonzero(may).tolist() if (m := mask_of(questions.scopes[q])) is None or m.any()]
+    held = np.array([len(d) for d in docs])
+    start, every, gain = np.cumsum(held) - held, np.concatenate(docs), np.concatenate(gains)
+    most = max(1, MEETS // len(size))
+    for i in range(0, len(chosen), most):
+        some = np.array(chosen[i : i + most])
+        pair = np.concatenate([np.arange(questions.start[q], questions.start[q + 1]) for q in some])
+        pair = pair[known[pair]]
+        slots, row = there[pair], np.searchsorted(some, questions.of[pair])
+        score = np.zeros(len(some) * len(size))
+        total = np.cumsum(held[slots])
+        x = 0
+        while x < len(pair):  # pairs of a question and a term whose postings are some MEETS
+            done = total[x - 1] if x else 0
+            y = max(x + 1, int(np.searchsorted(total, done + MEETS, "right")))
+            n = held[slots[x:y]]
+            at = np.repeat(start[slots[x:y]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            score += np.bincount(np.repeat(row[x:y], n) * len(size) + every[at], gain[at] * np.repeat(questions.weight[pair[x:y]], n), len(score))
+            x = y
+        score = np.round(score, 9).reshape(len(some), -1)  # so that equal documents tie however their terms are added
+        for q, own_score in zip(some.tolist(), score, strict=True):
+            mask = mask_of(questions.scopes[q])
+            if mask is not None:
+                own_score = np.where(mask, own_score, 0.0)
+            hit = np.flatnonzero((own_score > 0) & (own_score >= found.least[q]))
+            if len(hit) > found.k:
+                hit = hit[own_score[hit] >= np.partition(own_score[hit], len(hit) - found.k)[len(hit) - found.k]]
+                hit = hit[np.lexsort((order[hit], -own_score[hit]))][: found.k]
+            if len(hit):
+                found.add(q, own["id"], hit, own_score[hit])
+    return len(chosen)
 
 
 def _asked(shared, k: int, k1: float, b: float, avgdl: float):
