@@ -4,6 +4,7 @@ import math
 import random
 import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import phrases
 from millrace.operators import embedding, lexical, search, understanding
 from millrace.plans import catalog, latin, retrieve
+from tests.compare import assert_same
 
 
 @pytest.fixture
@@ -238,3 +240,13 @@ def test_clarification_says_what_is_asked(spark):
     assert got[4] == ("pronoun", "您指的是武汉公司吗？")
     assert got[5] == ("company", '请问您指的是哪家公司？当前可查询以下知识库："甲"、"乙"。您可以直接说公司全称或简称。')
     assert got[6] == (None, None)
+
+
+@pytest.mark.parametrize("name", ["intent", "clarify", "understand"])
+def test_intents_of_accented_and_capital_texts(spark, tmp_path, name):
+    """A greeting's word may end before an accented letter, and capitals beyond ASCII are letters like any: the rows of SQL."""
+    said = ["Laèêèoi. Une de éoieux tionoi de queaiou", "Lañllboó. La esas esgara rros ciónesí qu", "INFORMACIÓN", "der_x. a", "der x. a", "laten. th", "VERſ the"]
+    spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert_same(catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.SQL[name]).df())
