@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions import text
-from millrace.sources.shared import stash
+from millrace.sources.shared import shuffle_parts, stash
 
 
 def micros(ts: str = "ts") -> Column:
@@ -238,12 +239,56 @@ def merge_metrics(stored: DataFrame, window: str = "1 day", k: int = SKETCH_K) -
     return got.select(F.col("w.start").alias("window_start"), *[c for c in got.columns if c != "w"])
 
 
-def metric_values(stored: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Stored metrics as figures: shares, means and quantiles (p50 and so on; null where no call has a latency)."""
-    shown = {f"p{q * 100:g}".replace(".", "_"): F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(float(q)))) for q in quantiles}
-    return stored.select("window_start", "path", "calls", "slow", (F.col("errors") / F.col("calls")).alias("error_share"), (F.col("total_seconds") / F.col("timed")).alias("mean_seconds"), "max_seconds", *[c.alias(n) for n, c in shown.items()])
+def latency_counts(requests: DataFrame, window: str = "1 hour") -> DataFrame:
+    """(window_start, path, seconds, n): calls of each latency, the form of latencies that is stored where quantiles are to be exact. Null latencies are none."""
+    got = requests.where(F.col("seconds").isNotNull()).groupBy(F.window("ts", window).alias("w"), "path", "seconds").agg(F.count(F.lit(1)).alias("n"))
+    return got.select(F.col("w.start").alias("window_start"), "path", "seconds", "n")
+
+
+def merge_counts(stored: DataFrame, window: str = "1 day") -> DataFrame:
+    """Stored latency counts of shorter windows as those of longer ones."""
+    got = stored.groupBy(F.window("window_start", window).alias("w"), "path", "seconds").agg(F.sum("n").alias("n"))
+    return got.select(F.col("w.start").alias("window_start"), "path", "seconds", "n")
+
+
+def _quantile_names(quantiles: Sequence[float]) -> dict[str, float]:
+    return {f"p{q * 100:g}".replace(".", "_"): q for q in quantiles}
+
+
+def exact_quantiles(counts: DataFrame, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """(window_start, path, p50 and so on): of n latencies in order, the one at n * q, rounded up.
+
+    Counts (latency_counts) are dealt by ranges of window, path and latency, so a path of many
+    latencies lies in many tasks. Sums of these ranges tell in which one a quantile lies, and
+    only in a range are latencies counted in order.
+    """
+    names = _quantile_names(quantiles)
+    dealt = stash(counts.repartitionByRange(shuffle_parts(counts.sparkSession), "window_start", "path", "seconds").withColumn("part", F.spark_partition_id()), "latencies")
+    own = W.partitionBy("window_start", "path")
+    sums = dealt.groupBy("window_start", "path", "part").agg(F.sum("n").alias("own"))  # a row a range and path
+    sums = sums.withColumns({"before": F.sum("own").over(own.orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("own"), "timed": F.sum("own").over(own)})
+    place = lambda q: F.greatest(F.lit(1), F.ceil(F.col("timed") * F.lit(Decimal(str(q)))).cast("long"))
+    wanted = sums.select("*", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), place(q).alias("place")) for n, q in names.items()])).alias("x"))
+    wanted = wanted.where((F.col("x.place") > F.col("before")) & (F.col("x.place") <= F.col("before") + F.col("own")))
+    wanted = wanted.select(F.col("window_start").alias("__start"), F.col("path").alias("__path"), F.col("part").alias("__part"), "x.name", (F.col("x.place") - F.col("before")).alias("place"))
+    order = W.partitionBy("window_start", "path", "part").orderBy("seconds").rowsBetween(W.unboundedPreceding, 0)
+    ranked = dealt.withColumn("upto", F.sum("n").over(order))
+    there = F.col("window_start").eqNullSafe(F.col("__start")) & F.col("path").eqNullSafe(F.col("__path")) & (F.col("part") == F.col("__part"))
+    met = ranked.join(wanted, there).where((F.col("place") <= F.col("upto")) & (F.col("place") > F.col("upto") - F.col("n")))
+    return met.groupBy("window_start", "path").agg(*[F.max(F.when(F.col("name") == n, F.col("seconds"))).alias(n) for n in names])
+
+
+def metric_values(stored: DataFrame, quantiles: Sequence[float] = QUANTILES, counts: DataFrame | None = None) -> DataFrame:
+    """Stored metrics as figures: shares, means and quantiles (p50 and so on; null where no call has a latency). counts: the same windows' latency counts, for exact quantiles; else they come from the sketches."""
+    names = _quantile_names(quantiles)
+    if counts is None:
+        shown = [F.when(F.col("timed") > 0, F.kll_sketch_get_quantile_double("latency", F.lit(float(q)))).alias(n) for n, q in names.items()]
+    else:
+        exact, shown = exact_quantiles(counts, quantiles).withColumnsRenamed({"window_start": "__start", "path": "__path"}), list(names)
+        stored = stored.join(exact, F.col("window_start").eqNullSafe(F.col("__start")) & F.col("path").eqNullSafe(F.col("__path")), "left")
+    return stored.select("window_start", "path", "calls", "slow", (F.col("errors") / F.col("calls")).alias("error_share"), (F.col("total_seconds") / F.col("timed")).alias("mean_seconds"), "max_seconds", *shown)
 
 
 def request_metrics(requests: DataFrame, window: str = "1 hour", slow: float = 1.0, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
-    """Calls, slow calls, server errors and latency of each path in each window. requests: ts, path, status, seconds."""
-    return metric_values(metric_sketches(requests, window, slow), quantiles)
+    """Calls, slow calls, server errors and latency of each path in each window, quantiles exact. requests: ts, path, status, seconds."""
+    return metric_values(metric_sketches(requests, window, slow), quantiles, latency_counts(requests, window))

@@ -3,12 +3,15 @@
 import datetime as dt
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from millrace.functions import text
 from millrace.operators import chunking, embedding, logs
+from millrace.plans import catalog
+from tests.compare import assert_same
 
 
 @pytest.fixture
@@ -113,3 +116,22 @@ def test_encoding_by_equal_work(spark):
     vectors = lambda parts: {x.chunk_id: tuple(x.embedding) for x in embedding.encode_chunks(chunks, make, 8, parts=parts).collect()}
     assert vectors(None) == vectors(16)
     assert embedding.balanced(chunks.where("false"), 4).count() == 0
+
+
+@pytest.mark.parametrize("name", ["request_metrics", "daily_metrics"])
+def test_quantiles_of_many_calls_are_exact(spark, tmp_path, name):
+    """More calls in an hour than a sketch holds, most of them of one path, and equal latencies across ranges: the rows of SQL."""
+    r = random.Random(19)
+    t0 = dt.datetime(2024, 3, 1)
+    kinds = ["click"] * 8 + ["error", "view"]
+    rows = [(i, t0 + dt.timedelta(seconds=r.randrange(100_000)), r.randrange(50), r.choice(kinds), r.choice((5.0, round(r.lognormvariate(3, 1), 2)))) for i in range(60_000)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert_same(catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.SQL[name]).df())
+
+
+def test_exact_quantiles_of_null_paths_and_latencies(spark):
+    x = spark.createDataFrame([(dt.datetime(2024, 3, 1), p, s, 200) for p, s in [(None, 3.0), (None, 1.0), (None, None), ("/none", None)]], "ts timestamp, path string, seconds double, status int")
+    got = {v.path: (v.calls, v.p50, v.p99) for v in logs.request_metrics(x).collect()}
+    assert got == {None: (3, 1.0, 3.0), "/none": (1, None, None)}
