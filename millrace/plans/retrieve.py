@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.operators import lexical, search, understanding
+from millrace.sources.shared import stash
 
 
 def batch_retrieve(queries: DataFrame, corpus: DataFrame, k: int = 8, rerank_k: int = 5, least: float = 0.2, scorer: Callable[[pd.DataFrame], pd.Series] | None = None, score: str = "score", index: lexical.LexicalIndex | None = None, vectors: search.VectorIndex | None = None, **filters) -> DataFrame:
@@ -54,4 +55,5 @@ def answer_sources(questions: DataFrame, aliases: DataFrame, day: Column, corpus
         "query_id", "kb_name", "needs_clarification", search.compound_query(F.col("sub_queries"), F.col("normalized_query")).alias("query"),
         understanding.section_route(F.col("normalized_query"), F.col("intent"), **(routing or {})).alias("sections"),
     )
-    return batch_retrieve(asked.withColumn("embedding", encode(F.col("query"))), corpus, scorer=scorer, **options)
+    told = stash(asked.withColumn("embedding", encode(F.col("query"))), "asked")  # read by both searches and for the texts: understood once
+    return batch_retrieve(told, corpus, scorer=scorer, **options)
