@@ -250,3 +250,59 @@ def test_intents_of_accented_and_capital_texts(spark, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert_same(catalog.QUERIES[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.SQL[name]).df())
+
+
+def test_histories_and_contexts_are_sent_once(spark):
+    """Contexts and turns meet by session in one exchange; what a question takes from them is sent nowhere."""
+    questions = spark.createDataFrame([(i, 9, i, f"q{i}") for i in range(4)], "query_id int, session_id int, turn int, query string")
+    history = spark.createDataFrame([(9, t, "user", f"q{t}") for t in range(4)], "session_id int, turn int, role string, content string")
+    hits = spark.createDataFrame([(2, 9, 2, 2, "second"), (2, 9, 2, 1, "first"), (3, 9, 3, 1, "other")], "query_id int, session_id int, turn int, rank int, text string")
+    for before, own in (("turn", hits), ("turn", hits.drop("session_id", "turn")), (None, hits)):
+        got = search.prompt_messages(questions, own, history, "s", before=before)
+        heads = {r.query_id: [m.content for m in r.messages] for r in got.collect()}
+        past = lambda i: [f"q{t}" for t in range(i if before else 4)]  # noqa: B023, E731
+        assert heads == {i: [h, *past(i), f"q{i}"] for i, h in enumerate(("s", "s", "s\n\nfirst\n\nsecond", "s\n\nother"))}
+        if own is hits:
+            plan = got._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+            assert plan.count("Exchange") == 1, plan
+
+
+def test_many_questions_share_a_segment():
+    """Frequent terms by matrix product, rare ones by postings: the scores of brute force, and k rows a question."""
+    import pyarrow as pa
+
+    r = random.Random(23)
+    docs = [[r.choice(["a", "b", "c", *map(str, range(300))]) for _ in range(r.randint(1, 40))] for _ in range(500)]
+    terms = sorted({t for d in docs for t in d})
+    weights = [(q, t, r.random()) for q in range(40) for t in r.sample(terms, 30)]
+    block = pa.table({"query_id": [x[0] for x in weights], "term": [x[1] for x in weights], "weight": [x[2] for x in weights]})
+    questions, found = lexical._Questions(block, {}), lexical._Found(40, 5)
+    size = np.array([len(d) for d in docs], np.int32)
+    post = {t: [(i, d.count(t)) for i, d in enumerate(docs) if t in d] for t in terms}
+    rows = [{"term": t, "docs": np.array([i for i, _ in p], np.int32).tobytes(), "tfs": np.array([n for _, n in p], np.int32).tobytes(), "most": max(n for _, n in p), "shortest": int(min(size[i] for i, _ in p))} for t, p in post.items()]
+    assert sum(len(p) >= lexical.DENSE * 500 for p in post.values()) > 3
+    lexical.search_segment(questions, found, [{"term": lexical.OWN, "docs": size.tobytes(), "id": pa.array(range(1000, 1500))}, *rows], [], 1.5, 0.75, float(size.mean()))
+    scores = np.zeros((40, 500))
+    for q, t, w in weights:
+        for i, n in post[t]:
+            scores[q, i] += w * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * size[i] / size.mean()))
+    got = {(int(questions.ids[int(q)].as_py()), i) for own, ids, _ in found.rows for q, i in zip(own, ids.to_pylist(), strict=True)}
+    assert len(found.rows) == 1 and got == {(q, 1000 + i) for q in range(40) for i in sorted(range(500), key=lambda i: (-round(scores[q, i], 9), i))[:5]}
+
+
+def test_a_task_keeps_k_rows_a_query():
+    """However many batches a task reads; ties go to the smaller id."""
+    r = np.random.default_rng(3)
+    score, ids = r.integers(0, 50, (3000, 7)).astype(float), r.permutation(3000)
+    best = search._Best(7, 4)
+    for a in range(0, 3000, 100):
+        best.add(ids[a : a + 100], np.arange(7), score[a : a + 100])
+    query, own, _ = best.cut()
+    assert [own[query == q].tolist() for q in range(7)] == [ids[np.lexsort((ids, -score[:, q]))[:4]].tolist() for q in range(7)]
+
+
+def test_products_are_dealt_to_tasks(spark):
+    """A corpus in one file is not one task's."""
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>").coalesce(1)
+    plan = search.vector_topk(rows.where("id < 3").withColumnRenamed("id", "query_id"), rows, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" in plan, plan
