@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,26 @@ def test_dictionary_is_bounded(spark, monkeypatch):
     monkeypatch.setattr(segment, "MAX_WORDS", 2)
     with pytest.raises(ValueError):
         segment.segmenter(spark.createDataFrame([("一", 1), ("二", 1), ("三", 1)], "word string, n long"))
+
+
+def test_sequences_are_counted_as_numbers(monkeypatch):
+    """Every sequence of a text's runs, none across a gap, however little a task holds; a frequent one is a row and not one an occurrence."""
+    r = random.Random(8)
+    texts = [None, "", "latin", *["".join(r.choice("一中国龥人ab，\n") for _ in range(r.randint(0, 60))) for _ in range(200)]]
+    want = Counter(run[i : i + k] for t in texts if t for run in segment.CJK_RUN.findall(t) for k in range(1, 5) for i in range(len(run) - k + 1))
+    for chunk, held in ((1 << 21, 1 << 21), (50, 1 << 21), (50, 40)):
+        monkeypatch.setattr(segment, "CHUNK_CHARS", chunk)
+        monkeypatch.setattr(segment, "HELD_CODES", held)
+        got, rows = Counter(), 0
+        for f in segment._counted(4)(iter([pd.DataFrame({"text": texts[:90]}), pd.DataFrame({"text": texts[90:]})])):
+            rows += len(f)
+            got.update(dict(zip(f["word"], f["n"].tolist(), strict=True)))
+        assert got == want and rows < sum(want.values()) / (5 if held > 40 else 1)
+
+
+def test_sequences_are_counted_once(spark, monkeypatch):
+    """The counts are written and read back for the total, the words and their parts."""
+    named = []
+    monkeypatch.setattr(segment, "stash", lambda df, name: named.append(name) or df.localCheckpoint())
+    docs = spark.createDataFrame([(1, "蝴蝶的蝴蝶" * 9)], "id int, text string")
+    assert {x.word for x in segment.learn_words(docs).collect()} >= {"蝴", "蝶", "的"} and named == ["sequences"]
