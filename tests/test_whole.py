@@ -306,3 +306,17 @@ def test_products_are_dealt_to_tasks(spark):
     rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(40)], "id long, embedding array<float>").coalesce(1)
     plan = search.vector_topk(rows.where("id < 3").withColumnRenamed("id", "query_id"), rows, 5)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(id" in plan, plan
+
+
+def test_clarification_knows_history_and_entities(spark, tmp_path):
+    """Times, companies and knowledge bases are those of the texts and of the session before, not a turn's or a session's number: the rows of SQL."""
+    said = [(0, 0, "the end 7 ment"), (1, 0, "the sums and 7"), (1, 1, "thus it is and 2019"), (2, 0, "Kelton and 2019"), (2, 1, "thus it is and 2019"), (3, 0, "North 12 of th"), (3, 1, "Then 2019 and"), (3, 2, "ofth 12 of th"), (4, 5, "ofth 12 of th"), (6, 0, "ofth 12 of th")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in said], "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    got = catalog.QUERIES["clarify"](spark, str(tmp_path)).toPandas()
+    assert_same(got, con.execute(catalog.SQL["clarify"]).df())
+    reasons = dict(zip(got["query_id"], got["reason"], strict=True))
+    assert reasons[1000] == "time" and reasons[2001] == "pronoun" and reasons[1001] != "pronoun"  # one digit is no time; a company was named; none was
+    assert reasons[3000] == "company" and reasons[4005] == "company" and reasons[6000] == "company"  # whatever the turn and session
+    assert reasons[3002] is None  # the session's knowledge base is known
