@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import time
 
 import duckdb
@@ -320,3 +321,57 @@ def test_clarification_knows_history_and_entities(spark, tmp_path):
     assert reasons[1000] == "time" and reasons[2001] == "pronoun" and reasons[1001] != "pronoun"  # one digit is no time; a company was named; none was
     assert reasons[3000] == "company" and reasons[4005] == "company" and reasons[6000] == "company"  # whatever the turn and session
     assert reasons[3002] is None  # the session's knowledge base is known
+
+
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_postings_cross_the_network_once_for_all_blocks(spark, tmp_path, monkeypatch, blocks):
+    """However many blocks of questions there are, one exchange of postings by segment, to a few tasks a core, and the rows of one block."""
+    r = random.Random(4)
+    docs = [(i, " ".join(f"w{r.randint(1, 60)}" for _ in range(r.randint(1, 40)))) for i in range(200)]
+    rows = spark.createDataFrame(docs, "id long, text string")
+    asked = rows.where("id % 5 = 0").withColumnRenamed("id", "query_id")
+    monkeypatch.setattr(lexical, "SEGMENT_DOCS", 30)
+    index = lexical.add_documents(rows, f"{tmp_path}/index")
+    want = {tuple(x) for x in lexical.bm25_ask(index, asked, 4).collect()}
+    monkeypatch.setattr(lexical, "BLOCK_QUERIES", 40 // blocks)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        got = lexical.bm25_ask(index, asked, 4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {tuple(x) for x in got.collect()} == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    sent = [int(x) for x in re.findall(r"hashpartitioning\(segment#\d+, (\d+)\)", plan)]
+    assert len(sent) == 1 or blocks > 1 and "InMemoryTableScan" in plan and len({*sent}) == 1, plan
+    assert max(sent) <= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_groups_of_like_documents_and_single_candidates_give_the_scores_of_brute_force():
+    """Two languages in one segment, and a second segment that few documents of can reach the k-th score: the k best of all, in double precision."""
+    import pyarrow as pa
+
+    r = random.Random(31)
+    said = lambda i, n: [f"{'xy'[i % 2]}{min(int(r.expovariate(0.02)), 400)}" for _ in range(n)]
+    docs = [said(i, r.randint(1, 60)) for i in range(1200)]
+    size = np.array([len(d) for d in docs], np.int32)
+    weights = [(q, t, 0.2 + r.random()) for q in range(60) for t in sorted({*said(q, 30)})]
+    block = pa.table({"query_id": [x[0] for x in weights], "term": [x[1] for x in weights], "weight": [x[2] for x in weights]})
+    questions, found = lexical._Questions(block, {}), lexical._Found(60, 4)
+    scores, kept = np.zeros((60, 1200)), set()
+    for low in (0, 600):
+        post: dict = {}
+        for i in range(low, low + 600):
+            for t in {*docs[i]}:
+                post.setdefault(t, []).append((i - low, docs[i].count(t)))
+        own = size[low : low + 600]
+        rows = [{"term": t, "docs": np.array([i for i, _ in p], np.int32).tobytes(), "tfs": np.array([n for _, n in p], np.int32).tobytes()} for t, p in post.items()]
+        lexical.search_segment(questions, found, [{"term": lexical.OWN, "docs": own.tobytes(), "id": pa.array(range(low, low + 600))}, *rows], [], 1.5, 0.75, float(size.mean()))
+        for q, t, w in weights:
+            for i, n in post.get(t, ()):
+                scores[q, low + i] += w * n * 2.5 / (n + 1.5 * (0.25 + 0.75 * own[i] / size.mean()))
+    for own_q, ids, got in found.best():
+        kept |= {(int(questions.ids[int(q)].as_py()), i, x) for q, i, x in zip(own_q, ids.to_pylist(), got.tolist(), strict=True)}
+    for q in range(60):
+        want = sorted(range(1200), key=lambda i: (-round(scores[q, i], 9), i))[:4]
+        mine = sorted(((-x, i) for o, i, x in kept if o == q))[:4]
+        assert [i for _, i in mine] == want and np.allclose([-x for x, _ in mine], scores[q, want], atol=2e-9)
