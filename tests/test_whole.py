@@ -375,3 +375,38 @@ def test_groups_of_like_documents_and_single_candidates_give_the_scores_of_brute
         want = sorted(range(1200), key=lambda i: (-round(scores[q, i], 9), i))[:4]
         mine = sorted(((-x, i) for o, i, x in kept if o == q))[:4]
         assert [i for _, i in mine] == want and np.allclose([-x for x, _ in mine], scores[q, want], atol=2e-9)
+
+
+def test_rows_go_to_many_questions(spark, monkeypatch):
+    """Where questions are many, each meets the rows once, in a few blocks, whatever the number of tasks: the k best within its own knowledge base and sections."""
+    r = np.random.default_rng(8)
+    x = r.integers(-3, 4, (300, 3)).astype(float)
+    corpus = spark.createDataFrame([(i, x[i].tolist() if i % 50 else None, f"k{i % 3}", f"s{i % 2}" if i % 7 else None) for i in range(300)], "id long, embedding array<double>, kb_name string, section string")
+    q = r.integers(-3, 4, (200, 3)).astype(float)
+    scope = lambda i: (None if i % 4 == 0 else f"k{i % 3}", (None, ["s0"], ["s0", "s1"], [])[i % 4 if i % 5 else 0])
+    asked = spark.createDataFrame([(i, q[i].tolist(), *scope(i)) for i in range(200)], "query_id long, embedding array<double>, kb_name string, section array<string>")
+    monkeypatch.setattr(search, "MANY", 1)
+    monkeypatch.setattr(search, "PIECE", 20)
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        met = search.vector_topk(asked, corpus, 4, ("kb_name", "section"))
+        plan = met._jdf.queryExecution().executedPlan().toString()
+        got = {(h.query_id, h.id, h["rank"]) for h in met.collect()}
+        listed = asked.withColumn("kb_name", F.when(F.col("kb_name").isNotNull(), F.array("kb_name")))
+        assert {(h.query_id, h.id, h["rank"]) for h in search._rows_sent(listed, corpus.where("id % 50 <> 0"), 4, ("kb_name", "section"), 3).collect()} == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert "hashpartitioning(id" not in plan and plan.count("MapInPandas") == 1, plan
+    for i in range(200):
+        kb, sections = scope(i)
+        fits = [j for j in range(300) if j % 50 and kb in (None, f"k{j % 3}") and (sections is None or (j % 7 and f"s{j % 2}" in sections))]
+        want = sorted(fits, key=lambda j: (-float(x[j] @ q[i]), j))[:4]
+        assert {(h, rank) for o, h, rank in got if o == i} == {(j, p + 1) for p, j in enumerate(want)}, i
+
+
+def test_documents_of_equal_scope_share_segments(spark, tmp_path):
+    """A question with filters meets few segments: documents are sorted by what questions filter by before they are cut."""
+    rows = spark.createDataFrame([(i, f"word{i}", f"k{i % 4}") for i in range(400)], "id long, text string, kb_name string").repartition(4)
+    index = lexical.add_documents(rows, f"{tmp_path}/index", scope=("kb_name",))
+    held = [len({*r.kb_name}) for r in index.rows(spark).where(F.col("bucket") == lexical.BUCKETS).select("kb_name").collect()]
+    assert sum(held) <= len(held) + 4, held
